@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), length=4096, end_id=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.decontaminate import overlaps
+
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.tokenfile import digests, write_tokens
 
@@ -41,6 +47,12 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encode(_table(spark, sf_dir, "documents")))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -1,0 +1,112 @@
+"""Secret scans: patterns, and multipart credential linking by an interval join. DataFrame functions only.
+
+Strong parts are reported wherever they stand: assignments of a value to a secret's name, access identifiers, long hex runs. Weak parts
+(temporary or role identifiers, 40-character keys, endpoints) are common in clean text, so they are reported only beside what completes
+them: an identifier and a secret within SCOPE code points of each other, and an endpoint within the scope of both. Parts are binned by
+start, so the join is an equality of document and bin with a test of distance, and a bin holds few parts however long the text is.
+
+A pattern's matches are found by regexp_extract_all and its gaps by split with the same pattern; running sums of their lengths are the
+positions, in code points.
+
+Defined results: a null or empty text has no spans; overlapping spans of different kinds are all reported; repeated rows are judged each
+by itself; an empty table gives no rows; other columns are not read by `scan` and kept by `redact`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyforge.llm import runtime
+
+#: Code points between the starts of linked parts.
+SCOPE = 400
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: What a text with an assignment has; tested first, since few texts do.
+_ASSIGN_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+#: Runs that are too short are dropped; as a run is taken whole from its first character on, asking for the length at once finds the same.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
+WEAK_ID = r"(?<![A-Z0-9])(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
+ENDPOINT = r"(?:https?|s3|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0-9.@:_-]+"
+
+#: Order of kinds that start at the same place; the first three are the base.
+KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
+
+
+def _spans(text: Column, kind: str, pattern: str, head: str | None = None, group: int = 0, least: int = 0) -> Column:
+    """array<struct<start, rank, end, kind>> of a pattern's matches, leftmost first, without those whose group is shorter than `least`."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.split(text, pattern, -1)
+    parts = F.transform(F.arrays_zip(found.alias("m"), values.alias("v"), gaps.alias("g")), lambda x: F.struct(F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("v"), F.length(x["g"]).alias("g")))
+    kind_, rank = F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank")
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["g"]
+        one = F.array(F.struct(start.alias("start"), rank, (start + x["m"]).alias("end"), kind_))
+        return F.struct((start + x["m"]).alias("at"), F.when((x["m"] > 0) & (x["v"] >= least), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+
+    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    return F.when(text.rlike(head or pattern), walked).otherwise(empty)
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
+    """Strong and weak parts of a text."""
+    strong = F.concat(_spans(text, "assign", ASSIGN, _ASSIGN_HEAD, 2, 12), _spans(text, "access", ACCESS), _spans(text, "hex", HEX))
+    weak = F.concat(_spans(text, "id", WEAK_ID), _spans(text, "secret", WEAK_SECRET), _spans(text, "endpoint", ENDPOINT))
+    return strong, weak
+
+
+def _linked(found: DataFrame, scope: int) -> DataFrame:
+    """_row and linked: the weak parts of each row of found (_row, strong, weak) that complete each other or a strong part.
+
+    An interval join: every part's scope [start - scope, start + scope] with the parts that start in it.
+    """
+    some = found.filter(F.size("weak") > 0).select("_row", F.explode(F.concat("strong", "weak")).alias("p"))
+    role = F.when(F.col("p.kind").isin("access", "id"), "i").when(F.col("p.kind") == "endpoint", "e").otherwise("s")
+    parts = some.select("_row", "p", role.alias("role"), F.floor(F.col("p.start") / scope).alias("bin"))
+    weak = parts.filter(F.col("p.rank") >= 3).select("_row", F.col("p").alias("w"), F.col("role").alias("of"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = weak.join(parts.filter("role != 'e'"), ["_row", "bin"]).filter((F.abs(F.col("w.start") - F.col("p.start")) <= scope) & (F.col("of") != F.col("role")))
+    has = near.groupBy("_row", "w", "of").agg(F.max(F.col("role") == "i").alias("i"), F.max(F.col("role") == "s").alias("s"))
+    whole = has.filter("(of = 'i' and s) or (of = 's' and i) or (of = 'e' and i and s)")
+    return whole.groupBy("_row").agg(F.collect_list("w").alias("linked"))
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """For each row of docs (doc_id, text): counts and a digest of the base spans, and all spans reported, as kind:start:end by start, then kind."""
+    runtime.prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    strong, weak = _parts(F.col("_text"))
+    found = runtime.stored(rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.array_sort(strong).alias("strong"), weak.alias("weak")), "secrets")
+    out = found.join(_linked(found, scope), "_row", "left")
+    count = lambda kind: F.size(F.filter("strong", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat(F.col("strong"), F.coalesce("linked", F.filter("strong", lambda x: F.lit(False)))))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("strong")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
+    """docs with all its columns, where each run of overlapping spans in text is replaced by mark. Rows without spans keep their text, null included."""
+    runtime.prepare(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    strong, weak = _parts(text)
+    found = runtime.stored(docs.withColumns({"_row": F.monotonically_increasing_id(), "_strong": F.array_sort(strong), "_weak": weak}), "redact")
+    links = _linked(found.select("_row", F.col("_strong").alias("strong"), F.col("_weak").alias("weak")), scope)
+    plain = found.filter(F.size("_weak") == 0).withColumn("_spans", F.col("_strong"))
+    other = found.filter(F.size("_weak") > 0).join(links, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_strong", F.coalesce("linked", F.filter("_strong", lambda x: F.lit(False)))))).drop("linked")
+
+    def step(state: Column, x: Column) -> Column:
+        fresh = (x["start"] >= state["at"]) | (state["at"] == 0)
+        gap = F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"])
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+    walked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    clean = F.when(F.size("_spans") > 0, walked).otherwise(F.col("text"))
+    return plain.unionByName(other).withColumn("text", clean).select(*docs.columns)
