@@ -29,6 +29,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm.langid import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = train(docs, teaches=~held_out)
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.urlfilter import RULES, judge
+
+    return judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.tokenfile import digests, write_tokens
 
@@ -48,7 +65,7 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyforge.llm.secrets import scan
+    from tallyforge.llm.secretscan import scan
 
     return scan(_table(spark, sf_dir, "documents"))
 
