@@ -28,11 +28,11 @@ from tallyforge.llm import runtime
 MODEL_WORDS = 200_000
 #: Words that mark a host as unwanted.
 SEEDS = (
-    "adult", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "farm", "gambling", "hack", "jackpot", "keygen", "loan",
-    "loans", "nude", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "webcam", "xxx",
+    "ads", "adult", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "farm", "gambling", "hack", "jackpot", "keygen", "loan",
+    "loans", "nude", "payday", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "webcam", "xxx",
 )
-#: A farm or a cheap thing is only unwanted beside another sign.
-WEAK_SEEDS = ("cheap", "farm")
+#: These are only unwanted beside another of them or a stronger one.
+WEAK_SEEDS = ("ads", "cheap", "farm", "track")
 #: English words that are common in host names; each counts as often as a word with a share of 1 / 2000.
 COMMON = (
     "art", "auto", "best", "big", "blog", "book", "books", "bonus", "buy", "car", "city", "club", "code", "data", "day", "deal", "deals", "dev",
