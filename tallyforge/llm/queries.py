@@ -46,6 +46,12 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.tokenfile import digests, write_tokens
 
