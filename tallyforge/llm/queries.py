@@ -52,6 +52,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.substring import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"), window=35).drop("spans")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.tokenfile import digests, write_tokens
 
