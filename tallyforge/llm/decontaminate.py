@@ -123,17 +123,16 @@ class SuffixArray:
                 return lo
             mid = (lo[open_] + hi[open_]) >> 1
             at, q, w = order[mid], start[open_], width[open_]
-            down = np.zeros(len(open_), bool)  # the place is before the query
-            same = np.arange(len(open_))
+            down, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)  # the place is before the query; begins with it
             for t in range(int(w.max())):
-                same = same[w[same] > t]
+                same = np.flatnonzero(equal & (w > t))
                 if not len(same):
                     break
                 a, b = words[np.minimum(at[same] + t, last)], query[q[same] + t]
                 down[same[a < b]] = True
-                same = same[a == b]
+                equal[same[a != b]] = False
             if after:
-                down[same] = True
+                down |= equal
             lo[open_[down]] = mid[down] + 1
             hi[open_[~down]] = mid[~down]
 

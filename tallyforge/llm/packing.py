@@ -2,7 +2,7 @@
 
 Each input partition is a stream of documents in its own order; no shuffle is needed and none takes place. A window is a run of at
 most `length` tokens of the stream. Cuts stand between documents (free), after a sentence (SENTENCE) or, where neither comes for
-STRIDE tokens, anywhere (ANYWHERE). The chosen cuts minimise the sum over windows of WINDOW, padding and penalty, where a window
+STRIDE tokens (or a quarter of `length`), anywhere (ANYWHERE). The chosen cuts minimise the sum over windows of WINDOW, padding and penalty, where a window
 whose length is a power of two needs no padding:
 
     best[j] = penalty[j] + min(best[i] + WINDOW + padding(at[j] - at[i]))   over i with at[j] - at[i] <= length
@@ -138,10 +138,10 @@ class _Packer:
                     penalty[first] = 0
             penalty[0] = penalty[n] = 0
             at = np.flatnonzero(penalty >= 0)
-            gaps = np.diff(at)
-            wide = np.flatnonzero(gaps > STRIDE)
+            stride = min(STRIDE, max(1, length // 4))
+            wide = np.flatnonzero(np.diff(at) > stride)
             if len(wide):
-                more = np.concatenate([np.arange(at[g] + STRIDE, at[g + 1], STRIDE) for g in wide.tolist()])
+                more = np.concatenate([np.arange(at[g] + stride, at[g + 1], stride) for g in wide.tolist()])
                 penalty[more] = ANYWHERE
                 at = np.flatnonzero(penalty >= 0)
             cuts = at[best_cuts(at, penalty[at], length, final)]

@@ -92,21 +92,28 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("strong")), 256).alias("base_sha256"), _listed(every).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """docs with all its columns, where each run of overlapping spans in text is replaced by mark. Rows without spans keep their text, null included."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE, length_column: str | None = None) -> DataFrame:
+    """docs with all its columns, where each run of overlapping spans in text is replaced by mark. Rows without spans stay as they are, null texts included.
+
+    length_column: a column that holds the text's length, counted anew where text changes.
+    """
     runtime.prepare(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    strong, weak = _parts(text)
-    found = runtime.stored(docs.withColumns({"_row": F.monotonically_increasing_id(), "_strong": F.array_sort(strong), "_weak": weak}), "redact")
-    links = _linked(found.select("_row", F.col("_strong").alias("strong"), F.col("_weak").alias("weak")), scope)
-    plain = found.filter(F.size("_weak") == 0).withColumn("_spans", F.col("_strong"))
-    other = found.filter(F.size("_weak") > 0).join(links, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_strong", F.coalesce("linked", F.filter("_strong", lambda x: F.lit(False)))))).drop("linked")
+    strong, weak = _parts(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = runtime.stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"), F.array_sort(strong).alias("strong"), weak.alias("weak")), "redact")
+    plain = found.filter(F.size("weak") == 0).select("doc", F.col("strong").alias("spans"))
+    other = found.filter(F.size("weak") > 0).join(_linked(found.select("_row", "strong", "weak"), scope), "_row", "left")
+    other = other.select("doc", F.array_sort(F.concat("strong", F.coalesce("linked", F.filter("strong", lambda x: F.lit(False))))).alias("spans"))
+    text = F.col("doc.text")
 
     def step(state: Column, x: Column) -> Column:
-        fresh = (x["start"] >= state["at"]) | (state["at"] == 0)
-        gap = F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
-
-    walked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("_spans") > 0, walked).otherwise(F.col("text"))
-    return plain.unionByName(other).withColumn("text", clean).select(*docs.columns)
+        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
+        grown = F.when((x["start"] >= state["at"]) | (state["at"] == 0), F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), grown.alias("out"))
+
+    walked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    has = F.size("spans") > 0
+    rows = plain.unionByName(other).select("doc", F.when(has, walked).otherwise(text).alias("clean"), has.alias("has"))
+    doc = F.col("doc").withField("text", F.col("clean"))
+    if length_column:
+        doc = doc.withField(length_column, F.when(F.col("has"), F.length("clean").cast(docs.schema[length_column].dataType)).otherwise(F.col(f"doc.{length_column}")))
+    return rows.select(doc.alias("doc")).select("doc.*")

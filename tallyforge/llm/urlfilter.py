@@ -1,7 +1,7 @@
 """URL filters: rules first, then host word segmentation and multinomial naive Bayes.
 
 Host labels are split into words by a unigram Viterbi search: the split with the largest product of word probabilities, where a word
-that the lexicon lacks costs by its length. The lexicon is counted over the delimited tokens of all URLs. Host words and path tokens
+that the lexicon lacks costs by its length. The lexicon is counted over the delimited tokens of all URLs (paths, and hyphenated host labels). Host words and path tokens
 then go to a multinomial naive Bayes classifier. Its two classes are learned from all URLs: those with a seed word (SEEDS) among
 their host words, and the others.
 
@@ -145,8 +145,12 @@ class Bayes:
 
 
 def lexicon(parts: DataFrame) -> dict[str, float]:
-    """Shares of delimited tokens (letters only) of all hosts and paths, as far as they are at least 1 / MODEL_WORDS."""
-    runs = F.explode(F.regexp_extract_all(F.concat_ws("/", "host", F.lower("path")), F.lit("([a-z]+)"), F.lit(1)))
+    """Shares of delimited tokens (letters only): those of paths, and of host labels with hyphens. As far as they are at least 1 / MODEL_WORDS.
+
+    A whole label is no such token: it may be the concatenated name that has to be split.
+    """
+    found = F.concat(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), F.lit(1)), F.regexp_extract_all("host", F.lit("((?<=-)[a-z]+|[a-z]+(?=-))"), F.lit(1)))
+    runs = F.explode(found)
     counts = runtime.stored(parts.select(runs.alias("w")).groupBy("w").count(), "lexicon")
     total = counts.agg(F.sum("count")).first()[0] or 0
     got = counts.filter(F.col("count") * MODEL_WORDS >= total).collect() if total else []
