@@ -1,0 +1 @@
+"""Forensic analysis of project-finance documents, as DataFrame operators on Spark."""
