@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.shipping import ship
+from tallyforge.storage import drop, shared_dir, stored
+
+__all__ = ["drop", "offsets", "prepare", "shared_dir", "stored"]
+
 #: Rows in an Arrow batch; with texts of a few kB a batch stays near 8 MB.
 BATCH_ROWS = 2000
 
@@ -21,56 +20,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Every operator writes what a later job needs to the shared folder, so no later job reads an earlier job's shuffle.
     """
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
-def _ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyforge_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(prefix="tallyforge-"), "tallyforge.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(at)
-    sc._tallyforge_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop) a new local one, which is then set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: it cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path, partitionBy=list(partition_by) or None)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.tallyforge_path = path  # for drop()
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "tallyforge_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def offsets(totals: DataFrame, part: str, amount: str, out: str) -> DataFrame:
     """For each part: the sum of amount over all parts before it. totals has one row per partition or file, so one task holds it."""
     w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
