@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyforge.operators.components import components
 from tallyforge.storage import drop, stored
 
-_one = F.lit(1)
-
 
 def document_edges(relationships: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     return relationships.filter(F.col("confidence") >= min_confidence).select(F.col("source_doc_id").alias("src"), F.col("target_doc_id").alias("dst"), F.col("relationship_type").alias("kind"), "confidence")
@@ -28,7 +26,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     """id, out_degree, in_degree, degree over distinct edges."""
     e = edges.select("src", "dst").distinct()
     both = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(_one).alias("degree"))
+    return both.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
 
 
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     """id, root of weakly connected components of at least `least` vertices."""
     c = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    big = c.groupBy("root").agg(F.count(_one).alias("size")).filter(F.col("size") >= least)
+    big = c.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     return c.join(big, "root")
 
 
@@ -85,7 +83,7 @@ def neighbours(edges: DataFrame, start, depth: int = 1) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """id, rank after `rounds` rounds over distinct edges; ranks of vertices without a way out go to all alike. Ranks are written every second round, which cuts the plan."""
     e = edges.select("src", "dst").distinct()
-    out_degree = e.groupBy("src").agg(F.count(_one).alias("k"))
+    out_degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     v = stored(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct().join(out_degree, F.col("id") == F.col("src"), "left").select("id", "k"), "vertices")
     n = v.count()
     if not n:
@@ -114,4 +112,4 @@ def closeness(edges: DataFrame, depth: int = 3) -> DataFrame:
         level = level.join(e, F.col("to") == F.col("src")).select("id", F.col("dst").alias("to"), F.lit(d).alias("d")).distinct()
         every = every.unionByName(level)
     near = every.filter("id != to").groupBy("id", "to").agg(F.min("d").alias("d"))
-    return near.groupBy("id").agg(F.count(_one).alias("reached"), F.sum("d").alias("total")).withColumn("closeness", F.col("reached") / F.col("total"))
+    return near.groupBy("id").agg(F.count(F.lit(1)).alias("reached"), F.sum("d").alias("total")).withColumn("closeness", F.col("reached") / F.col("total"))

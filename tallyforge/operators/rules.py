@@ -10,8 +10,6 @@ from tallyforge.functions.amounts import cents, roundness
 from tallyforge.functions.texts import CONSTRUCTION, EXCLUDED_COST_CODES, any_word, jaccard, suspiciousness, word_set
 from tallyforge.operators.aggregates import category_averages
 
-_one = F.lit(1)
-
 
 def reappearing_amounts(items: DataFrame, tolerance_cents: int = 1) -> DataFrame:
     """Rejected items (or items of rejected documents) whose amount occurs in a strictly later document of the project.
@@ -25,7 +23,7 @@ def reappearing_amounts(items: DataFrame, tolerance_cents: int = 1) -> DataFrame
     later = items.select("project_id", cents(F.col("amount")).alias("c"), F.col("item_id").alias("later_id"), F.col("date_created").alias("later_on"), F.col("doc_type").alias("later_type"), F.col("description").alias("later_text"))
     later = later.withColumn("bin", F.floor(F.col("c") / wide))
     j = r.join(later, ["project_id", "bin"]).filter((F.col("later_on") > F.col("rejected_on")) & (F.abs(F.col("c") - F.col("rc")) <= tolerance_cents))
-    g = j.groupBy("project_id", "item_id", "rc").agg(F.count(_one).alias("n"), F.min("later_on").alias("first_later"), F.max(F.col("later_type") == "invoice").alias("invoice"), F.avg(jaccard(word_set(F.col("description")), word_set(F.col("later_text")))).alias("alike"))
+    g = j.groupBy("project_id", "item_id", "rc").agg(F.count(F.lit(1)).alias("n"), F.min("later_on").alias("first_later"), F.max(F.col("later_type") == "invoice").alias("invoice"), F.avg(jaccard(word_set(F.col("description")), word_set(F.col("later_text")))).alias("alike"))
     soft = 0.75 + F.when(F.col("alike") > 0.8, -0.15).when(F.col("alike") < 0.3, 0.15).otherwise(0.0)
     return g.withColumns({"kind": F.when(F.col("invoice"), "rejected_amount_in_invoice").otherwise("reappearing_amount"), "confidence": F.when(F.col("invoice"), 0.9).otherwise(soft)})
 
@@ -41,7 +39,7 @@ def unusually_large(items: DataFrame, least: float = 100_000.0, ratio: float = 3
 def large_amounts(items: DataFrame, least: float = 100_000.0) -> DataFrame:
     """By cost code: items over `least`, with the code's mean and the greatest ratio to it."""
     a = category_averages(items).select("cost_code", "mean")
-    return items.filter(F.col("amount") > least).groupBy("cost_code").agg(F.count(_one).alias("n"), F.max("amount").alias("high")).join(a, "cost_code").withColumn("ratio", F.col("high").cast("double") / F.col("mean"))
+    return items.filter(F.col("amount") > least).groupBy("cost_code").agg(F.count(F.lit(1)).alias("n"), F.max("amount").alias("high")).join(a, "cost_code").withColumn("ratio", F.col("high").cast("double") / F.col("mean"))
 
 
 def suspicious_descriptions(items: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -82,14 +80,14 @@ def math_errors(items: DataFrame, documents: DataFrame, tolerance: float = 0.1)
 def math_error_summary(items: DataFrame, documents: DataFrame) -> DataFrame:
     """By check and party: failures, those that benefit the biller, and the net difference in cents. systematic: three or more of them benefit."""
     e = math_errors(items, documents).join(documents.select("doc_id", "party"), "doc_id")
-    g = e.groupBy("check", "party").agg(F.count(_one).alias("n"), F.sum(F.when(F.col("benefit"), 1).otherwise(0)).alias("benefits"), F.sum("difference").alias("net"))
+    g = e.groupBy("check", "party").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("benefit"), 1).otherwise(0)).alias("benefits"), F.sum("difference").alias("net"))
     return g.withColumn("systematic", F.col("benefits") >= 3)
 
 
 def similar_items_prices(items: DataFrame, least_cv: float = 0.2) -> DataFrame:
     """Descriptions with two or more unit prices whose coefficient of variation exceeds least_cv."""
     p = F.col("amount").cast("double") / F.col("quantity")
-    g = items.filter("quantity > 0").withColumn("p", p).groupBy("description").agg(F.count(_one).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
+    g = items.filter("quantity > 0").withColumn("p", p).groupBy("description").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
     g = g.filter("n >= 2").withColumn("cv", F.col("std") / F.col("mean")).filter(F.col("cv") > least_cv)
     c = 0.7 + F.least(F.lit(0.15), 0.3 * F.col("cv")) + F.least(F.lit(0.1), 0.1 * (F.col("high") - F.col("low")) / F.col("mean")) + F.least(F.lit(0.1), 0.02 * (F.col("n") - 2))
     return g.withColumn("confidence", F.least(F.lit(0.95), c))
@@ -98,13 +96,13 @@ def similar_items_prices(items: DataFrame, least_cv: float = 0.2) -> DataFrame:
 def outlier_pricing(items: DataFrame) -> DataFrame:
     """Items whose unit price is over twice, or under half, their description's mean."""
     w = Window.partitionBy("description")
-    p = items.filter("quantity > 0").withColumn("price", F.col("amount").cast("double") / F.col("quantity")).withColumns({"n": F.count(_one).over(w), "mean": F.avg("price").over(w)})
+    p = items.filter("quantity > 0").withColumn("price", F.col("amount").cast("double") / F.col("quantity")).withColumns({"n": F.count(F.lit(1)).over(w), "mean": F.avg("price").over(w)})
     return p.filter((F.col("n") >= 2) & ((F.col("price") > 2 * F.col("mean")) | (F.col("price") < 0.5 * F.col("mean"))))
 
 
 def duplicate_in_document(items: DataFrame) -> DataFrame:
     """Amounts that stand more than once in a document."""
-    return items.groupBy("doc_id", "amount").agg(F.count(_one).alias("n"), F.countDistinct("description").alias("descriptions")).filter("n > 1")
+    return items.groupBy("doc_id", "amount").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("description").alias("descriptions")).filter("n > 1")
 
 
 def threshold_bypass(documents: DataFrame, most: float = 50_000.0, total: float = 100_000.0, gap: int = 90) -> DataFrame:
@@ -112,7 +110,7 @@ def threshold_bypass(documents: DataFrame, most: float = 50_000.0, total: float
     w = Window.partitionBy("project_id").orderBy("date_created", "doc_id")
     d = documents.filter((F.col("doc_type") == "change_order") & (F.col("total") < most))
     d = d.withColumn("_new", F.when(F.datediff("date_created", F.lag("date_created").over(w)) <= gap, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = d.groupBy("project_id", "island").agg(F.count(_one).alias("n"), F.sum("total").alias("sum"), F.min("date_created").alias("start"), F.max("date_created").alias("end"))
+    g = d.groupBy("project_id", "island").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("sum"), F.min("date_created").alias("start"), F.max("date_created").alias("end"))
     return g.filter((F.col("n") >= 2) & (F.col("sum") > total))
 
 
@@ -129,8 +127,8 @@ def recurring_follow_ups(documents: DataFrame, days: int = 10) -> DataFrame:
     """Projects where at least two, and half, of the payment applications are followed by a change order within `days` days."""
     p = documents.filter("doc_type = 'payment_app'").select("project_id", F.col("doc_id").alias("payment_id"), F.col("date_created").alias("paid"))
     o = documents.filter("doc_type = 'change_order'").select("project_id", F.col("date_created").alias("ordered"))
-    f = p.join(o, "project_id").filter(F.datediff("ordered", "paid").between(0, days)).select("project_id", "payment_id").distinct().groupBy("project_id").agg(F.count(_one).alias("followed"))
-    n = p.groupBy("project_id").agg(F.count(_one).alias("payments"))
+    f = p.join(o, "project_id").filter(F.datediff("ordered", "paid").between(0, days)).select("project_id", "payment_id").distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("followed"))
+    n = p.groupBy("project_id").agg(F.count(F.lit(1)).alias("payments"))
     return n.join(f, "project_id").filter("followed >= 2 AND followed * 2 >= payments")
 
 

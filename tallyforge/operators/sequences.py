@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from tallyforge.functions.amounts import cents
 
-_one = F.lit(1)
-
 
 def zscore_outliers(rows: DataFrame, value: str, by: tuple[str, ...], z: float = 2.5, least: int = 5) -> DataFrame:
     """Rows whose value is over z population deviations from their group's mean, in groups of `least` rows whose deviation is at least 1 % of the mean; confidence 0.7 and up."""
@@ -22,7 +20,7 @@ def zscore_outliers(rows: DataFrame, value: str, by: tuple[str, ...], z: float =
 def iqr_outliers(rows: DataFrame, value: str, by: tuple[str, ...], order: str, factor: float = 1.5, least: int = 5) -> DataFrame:
     """Rows beyond the quartiles by factor times their distance. Quartiles are the values at 0-based places n // 4 and 3 n // 4; no interpolation."""
     w = Window.partitionBy(*by)
-    s = rows.filter(F.col(value).isNotNull()).withColumns({"n": F.count(_one).over(w), "_k": F.row_number().over(w.orderBy(value, order)) - 1})
+    s = rows.filter(F.col(value).isNotNull()).withColumns({"n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(value, order)) - 1})
     at = lambda place: F.max(F.when(F.col("_k") == place, F.col(value))).over(w)
     s = s.withColumns({"q1": at(F.floor(F.col("n") / 4)), "q3": at(F.floor(F.col("n") * 3 / 4))}).withColumn("iqr", F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - factor * F.col("iqr"), F.col("q3") + factor * F.col("iqr")
@@ -40,7 +38,7 @@ def monotone_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, o
     r = rows.withColumns({"_step": F.when(on, F.col(value) - before), "_days": F.when(on, F.datediff(date, day)), "_new": F.when(on, 0).otherwise(1)})
     r = r.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     even = lambda c: F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.var_pop(c), F.avg(c) * F.avg(c)), F.lit(0.0)))
-    g = r.groupBy(*by, "run").agg(F.count(_one).alias("n"), F.min(date).alias("start"), F.max(date).alias("end"), F.min(value).alias("low"), F.max(value).alias("high"), even(F.col("_step").cast("double")).alias("even_steps"), even(F.col("_days").cast("double")).alias("even_days"))
+    g = r.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("start"), F.max(date).alias("end"), F.min(value).alias("low"), F.max(value).alias("high"), even(F.col("_step").cast("double")).alias("even_steps"), even(F.col("_days").cast("double")).alias("even_days"))
     c = F.least(F.lit(0.95), 0.5 + 0.3 * F.least(F.lit(1.0), (F.col("n") - 2) / 8) + 0.15 * F.col("even_steps") + 0.15 * F.col("even_days"))
     return g.filter(F.col("n") >= least).withColumn("confidence", c)
 
@@ -101,20 +99,20 @@ def run_lengths(documents: DataFrame, column: str = "doc_type", by: str = "proje
     w = Window.partitionBy(by).orderBy("date_created", "doc_id")
     new = F.when(F.lag(column).over(w).eqNullSafe(F.col(column)) & F.lag("doc_id").over(w).isNotNull(), 0).otherwise(1)
     d = documents.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(by, "run").agg(F.first(column).alias("value"), F.count(_one).alias("length"), F.min("date_created").alias("start"), F.max("date_created").alias("end"))
+    return d.groupBy(by, "run").agg(F.first(column).alias("value"), F.count(F.lit(1)).alias("length"), F.min("date_created").alias("start"), F.max("date_created").alias("end"))
 
 
 def alternating(documents: DataFrame, least: int = 4, share: float = 0.75) -> DataFrame:
     """Projects of `least` documents whose totals go up and down in turn in at least `share` of their inner places."""
     w = Window.partitionBy("project_id").orderBy("date_created", "doc_id")
     d = documents.withColumns({"_a": F.signum(cents(F.col("total")) - F.lag(cents(F.col("total"))).over(w)), "_b": F.signum(F.lead(cents(F.col("total"))).over(w) - cents(F.col("total")))})
-    g = d.groupBy("project_id").agg(F.count(_one).alias("n"), F.sum(F.when(F.col("_a") * F.col("_b") < 0, 1).otherwise(0)).alias("turns"))
+    g = d.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_a") * F.col("_b") < 0, 1).otherwise(0)).alias("turns"))
     return g.filter((F.col("n") >= least) & (F.col("turns") >= share * (F.col("n") - 2)))
 
 
 def same_day_of_month(documents: DataFrame, by: tuple[str, ...] = ("project_id",), least: int = 3, share: float = 0.3) -> DataFrame:
     """Days of the month on which at least `least`, and a share, of a group's documents fall."""
-    n = documents.groupBy(*by, F.dayofmonth("date_created").alias("day")).agg(F.count(_one).alias("n"))
+    n = documents.groupBy(*by, F.dayofmonth("date_created").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("of", F.sum("n").over(Window.partitionBy(*by))).filter((F.col("n") >= least) & (F.col("n") >= share * F.col("of")))
 
 
@@ -122,7 +120,7 @@ def type_trigrams(documents: DataFrame) -> DataFrame:
     """How often three document types follow each other within projects."""
     w = Window.partitionBy("project_id").orderBy("date_created", "doc_id")
     d = documents.select(F.col("doc_type").alias("first"), F.lead("doc_type").over(w).alias("second"), F.lead("doc_type", 2).over(w).alias("third"))
-    return d.filter("third IS NOT NULL").groupBy("first", "second", "third").agg(F.count(_one).alias("n"))
+    return d.filter("third IS NOT NULL").groupBy("first", "second", "third").agg(F.count(F.lit(1)).alias("n"))
 
 
 def amounts_before_approval(items: DataFrame, documents: DataFrame, per_mille: int = 10) -> DataFrame:
@@ -131,7 +129,7 @@ def amounts_before_approval(items: DataFrame, documents: DataFrame, per_mille: i
     o = documents.filter("doc_type = 'change_order' AND status != 'rejected'").select("project_id", F.col("doc_id").alias("order_id"), cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"))
     # Both sides of a project: as many pairs as its items times its change orders.
     j = p.join(o, "project_id").filter((F.datediff("ordered", "billed") > 1) & (F.abs(F.col("c") - F.col("oc")) * 1000 <= per_mille * F.col("oc")))
-    g = j.groupBy("project_id", "item_id").agg(F.count(_one).alias("n"), F.max(F.datediff("ordered", "billed")).alias("days"))
+    g = j.groupBy("project_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.datediff("ordered", "billed")).alias("days"))
     return g.withColumn("confidence", 0.7 + F.least(F.col("days") / 30, F.lit(0.2)) + F.least(F.col("n") / 2, F.lit(0.1)))
 
 
@@ -150,7 +148,7 @@ def cents_wide(amount: Column) -> Column:
 
 def combined_amounts(items: DataFrame, most: float = 1000.0, days: int = 90, per_mille: int = 100) -> DataFrame:
     """Small items of a document (each under `most`, two or more) and the later item of the project, at most `days` days on, nearest to their sum and within per_mille of it."""
-    s = items.filter(F.col("amount") < most).groupBy("project_id", "doc_id", "date_created").agg(F.count(_one).alias("parts"), F.sum(cents(F.col("amount"))).alias("s")).filter("parts >= 2")
+    s = items.filter(F.col("amount") < most).groupBy("project_id", "doc_id", "date_created").agg(F.count(F.lit(1)).alias("parts"), F.sum(cents(F.col("amount"))).alias("s")).filter("parts >= 2")
     later = items.select("project_id", F.col("item_id").alias("later_id"), F.col("doc_id").alias("later_doc"), F.col("date_created").alias("later"), cents(F.col("amount")).alias("c"))
     j = s.join(later, "project_id").filter(F.datediff("later", "date_created").between(1, days) & (F.abs(F.col("c") - F.col("s")) * 1000 <= per_mille * F.col("s")))
     w = Window.partitionBy("project_id", "doc_id").orderBy(F.abs(F.col("c") - F.col("s")), "later_id")

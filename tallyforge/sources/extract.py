@@ -77,7 +77,7 @@ def table_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     from pyspark.sql.window import Window
 
     lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    cells = F.filter(F.transform(F.split("raw", r"\s*\|\s*|\t+| {2,}"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("raw", r"\s*\|\s*|\t+| {2,}"), lambda x: F.trim(x)), lambda x: x != "")
     rows = lines.withColumn("cells", cells).filter((F.size("cells") >= 2) & ~F.col("raw").rlike(r"^[\s|+=-]+$"))
     w = Window.partitionBy(key).orderBy("line")
     rows = rows.withColumn("block", F.col("line") - F.row_number().over(w))
