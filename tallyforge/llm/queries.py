@@ -26,7 +26,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.decontaminate import overlaps
 
-    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10).drop("longest_match")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM, _BLACK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+_OP2 = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, list_slice(w, k, k + 9) AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
+places AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, n, k, item FROM places JOIN wins ON places.win = wins.win),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover ON dw.doc_id = cover.doc_id LEFT JOIN named ON dw.doc_id = named.doc_id"""
+
+_OP5 = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BLACK}') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 3) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM dw WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM dw UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT roots.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, roots.doc_id = component_id AS kept FROM roots LEFT JOIN sizes ON roots.doc_id = sizes.doc_id"""
+
+_OP6 = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLACK}') AS w FROM documents),
+wins AS (SELECT doc_id, k, list_slice(w, k, k + 34) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM dw WHERE len(w) >= 35)),
+twice AS (SELECT s FROM wins GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM wins JOIN twice ON wins.s = twice.s),
+kept AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM dw) a ANTI JOIN gone ON a.doc_id = gone.doc_id AND a.p = gone.p GROUP BY a.doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN kept ON dw.doc_id = kept.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over whole tables where it can be written and ends in reasonable time on them."""
+    return {"op2_decontamination": _OP2.strip(), "op5_near_duplicates": _OP5.strip(), "op6_substrings": _OP6.strip()}
