@@ -37,7 +37,9 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = 5, thresh
 
 def vector_ranks(vectors: DataFrame, queries: DataFrame, limit: int = 5, embedding: str = "embedding", key: str = "vec_id") -> DataFrame:
     """For each of a bounded set of query vectors (query_id, query): its `limit` nearest vectors. The set is sent to all tasks; each keeps its own best before they are merged."""
-    j = vectors.select(key, embedding).join(F.broadcast(queries)).withColumn("score", cosine(F.col(embedding), F.col("query")))
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    q, v = queries.withColumn("_q", norm("query")), vectors.select(key, embedding, norm(embedding).alias("_v"))  # each norm once, not once for each pair
+    j = v.join(F.broadcast(q)).withColumn("score", F.coalesce(F.try_divide(dot(F.col(embedding), F.col("query")), F.col("_v") * F.col("_q")), F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "rank", key, "score")
 
