@@ -113,3 +113,37 @@ def closeness(edges: DataFrame, depth: int = 3) -> DataFrame:
         every = every.unionByName(level)
     near = every.filter("id != to").groupBy("id", "to").agg(F.min("d").alias("d"))
     return near.groupBy("id").agg(F.count(F.lit(1)).alias("reached"), F.sum("d").alias("total")).withColumn("closeness", F.col("reached") / F.col("total"))
+
+
+def betweenness(edges: DataFrame, depth: int = 3) -> DataFrame:
+    """id, betweenness over shortest paths of at most `depth` edges: the share of each pair's shortest paths that a vertex lies inside, summed over pairs.
+
+    Grows with paths of that length; for graphs of small components.
+    """
+    e = edges.select("src", "dst").distinct().filter("src != dst")
+    at = e.select(F.array("src", "dst").alias("path"), F.col("src").alias("s"), F.col("dst").alias("t"))
+    every = at
+    for _ in range(depth - 1):
+        at = at.join(e, F.col("t") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), "s", F.col("dst").alias("t"))
+        every = every.unionByName(at)
+    shortest = every.groupBy("s", "t", F.size("path").alias("n")).agg(F.count(F.lit(1)).alias("paths"))
+    least = shortest.groupBy("s", "t").agg(F.min(F.struct("n", "paths")).alias("m")).select("s", "t", "m.n", "m.paths")
+    inner = every.join(least, ["s", "t"]).filter((F.size("path") == F.col("n")) & (F.col("n") > 2)).select("paths", F.explode(F.slice("path", 2, F.col("n") - 2)).alias("id"))
+    return inner.groupBy("id").agg(F.sum(1 / F.col("paths")).alias("betweenness"))
+
+
+def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """id, score: `rounds` steps of power iteration over incoming edges and oneself, scaled to length 1. Scores are written every second round."""
+    e = edges.select("src", "dst").distinct()
+    v = stored(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), "vertices")
+    links = stored(e, "links")
+    x = v.select("id", F.lit(1.0).alias("score"))
+    for r in range(rounds):
+        given = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum("score").alias("got"))
+        y = x.join(given, F.col("id") == F.col("to"), "left").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        length = y.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
+        # One row.
+        x = y.crossJoin(F.broadcast(length)).select("id", (F.col("score") / F.col("length")).alias("score"))
+        if r % 2 or r + 1 == rounds:
+            x = stored(x, "scores")
+    return x

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
-from tallyforge.operators import engine, graph, lookups, matching, relationships, rules, search, sequences
+from tallyforge.operators import detectors, engine, graph, lookups, matching, relationships, rules, search, sequences
 from tallyforge.plans.model import SQL, Model
 
 _QUERIES: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
@@ -818,6 +818,89 @@ def event_bursts(m):
     return bursts(m.table("events"), length="1 day", slide="1 day").select("event_type", "n", F.date_format("start", "yyyy-MM-dd").alias("day"))
 
 
+# --- detectors over relations ----------------------------------------------------------------------------------------------
+
+
+@query("""
+, j AS (SELECT i.project_id, item_id, o.doc_id AS order_id, date_diff('day', i.date_created, o.date_created) AS days, row_number() OVER (PARTITION BY i.project_id, item_id ORDER BY date_diff('day', i.date_created, o.date_created), o.doc_id) AS k
+  FROM items i JOIN docs o ON i.project_id = o.project_id AND i.doc_type IN ('payment_app', 'invoice') AND o.doc_type = 'change_order' AND o.status = 'approved' AND o.date_created > i.date_created AND abs(i.c - o.c) * 1000 <= 50 * o.c)
+SELECT project_id, item_id, order_id, CAST(days AS BIGINT) AS days FROM j WHERE k = 1""")
+def premature_billing(m):
+    return detectors.premature_billing(m.items, m.documents, 50).select("project_id", "item_id", "order_id", _l("days"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT kind AS relationship_type, a.status AS source_status, CAST(count(*) AS BIGINT) AS n FROM rel JOIN docs a ON a.doc_id = src JOIN docs b ON b.doc_id = dst WHERE (a.status = 'approved' AND b.status = 'rejected') OR (a.status = 'rejected' AND b.status = 'approved') GROUP BY ALL""")
+def contradictory_approvals(m):
+    return detectors.contradictory_approvals(m.documents, relationships.pair_rules(m.documents)).groupBy("relationship_type", "source_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT item_id, items.doc_id, description FROM items WHERE doc_type = 'payment_app' AND regexp_matches(lower(description), 'ring|plate') AND doc_id NOT IN (SELECT dst FROM rel WHERE kind = 'referenced_in')""")
+def missing_documentation(m):
+    return detectors.missing_documentation(m.items, relationships.pair_rules(m.documents), "ring|plate").select("item_id", "doc_id", "description")
+
+
+@query(f""", {_PAIRS_SQL.strip()}, r AS (SELECT DISTINCT src FROM rel WHERE kind = 'rejection')
+SELECT a.project_id, a.item_id AS rejected_id, b.item_id AS other_id FROM items a JOIN r ON a.doc_id = r.src JOIN items b ON a.project_id = b.project_id AND a.doc_id <> b.doc_id AND abs(a.c - b.c) * 1000 <= 10 * a.c""")
+def rejected_scope(m):
+    return detectors.rejected_scope(m.items, relationships.pair_rules(m.documents)).select("project_id", "rejected_id", "other_id")
+
+
+@query(None)
+def scope_restoration(m):
+    """A blend of word, word-pair and term overlaps; tested on a small frame."""
+    return detectors.scope_restoration(m.documents, m.items).select("project_id", "rejected_id", "orders", _r(F.col("alike"), "alike"), F.col("restored").alias("restored_cents"), _r(F.col("percent"), "percent"))
+
+
+@query("""
+, k AS (SELECT doc_id, CAST(sum(c) AS DOUBLE) * 100.0::DOUBLE / CAST(sum(quantity * uc) AS DOUBLE) - 100 AS markup FROM items WHERE doc_type = 'change_order' AND quantity > 0 AND uc > 0 GROUP BY doc_id),
+f AS (SELECT docs.project_id, docs.doc_id, markup, first(markup) OVER (PARTITION BY project_id ORDER BY date_created, docs.doc_id) AS first_markup FROM docs JOIN k ON docs.doc_id = k.doc_id)
+SELECT project_id, doc_id, round(markup, 4) AS markup, round(first_markup, 4) AS first_markup FROM f WHERE abs(markup - first_markup) > 2""")
+def markup_changes(m):
+    return detectors.markup_changes(m.documents, m.items).select("project_id", "doc_id", _r(F.col("markup"), "markup", 4), _r(F.col("first_markup"), "first_markup", 4))
+
+
+@query(f""", {_PAIRS_SQL.strip()}, e AS (SELECT DISTINCT src, dst FROM rel)
+SELECT a.src AS source_doc_id, a.dst AS target_doc_id FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
+def mutual_references(m):
+    return detectors.mutual_references(relationships.pair_rules(m.documents)).select("source_doc_id", "target_doc_id")
+
+
+@query("""
+, n AS (SELECT doc_id AS first, lead(doc_id) OVER w AS second, lead(doc_id, 2) OVER w AS third, c + lead(c) OVER w + lead(c, 2) OVER w AS sum_cents FROM docs WHERE doc_type = 'change_order' WINDOW w AS (PARTITION BY project_id ORDER BY number))
+SELECT * FROM n WHERE third IS NOT NULL""")
+def sequential_change_orders(m):
+    return detectors.sequential_chains(relationships.pair_rules(m.documents), m.documents)
+
+
+@query(f""", {_CLOSE_SQL}
+, p2 AS (SELECT a.src AS s, b.dst AS t, [a.dst] AS v FROM close a JOIN close b ON a.dst = b.src WHERE a.src <> b.dst), p3 AS (SELECT p2.s, c.dst AS t, list_concat(v, [p2.t]) AS v FROM p2 JOIN close c ON p2.t = c.src WHERE c.dst <> p2.s AND NOT list_contains(v, c.dst)),
+every AS (SELECT src AS s, dst AS t, []::BIGINT[] AS v FROM close UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+k AS (SELECT s, t, len(v) AS n, count(*) AS paths FROM every GROUP BY ALL), l AS (SELECT s, t, n, paths FROM k QUALIFY n = min(n) OVER (PARTITION BY s, t)),
+i AS (SELECT paths, unnest(v) AS id FROM every JOIN l ON every.s = l.s AND every.t = l.t AND len(v) = l.n)
+SELECT id, round(sum(1.0::DOUBLE / paths), 6) AS betweenness FROM i GROUP BY id""")
+def betweenness_centrality(m):
+    return graph.betweenness(_close(m)).select("id", _r(F.col("betweenness"), "betweenness"))
+
+
+@query(None)
+def eigenvector_centrality(m):
+    """Iterative; tested against a plain version."""
+    return graph.eigenvector(_close(m)).select("id", _r(F.col("score"), "score", 9))
+
+
+@query(None)
+def chosen_clusters(m):
+    """A greedy choice, tested against a plain version."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("party").orderBy("date_created", "doc_id")
+    c = sequences.best_clusters(sequences.event_clusters(m.documents)).join(m.documents.select("doc_id", F.row_number().over(w).alias("first")), "doc_id")
+    best = detectors.drop_overlaps(c, ("party",), "first", "size", [F.desc("confidence"), F.desc("size")])
+    return best.select("party", "doc_id", _l("size"), _l("span"), _r(F.col("confidence"), "confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))

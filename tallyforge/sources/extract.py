@@ -95,3 +95,29 @@ def line_items(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def is_money_table(cells: Column) -> Column:
     """Whether a header's cells name money."""
     return F.exists(cells, lambda c: F.lower(c).rlike("|".join(w.replace("$", r"\$") for w in MONEY_HEADERS)))
+
+
+#: Fields of each document type, by pattern (fixed values).
+FIELDS = {
+    "invoice": {"invoice_number": r"(?i)invoice\s*(?:no|number|#)\.?\s*:?\s*([A-Za-z0-9-]+)", "invoice_date": r"(?i)date\s*:?\s*" + _DATE, "invoice_total": r"(?i)total[^$\n]*" + _MONEY},
+    "payment_app": {"application_number": r"(?i)application\s*no\.?\s*:?\s*([A-Za-z0-9-]+)", "period_start": r"(?i)period\s+from\s*:?\s*" + _DATE, "period_end": r"(?i)(?:period\s+)?to\s*:\s*" + _DATE, "contract_sum": r"(?i)contract\s+sum[^$\n]*" + _MONEY, "payment_due": r"(?i)payment\s+due[^$\n]*" + _MONEY},
+    "change_order": {"change_order_number": r"(?i)change\s+order\s*(?:no|number|#)\.?\s*:?\s*([A-Za-z0-9-]+)", "change_order_date": r"(?i)date\s*:?\s*" + _DATE, "change_order_amount": r"(?i)total\s+change\s+order\s+amount[^$\n]*" + _MONEY},
+    "correspondence": {"subject": r"(?im)^(?:subject|re)\s*:\s*(.+)$", "sender": r"(?im)^from\s*:\s*(.+)$", "recipient": r"(?im)^to\s*:\s*(.+)$", "letter_date": r"(?i)date\s*:?\s*" + _DATE},
+    "schedule": {"schedule_date": r"(?i)date\s*:?\s*" + _DATE, "revision": r"(?i)rev(?:ision)?\.?\s*:?\s*([A-Za-z0-9]+)"},
+}
+
+
+def fields(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with fields: a map of what its document type's patterns find, without those that find nothing."""
+    kind, out = document_type(F.col(text)), F.create_map().cast("map<string,string>")
+    for name, patterns in FIELDS.items():
+        pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.trim(first_group(F.col(text), p)).alias("value")) for k, p in patterns.items()))
+        out = F.when(kind == name, F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull()))).otherwise(out)
+    return docs.withColumn("fields", out)
+
+
+def embed(text: Column, dimensions: int = 1536) -> Column:
+    """A stand-in for an embedding service: a unit vector that depends on the text alone, from the digests of the text and each place's number."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(F.coalesce(text, F.lit("")), F.lit("#"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967295.0 - 0.5)
+    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.try_divide(x, length))

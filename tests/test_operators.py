@@ -206,3 +206,65 @@ def test_reports(spark, tmp_path):
     assert reports.evidence(found, m.items).filter("evidence = 'evidence_1'").count() == 1
     parts = engine.analyze_document(m.documents, m.items, relationships.pair_rules(m.documents), 14)
     assert set(parts) == {"items", "anomalies", "relationships", "timeline"} and parts["timeline"].count() >= 1
+
+
+def test_eigenvector(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4)]
+    got = {r["id"]: r["score"] for r in graph.eigenvector(spark.createDataFrame(edges, "src long, dst long"), 6).collect()}
+    x = dict.fromkeys((1, 2, 3, 4), 1.0)
+    for _ in range(6):
+        y = {i: x[i] + sum(x[a] for a, b in edges if b == i) for i in x}
+        n = sum(v * v for v in y.values()) ** 0.5
+        x = {i: v / n for i, v in y.items()}
+    assert got == pytest.approx(x)
+
+
+def test_drop_overlaps(spark):
+    import random
+
+    from tallyforge.operators.detectors import drop_overlaps
+
+    r = random.Random(3)
+    rows = [(g, r.randrange(60), r.randrange(3, 10), r.random()) for g in "ab" for _ in range(60)]
+    got = {tuple(x) for x in drop_overlaps(spark.createDataFrame(rows, "g string, first long, size long, p double"), ("g",), "first", "size", [F.desc("p")]).collect()}
+    want = set()
+    for row in sorted(rows, key=lambda x: -x[3]):
+        common = [min(row[1] + row[2], c[1] + c[2]) - max(row[1], c[1]) for c in want if c[0] == row[0]]
+        sizes = [min(row[2], c[2]) for c in want if c[0] == row[0]]
+        if not any(k > 0 and k >= 0.5 * s for k, s in zip(common, sizes)):
+            want.add(row)
+    assert got == want
+
+
+def test_scope_restoration(spark):
+    from tallyforge.operators.detectors import hidden_fees, metadata_math, scope_restoration
+
+    d = dt.date
+    docs = spark.createDataFrame([(1, 1, "change_order", "rejected", d(2023, 1, 1), Decimal(1000)), (2, 1, "change_order", "approved", d(2023, 2, 1), Decimal(600)), (3, 1, "change_order", "approved", d(2023, 3, 1), Decimal(300)), (4, 1, "change_order", "approved", d(2022, 3, 1), Decimal(300))], "doc_id long, project_id long, doc_type string, status string, date_created date, total decimal(15,2)")
+    items = spark.createDataFrame([(i, "change_order", t, Decimal(200)) for i, t in ((1, "hvac equipment unit"), (2, "mechanical equipment unit"), (3, "landscape"), (4, "hvac equipment unit"))], "doc_id long, doc_type string, description string, amount decimal(15,2)")
+    r = scope_restoration(docs, items).collect()
+    assert [(x["rejected_id"], x["orders"], x["percent"]) for x in r] == [(1, 1, 60.0)]
+    fees = spark.createDataFrame([("Additional admin fee", Decimal(500)), ("Overhead", Decimal(500)), ("Steel", Decimal(500))], "description string, amount decimal(15,2)")
+    assert {x["description"]: x["suspicious"] for x in hidden_fees(fees).collect()} == {"Additional admin fee": True, "Overhead": False}
+    meta = spark.createDataFrame([(1, '{"line_items": [{"quantity": 2, "unit_price": 5, "total": 10}, {"quantity": 2, "unit_price": 5, "total": 11}], "original_contract": "100", "change_orders": 5, "adjusted_contract": 106}'), (2, "no json"), (3, None)], "doc_id long, meta_data string")
+    assert sorted(x["check"] for x in metadata_math(meta).collect()) == ["adjusted_contract", "line_item"]
+
+
+def test_json(spark):
+    from tallyforge.functions import json
+
+    assert one(spark, json.safe_get(F.lit('{"a": {"b": 3}}'), "a.b")) == "3" and one(spark, json.safe_get(F.lit("x"), "a", "none")) == "none" and one(spark, json.number_at(F.lit('{"a": "1.5"}'), "a")) == 1.5
+    assert one(spark, json.merged(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3)))) == {"a": 1, "b": 3} and one(spark, json.as_list(F.lit(None).cast("int"))) == []
+
+
+def test_fields_and_embeddings(spark):
+    docs = spark.createDataFrame([(1, PAY_APP), (2, "Dear Sir\nFrom: A. Owner\nTo: B. Builder\nSubject: Delay\n"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fields"] for r in extract.fields(docs).collect()}
+    assert got[1]["application_number"] == "01" and got[2]["subject"] == "Delay" and got[2]["sender"] == "A. Owner" and got[3] == {}
+    v = {r["doc_id"]: r["e"] for r in docs.select("doc_id", extract.embed(F.col("text"), 8).alias("e")).collect()}
+    assert sum(x * x for x in v[1]) == pytest.approx(1) and len(v[3]) == 8 and v[1] != v[2]
+
+
+def test_holidays(spark):
+    got = {(r["name"], r["day"]) for r in dates.holidays(spark, 2023, 2023).collect()}
+    assert {("Memorial Day", dt.date(2023, 5, 29)), ("Labor Day", dt.date(2023, 9, 4)), ("Thanksgiving", dt.date(2023, 11, 23)), ("Day after Thanksgiving", dt.date(2023, 11, 24))} <= got and len(got) == 9
