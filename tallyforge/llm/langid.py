@@ -29,7 +29,7 @@ from tallyforge.llm import runtime
 from tallyforge.llm.text import ALNUM, Words, mix, ragged, slices
 
 #: The sample: SAMPLE texts of at most SAMPLE_BYTES, shared equally by the languages. Passes over it, and the step.
-SAMPLE, SAMPLE_BYTES, EPOCHS, STEP = 2400, 1 << 15, 3, 0.3
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEP = 1200, 1 << 14, 2, 0.3
 FEATURE_BITS, BLOCK = 18, 32
 UNKNOWN = "und"
 
@@ -78,19 +78,19 @@ class Distinct:
 
     def spread(self, gradient: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
         """The gradient of the weights from that of the scores."""
-        out = np.zeros(shape, np.float64)
-        every = [(f, gradient[ok]) for ok, f in self.fixed] + [(f, np.repeat(gradient[ok], count, axis=0)) for ok, count, f in self.inner]
-        for f, g in every:
-            for k in range(shape[1]):
-                out[:, k] += np.bincount(f, g[:, k], shape[0])
-        return out
+        every = [*self.fixed, *((np.repeat(ok, count), f) for ok, count, f in self.inner)]
+        rows, feature = (np.concatenate(x) for x in zip(*every, strict=True))
+        return np.stack([np.bincount(feature, gradient[rows, k], shape[0]) for k in range(shape[1])], axis=1)
+
 
+def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, moves: bool = False):
+    """Each word's distribution over labels. emission, transition: log scores; first[i]: words before text i.
 
-def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Each word's distribution over labels. emission, transition: log scores; first[i]: words before text i."""
+    moves: also the expected number of moves between each two labels, over all neighbouring words.
+    """
     n, k = emission.shape
     if not n:
-        return emission
+        return (emission, np.zeros((k, k))) if moves else emission
     step = np.exp(transition - transition.max())
     e = np.exp(emission - emission.max(axis=1, keepdims=True))
     size = np.diff(first)
@@ -134,14 +134,23 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray)
         a = a * x[:, t]
         a /= a.max(axis=1, keepdims=True)
         forward[:, t] = a
+    backward = np.empty((total, BLOCK, k))
     b = out
     for t in range(BLOCK - 1, -1, -1):
-        forward[:, t] *= b
+        backward[:, t] = b
         moved = (x[:, t] * b) @ step.T
         moved /= moved.max(axis=1, keepdims=True)
         b = np.where(real[:, t, None], moved, b)
-    got = forward[real]
-    return got / got.sum(axis=1, keepdims=True)
+    forward, backward = forward[real], backward[real]
+    got = forward * backward
+    got /= got.sum(axis=1, keepdims=True)
+    if not moves:
+        return got
+    inner = np.ones(n, bool)
+    inner[first[:-1][size > 0]] = False  # words with one before them in their text
+    at = np.flatnonzero(inner)
+    pairs = forward[at - 1][:, :, None] * step * (e[at] * backward[at])[:, None, :]
+    return got, (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 class Model:
@@ -175,7 +184,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, batch: int = 2
     for _ in range(epochs if k > 1 else 0):
         for distinct, first, gold in parts:
             emission = distinct.scores(weights)[distinct.back]
-            p = posteriors(emission, first, transition)
+            p, moves = posteriors(emission, first, transition, moves=True)
             rest = -p
             rest[np.arange(len(gold)), gold] += 1
             # Words of one text stand or fall together, so a step is over the batch's texts, not its words.
@@ -185,11 +194,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, batch: int = 2
             seen[touched] += gradient[touched] ** 2
             weights[touched] += STEP * gradient[touched] / np.sqrt(seen[touched])
             inner = np.ones(len(gold), bool)
-            inner[first[:-1][np.diff(first) > 0]] = False  # words with one before them in their text
-            at = np.flatnonzero(inner)
-            # Expected moves, with neighbours' posteriors taken as independent given the text; gold ones never change language.
-            moves = p[at - 1].T @ p[at] - np.diag(np.bincount(gold[at], minlength=k).astype(float))
-            g = -moves / max(1, len(at)) - 1e-3 * transition
+            inner[first[:-1][np.diff(first) > 0]] = False
+            stays = np.diag(np.bincount(gold[inner], minlength=k).astype(float))  # a training text's language never changes within it
+            g = (stays - moves) / max(1, int(inner.sum())) - 1e-3 * transition
             seen_t += g**2
             transition += 0.1 * STEP * g / np.sqrt(seen_t)
     return Model(labels, weights.astype(np.float32), transition)
