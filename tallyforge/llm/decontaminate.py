@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import runtime
 from tallyforge.llm.text import ALNUM, Words, slices
@@ -182,7 +183,6 @@ def _hits(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndarr
     return np.cumsum(cover[:-1]) > 0, pairs // len(items.ids), pairs % len(items.ids), longest
 
 
-_STATE = "doc_id long, text string, covered binary, items array<string>, longest long"
 OVERLAPS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
 
@@ -191,18 +191,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
 
     longest_match: words of the longest verbatim match that begins with a window.
     """
+    return _passes(docs, F.col("doc_id").cast("long").alias("key"), benchmark, window, _measures, OVERLAPS)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that share no window with the benchmark."""
+    return _passes(docs, F.struct("*").alias("key"), benchmark, window, _clean, T.StructType([T.StructField("key", docs.schema)])).select("key.*")
+
+
+def _passes(docs: DataFrame, key: Column, benchmark: DataFrame, window: int, result, schema: str | T.StructType) -> DataFrame:
+    """One pass over the documents for each block of items; what earlier passes found comes in columns beside the text. The last gives result(...)."""
     runtime.prepare(docs.sparkSession)
     found = list(blocks(benchmark)) or [Items([])]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumns({"covered": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0).cast("long")}) if len(found) > 1 else rows
+    rows = docs.select(key, F.col("text").cast("string").alias("text"))
+    if len(found) > 1:
+        rows = rows.withColumns({"covered": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0).cast("long")})
     for k, items in enumerate(found):
-        rows = rows.mapInArrow(_search(items, window, len(found) > 1, k + 1 == len(found)), OVERLAPS if k + 1 == len(found) else _STATE)
+        last = k + 1 == len(found)
+        rows = rows.mapInArrow(_search(items, window, len(found) > 1, result if last else None), schema if last else rows.schema)
     return rows
 
 
-def _search(items: Items, window: int, carries: bool, last: bool):
-    """A pass over documents with one block of items. carries: what earlier passes found comes in columns beside the text."""
-
+def _search(items: Items, window: int, carries: bool, result):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):
@@ -218,25 +228,29 @@ def _search(items: Items, window: int, carries: bool, last: bool):
                             hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
                         names[d] += more or []
                         longest[d] = max(longest[d], most)
-                if last:
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
-                    names = [sorted(set(x)) for x in names]
-                    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else _EMPTY for x in names]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, n), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(longest)],
-                        names=[x.split()[0] for x in OVERLAPS.split(", ")],
-                    )
+                key = batch.column(0).slice(lo, n)
+                if result:
+                    yield result(key, words, hit, names, longest)
                 else:
                     bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(longest)],
-                        names=[x.split()[0] for x in _STATE.split(", ")],
-                    )
+                    yield pa.RecordBatch.from_arrays([key, batch.column(1).slice(lo, n), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(longest)], names=["key", "text", "covered", "items", "longest"])
 
     return run
 
 
+def _measures(key: pa.Array, words: Words, hit: np.ndarray, names: list[list[str]], longest: np.ndarray) -> pa.RecordBatch:
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
+    names = [sorted(set(x)) for x in names]
+    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else _EMPTY for x in names]
+    columns = [key, pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(longest)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OVERLAPS.split(", ")])
+
+
+def _clean(key: pa.Array, words: Words, hit: np.ndarray, names: list[list[str]], longest: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key.filter(pa.array([not x for x in names]))], names=["key"])
+
+
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -280,9 +294,3 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
         every = every.unionByName(more)
     best = F.min(F.struct((-F.col("length")).alias("l"), "doc_id", "word")).alias("b")
     return every.groupBy("item_id", "offset").agg(best).select("item_id", "offset", (-F.col("b.l")).alias("length"), "b.doc_id", "b.word")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, that share no window with the benchmark. Rows with a null doc_id are judged too, but can't be named: they stay."""
-    hit = overlaps(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

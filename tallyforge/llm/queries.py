@@ -35,7 +35,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.langid import predict, train
 
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).eqNullSafe(F.lit(2))
     model = train(docs, teaches=~held_out)
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -90,3 +90,8 @@ def digests(tokens: DataFrame) -> DataFrame:
 
     rows = tokens.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
     return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def select(tokens: DataFrame, low: int, high: int) -> DataFrame:
+    """The documents with doc_id from low to high. Files are in that order, so row groups and pages outside the range are skipped by their statistics."""
+    return tokens.filter(F.col("doc_id").between(low, high))

@@ -124,13 +124,18 @@ def test_token_files(docs, empty, texts):
     assert digests(write_tokens(empty, tokenizer())).collect() == []
 
 
-def test_token_file_format(docs):
+def test_token_file_format(docs, capsys):
     import glob
 
     import pyarrow.parquet as pq
-    from tallyforge.llm.tokenfile import write_tokens
+    from tallyforge.llm.tokenfile import select, write_tokens
 
-    path = write_tokens(docs, tokenizer()).tallyforge_path.removeprefix("file://")
+    files = write_tokens(docs, tokenizer())
+    select(files, 3, 5).select("doc_id", "n_tokens").explain()
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(doc_id,3)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    assert select(files, 3, 5).count() == 4
+    path = files.tallyforge_path.removeprefix("file://")
     meta = pq.ParquetFile(max(glob.glob(f"{path}/*.parquet"))).metadata.row_group(0)
     columns = {meta.column(k).path_in_schema: meta.column(k) for k in range(meta.num_columns)}
     ids = next(c for name, c in columns.items() if name.startswith("ids"))
@@ -271,7 +276,8 @@ def test_near_duplicates(spark, docs, empty, texts):
             assert r["n_shingles"] == len(sh(t.lower() if t and t.isascii() else t)) and r["component_id"] == (5 if i in (6, 7) and _near(sh(texts[5]), sh(t)) else i)
         assert len(per[i]) == copies(i)
     left = deduplicate(docs)
-    assert left.columns == docs.columns and 6 not in {r["doc_id"] for r in left.collect()}
+    ids = [r["doc_id"] for r in left.collect()]
+    assert left.columns == docs.columns and 6 not in ids and len(ids) == len(set(ids)) and {0, 1, 5} <= set(ids)
     assert near_duplicates(empty).collect() == []
 
 
@@ -399,18 +405,24 @@ def test_language(spark, docs, empty, texts):
     e, t = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
     old, m.BLOCK = m.BLOCK, 2
     try:
-        p = posteriors(e, np.array([0, 0, 6, 9]), t)
+        p, moves = posteriors(e, np.array([0, 0, 6, 9]), t, moves=True)
     finally:
         m.BLOCK = old
     import itertools
 
+    pairs = np.zeros((3, 3))
     for a, b in ((0, 6), (6, 9)):
-        want = np.zeros((b - a, 3))
+        want, steps, z = np.zeros((b - a, 3)), np.zeros((3, 3)), 0.0
         for path in itertools.product(range(3), repeat=b - a):
             w = np.exp(sum(e[a + k, y] for k, y in enumerate(path)) + sum(t[x, y] for x, y in zip(path, path[1:])))
+            z += w
             for k, y in enumerate(path):
                 want[k, y] += w
+            for x, y in zip(path, path[1:]):
+                steps[x, y] += w
+        pairs += steps / z
         assert np.allclose(p[a:b], want / want.sum(axis=1, keepdims=True))
+    assert np.allclose(moves, pairs)
     assert fit(["abc"], ["xx"]).labels == ["xx"]
 
 
@@ -460,3 +472,37 @@ def test_encoder_on_odd_texts():
             ids, at = encoder.encode(data, offs)
             for i in range(lo, hi):
                 assert ids[at[i - lo] : at[i - lo + 1]].tolist() == encoder.tokenizer.encode(texts_[i], add_special_tokens=False).ids
+
+
+def test_null_ids(spark):
+    """Rows without an id are judged like others; near-duplicates link them with nothing."""
+    from tallyforge.llm import decontaminate, langid, neardup, ogg, packing, secretscan, sharding, substring, tokenfile, urlfilter
+
+    t = "some text of a few words that comes again " * 8
+    docs = spark.createDataFrame([(None, t, None), (1, t, "en"), (None, None, "en"), (2, t, "en")], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(None, t), (3, None)], "item_id long, text string")
+    assert sum(r["length"] for r in packing.pack(docs, tokenizer()).filter("doc_id IS NULL").collect()) == len(ids_of(t)) + 2
+    assert decontaminate.overlaps(docs, bench).filter("contaminated").count() == 0 and decontaminate.decontaminate(docs, bench).count() == 4
+    assert langid.predict(docs, langid.train(docs)).count() == 4
+    got = [tuple(r) for r in neardup.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (1, 1, True), (2, 1, False)], key=str)
+    assert neardup.deduplicate(docs).count() == 3
+    assert substring.repeats(docs).count() == 4
+    assert tokenfile.digests(tokenfile.write_tokens(docs, tokenizer())).count() == 4
+    assert sharding.shard(docs, 2).count() == 4 and ogg.decode(ogg.encode(docs)).filter("ok").count() == 4
+    assert secretscan.scan(docs).count() == 4 and secretscan.redact(docs).count() == 4
+    assert urlfilter.judge(spark.createDataFrame([(None, "http://a.example.org/x"), (1, None)], "page_id long, url string")).count() == 2
+
+
+def test_sql_forms(spark):
+    import duckdb
+    from tallyforge.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name, sql in oracle_sql().items():
+        df = queries()[name](spark, "/root/testdata/sf0.001")
+        cur = con.execute(sql)
+        cols = [d[0] for d in cur.description]
+        assert sorted(map(tuple, df.select(*cols).collect())) == sorted(cur.fetchall()) and sorted(cols) == sorted(df.columns), name
