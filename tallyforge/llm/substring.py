@@ -52,21 +52,27 @@ def _dealt(hashes: np.ndarray, aligned: np.ndarray, group: int, ranges: int, sho
 
     short: 30 bits of what the range leaves open, else 62.
     """
+    if not len(hashes):
+        return
     bits = np.uint64(30 if short else 62)
     at = (hashes % np.uint64(ranges)).astype(np.int64)
     value = (hashes // np.uint64(ranges)) & ((np.uint64(1) << bits) - np.uint64(1))
     by = np.lexsort((value, at))
     at, value, aligned = at[by], value[by], aligned[by]
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (value[1:] != value[:-1])])) if len(at) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (value[1:] != value[:-1])]))
     count = np.diff(np.append(first, len(at)))
-    some = np.maximum.reduceat(aligned, first).astype(np.uint64) if len(first) else np.zeros(0, np.uint64)
+    some = np.maximum.reduceat(aligned, first).astype(np.uint64)
     packed = value[first] << np.uint64(2) | (count > 1).astype(np.uint64) << np.uint64(1) | some
     packed, at = packed.astype(np.uint32 if short else np.uint64), at[first]
-    cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     parts = [packed[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(at[cuts], pa.int64()), pa.array(np.full(len(cuts), group), pa.int64()), pa.array(parts, pa.binary())], names=["range", "grp", "hashes"])
 
 
+def _packed(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches, pa.schema([("range", pa.int64()), ("grp", pa.int64()), ("hashes", pa.binary())]))
+
+
 def _repeated(kind: type, anchors: bool) -> Callable:
     """From rows of one range after another: for each group its hashes that occur twice (and, for anchors, aligned at least once)."""
 
@@ -146,7 +152,7 @@ def repeats(docs: DataFrame, window: int = 35, texts: bool = False) -> DataFrame
             ok = _inside(words, block)
             place = np.arange(len(ok)) - np.repeat(words.first[:-1], np.diff(words.first))[: len(ok)]
             out += _dealt(window_hashes(words.hashes, block)[ok], (place % block == 0)[ok], key[0].as_py(), ranges, True)
-        return pa.Table.from_batches(out)
+        return _packed(out)
 
     def settled(dealt: DataFrame, kind: type, anchors: bool, name: str) -> DataFrame:
         by_range = dealt.repartition("range").sortWithinPartitions("range")
@@ -165,7 +171,7 @@ def repeats(docs: DataFrame, window: int = 35, texts: bool = False) -> DataFrame
                 ok = _inside(words, window)
                 ok &= np.cumsum(near)[: len(ok)] > 0
                 out += _dealt(window_hashes(words.hashes, window)[ok], np.zeros(int(ok.sum()), bool), key[0].as_py(), ranges, False)
-        return pa.Table.from_batches(out) if out else pa.table({"range": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+        return _packed(out)
 
     both = lambda replies: grouped.groupBy("grp").cogroup(replies.groupBy("grp"))
     twice = settled(both(anchors).applyInArrow(extend, _HASHES), np.uint64, False, "windows")
