@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import amounts
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
-from tallyforge.operators import detectors, engine, graph, lookups, matching, relationships, rules, search, sequences
+from tallyforge.operators import detectors, engine, graph, lookups, matching, relationships, reports, rules, search, sequences, upserts
 from tallyforge.plans.model import SQL, Model
+from tallyforge.sources import extract
 
 _QUERIES: dict[str, tuple[Callable[[Model], DataFrame], str | None]] = {}
 
@@ -901,6 +903,110 @@ def chosen_clusters(m):
     return best.select("party", "doc_id", _l("size"), _l("span"), _r(F.col("confidence"), "confidence"))
 
 
+# --- writing rules, evidence and features ----------------------------------------------------------------------------------
+
+
+@query("SELECT project_id, doc_type, doc_id, status FROM docs QUALIFY row_number() OVER (PARTITION BY project_id, doc_type ORDER BY doc_id DESC) = 1")
+def latest_documents(m):
+    return upserts.latest(m.documents.select("project_id", "doc_type", "doc_id", "status"), ("project_id", "doc_type"), "doc_id")
+
+
+@query("""
+SELECT project_id, CAST(max_by(c, CASE WHEN doc_type = 'invoice' THEN doc_id END) AS BIGINT) AS invoice_cents, max_by(status, CASE WHEN doc_type = 'contract' THEN doc_id END) AS contract_status, max(doc_id) AS doc_id FROM docs GROUP BY project_id""")
+def merged_versions(m):
+    rows = m.documents.select("project_id", "doc_id", F.when(F.col("doc_type") == "invoice", cents(F.col("total"))).alias("invoice_cents"), F.when(F.col("doc_type") == "contract", F.col("status")).alias("contract_status"))
+    return upserts.merged(rows, ("project_id",), "doc_id")
+
+
+@query("""
+, known AS (SELECT project_id, doc_type, doc_id FROM docs WHERE date_created < DATE '1994-01-01')
+SELECT * FROM known UNION ALL SELECT project_id, doc_type, min(doc_id) AS doc_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.project_id = d.project_id AND k.doc_type = d.doc_type) GROUP BY ALL""")
+def registered_documents(m):
+    rows = m.documents.select("project_id", "doc_type", "doc_id", "date_created")
+    return upserts.insert_absent(rows.filter("date_created < DATE'1994-01-01'").drop("date_created"), rows.drop("date_created"), ("project_id", "doc_type"), "doc_id")
+
+
+@query("SELECT CASE WHEN doc_type = 'invoice' AND status = 'rejected' THEN 'deleted' ELSE status END AS status, CAST(count(*) AS BIGINT) AS n FROM docs GROUP BY ALL")
+def soft_deleted(m):
+    return upserts.soft_delete(m.documents, m.documents.filter("doc_type = 'invoice' AND status = 'rejected'")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_status, CAST(count(*) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS total_cents FROM items WHERE status <> 'rejected' GROUP BY item_status")
+def hard_deleted(m):
+    left = upserts.hard_delete({"items": m.line_items}, m.documents.filter("status = 'rejected'"))["items"]
+    return left.groupBy("item_status").agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("amount"))).alias("total_cents"))
+
+
+@query("""
+SELECT item_id AS subject, doc_id, 'evidence_' || row_number() OVER (ORDER BY quantity DESC, item_id) AS evidence, description || ' for $' || format('{:,.2f}', c / 100.0::DOUBLE) || ' in document ' || doc_id AS citation FROM lines WHERE quantity >= 49""")
+def evidence_for_items(m):
+    found = engine.finding(m.line_items.filter("quantity >= 49"), "large_quantity", "item_id", "quantity")
+    return reports.evidence(found, m.line_items).select("subject", "doc_id", "evidence", "citation")
+
+
+@query("SELECT item_id, doc_id, c / 100.0::DOUBLE AS amount, 1::BIGINT AS has_quantity, 1::BIGINT AS has_price, CAST(length(description) AS BIGINT) AS length, CASE WHEN c % 100000 = 0 THEN 1 ELSE 0 END::BIGINT AS round, CAST(day(date_created) AS BIGINT) AS day FROM items")
+def item_features(m):
+    return rules.features(m.items).select("item_id", "doc_id", "amount", *map(_l, ("has_quantity", "has_price", "length", "round", "day")))
+
+
+@query("""
+, e AS (SELECT party, 'quantity_price' AS rule, c - quantity * uc AS d FROM items WHERE quantity > 0 AND uc > 0
+  UNION ALL SELECT party, 'document_total', docs.c - s.e FROM docs JOIN (SELECT doc_id, sum(c) AS e FROM lines GROUP BY doc_id) s ON docs.doc_id = s.doc_id)
+SELECT rule, party, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS benefits, CAST(sum(d) AS BIGINT) AS net, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) >= 3 AS systematic FROM e WHERE abs(d) > 10 GROUP BY rule, party""")
+def math_error_summary(m):
+    return rules.math_error_summary(m.items, m.documents).select(F.col("check").alias("rule"), "party", "n", _l("benefits"), _l("net"), "systematic")
+
+
+@query(None)
+def anomalies(m):
+    """A union of detectors that are each checked by a query of their own."""
+    return engine.anomalies(m.items, m.documents)
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT dst AS doc_id, kind AS relationship_type, 'outgoing' AS direction FROM rel WHERE src = 14 UNION ALL SELECT src, kind, 'incoming' FROM rel WHERE dst = 14""")
+def related_documents(m):
+    return lookups.related_documents(m.documents, relationships.pair_rules(m.documents), 14).select("doc_id", "relationship_type", "direction")
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT src AS source_doc_id, dst AS target_doc_id, kind AS relationship_type FROM rel WHERE kind <> 'parent_child'""")
+def new_relationships(m):
+    found = relationships.pair_rules(m.documents)
+    return relationships.new_relations(found, found.filter("relationship_type = 'parent_child'"), 0.0).select("source_doc_id", "target_doc_id", "relationship_type")
+
+
+@query(f""", {_PAIRS_SQL.strip()}, e AS (SELECT DISTINCT src, dst FROM rel), one AS (SELECT dst AS id, 1 AS depth FROM e WHERE src = 14)
+SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT * FROM one UNION ALL SELECT e.dst, 2 FROM one JOIN e ON e.src = one.id) WHERE id <> 14 GROUP BY id""")
+def entity_neighbours(m):
+    edges = graph.document_edges(relationships.pair_rules(m.documents))
+    return graph.neighbours(edges, 14, 2).select("id", _l("depth"))
+
+
+# --- extraction from texts -------------------------------------------------------------------------------------------------
+
+_TYPE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{name}'" for name, ws in extract.TYPE_WORDS) + " ELSE 'other' END"
+
+
+@query(f"SELECT {_TYPE_SQL} AS doc_type, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL", model=False)
+def text_types(m):
+    return extract.metadata(m.table("documents")).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, 2::BIGINT AS n_amounts, least(quantity, c / 100.0::DOUBLE) AS low, greatest(quantity, c / 100.0::DOUBLE) AS high, c / 100.0::DOUBLE AS total FROM lines")
+def text_amounts(m):
+    """Items written as lines of text, and read back."""
+    text = F.concat(F.col("description"), F.lit(" at $"), F.col("quantity").cast("string"), F.lit("; total amount due: "), amounts.format_currency(F.col("amount")))
+    return extract.metadata(m.line_items.select("item_id", text.alias("text"))).select("item_id", _l("n_amounts"), "low", "high", "total")
+
+
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_matches(lower(text), 'reject|denied|declin|disapprov|not approved') AS no, regexp_matches(regexp_replace(lower(text), 'disapprov|not approved', '', 'g'), 'approv|accepted') AS yes, regexp_matches(lower(text), 'pending|under review|submitted') AS waits FROM documents)
+SELECT CASE WHEN no AND yes THEN 'contradictory' WHEN no THEN 'rejected' WHEN yes THEN 'approved' WHEN waits THEN 'pending' ELSE 'none' END AS approval, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY ALL""", model=False)
+def text_approvals(m):
+    return extract.metadata(m.table("documents")).groupBy("approval").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))
