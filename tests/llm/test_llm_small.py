@@ -285,6 +285,38 @@ def _near(a, b):
     return 100 * len(a & b) >= 80 * len(a | b)
 
 
+@pytest.mark.parametrize("crowd", ["texts", "shingles"])
+def test_near_duplicates_amid_many_alike(spark, monkeypatch, crowd):
+    """Links amid more texts of one template than a region holds, none of which is linked to the template's others; each pair's ids are far apart."""
+    from tallyforge.llm import neardup
+
+    r = random.Random(7)
+    base = words(90, 300, 10_000)
+    rows, slots = [], []
+    for k in range(300):  # about 0.7 alike
+        slots.append(r.sample(range(0, 295, 5), 7))
+    for k in range(150):  # 0.8 alike to one of them, sharing nothing with it that the others lack
+        slots.append([*slots[k], next(x for x in r.sample(range(0, 295, 5), 8) if x not in slots[k])])
+    for some in slots:
+        w = list(base)
+        for k in some:
+            w[k] = f"x{r.randrange(10**9)}"
+        rows.append(w)
+    if crowd == "texts":
+        monkeypatch.setattr(neardup, "REGION", 16)
+    else:
+        monkeypatch.setattr(neardup, "SHINGLES", 3000)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"), 4, 80).collect()}
+    sets = [{tuple(w[k : k + 4]) for k in range(297)} for w in rows]
+    linked = {(i, j) for j in range(len(rows)) for i in range(j) if _near(sets[i], sets[j])}
+    assert len(linked) >= 120
+    want = list(range(len(rows)))
+    for _ in range(10):
+        for i, j in sorted(linked):
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want))
+
+
 def test_near_duplicates_in_large_clusters(spark, monkeypatch):
     """Clusters beyond a region's bound are compared region by region, with the same result as all pairs."""
     from tallyforge.llm import neardup
