@@ -11,7 +11,7 @@ from tallyforge.functions.dates import end_of_month, holidays, is_weekend, month
 from tallyforge.functions.texts import TOTAL_WORDS, any_word, jaccard, word_set
 
 
-MOST_DESCRIPTIONS = 64
+BLOCK = 64
 
 
 def moments(value: Column, over=None) -> tuple[Column, Column]:
@@ -35,19 +35,24 @@ def matching_amounts(items: DataFrame, key: Column, least: int = 2, min_confiden
 def recurring_amounts(items: DataFrame, key: Column, more_than: int = 2, min_confidence: float = 0.7) -> DataFrame:
     """Amounts that more than `more_than` items have, where they cross document types or parties, or descriptions differ.
 
-    Descriptions are alike if each two share 60 % of their words. An amount's distinct descriptions are reduced first; one with over
-    MOST_DESCRIPTIONS of them counts as not alike, so no group is gathered beyond that.
+    Descriptions are alike if each two share 60 % of their words. An amount's distinct word sets are compared with one of them first, and
+    only where all are near that one, in pairs of blocks of about BLOCK sets.
     """
     d = items.filter("amount > 0").groupBy(key.alias("key"), "description", "doc_type", "party").agg(F.count(F.lit(1)).alias("n"))
-    g = d.groupBy("key").agg(F.sum("n").alias("n"), F.countDistinct("doc_type").alias("types"), F.countDistinct("party").alias("parties")).filter(F.col("n") > more_than)
-    names = d.select("key", "description").distinct().withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("description"))).filter(F.col("k") <= MOST_DESCRIPTIONS + 1)
-    names = names.groupBy("key").agg(F.collect_list("description").alias("d"))
-    sets = F.transform("d", word_set)
-    alike = F.forall(sets, lambda x: F.forall(sets, lambda y: jaccard(x, y) >= 0.6))
-    out = g.join(names, "key").withColumn("alike", (F.size("d") == 1) | ((F.size("d") <= MOST_DESCRIPTIONS) & alike))
+    g = d.groupBy("key").agg(F.sum("n").alias("n"), F.countDistinct("doc_type").alias("types"), F.countDistinct("party").alias("parties"), F.countDistinct("description").alias("names")).filter(F.col("n") > more_than)
+    sets = d.filter("description IS NOT NULL").select("key", F.array_sort(word_set(F.col("description"))).alias("w")).distinct()
+    one = sets.groupBy("key").agg(F.min("w").alias("p"), F.count(F.lit(1)).alias("k"))
+    dealt = sets.join(one, "key").withColumn("block", F.pmod(F.xxhash64("w"), F.ceil(F.col("k") / BLOCK)))
+    dealt = dealt.groupBy("key", "block").agg(F.collect_list("w").alias("ws"), F.min(jaccard(F.col("w"), F.col("p"))).alias("low"))
+    near = dealt.groupBy("key").agg((F.min("low") >= 0.6).alias("near"))
+    left = dealt.join(near.filter("near"), "key", "left_semi").select("key", "block", "ws")
+    pairs = left.join(left.select("key", F.col("block").alias("block2"), F.col("ws").alias("ws2")), "key").filter("block <= block2")
+    every = pairs.groupBy("key").agg(F.min(F.forall("ws", lambda x: F.forall("ws2", lambda y: jaccard(x, y) >= 0.6))).alias("every"))
+    out = g.join(near, "key", "left").join(every, "key", "left")
+    out = out.withColumn("alike", (F.col("names") <= 1) | (F.coalesce("near", F.lit(True)) & F.coalesce("every", F.lit(False))))
     c = 0.7 + 0.1 * F.least(F.lit(1.0), F.col("n") / 5) + 0.1 * F.least(F.lit(1.0), F.col("types") / 3) + F.when(~F.col("alike"), 0.15).otherwise(0.0) + F.when(F.col("parties") > 1, 0.2).otherwise(0.0)
     out = out.withColumn("confidence", F.least(F.lit(0.95), c)).filter((F.col("types") > 1) | (F.col("parties") > 1) | ~F.col("alike"))
-    return out.filter(F.col("confidence") >= min_confidence).drop("d")
+    return out.filter(F.col("confidence") >= min_confidence).drop("names", "near", "every")
 
 
 def frequency_anomalies(items: DataFrame, key: Column, z: float = 2.5, least: int = 5) -> DataFrame:

@@ -268,3 +268,18 @@ def test_fields_and_embeddings(spark):
 def test_holidays(spark):
     got = {(r["name"], r["day"]) for r in dates.holidays(spark, 2023, 2023).collect()}
     assert {("Memorial Day", dt.date(2023, 5, 29)), ("Labor Day", dt.date(2023, 9, 4)), ("Thanksgiving", dt.date(2023, 11, 23)), ("Day after Thanksgiving", dt.date(2023, 11, 24))} <= got and len(got) == 9
+
+
+def test_recurring_amounts_with_many_descriptions(spark):
+    """Over 64 descriptions, every pair of which is alike; the same with one that differs; and with two that differ only from each other."""
+    from tallyforge.operators import aggregates
+
+    def row(c, text, kind="invoice"):
+        return c, text, kind, "owner", 1
+
+    many = [f"site rental unit trailer x{i}" for i in range(150)]
+    rows = [row(100, t) for t in many] + [row(200, t, ["invoice", "contract"][i % 2]) for i, t in enumerate(many)] + [row(300, t) for t in [*many, "paint"]]
+    rows += [row(400, t) for t in ["a b c d e f g h i j", "a b c d e f g h k l", "a b c d e f i j m n"]] + [row(500, t, k) for t, k in [("a b", "invoice"), ("b a", "contract"), ("a b", "invoice")]]
+    items = spark.createDataFrame(rows, "amount long, description string, doc_type string, party string, doc_id long")
+    got = {r["key"]: (r["n"], r["alike"]) for r in aggregates.recurring_amounts(items, F.col("amount")).collect()}
+    assert got == {200: (150, True), 300: (151, False), 400: (3, False), 500: (3, True)}
