@@ -2,11 +2,13 @@
 
 `encode` lays a document's bytes out as two multiplexed logical streams, each packet 8-bit mono samples of up to PACKET bytes: even
 packets go to the first stream, odd ones to the second, so that reading has to demultiplex. Packets run over pages where they don't
-fit (lacing values of 255). `decode` reads any such physical stream: it verifies every page's checksum, sequence number and serial,
-reassembles packets, demultiplexes and derives each packet's end time from its page's granule position.
+fit (lacing values of 255). `decode` reads any physical stream of such samples, also with many packets on a page: it verifies every
+page's checksum, sequence number and serial, reassembles packets, demultiplexes and derives each packet's end time from its page's
+granule position, counted back by the samples of the packets that end after it there.
 
 Defined results: a null or empty text is a payload of one block of zero bytes; a damaged stream raises no error in `decode`, but gives
-ok = false, the pages that fail and whatever packets are whole; other columns of the input are not read.
+ok = false, the pages that fail and whatever packets are whole: of a packet that begins or ends on a lost page nothing is taken;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -71,54 +75,95 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+class Reader:
+    """What is known of one logical stream while its pages are read: whole packets without headers, with their end times."""
+
+    def __init__(self):
+        self.packets, self.times, self.part = [], [], None  # part: pieces of a packet that is not whole yet
+        self.next, self.gaps, self.lost, self.headers = 0, 0, 0, 0
+        self.first = self.last = False
+
+    def page(self, flags: int, granule: int, number: int, pieces: list[bytes]) -> None:
+        if number != self.next:
+            self.gaps += 1
+            self.lost += self.part is not None
+            self.part = None
+        self.next = number + 1
+        self.first |= bool(flags & 2)
+        self.last |= bool(flags & 4)
+        orphan = bool(flags & 1) and self.part is None  # the rest of a packet whose beginning is lost
+        if not flags & 1 and self.part is not None:  # its end is lost
+            self.lost += 1
+            self.part = None
+        ended = []
+        for piece in pieces:
+            if not orphan:
+                self.part = self.part or []
+                self.part.append(piece)
+                if len(piece) < 255:
+                    ended.append(b"".join(self.part))
+                    self.part = None
+            elif len(piece) < 255:
+                orphan = False
+                self.lost += 1
+        if flags & 2 and ended:  # a stream's first packet says what it is
+            self.headers += 1
+            ended = ended[1:]
+        if granule == _NONE:  # a page that says nothing: on from what came before
+            at = self.times[-1] if self.times else 0
+            times = [at := at + len(p) for p in ended]
+        else:  # the page's position is the end of its last packet; those before it end earlier by the sizes that follow
+            at, times = granule, []
+            for p in reversed(ended):
+                times.insert(0, at)
+                at -= len(p)
+        self.packets += ended
+        self.times += times
+
+
 def demux(media: bytes) -> dict:
-    """Pages, bad pages, streams by serial: their packets with end times, and whether each began and ended as it should."""
-    streams: dict[int, dict] = {}
+    """Pages, bad pages and streams by serial. Nothing is taken from a page that is cut short, has another version or a wrong checksum."""
+    streams: dict[int, Reader] = {}
     at, pages, bad = 0, 0, 0
-    while at < len(media):
-        if media[at : at + 4] != b"OggS" or at + 27 > len(media):
+    while 0 <= at < len(media):
+        if media[at : at + 4] != b"OggS" or at + _HEAD.size > len(media):
             bad += 1
             at = media.find(b"OggS", at + 1)
-            if at < 0:
-                break
             continue
         _, version, flags, granule, serial, number, crc, n = _HEAD.unpack_from(media, at)
-        lacing = media[at + 27 : at + 27 + n]
-        end = at + 27 + n + sum(lacing)
+        body = at + _HEAD.size + n
+        lacing = media[at + _HEAD.size : body]
+        end = body + sum(lacing)
         page = bytearray(media[at:end])
         page[22:26] = bytes(4)
         pages += 1
-        s = streams.setdefault(serial, {"packets": [], "times": [], "part": [], "next": 0, "first": False, "last": False, "gaps": 0})
-        if version or end > len(media) or checksum(bytes(page)) != crc:
+        if version or len(lacing) < n or end > len(media) or checksum(bytes(page)) != crc:
             bad += 1
             at = media.find(b"OggS", at + 4)
-            if at < 0:
-                break
             continue
-        if number != s["next"]:
-            s["gaps"] += 1
-            s["part"] = []
-        if not flags & 1:
-            s["part"] = []
-        s["next"], whole = number + 1, len(s["packets"])
-        s["first"] |= bool(flags & 2)
-        s["last"] |= bool(flags & 4)
-        body = at + 27 + n
+        pieces = []
         for size in lacing:
-            s["part"].append(media[body : body + size])
+            pieces.append(media[body : body + size])
             body += size
-            if size < 255:
-                s["packets"].append(b"".join(s["part"]))
-                s["part"] = []
-        s["times"] += [_NONE] * (len(s["packets"]) - whole - 1) + [granule] * (len(s["packets"]) > whole)
+        streams.setdefault(serial, Reader()).page(flags, granule, number, pieces)
         at = end
     return {"pages": pages, "bad": bad, "streams": streams}
 
 
 def payload(read: dict) -> bytes:
-    """The samples of all streams, packets in order of their times, without the streams' headers."""
-    packets = [(t, p) for s in read["streams"].values() for t, p in zip(s["times"][1:], s["packets"][1:], strict=True)]
-    return b"".join(p for _, p in sorted(packets, key=lambda x: x[0]))
+    """The samples of all streams: each stream's packets in their sequence, streams merged by end times (then by order of appearance)."""
+    queues = [deque(zip(s.times, s.packets, strict=True)) for s in read["streams"].values()]
+    heads = [(q[0][0], k) for k, q in enumerate(queues) if q]
+    heapify(heads)
+    out = []
+    while heads:
+        _, k = heads[0]
+        out.append(queues[k].popleft()[1])
+        if queues[k]:
+            heapreplace(heads, (queues[k][0][0], k))
+        else:
+            heappop(heads)
+    return b"".join(out)
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -157,9 +202,9 @@ def decode(media: DataFrame) -> DataFrame:
     def one(doc_id, n_bytes, raw) -> tuple:
         read = demux(raw or b"")
         data, streams = payload(read), read["streams"].values()
-        ok = not read["bad"] and bool(streams) and all(s["first"] and s["last"] and not s["gaps"] and not s["part"] for s in streams)
-        last = max((t for s in streams for t in s["times"]), default=0)
-        n = sum(len(s["packets"]) - 1 for s in streams if s["packets"])
+        ok = not read["bad"] and bool(streams) and all(s.first and s.last and not s.gaps and not s.lost and s.part is None for s in streams)
+        last = max((t for s in streams for t in s.times), default=0)
+        n = sum(len(s.packets) for s in streams)
         a = np.frombuffer(data or b"\0", np.uint8)
         feature = f"streams={len(streams)};pages={read['pages']};packets={n};seconds={last / RATE:.6f};mean={a.mean(dtype=np.float64):.6f};low={a.min()};high={a.max()}"
         return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), feature, read["pages"], read["bad"], ok

@@ -192,7 +192,7 @@ def test_ogg_pages():
         media = ogg.mux(data)
         read = ogg.demux(media)
         assert ogg.payload(read) == data and not read["bad"] and len(read["streams"]) == 2
-        assert max(t for s in read["streams"].values() for t in s["times"]) == n
+        assert max(t for s in read["streams"].values() for t in s.times) == n
         broken = bytearray(media)
         broken[len(media) // 2] ^= 1
         assert ogg.demux(bytes(broken))["bad"] == 1
@@ -200,7 +200,59 @@ def test_ogg_pages():
     w = ogg.Writer(7)
     data = r.randbytes(255 * 255)
     pages = list(w.pages(data, 9, True))
-    assert len(pages) == 2 and ogg.demux(b"".join(pages))["streams"][7]["packets"] == [data]
+    assert len(pages) == 2 and ogg.demux(b"".join(pages))["streams"][7].packets == [data]
+
+
+def _ogg_stream(serial, packets, on_page, header=b"head"):
+    """Pages of a stream with `on_page` lacing values each; granules count samples. Packet by packet, by the format's definition."""
+    from tallyforge.llm import ogg
+
+    w = ogg.Writer(serial)
+    pages = [w.page(bytes([len(header)]), header, 0, False, first=True)]
+    laces, at = [], 0
+    for p in packets:
+        at += len(p)
+        cuts = [p[k : k + 255] for k in range(0, len(p), 255)] + ([b""] if len(p) % 255 == 0 else [])
+        laces += [(c, at if c is cuts[-1] else None, k > 0) for k, c in enumerate(cuts)]
+    for k in range(0, len(laces), on_page):
+        part = laces[k : k + on_page]
+        ends = [g for _, g, _ in part if g is not None]
+        pages.append(w.page(bytes(len(c) for c, _, _ in part), b"".join(c for c, _, _ in part), ends[-1] if ends else -1, part[0][2], last=k + on_page >= len(laces)))
+    return pages
+
+
+def test_ogg_of_others():
+    """Several packets a page, packets over pages, lost pages, and streams between each other."""
+    from tallyforge.llm import ogg
+
+    read = ogg.demux(b"".join(_ogg_stream(1, [b"aaa", b"bbb", b"ccc", b"ddd"], 2)))
+    assert ogg.payload(read) == b"aaabbbcccddd" and read["streams"][1].times == [3, 6, 9, 12]
+    r = random.Random(4)
+    packets = [r.randbytes(n) for n in (300, 10, 510, 255, 0, 700, 1, 254)]
+    ends = np.cumsum([len(p) for p in packets]).tolist()
+    for on_page in (1, 2, 3, 5, 50):
+        pages = _ogg_stream(9, packets, on_page)
+        whole = ogg.demux(b"".join(pages))["streams"][9]
+        assert (whole.packets, whole.times, whole.lost, whole.gaps) == (packets, ends, 0, 0)
+        touched, at = [], 0  # the pages on which each packet lies
+        for p in packets:
+            n = len(p) // 255 + 1
+            touched.append({1 + k // on_page for k in range(at, at + n)})
+            at += n
+        for gone in range(1, len(pages)):  # the first, a middle or the last page of samples is lost, or damaged
+            want = [p for p, on in zip(packets, touched) if gone not in on]
+            lost = ogg.demux(b"".join(pages[:gone] + pages[gone + 1 :]))["streams"][9]
+            assert lost.packets == want and lost.times == [e for e, on in zip(ends, touched) if gone not in on]
+            bad = bytearray(pages[gone])
+            bad[-1] ^= 1
+            damaged = ogg.demux(b"".join([*pages[:gone], bytes(bad), *pages[gone + 1 :]]))
+            assert damaged["bad"] == 1 and damaged["streams"][9].packets == want
+        without = ogg.demux(b"".join(pages[1:]))["streams"][9]  # its header's page is lost: samples stay samples
+        assert without.packets == packets and not without.first
+    one, two = _ogg_stream(1, [b"a" * 4, b"c" * 4], 1), _ogg_stream(2, [b"b" * 6, b"d" * 6], 1)
+    mixed = ogg.demux(b"".join(p for pair in zip(one, two) for p in pair) + b"junk")
+    assert [s.packets for s in mixed["streams"].values()] == [[b"a" * 4, b"c" * 4], [b"b" * 6, b"d" * 6]] and mixed["bad"] == 1
+    assert ogg.payload(mixed) == b"aaaabbbbbbccccdddddd"
 
 
 def item_windows(items, n):
