@@ -21,6 +21,8 @@ from tallyforge.llm import runtime
 
 #: Code points between the starts of linked parts.
 SCOPE = 400
+#: Parts gathered at once in a fold; code points of a piece in which positions are sought.
+BLOCK, PIECE = 256, 1024
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: What a text with an assignment has; tested first, since few texts do.
@@ -36,22 +38,45 @@ ENDPOINT = r"(?:https?|s3|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[A-Za-z0
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _walk(parts: Column, zero: Column, step, out: str) -> Column:
+    """A fold over parts that keeps a state and gives at most one element a part: struct of now, the last state, and out, all elements.
+
+    Elements are gathered in blocks of BLOCK parts and the blocks joined at the end, so the time is in proportion to the number of parts.
+    """
+    none = F.array().cast(f"array<{out}>")
+    blocks = _let(parts, lambda every: F.transform(F.sequence(F.lit(0), F.floor(F.size(every) / BLOCK).cast("int")), lambda k: F.slice(every, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def one(state: Column, x: Column) -> Column:
+        now, new = step(state["now"], x)
+        return F.struct(now.alias("now"), F.when(new.isNotNull(), F.concat(state["out"], F.array(new))).otherwise(state["out"]).alias("out"))
+
+    def block(state: Column, xs: Column) -> Column:
+        got = F.aggregate(xs, F.struct(state["now"].alias("now"), none.alias("out")), one)
+        return _let(got, lambda g: F.struct(g["now"].alias("now"), F.concat(state["out"], F.array(g["out"])).alias("out")))
+
+    zero = F.struct(zero.alias("now"), F.array().cast(f"array<array<{out}>>").alias("out"))
+    return F.aggregate(blocks, zero, block, lambda s: F.struct(s["now"].alias("now"), F.flatten(s["out"]).alias("out")))
+
+
 def _spans(text: Column, kind: str, pattern: str, head: str | None = None, group: int = 0, least: int = 0) -> Column:
     """array<struct<start, rank, end, kind>> of a pattern's matches, leftmost first, without those whose group is shorter than `least`."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    parts = F.transform(F.arrays_zip(found.alias("m"), values.alias("v"), gaps.alias("g")), lambda x: F.struct(F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("v"), F.length(x["g"]).alias("g")))
-    kind_, rank = F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank")
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    parts = F.arrays_zip(F.transform(gaps, F.length).alias("g"), found.alias("m"))
+    long_enough = lambda m: F.length(m) > 0 if not group else F.length(F.regexp_extract(m, pattern, group)) >= least
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        one = F.array(F.struct(start.alias("start"), rank, (start + x["m"]).alias("end"), kind_))
-        return F.struct((start + x["m"]).alias("at"), F.when((x["m"] > 0) & (x["v"] >= least), F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["g"]
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        return end, F.when(long_enough(x["m"]), F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(head or pattern), walked).otherwise(empty)
+    every = _walk(parts, F.lit(0), step, "struct<start:int,rank:int,end:int,kind:string>")
+    return F.when(text.rlike(head or pattern), every["out"]).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
 
 
 def _parts(text: Column) -> tuple[Column, Column]:
@@ -105,12 +130,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE, length_c
     other = other.select("doc", F.array_sort(F.concat("strong", F.coalesce("linked", F.filter("strong", lambda x: F.lit(False))))).alias("spans"))
     text = F.col("doc.text")
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        grown = F.when((x["start"] >= state["at"]) | (state["at"] == 0), F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), grown.alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        """The end of the spans so far, and the stretch of text before a span that doesn't overlap them."""
+        return F.greatest(at, x["end"]), F.when((x["start"] >= at) | (at == 0), F.struct(at.alias("start"), x["start"].alias("end")))
+
+    # Positions are sought in pieces of PIECE code points, not from the text's beginning each time.
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+    def part(cut: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        some = F.slice(cut, first + 1, F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+        return F.substring(F.array_join(some, ""), start - first * PIECE + 1, end - start)
+
+    def clean(cut: Column) -> Column:
+        whole = lambda w: F.concat(F.array_join(F.transform(w["out"], lambda x: F.concat(part(cut, x["start"], x["end"]), F.lit(mark))), ""), part(cut, w["now"], F.length(text)))
+        return _let(_walk(F.col("spans"), F.lit(0), step, "struct<start:int,end:int>"), whole)
 
-    walked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    walked = _let(pieces, clean)
     has = F.size("spans") > 0
     rows = plain.unionByName(other).select("doc", F.when(has, walked).otherwise(text).alias("clean"), has.alias("has"))
     doc = F.col("doc").withField("text", F.col("clean"))
