@@ -1,19 +1,22 @@
 """Benchmark decontamination: suffix arrays of training shards, searched for every suffix of every test item.
 
-A shard is a run of whole documents of about text.SLICE_BYTES. Its suffix array orders the words' positions by the words that follow
+A shard is a run of whole documents of about SHARD_BYTES. Its suffix array orders the words' positions by the words that follow
 (as 64-bit hashes), up to the length of the longest test item: ranks by one word, then by doubling, where each round sorts only the
 positions that are still tied. A binary search of each test suffix gives the range of positions where its first `window` words occur
-verbatim, all of them, and from the ends of that range its longest match. No shuffle: shards are searched where they are read.
+verbatim, all of them, and from the ends of that range its longest match.
 
-Test items are taken in blocks of at most BLOCK_WORDS words, one search for each block, so that a task holds one shard and one block
-however large either table is.
+The test items' words are hashed in Spark tasks and written to the shared folder. If they have at most BLOCK_WORDS words, which is
+checked, they are sent to the tasks, and shards are searched where they are read: no shuffle. Otherwise items are dealt into blocks of
+about that size; documents are dealt into shards, and each shard's task gets its documents first and then one block after another, so it
+holds one shard and one block however large either table is. Either way there is one pass over the documents, and the driver holds at
+most one block.
 
 Words: A-Z lower-cased, runs of digits, letters and whatever is not ASCII. A window: `window` consecutive words of an item; an item of
 fewer, but not none, is one window.
 
 Defined results: a null or empty text has no words and is never hit; an item without words never occurs; item ids that repeat count
-once; repeated documents are judged alike; without items nothing is hit; other columns are kept by `decontaminate` and not read by
-`overlaps`.
+once; an item without an id hits words like others, but is not counted or named among the items; repeated documents are judged alike;
+without items nothing is hit; other columns are kept by `decontaminate` and not read by `overlaps`.
 """
 
 from __future__ import annotations
@@ -23,30 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyforge.llm import runtime
 from tallyforge.llm.text import ALNUM, Words, slices
 
 WINDOW = 10
-#: Words of a block of test items, at 8 bytes each. It is sent to every task.
-BLOCK_WORDS = 1 << 20
+#: Words of a block of test items, at 8 bytes each; bytes of a shard's texts.
+BLOCK_WORDS, SHARD_BYTES = 1 << 20, 4 << 20
 
 
 class Items:
     """A block of test items: ids, word hashes end to end, first[i]: words before item i."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.ids = [k for k, _ in rows]
-        column = pa.array([t for _, t in rows], pa.string())
-        hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-        for _, _, data, offs in slices(column):
-            words = Words(data, offs, ALNUM, lower=True)
-            hashes.append(words.hashes)
-            first.append(words.first[1:] + first[-1][-1])
-        self.hashes, self.first = np.concatenate(hashes), np.concatenate(first)
+    def __init__(self, ids: list[str | None], hashes: list[bytes]):
+        self.ids = ids
+        self.hashes = np.frombuffer(b"".join(hashes), np.uint64)
+        self.first = np.concatenate([[0], np.cumsum([len(h) // 8 for h in hashes])]).astype(np.int64)
         self.longest = int(np.diff(self.first).max(initial=0))
 
     def suffixes(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,17 +55,19 @@ class Items:
         return start, np.minimum(size, window)[item], item
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    rows, words = [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator(prefetchPartitions=False):
-        if text and item_id is not None:
-            rows.append((item_id, text))
-            words += len(text) // 2 + 1
-        if words >= BLOCK_WORDS:
-            yield Items(rows)
-            rows, words = [], 0
-    if rows:
-        yield Items(rows)
+def hashed(benchmark: DataFrame) -> DataFrame:
+    """item_id, n (words), hashes (8 bytes a word) of every item with words, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(1)):
+                words = Words(data, offs, ALNUM, lower=True)
+                cuts = words.first.tolist()
+                packed = [words.hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(packed, pa.binary())], names=["item_id", "n", "hashes"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return runtime.stored(rows.mapInArrow(run, "item_id string, n long, hashes binary").filter("n > 0"), "items")
 
 
 class SuffixArray:
@@ -158,139 +157,202 @@ class SuffixArray:
         return out
 
 
-def _hits(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word is hit, document and item of each pair that shares a window, longest match in words of each document)."""
-    docs = len(words.first) - 1
-    cover, longest = np.zeros(len(words) + 1, np.int64), np.zeros(docs, np.int64)
-    none = np.zeros(0, np.int64)
-    start, width, item = items.suffixes(window)
-    if not len(words) or not len(start):
-        return cover[:-1] > 0, none, none, longest
-    array = SuffixArray(words, items.longest)
-    lo, hi = array.find(items.hashes, start, width)
-    found = np.flatnonzero(lo < hi)
-    doc_item = [np.zeros(0, np.int64)]
-    for k in found.tolist():  # the windows that occur in this shard; each one's places are taken together
-        at = array.order[lo[k] : hi[k]]
-        doc = np.searchsorted(array.start, at, "right") - 1
-        flat = at - doc
-        np.add.at(cover, flat, 1)
-        np.add.at(cover, flat + width[k], -1)
-        doc_item.append(np.unique(doc) * np.int64(len(items.ids)) + item[k])
-        rest = np.full(len(at), items.first[item[k] + 1] - start[k])
-        np.maximum.at(longest, doc, array.lengths(at, items.hashes, np.full(len(at), start[k]), rest))
-    pairs = np.unique(np.concatenate(doc_item))
-    return np.cumsum(cover[:-1]) > 0, pairs // len(items.ids), pairs % len(items.ids), longest
-
-
-OVERLAPS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+class Found:
+    """What a shard's documents share with test items, block after block."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.words = Words(data, offs, ALNUM, lower=True)
+        docs = len(offs) - 1
+        self.hit = np.zeros(len(self.words), bool)
+        self.names: list[set[str]] = [set() for _ in range(docs)]
+        self.longest, self.at = np.zeros(docs, np.int64), np.full(docs, -1)  # words of the longest match, and the first word of the first such
+        self.array, self.depth = None, 0
+
+    def search(self, items: Items, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each test suffix whose window occurs: its item, its offset there, and the places: documents, words in them, lengths of the matches."""
+        start, width, item = items.suffixes(window)
+        if not len(self.words) or not len(start):
+            return
+        if self.depth < items.longest:
+            self.array, self.depth = SuffixArray(self.words, items.longest), items.longest
+        lo, hi = self.array.find(items.hashes, start, width)
+        for k in np.flatnonzero(lo < hi).tolist():  # each window's places are taken together
+            at = self.array.order[lo[k] : hi[k]]
+            doc = np.searchsorted(self.array.start, at, "right") - 1
+            rest = np.full(len(at), items.first[item[k] + 1] - start[k])
+            length = self.array.lengths(at, items.hashes, np.full(len(at), start[k]), rest)
+            yield int(item[k]), int(start[k] - items.first[item[k]]), doc, at - doc - self.words.first[doc], length
+
+    def add(self, items: Items, window: int) -> None:
+        cover = np.zeros(len(self.words) + 1, np.int64)
+        for item, _, doc, word, length in self.search(items, window):
+            flat = word + self.words.first[doc]
+            np.add.at(cover, flat, 1)
+            np.add.at(cover, flat + np.minimum(length, window), -1)
+            if items.ids[item] is not None:
+                for d in np.unique(doc).tolist():
+                    self.names[d].add(items.ids[item])
+            order = np.lexsort((-word, length))  # the longest, of those the first, comes last
+            best = np.full(len(self.longest), -1)
+            best[doc[order]] = order
+            some = np.flatnonzero(best >= 0)
+            new, word = length[best[some]], word[best[some]]
+            more = (new > self.longest[some]) | ((new == self.longest[some]) & (word < self.at[some]))
+            self.longest[some[more]], self.at[some[more]] = new[more], word[more]
+        self.hit |= np.cumsum(cover[:-1]) > 0
+
+
+OVERLAPS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_word long"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of docs (doc_id, text): how many of its words lie in a window of benchmark (item_id, text), and of which items.
 
-    longest_match: words of the longest verbatim match that begins with a window.
+    longest_match: words of the longest verbatim match with an item that begins with a window; match_word: words before the first such
+    (null without one).
     """
-    return _passes(docs, F.col("doc_id").cast("long").alias("key"), benchmark, window, _measures, OVERLAPS)
+    return _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, _measures, OVERLAPS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, that share no window with the benchmark."""
-    return _passes(docs, F.struct("*").alias("key"), benchmark, window, _clean, T.StructType([T.StructField("key", docs.schema)])).select("key.*")
+    return _searched(docs, benchmark, window, _clean, docs.schema)
 
 
-def _passes(docs: DataFrame, key: Column, benchmark: DataFrame, window: int, result, schema: str | T.StructType) -> DataFrame:
-    """One pass over the documents for each block of items; what earlier passes found comes in columns beside the text. The last gives result(...)."""
-    runtime.prepare(docs.sparkSession)
-    found = list(blocks(benchmark)) or [Items([])]
-    rows = docs.select(key, F.col("text").cast("string").alias("text"))
-    if len(found) > 1:
-        rows = rows.withColumns({"covered": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0).cast("long")})
-    for k, items in enumerate(found):
-        last = k + 1 == len(found)
-        rows = rows.mapInArrow(_search(items, window, len(found) > 1, result if last else None), schema if last else rows.schema)
-    return rows
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
+    """For each test suffix (item_id, offset in words) with a verbatim match of `least` words or more: the longest one's length, and where it is: doc_id and word.
 
+    Of equal lengths, that in the smallest doc_id, then the first. Each shard reports its best for a suffix, and those are compared.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = _searched(rows, benchmark, least, None, "item_id string, offset long, length long, doc_id long, word long")
+    best = F.min(F.struct((-F.col("length")).alias("l"), "doc_id", "word")).alias("b")
+    return every.groupBy("item_id", "offset").agg(best).select("item_id", "offset", (-F.col("b.l")).alias("length"), "b.doc_id", "b.word")
 
-def _search(items: Items, window: int, carries: bool, result):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, result, schema) -> DataFrame:
+    """result(rows, Found) of every shard; without a result, the best place of each test suffix in it."""
+    spark = runtime.prepare(docs.sparkSession)
+    items, text = hashed(benchmark), docs.columns.index("text")
+    total = items.agg(F.sum("n")).first()[0] or 0
+    if total <= BLOCK_WORDS:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in items.select("item_id", "hashes").collect()])  # at most BLOCK_WORDS words
+        runtime.drop(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Items([k for k, _ in sent.value], [bytes(h) for _, h in sent.value])
+            for batch in batches:
+                for lo, hi, data, offs in slices(batch.column(text), SHARD_BYTES):
+                    yield from _judged(batch.slice(lo, hi - lo), data, offs, [block], window, result)
+
+        return docs.mapInArrow(run, schema)
+
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    shards, n_blocks = max(1, -(-size // SHARD_BYTES)), -(-total // BLOCK_WORDS)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.lit(-1).cast("long").alias("block"), F.struct("*").alias("doc"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("binary").alias("hashes"))
+    some = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1), F.lit(4096))).alias("from"))
+    every = some.select("*", F.explode(F.sequence("from", F.least(F.col("from") + 4095, F.lit(shards - 1)))).alias("shard"))
+    parts = every.select(F.col("shard").cast("long").alias("shard"), F.pmod(F.xxhash64("hashes"), F.lit(n_blocks)).alias("block"), F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), "item_id", "hashes")
+    mixed = rows.unionByName(parts).repartition("shard").sortWithinPartitions("shard", "block")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            column = shard.docs.column(text)
+            (_, _, data, offs), *_ = slices(column, 1 << 62)
+            yield from _judged(shard.docs, data, offs, shard.blocks(), window, result)
+
+    return mixed.mapInArrow(stream, schema)
+
+
+class _Shard:
+    """Rows of one shard as they come: its documents, then its blocks of items."""
+
+    def __init__(self, docs: pa.RecordBatch, ahead: list, rows: Iterator[tuple]):
+        self.docs, self._ahead, self._rows, self._key = docs, ahead, rows, ahead[0][0] if ahead else None
+
+    def blocks(self) -> Iterator[Items]:
+        """Each block; reading all of them leaves the next shard's first row in `ahead`."""
+        block, ids, hashes = None, [], []
+        for row in self._take():
+            if row[1] != block:
+                if ids:
+                    yield Items(ids, hashes)
+                block, ids, hashes = row[1], [], []
+            ids.append(row[3])
+            hashes.append(row[4])
+        if ids:
+            yield Items(ids, hashes)
+
+    def _take(self) -> Iterator[tuple]:
+        while self._ahead and self._ahead[0][0] == self._key and self._ahead[0][1] >= 0:
+            row = self._ahead.pop()
+            nxt = next(self._rows, None)
+            if nxt is not None:
+                self._ahead.append(nxt)
+            yield row
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    def rows() -> Iterator[tuple]:
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
-                words = Words(data, offs, ALNUM, lower=True)
-                hit, doc, item, longest = _hits(words, items, window)
-                n, names = hi - lo, [[] for _ in range(hi - lo)]
-                for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-                    names[d].append(items.ids[i])
-                if carries:
-                    for d, (bits, more, most) in enumerate(zip(*(batch.column(k).slice(lo, n).to_pylist() for k in (2, 3, 4)), strict=True)):
-                        a, b = int(words.first[d]), int(words.first[d + 1])
-                        if bits:
-                            hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-                        names[d] += more or []
-                        longest[d] = max(longest[d], most)
-                key = batch.column(0).slice(lo, n)
-                if result:
-                    yield result(key, words, hit, names, longest)
-                else:
-                    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([key, batch.column(1).slice(lo, n), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(longest)], names=["key", "text", "covered", "items", "longest"])
-
-    return run
-
-
-def _measures(key: pa.Array, words: Words, hit: np.ndarray, names: list[list[str]], longest: np.ndarray) -> pa.RecordBatch:
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
-    names = [sorted(set(x)) for x in names]
+            shard, block, ids = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            for i in range(batch.num_rows):
+                yield shard[i], block[i], batch.slice(i, 1), ids[i], batch.column(4)[i].as_py() if block[i] >= 0 else None
+
+    it = rows()
+    first = next(it, None)
+    ahead = [first] if first is not None else []
+    while ahead:
+        key, docs = ahead[0][0], []
+        while ahead and ahead[0][:2] == (key, -1):
+            docs.append(ahead.pop()[2])
+            if (nxt := next(it, None)) is not None:
+                ahead.append(nxt)
+        if docs:
+            table = pa.Table.from_batches(docs).combine_chunks()
+            shard = _Shard(pa.RecordBatch.from_struct_array(table["doc"].chunk(0)), ahead, it)
+            shard._key = key
+            yield shard
+        while ahead and ahead[0][0] == key:  # blocks of a shard without documents, or that nobody read
+            ahead.pop()
+            if (nxt := next(it, None)) is not None:
+                ahead.append(nxt)
+
+
+def _judged(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, blocks: list[Items] | Iterator[Items], window: int, result) -> Iterator[pa.RecordBatch]:
+    found = Found(data, offs)
+    for items in blocks:
+        if result:
+            found.add(items, window)
+        else:
+            yield from _best(rows.column(0).to_numpy(zero_copy_only=False), found, items, window)
+    if result:
+        yield result(rows, found)
+
+
+def _best(ids: np.ndarray, found: Found, items: Items, window: int) -> Iterator[pa.RecordBatch]:
+    out = []
+    for item, offset, doc, word, length in found.search(items, window):
+        if length.max() >= window:
+            k = np.lexsort((word, ids[doc], -length))[0]
+            out.append((items.ids[item], offset, int(length[k]), None if np.isnan(ids[doc[k]]) else int(ids[doc[k]]), int(word[k])))
+    if out:
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["item_id", "offset", "length", "doc_id", "word"])
+
+
+def _measures(rows: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+    first = found.words.first
+    sums = np.concatenate([[0], np.cumsum(found.hit)])
+    n_hit = sums[first[1:]] - sums[first[:-1]]
+    names = [sorted(x) for x in found.names]
     sha = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else _EMPTY for x in names]
-    columns = [key, pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(longest)]
+    columns = [rows.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(found.longest), pa.array(found.at, mask=found.at < 0)]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OVERLAPS.split(", ")])
 
 
-def _clean(key: pa.Array, words: Words, hit: np.ndarray, names: list[list[str]], longest: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([key.filter(pa.array([not x for x in names]))], names=["key"])
+def _clean(rows: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+    return rows.filter(pa.array(found.longest == 0))
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
-
-
-def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
-    """For each test suffix (item_id, offset in words) with a verbatim match of `least` words or more: the longest one's length, and where it is: doc_id and word.
-
-    Of equal lengths, that in the smallest doc_id, then the first. Each shard reports its best for a suffix, and those are compared.
-    """
-    runtime.prepare(docs.sparkSession)
-    schema = "item_id string, offset long, length long, doc_id long, word long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def searching(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, width, item = items.suffixes(least)
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for lo, hi, data, offs in slices(batch.column(1)):
-                    words = Words(data, offs, ALNUM, lower=True)
-                    if not len(words) or not len(start):
-                        continue
-                    array = SuffixArray(words, items.longest)
-                    low, high = array.find(items.hashes, start, width)
-                    out = []
-                    for k in np.flatnonzero((low < high) & (width >= least)).tolist():
-                        at = array.order[low[k] : high[k]]
-                        rest = np.full(len(at), items.first[item[k] + 1] - start[k])
-                        size = array.lengths(at, items.hashes, np.full(len(at), start[k]), rest)
-                        at = at[size == size.max()]
-                        doc = np.searchsorted(array.start, at, "right") - 1
-                        j = np.lexsort((at, ids[lo:hi][doc]))[0]
-                        out.append((items.ids[item[k]], int(start[k] - items.first[item[k]]), int(size.max()), int(ids[lo + doc[j]]), int(at[j] - array.start[doc[j]])))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["item_id", "offset", "length", "doc_id", "word"])
-
-        return run
-
-    found = [rows.mapInArrow(searching(items), schema) for items in blocks(benchmark)] or [docs.sparkSession.createDataFrame([], schema)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = F.min(F.struct((-F.col("length")).alias("l"), "doc_id", "word")).alias("b")
-    return every.groupBy("item_id", "offset").agg(best).select("item_id", "offset", (-F.col("b.l")).alias("length"), "b.doc_id", "b.word")

@@ -26,7 +26,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.decontaminate import overlaps
 
-    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10).drop("longest_match")
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +91,19 @@ _ALNUM, _BLACK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
 
 _OP2 = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
-iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
-wins AS (SELECT DISTINCT item, list_slice(w, k, k + 9) AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM iw WHERE len(w) > 0)),
+iw AS (SELECT row_number() OVER () AS iid, CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+wins AS (SELECT iid, item, j, list_slice(w, j, j + 9) AS win FROM (SELECT iid, item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS j FROM iw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 places AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, n, k, item FROM places JOIN wins ON places.win = wins.win),
+hits AS (SELECT doc_id, n, k, iid, item, j FROM places JOIN wins ON places.win = wins.win),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
-SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN cover ON dw.doc_id = cover.doc_id LEFT JOIN named ON dw.doc_id = named.doc_id"""
+named AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+runs AS (SELECT doc_id, iid, n, k, k - j AS diagonal, k - row_number() OVER (PARTITION BY doc_id, iid, k - j ORDER BY k) AS run FROM hits),
+lens AS (SELECT doc_id, min(k) - 1 AS word, count(*) + max(n) - 1 AS length FROM runs GROUP BY doc_id, iid, diagonal, run),
+longest AS (SELECT doc_id, word, length FROM lens QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, word) = 1)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(length, 0) AS BIGINT) AS longest_match, CAST(word AS BIGINT) AS match_word
+FROM dw LEFT JOIN cover ON dw.doc_id = cover.doc_id LEFT JOIN named ON dw.doc_id = named.doc_id LEFT JOIN longest ON dw.doc_id = longest.doc_id"""
 
 _OP5 = f"""
 WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BLACK}') AS w FROM documents),

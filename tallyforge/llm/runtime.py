@@ -11,8 +11,8 @@ from tallyforge.storage import drop, shared_dir, stored
 
 __all__ = ["drop", "offsets", "prepare", "shared_dir", "stored"]
 
-#: Rows in an Arrow batch; with texts of a few kB a batch stays near 8 MB.
-BATCH_ROWS = 2000
+#: Rows in an Arrow batch; bytes in one, which a single longer text may exceed.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,7 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 

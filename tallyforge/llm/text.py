@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; the largest temporaries take eight times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = _U(0x9E3779B97F4A7C15 | 3), _U(0xC2B2AE3D27D4EB4F | 3)
