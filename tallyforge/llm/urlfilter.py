@@ -1,22 +1,22 @@
 """URL filters: rules first, then host word segmentation and multinomial naive Bayes.
 
-Host labels are split into words by a unigram Viterbi search: the split with the largest product of word probabilities, where a word
-that the lexicon lacks costs by its length. The lexicon is counted over the delimited tokens of all URLs (paths, and hyphenated host labels). Host words and path tokens
-then go to a multinomial naive Bayes classifier. Its two classes are learned from all URLs: those with a seed word (SEEDS) among
-their host words, and the others.
+Runs of letters in host labels are split into words by a unigram Viterbi search: the split with the largest product of word
+probabilities. The lexicon is counted over the delimited tokens of all URLs (paths, and hyphenated host labels), and a word that it
+lacks, or has too seldom, costs by its length. Host words and path tokens then go to a multinomial naive Bayes classifier with add-one
+smoothing. Its two classes come from labelled pages, where there are such; otherwise from distant labels: a page is of the unwanted
+class if a seed word (SEEDS) stands among its host's words.
 
-Lexicon and class counts keep the words that make up at least 1 / MODEL_WORDS of all tokens, so they have at most MODEL_WORDS entries
-at any input size; rarer words count as unseen.
+Lexicon and class counts are tables of all words, however rare; nothing is sent to the driver but totals. Each distinct host is split
+once: its runs' substrings are joined with the lexicon, and a run's candidates are searched alone. Each distinct host, and each distinct
+sequence of path tokens, is scored once, and a page has the sum of the two.
 
 Defined results: a null url, or one without ://, has an empty host and path and no tokens, and is allowed, as it has no sign of
-anything; repeated urls are judged alike; an empty table gives no rows; other columns are not read.
+anything; a host without words is allowed; repeated urls are judged alike; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import runtime
 
-MODEL_WORDS = 200_000
+#: Letters of the longest word that a run is split into, other than unknown ones; cost of an unknown word, and of each of its letters.
+LONGEST, UNKNOWN, LETTER = 24, 12.0, 2.5
+#: Share of all tokens that a common word or a seed has at least.
+PRIOR = 1 / 2000
 #: Words that mark a host as unwanted.
 SEEDS = (
     "ads", "adult", "bet", "bets", "betting", "casino", "cheap", "dating", "escort", "farm", "gambling", "hack", "jackpot", "keygen", "loan",
@@ -33,7 +36,7 @@ SEEDS = (
 )
 #: These are only unwanted beside another of them or a stronger one.
 WEAK_SEEDS = ("ads", "cheap", "farm", "track")
-#: English words that are common in host names; each counts as often as a word with a share of 1 / 2000.
+#: English words that are common in host names; each counts as often as a word with a share of PRIOR, if it is rarer.
 COMMON = (
     "art", "auto", "best", "big", "blog", "book", "books", "bonus", "buy", "car", "city", "club", "code", "data", "day", "deal", "deals", "dev",
     "docs", "expert", "fast", "film", "food", "forum", "free", "fun", "game", "games", "garden", "go", "good", "green", "group", "guide", "health",
@@ -69,133 +72,138 @@ def rule(host_: Column, path_: Column, rules: tuple[tuple[str, str], ...]) -> tu
     return found, verdict
 
 
-class Segmenter:
-    """Viterbi over a unigram lexicon (word: share of all tokens)."""
+def viterbi(run: str, words: list[tuple[int, int, float]]) -> list[str]:
+    """The cheapest split of a run; words: (start, end, cost) of those that the lexicon has. Of equal splits that whose last word is longest, and so on backwards.
 
-    def __init__(self, lexicon: dict[str, float]):
-        total = sum(lexicon.values()) + len(COMMON) / 2000 + len(SEEDS) / 2000
-        self.cost = {w: -math.log(p / total) for w, p in lexicon.items() if len(w) > 1}
-        for w in (*COMMON, *SEEDS):
-            self.cost[w] = min(self.cost.get(w, 99.0), -math.log(1 / 2000 / total))
-        self.longest = max(map(len, self.cost))
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def split(self, label: str) -> tuple[str, ...]:
-        got = self.known.get(label)
-        if got is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            got = self.known[label] = self._split(label)
-        return got
+    The cheapest unknown last word comes from a running minimum, so the time is in proportion to the run and its words.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, end, cost in sorted(words):
+        ends.setdefault(end, []).append((start, cost))
+    best, came = [0.0], [0]
+    low, at = math.inf, 0  # least best[i] - LETTER * i, and the first such i
+    for j in range(1, len(run) + 1):
+        if best[j - 1] - LETTER * (j - 1) < low:
+            low, at = best[j - 1] - LETTER * (j - 1), j - 1
+        found = (low + UNKNOWN + LETTER * j, at)
+        for i, cost in ends.get(j, ()):
+            found = min(found, (best[i] + cost, i))
+        best.append(found[0])
+        came.append(found[1])
+    out, j = [], len(run)
+    while j:
+        out.append(run[came[j] : j])
+        j = came[j]
+    return out[::-1]
+
+
+def host_runs(host_: Column) -> Column:
+    """Runs of letters of a host, without the last label, which rules are for, and labels that are www."""
+    labels = F.filter(F.slice(F.split(host_, r"\."), F.lit(1), F.greatest(F.size(F.split(host_, r"\.")) - 1, F.lit(0))), lambda x: x != "www")
+    return F.flatten(F.transform(labels, lambda x: F.regexp_extract_all(x, F.lit("([a-z]+)"), F.lit(1))))
+
+
+def path_tokens(path_: Column) -> Column:
+    """Tokens of a path, each behind a slash; numbers are all one token."""
+    return F.transform(F.regexp_extract_all(F.lower(path_), F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda x: F.concat(F.lit("/"), F.when(x.rlike("^[0-9]"), "#").otherwise(x)))
+
+
+def lexicon(parts: DataFrame) -> DataFrame:
+    """w, n: counts of delimited tokens (letters only) of the rows of host, path: those of paths, and of host labels with hyphens. All of them.
 
-    def _split(self, label: str) -> tuple[str, ...]:
-        best, came = [0.0], [0]
-        for j in range(1, len(label) + 1):
-            low, at = math.inf, 0
-            for i in range(max(0, j - self.longest), j):
-                c = best[i] + self.cost.get(label[i:j], 12.0 + 2.5 * (j - i))  # an unknown word
-                if c < low:
-                    low, at = c, i
-            if j > self.longest and best[0] + 12.0 + 2.5 * j < low:
-                low, at = best[0] + 12.0 + 2.5 * j, 0
-            best.append(low)
-            came.append(at)
-        out, j = [], len(label)
-        while j:
-            out.append(label[came[j] : j])
-            j = came[j]
-        return tuple(out[::-1])
+    A whole label is no such token: it may be the concatenated name that has to be split.
+    """
+    found = F.concat(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), F.lit(1)), F.regexp_extract_all("host", F.lit("((?<=-)[a-z]+|[a-z]+(?=-))"), F.lit(1)))
+    return parts.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-_LABEL, _TOKEN = re.compile("[a-z]+"), re.compile("[a-z]+|[0-9]+")
+def _with_prior(counts: DataFrame) -> tuple[DataFrame, float]:
+    """w, n with common words and seeds at a share of PRIOR at least; and the total."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w, total * PRIOR) for w in sorted({*COMMON, *SEEDS})], "w string, n double")
+    every = counts.select("w", F.col("n").cast("double").alias("n")).unionByName(known).groupBy("w").agg(F.max("n").alias("n"))
+    return every, total * (1 + PRIOR * len({*COMMON, *SEEDS}))
 
 
-def tokens(host_: str, path_: str, segmenter: Segmenter) -> tuple[list[str], list[str]]:
-    """Host words (without the last label, which rules are for) and path tokens, where numbers are all one token."""
-    labels = host_.split(".")
-    words = [w for x in labels[:-1] if x != "www" for run in _LABEL.findall(x) for w in segmenter.split(run)]
-    return words, ["/#" if t[0].isdigit() else "/" + t for t in _TOKEN.findall(path_.lower())]
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From id, run: id, start, end, w of all substrings of 2 to LONGEST letters."""
+    for batch in batches:
+        for k, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for a in range(0, len(run), 1024):
+                cut = [(i, j) for i in range(a, min(a + 1024, len(run))) for j in range(i + 2, min(i + LONGEST, len(run)) + 1)]
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(cut)), pa.array([i for i, _ in cut], pa.int32()), pa.array([j for _, j in cut], pa.int32()), pa.array([run[i:j] for i, j in cut])], names=["id", "start", "end", "w"])
 
 
-def seeded(words: list[str]) -> bool:
-    found = [w for w in words if w in _SEEDS]
-    return any(w not in WEAK_SEEDS for w in found) or len(set(found)) > 1
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [viterbi(run, [(x["start"], x["end"], x["cost"]) for x in found or ()]) for run, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
 
 
-_SEEDS = frozenset(SEEDS)
+def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host, words for each distinct host, by the lexicon counts (w, n)."""
+    words, total = _with_prior(counts)
+    costs = words.select("w", (-F.log(F.col("n") / total)).alias("cost"))
+    runs = hosts.select("host", F.posexplode(host_runs(F.col("host"))).alias("at", "run")).withColumn("id", F.md5(F.col("run").cast("binary")))
+    runs = runtime.stored(runs, "runs")
+    distinct = runs.groupBy("id").agg(F.first("run").alias("run"))
+    found = distinct.mapInArrow(_substrings, "id string, start int, end int, w string").join(costs, "w").groupBy("id").agg(F.collect_list(F.struct("start", "end", "cost")).alias("found"))
+    split = distinct.join(found, "id", "left").select("id", "run", "found").mapInArrow(_split, "id string, words array<string>")
+    per = runs.join(split, "id").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    return hosts.join(per, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing over (words of class 0, words of class 1)."""
+def seeded(words: Column) -> Column:
+    """Whether a strong seed stands among a host's words, or two different weak ones."""
+    found = F.array_intersect(words, F.array(*(F.lit(w) for w in SEEDS)))
+    weak = F.size(F.array_intersect(found, F.array(*(F.lit(w) for w in WEAK_SEEDS))))
+    return (F.size(found) > weak) | (weak > 1)
 
-    def __init__(self, counts: dict[str, tuple[int, int]], tokens_: tuple[int, int], urls: tuple[int, int]):
-        size = len(counts) + 1
-        self.prior = math.log((urls[1] + 1) / (urls[0] + 1))
-        self.unseen = math.log(1 / (tokens_[1] + size)) - math.log(1 / (tokens_[0] + size))
-        self.odds = {w: math.log((b + 1) / (tokens_[1] + size)) - math.log((a + 1) / (tokens_[0] + size)) for w, (a, b) in counts.items()}
-        for w in _SEEDS - set(WEAK_SEEDS):
-            self.odds.setdefault(w, math.log(9))
 
-    def block(self, words: list[str]) -> float:
-        """The probability of class 1. A word never seen says nothing about either class."""
-        if not words:
-            return 0.0
-        x = self.prior + sum(self.odds.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+def odds(tokens: DataFrame, urls: DataFrame) -> tuple[DataFrame, float]:
+    """Of naive Bayes with add-one smoothing: w, odds (log, of class 1 against 0) from tokens (w, a, b: occurrences in class 0 and 1), and the prior from urls (kind, n)."""
+    size = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    n = {r["kind"]: r["n"] for r in urls.collect()}  # two rows
+    unseen = size[0] + 1
+    log = lambda c, total: F.log((F.col(c) + 1) / float(total + unseen))
+    return tokens.select("w", (log("b", size[2]) - log("a", size[1])).alias("odds")), math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
 
 
-def lexicon(parts: DataFrame) -> dict[str, float]:
-    """Shares of delimited tokens (letters only): those of paths, and of host labels with hyphens. As far as they are at least 1 / MODEL_WORDS.
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, p_block (naive Bayes) and tokens for each row of page_id, url.
 
-    A whole label is no such token: it may be the concatenated name that has to be split.
+    labels: page_id, blocked of some pages, from which the classes are learned; without them they come from the seeds.
     """
-    found = F.concat(F.regexp_extract_all(F.lower("path"), F.lit("([a-z]+)"), F.lit(1)), F.regexp_extract_all("host", F.lit("((?<=-)[a-z]+|[a-z]+(?=-))"), F.lit(1)))
-    runs = F.explode(found)
-    counts = runtime.stored(parts.select(runs.alias("w")).groupBy("w").count(), "lexicon")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    got = counts.filter(F.col("count") * MODEL_WORDS >= total).collect() if total else []
-    runtime.drop(counts)
-    return {r["w"]: r["count"] / total for r in got}
-
-
-def fit(parts: DataFrame, segmenter: Segmenter) -> Bayes:
-    """Counts over all rows of host, path: a row for each token and class from every batch, then summed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, rest = tokens(h, p, segmenter)
-                kind = seeded(words)
-                seen.update((w, kind) for w in (*words, *rest, ""))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen]), pa.array([int(k) for _, k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["w", "kind", "n"])
-
-    by = parts.select("host", "path").mapInArrow(count, "w string, kind long, n long")
-    sums = by.groupBy("w").agg(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("b"))
-    sums = runtime.stored(sums, "bayes")
-    urls = sums.filter("w = ''").select("a", "b").first() or (0, 0)
-    words = sums.filter("w != ''")
-    total = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    got = words.filter((F.col("a") + F.col("b")) * MODEL_WORDS >= total[0] + total[1]).collect()
-    runtime.drop(sums)
-    return Bayes({r["w"]: (r["a"], r["b"]) for r in got}, (total[0], total[1]), (urls[0], urls[1]))
-
-
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, p_block (naive Bayes) and tokens for each row of page_id, url."""
     runtime.prepare(pages.sparkSession)
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    segmenter = Segmenter(lexicon(parts))
-    bayes = fit(parts, segmenter)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [tokens(h, p, segmenter) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            every = [[*a, *b] for a, b in both]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bayes.block(x) for x in every], pa.float64()), pa.array(every, pa.list_(pa.string()))], names=["page_id", "host", "path", "p_block", "tokens"])
-
-    scored = parts.mapInArrow(score, "page_id long, host string, path string, p_block double, tokens array<string>")
+    counts = runtime.stored(lexicon(parts), "lexicon")
+    per_host = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    hosts = runtime.stored(segmented(runtime.stored(per_host.select("host"), "hosts"), counts).withColumn("kind", seeded(F.col("words")).cast("int")), "words")
+    runtime.drop(counts)
+    shaped = parts.select("*", path_tokens(F.col("path")).alias("rest")).withColumn("shape", F.md5(F.array_join("rest", " ").cast("binary")))
+    if labels is None:
+        taught = shaped.join(hosts.select("host", "kind"), "host").groupBy("host", "shape", "kind")
+    else:
+        known = labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("blocked").cast("int").alias("kind")).filter("kind IS NOT NULL").dropDuplicates(["page_id"])
+        taught = shaped.join(known, "page_id").groupBy("host", "shape", "kind")
+    taught = runtime.stored(taught.agg(F.count(F.lit(1)).alias("n")), "taught")
+    shapes = runtime.stored(shaped.groupBy("shape").agg(F.first("rest").alias("rest")), "shapes")
+    of_hosts = taught.groupBy("host", "kind").agg(F.sum("n").alias("n")).join(hosts.select("host", F.col("words").alias("t")), "host")
+    of_shapes = taught.groupBy("shape", "kind").agg(F.sum("n").alias("n")).join(shapes.select("shape", F.col("rest").alias("t")), "shape")
+    seen = of_hosts.select("kind", "n", F.explode("t").alias("w")).unionByName(of_shapes.select("kind", "n", F.explode("t").alias("w")))
+    in_class = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    tokens = runtime.stored(seen.groupBy("w").agg(in_class(0).alias("a"), in_class(1).alias("b")), "bayes")
+    log_odds, prior = odds(tokens, taught.groupBy("kind").agg(F.sum("n").alias("n")))
+
+    def scored(df: DataFrame, key: str, column: str) -> DataFrame:
+        """A token never seen says nothing about either class."""
+        return df.select(key, F.explode(column).alias("w")).join(log_odds, "w").groupBy(key).agg(F.sum("odds").alias(key + "_odds"))
+
+    out = shaped.join(hosts, "host").join(scored(hosts, "host", "words"), "host", "left").join(scored(shapes, "shape", "rest"), "shape", "left")
+    x = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0))
+    out = out.withColumn("p_block", F.when(F.size("words") + F.size("rest") == 0, 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), x))))))
     found, verdict = rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("p_block") > threshold, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", found.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block", "tokens")
+    return out.select("page_id", "host", "path", found.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block", F.concat("words", "rest").alias("tokens"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -523,7 +524,7 @@ def test_language(spark, docs, empty, texts):
 
 
 def test_urls(spark):
-    from tallyforge.llm.urlfilter import RULES, Bayes, Segmenter, judge
+    from tallyforge.llm.urlfilter import RULES, judge
 
     urls = [
         None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://example.org/en/2", "http://notexample.org", "https://x.com/fr/a", "https://com/de/x#f",
@@ -538,8 +539,63 @@ def test_urls(spark):
     assert got[10]["tokens"][:2] == ["free", "bets"] and got[12]["tokens"][:2] == ["book", "club"]
     assert [got[i]["verdict"] for i in (10, 11, 12)] == ["block", "block", "allow"] and (got[13]["host"], got[13]["path"]) == ("a.b", "") and got[14]["host"] == "ex.org" and got[15]["host"] == "Éx.net"
     assert judge(table.filter("false")).collect() == []
-    assert Segmenter({"cat": 0.5, "cats": 0.1, "sit": 0.4}).split("catsit") == ("cat", "sit") and Segmenter({}).split("") == ()
-    assert Bayes({}, (0, 0), (0, 0)).block(["new"]) == 0.5
+
+
+def test_viterbi_equals_all_splits():
+    from tallyforge.llm.urlfilter import LETTER, UNKNOWN, viterbi
+
+    r = random.Random(8)
+    for _ in range(300):
+        run = "".join(r.choice("abc") for _ in range(r.randrange(9)))
+        cost = {"".join(r.choice("abc") for _ in range(r.randrange(2, 4))): r.choice([1.0, 3.0, 14.0, 40.0]) for _ in range(6)}
+        best = math.inf
+        for bits in range(1 << max(0, len(run) - 1)):
+            cuts = [0, *(k + 1 for k in range(len(run) - 1) if bits >> k & 1), len(run)]
+            words_ = [run[a:b] for a, b in zip(cuts, cuts[1:])] if run else []
+            best = min(best, sum(min(cost.get(w, math.inf), UNKNOWN + LETTER * len(w)) for w in words_))
+        got = viterbi(run, [(i, i + len(w), c) for w, c in cost.items() for i in range(len(run)) if run.startswith(w, i)])
+        assert "".join(got) == run and sum(min(cost.get(w, math.inf), UNKNOWN + LETTER * len(w)) for w in got) == pytest.approx(best)
+    assert viterbi("catsit", [(0, 3, 1.0), (0, 4, 3.0), (3, 6, 1.0)]) == ["cat", "sit"] and viterbi("", []) == []
+
+
+def test_urls_equal_a_plain_version(spark):
+    """Lexicon, splits and naive Bayes of a table of concatenated names, by seeds and by labels, against a plain version; and held-out pages."""
+    from tallyforge.llm import urlfilter as u
+
+    r = random.Random(12)
+    good, bad = ["river", "stone", "bread", "cloud", "music", "paper"], ["casino", "bets", "slots", "prize", "lucky", "spin"]
+    rows = []
+    for i in range(400):
+        kind = i % 4 == 0
+        names = [r.choice(bad if kind else good) for _ in range(2)] + ([r.choice(good)] if r.random() < 0.3 else [])
+        r.shuffle(names)
+        tail = "/".join(r.choice(["en", "de", *(bad if kind else good)]) for _ in range(2))
+        rows.append((i, f"http://{''.join(names)}{r.choice(['', '-x', '1'])}.{r.choice(['com', 'net'])}/{tail}/{r.randrange(50)}", kind))
+    table = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    parts = {i: re.match("http://([^/]*)(.*)", x).groups() for i, x, _ in rows}
+    count = collections.Counter(w for h, p in parts.values() for w in [*re.findall("[a-z]+", p), *re.findall("(?<=-)[a-z]+|[a-z]+(?=-)", h)])
+    total, known = sum(count.values()), {*u.COMMON, *u.SEEDS}
+    n = {w: max(count[w], total * u.PRIOR if w in known else 0) for w in {*count, *known}}
+    cost = {w: -math.log(c / (total * (1 + u.PRIOR * len(known)))) for w, c in n.items()}
+
+    def split(run):
+        return u.viterbi(run, [(i, j, cost[run[i:j]]) for i in range(len(run)) for j in range(i + 2, min(i + u.LONGEST, len(run)) + 1) if run[i:j] in cost])
+
+    tokens = {i: ([w for x in h.split(".")[:-1] for run in re.findall("[a-z]+", x) for w in split(run)], ["/#" if t[0].isdigit() else "/" + t for t in re.findall("[a-z]+|[0-9]+", p)]) for i, (h, p) in parts.items()}
+    strong = set(u.SEEDS) - set(u.WEAK_SEEDS)
+    for some in (None, {i: k for i, _, k in rows if i % 3}):
+        kinds = {i: bool(strong & set(t[0])) or len(set(u.WEAK_SEEDS) & set(t[0])) > 1 for i, t in tokens.items()} if some is None else some
+        seen = [collections.Counter(w for i, k in kinds.items() if k == c for w in [*tokens[i][0], *tokens[i][1]]) for c in (0, 1)]
+        size, of = len({*seen[0], *seen[1]}) + 1, [sum(x.values()) for x in seen]
+        prior = math.log((sum(kinds.values()) + 1) / (len(kinds) - sum(kinds.values()) + 1))
+        labels = None if some is None else table.filter("page_id % 3 != 0").select("page_id", "blocked")
+        got = {x["page_id"]: x for x in u.judge(table, (), labels=labels).collect()}
+        for i, (a, b) in tokens.items():
+            x = prior + sum(math.log((seen[1][w] + 1) / (of[1] + size)) - math.log((seen[0][w] + 1) / (of[0] + size)) for w in [*a, *b] if seen[0][w] + seen[1][w])
+            assert got[i]["tokens"] == [*a, *b] and got[i]["p_block"] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9)
+        if some:
+            held = [i for i, _, _ in rows if i not in some]
+            assert sum((got[i]["verdict"] == "block") == rows[i][2] for i in held) >= 0.97 * len(held)
 
 
 def test_pipeline(spark, tmp_path):
