@@ -5,6 +5,10 @@ and three bytes, and the whole word (its lexicon entry). Transitions between nei
 AdaGrad on the conditional log-likelihood of a bounded sample of labelled texts. A text's language is the one with the largest mean
 posterior over its words, and that mean is the score.
 
+Labels are of whole texts, so a training text alone would only teach that a language never changes. Every third batch of the sample is
+therefore spliced: its texts are cut into stretches of SPLICE words on average, dealt anew, so that languages change within a sequence
+and the transitions learn both to stay and to move, as code-switched text asks for.
+
 Forward-backward runs on all words of many texts at once: texts are cut into blocks of BLOCK words, each block's product of transfer
 matrices is formed side by side, a pass over blocks joins them, and a second pass inside the blocks gives every word's posterior. That
 is exact for texts of any length.
@@ -30,6 +34,8 @@ from tallyforge.llm.text import ALNUM, Words, mix, ragged, slices
 
 #: The sample: SAMPLE texts of at most SAMPLE_BYTES, shared equally by the languages. Passes over it, and the step.
 SAMPLE, SAMPLE_BYTES, EPOCHS, STEP = 1200, 1 << 14, 2, 0.3
+#: Every so many batches one is spliced; words of its stretches on average.
+SPLICED, SPLICE = 3, 12
 FEATURE_BITS, BLOCK = 18, 32
 UNKNOWN = "und"
 
@@ -168,44 +174,65 @@ class Model:
         return words, posteriors(distinct.scores(self.weights).astype(np.float64)[distinct.back], words.first, self.transition)
 
 
+def spliced(first: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts in another order, and the new texts' borders: stretches of SPLICE words on average, dealt into as many sequences."""
+    n = int(first[-1])
+    edge = rng.random(n) < 1 / SPLICE
+    edge[first[:-1][np.diff(first) > 0]] = True
+    start = np.flatnonzero(edge)
+    size = np.diff(np.append(start, n))
+    by = rng.permutation(len(start))
+    order = ragged(start[by], size[by])
+    ends = np.cumsum(size[by])
+    some = ends[np.linspace(0, len(ends) - 1, len(first)).astype(int)[1:]] if len(ends) else np.zeros(0, np.int64)
+    return order, np.unique(np.concatenate([[0], some, [n]]))
+
+
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, batch: int = 24) -> Model:
     labels = sorted(set(langs))
     k, index = len(labels), {x: i for i, x in enumerate(labels)}
     weights, seen = np.zeros((1 << FEATURE_BITS, k)), np.full((1 << FEATURE_BITS, k), 1e-6)
     transition, seen_t = np.zeros((k, k)), np.full((k, k), 1e-6)
-    parts = []
-    order = np.random.default_rng(7).permutation(len(texts)).tolist()
+    parts, rng = [], np.random.default_rng(7)
+    order = rng.permutation(len(texts)).tolist()
     for a in range(0, len(order), batch):
         rows = order[a : a + batch]
         for lo, hi, data, offs in slices(pa.array([texts[i] for i in rows], pa.string())):
             words = Words(data, offs, _LETTERS, lower=True)
             if len(words):
-                parts.append((Distinct(words), words.first, np.repeat([index[langs[i]] for i in rows[lo:hi]], np.diff(words.first))))
+                distinct, gold = Distinct(words), np.repeat([index[langs[i]] for i in rows[lo:hi]], np.diff(words.first))
+                back, first = distinct.back, words.first
+                if len(parts) % SPLICED == SPLICED - 1:
+                    places, first = spliced(first, rng)
+                    back, gold = back[places], gold[places]
+                parts.append((distinct, back, first, gold))
     for _ in range(epochs if k > 1 else 0):
-        for distinct, first, gold in parts:
-            emission = distinct.scores(weights)[distinct.back]
+        for distinct, back, first, gold in parts:
+            emission = distinct.scores(weights)[back]
             p, moves = posteriors(emission, first, transition, moves=True)
             rest = -p
             rest[np.arange(len(gold)), gold] += 1
             # Words of one text stand or fall together, so a step is over the batch's texts, not its words.
-            by_word = np.stack([np.bincount(distinct.back, rest[:, j], distinct.n) for j in range(k)], axis=1) / len(first)
+            by_word = np.stack([np.bincount(back, rest[:, j], distinct.n) for j in range(k)], axis=1) / len(first)
             gradient = distinct.spread(by_word, weights.shape)
             touched = np.flatnonzero(gradient.any(axis=1))
             seen[touched] += gradient[touched] ** 2
             weights[touched] += STEP * gradient[touched] / np.sqrt(seen[touched])
             inner = np.ones(len(gold), bool)
             inner[first[:-1][np.diff(first) > 0]] = False
-            stays = np.diag(np.bincount(gold[inner], minlength=k).astype(float))  # a training text's language never changes within it
-            g = (stays - moves) / max(1, int(inner.sum())) - 1e-3 * transition
+            at = np.flatnonzero(inner)
+            made = np.bincount(gold[at - 1] * k + gold[at], minlength=k * k).reshape(k, k)
+            g = (made - moves) / max(1, len(at)) - 1e-3 * transition
             seen_t += g**2
-            transition += 0.1 * STEP * g / np.sqrt(seen_t)
+            transition += STEP * g / np.sqrt(seen_t)
     return Model(labels, weights.astype(np.float32), transition)
 
 
 def train(docs: DataFrame, teaches: Column | None = None) -> Model | None:
     """A model from rows of doc_id, text, lang that satisfy `teaches` and have a lang. None without such rows.
 
-    The sample is bounded: SAMPLE texts in all, of at most SAMPLE_BYTES each, chosen by a hash of doc_id and equally for each language.
+    The sample is bounded: SAMPLE texts in all, chosen by a hash of doc_id and equally for each language. Of a text of over SAMPLE_BYTES it
+    has a stretch of whole words, at a place chosen by a hash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull())
@@ -217,7 +244,12 @@ def train(docs: DataFrame, teaches: Column | None = None) -> Model | None:
     each = max(1, SAMPLE // len(counts))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     odds = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * each / n)))), F.col("lang"))
-    some = rows.filter((F.octet_length("text") <= SAMPLE_BYTES) & (share < odds))
+    chars = SAMPLE_BYTES // 4  # of four bytes at most
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
+    cut = F.substring("text", place, F.lit(chars))
+    whole = F.nullif(F.regexp_extract(cut, r"(?s)^\S*\s+(.*)\s", 1), F.lit(""))
+    part = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.coalesce(whole, cut))
+    some = rows.filter(F.col("text").isNotNull() & (share < odds)).withColumn("text", part)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     got = some.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).select("text", "lang").orderBy("lang", "text").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got]) if got else None
