@@ -44,7 +44,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes_pow, _words_pow = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_bytes_pow, _words_pow, _other_pow = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_U(0xA24BAED4963EE407 | 3))
 _TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
 _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
@@ -119,16 +119,19 @@ class Words:
         return len(self.starts)
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of `width` words; entry i is of words i to i + width - 1, whatever texts they belong to."""
+def window_hashes(hashes: np.ndarray, width: int, other: bool = False) -> np.ndarray:
+    """Hashes of all runs of `width` words; entry i is of words i to i + width - 1, whatever texts they belong to. other: by another function."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
+    powers = _other_pow if other else _words_pow
+    if other:
+        hashes = mix(hashes ^ _U(0x589965CC75374CC3))
     out = np.empty(n, _U)
     step = 1 << 19
     for a in range(0, n, step):
         b = min(n, a + step)
-        up, down = _words_pow.upto(b - a + width)
+        up, down = powers.upto(b - a + width)
         total = np.zeros(b - a + width, _U)
         np.cumsum(hashes[a : b + width - 1] * up[:-1], out=total[1:])
         out[a:b] = mix((total[width:] - total[: b - a]) * down[: b - a])
