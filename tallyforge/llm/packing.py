@@ -179,9 +179,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2) -
     runtime.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallyforge.llm.tokens import WordEncoder
+        from tallyforge.llm import tokens
 
-        encoder = WordEncoder(tokenizer)
+        encoder = tokens.encoder(tokenizer)
         packer = _Packer(sentence_ends(encoder.tokenizer), length, TaskContext.get().partitionId())
         rows: list[tuple] = []
         for batch in batches:

@@ -42,9 +42,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     runtime.prepare(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallyforge.llm.tokens import WordEncoder
+        from tallyforge.llm import tokens
 
-        encoder, shard, row, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, row, start = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):
                 n = hi - lo

@@ -1,16 +1,21 @@
-"""Token ids of whole texts by a public tokenizer file, with each distinct piece encoded once per worker."""
+"""Token ids of whole texts by a public tokenizer file, with each distinct piece encoded once per worker.
+
+Pieces are known by 64-bit hashes. A worker remembers at most CACHE_IDS ids, so that it ever takes one piece for another has a
+probability of about 1e-6.
+"""
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 from tallyforge.llm.text import ALNUM, NOT_SPACE, Words, ragged
 
 #: Token ids that a worker remembers at most; beyond that it forgets all and starts again.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 4_000_000
 
 _WORD = ALNUM.copy()
 _WORD[39] = True  # an apostrophe binds to what stands beside it
@@ -95,6 +100,12 @@ class WordEncoder:
         return ids, total[words.first]
 
 
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, which later tasks there use on."""
+    return WordEncoder(path)
+
+
 def _byte_letters() -> list[str]:
     """The character that byte-level BPE files write for each byte: itself if it prints, else one from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

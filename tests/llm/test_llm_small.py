@@ -448,6 +448,18 @@ def test_substrings(docs, empty, texts):
     assert repeats(empty).collect() == []
 
 
+def test_substrings_by_the_second_hash(docs, texts, monkeypatch):
+    """Where first hashes of windows hardly tell windows apart, the second ones decide."""
+    import pyarrow as pa
+    from tallyforge.llm import substring as m
+
+    entries = [(7, 1), (7, 5), (7, 9), (8, 2)]
+    table = pa.table({"range": pa.array([0], pa.int64()), "hashes": pa.array([np.array(entries, m._LONG).tobytes()], pa.binary())})
+    found = m._Found(table, 1, m._LONG)
+    asked = np.array([7, 7, 7, 8, 9, 7], np.uint64)
+    assert found.has_both(asked, lambda: np.array([9, 6, 1, 2, 1, 5], np.uint64)).tolist() == [True, False, True, True, False, True]
+
+
 def test_secrets(spark, docs, empty, texts):
     from tallyforge.llm.secretscan import redact, scan
 
@@ -523,6 +535,45 @@ def test_language(spark, docs, empty, texts):
     assert fit(["abc"], ["xx"]).labels == ["xx"]
 
 
+def test_language_of_held_out_texts(spark):
+    """Documents, and words of spliced texts, that the model has not seen."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from tallyforge.llm.langid import predict, train
+    from tallyforge.llm.text import slices
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).eqNullSafe(F.lit(2))
+    model = train(table, teaches=~held)
+    rows = table.filter(held).filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").collect()
+    got = {x["doc_id"]: x["lang_pred"] for x in predict(table.filter(held), model).collect()}
+    assert len(rows) > 150 and sum(got[x["doc_id"]] == x["lang"] for x in rows) >= 0.98 * len(rows)
+    r, good, total = random.Random(5), 0, 0
+    some = [x for x in rows if len(x["text"].split()) >= 50]
+    for _ in range(60):
+        parts = []
+        for _ in range(8):
+            x = r.choice(some)
+            w, n = x["text"].split(), r.randrange(5, 21)
+            a = r.randrange(len(w) - n)
+            parts.append((" ".join(w[a : a + n]).encode(), x["lang"]))
+        ends = np.cumsum([len(t) + 1 for t, _ in parts])
+        ((_, _, data, offs),) = slices(pa.array([b" ".join(t for t, _ in parts).decode()]))
+        found, p = model.words(data, offs)
+        truth = [parts[k][1] for k in np.searchsorted(ends, found.starts, "right")]
+        good, total = good + sum(model.labels[k] == x for k, x in zip(p.argmax(axis=1), truth)), total + len(truth)
+    assert good >= 0.97 * total
+
+
+def test_spliced():
+    from tallyforge.llm.langid import spliced
+
+    first = np.array([0, 0, 40, 41, 100])
+    order, borders = spliced(first, np.random.default_rng(3))
+    assert sorted(order.tolist()) == list(range(100)) and borders[0] == 0 and borders[-1] == 100 and (np.diff(borders) > 0).all()
+    assert (np.diff(order) != 1).sum() > 3
+
+
 def test_urls(spark):
     from tallyforge.llm.urlfilter import RULES, judge
 
