@@ -35,6 +35,17 @@ def log_bin(amount: Column, per_mille: int) -> Column:
     return F.floor(F.log(amount.cast("double")) / -math.log(1 - per_mille / 1000)).cast("long")
 
 
+def near_bins(amount: Column, per_mille: int) -> Column:
+    """The bins that amounts within per_mille of this one may lie in; for explode()."""
+    at = near_bin(amount, per_mille)
+    return F.array(at - 1, at, at + 1)
+
+
+def near_bin(amount: Column, per_mille: int) -> Column:
+    """log_bin; amounts that aren't positive lie in one bin of their own, as they are only near their equals."""
+    return F.coalesce(F.when(amount > 0, log_bin(amount, per_mille)), F.lit(-(1 << 40)))
+
+
 def normalize_amount(text: Column) -> Column:
     """A number from text: parentheses are negative; currency signs, commas and blanks go; null if no number is left."""
     bare = F.regexp_replace(F.trim(text), r"[$€£¥,\s()]", "")

@@ -13,6 +13,11 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in FORMATS))
 
 
+def day_bin(date: Column, days: int) -> Column:
+    """Bins of `days` days: a date at most `days` days before another lies in the same bin or the one before."""
+    return F.floor(F.unix_date(date) / days)
+
+
 def month(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 

@@ -23,6 +23,11 @@ def merged(first: Column, second: Column) -> Column:
     return F.map_concat(rest, second)
 
 
+def as_json(*columns: str) -> Column:
+    """The columns as JSON text: dates as ISO text, decimals as numbers, nulls left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def as_list(value: Column) -> Column:
     """A value as an array of it; null is an empty array."""
     return F.array_compact(F.array(value))

@@ -12,7 +12,17 @@ EXCLUDED_COST_CODES = ("overhead", "profit", "insurance", "bond", "fee")
 TOTAL_WORDS = ("total", "sum", "grand", "contract")
 REJECTED = ("reject", "denied", "decline")
 STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "each", "have", "will", "include", "including")
-SUBSTITUTIONS = (("reinforcement", "support"), ("hvac", "mechanical"), ("ceiling", "roof"), ("new", "additional"), ("vibration", "seismic"))
+SUBSTITUTIONS = (
+    ("reinforcement", "support"), ("reinforcement", "bracing"), ("hvac equipment", "mechanical equipment"), ("hvac", "mechanical"), ("ceiling", "roof"),
+    ("additional", "supplemental"), ("equipment support", "equipment mounting"), ("structural steel", "steel members"), ("new", "additional"),
+    ("upgrade", "modification"), ("mounting", "connection"), ("steel members", "steel reinforcement"), ("seismic", "structural"), ("vibration", "seismic"),
+)
+TECHNICAL = (
+    "structural", "reinforcement", "steel", "support", "hvac", "equipment", "mechanical", "electrical", "seismic", "bracing", "ceiling", "mounting", "installation",
+    "connection", "waterproofing", "concrete", "fastener", "connector", "beam", "column", "joist", "bracket", "anchoring", "load", "bearing", "frame", "vibration", "isolation", "engineering",
+)
+HVAC = ("hvac", "heating", "ventilation", "air conditioning", "cooling", "equipment", "mechanical", "air handler", "condenser", "compressor")
+DELIVERY = ("delivery", "equipment", "deliver", "shipment", "arrival", "receive")
 CONSTRUCTION = (
     "electrical", "hvac", "plumbing", "concrete", "foundation", "steel", "framing", "drywall", "insulation", "roofing", "window", "door", "flooring", "ceiling",
     "lighting", "paint", "finish", "hardware", "cabinet", "counter", "tile", "mechanical", "excavation", "grading", "demolition", "abatement", "remediation",
@@ -24,6 +34,19 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w]+", " "))
 
 
+def plain(text: Column) -> Column:
+    """Lower case, each mark of punctuation a blank."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
+
+
+def has_part(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether one of the parts stands anywhere in the lower-cased text; false for a null text."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for x in parts:
+        out |= low.contains(x)
+    return out
+
+
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalize(text), " "), lambda x: x != ""))
 
@@ -38,13 +61,14 @@ def bigrams(words: Column) -> Column:
 
 
 def blended_similarity(a: Column, b: Column) -> Column:
-    """0.3 words + 0.2 bigrams + 0.2 construction terms (Jaccard each) + 0.3 if a substitution pair is split between the texts."""
-    wa, wb = word_set(a), word_set(b)
-    terms = F.array(*(F.lit(x) for x in CONSTRUCTION))
+    """0.3 words + 0.2 bigrams + 0.2 technical terms (Jaccard each) + 0.3 if one side of a substitution stands in the one text, and its other side instead of it in the other."""
+    wa, wb, ta, tb = word_set(a), word_set(b), plain(a), plain(b)
+    terms = F.array(*(F.lit(x) for x in TECHNICAL))
     pair = F.lit(False)
     for x, y in SUBSTITUTIONS:
-        pair |= (F.array_contains(wa, x) & F.array_contains(wb, y)) | (F.array_contains(wa, y) & F.array_contains(wb, x))
-    return 0.3 * jaccard(wa, wb) + 0.2 * jaccard(bigrams(wa), bigrams(wb)) + 0.2 * jaccard(F.array_intersect(wa, terms), F.array_intersect(wb, terms)) + F.when(pair, 0.3).otherwise(0.0)
+        pair |= (ta.contains(x) & tb.contains(y) & ~tb.contains(x)) | (ta.contains(y) & tb.contains(x) & ~tb.contains(y))
+    row = lambda t: F.array_distinct(bigrams(F.filter(F.split(normalize(t), " "), lambda x: x != "")))
+    return 0.3 * jaccard(wa, wb) + 0.2 * jaccard(row(a), row(b)) + 0.2 * jaccard(F.array_intersect(wa, terms), F.array_intersect(wb, terms)) + F.when(pair, 0.3).otherwise(0.0)
 
 
 def keywords(text: Column) -> Column:

@@ -9,15 +9,14 @@ from pyspark.sql.window import Window
 from tallyforge.functions.amounts import cents, roundness
 from tallyforge.functions.dates import end_of_month, holidays, is_weekend, month
 from tallyforge.functions.texts import TOTAL_WORDS, any_word, jaccard, word_set
-
+from tallyforge.operators.sequences import with_groups
 
 BLOCK = 64
 
 
-def moments(value: Column, over=None) -> tuple[Column, Column]:
+def moments(value: Column) -> tuple[Column, Column]:
     """Mean and population standard deviation."""
-    mean, std = F.avg(value), F.stddev_pop(value)
-    return (mean, std) if over is None else (mean.over(over), std.over(over))
+    return F.avg(value), F.stddev_pop(value)
 
 
 def coarse(amount: Column, step: int = 100) -> Column:
@@ -68,9 +67,8 @@ def distribution_anomalies(items: DataFrame, z: float = 2.5, least_items: int =
     """Documents whose mean item amount stands out among those of their type and party."""
     d = items.groupBy("doc_id", "doc_type", "party").agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("amount"))).alias("s")).filter(F.col("n") >= least_items)
     d = d.withColumn("mean_amount", F.col("s") / F.col("n") / 100)
-    w = Window.partitionBy("doc_type", "party")
-    mean, std = moments(F.col("mean_amount"), w)
-    d = d.withColumns({"k": F.count(F.lit(1)).over(w), "group_mean": mean, "std": std})
+    mean, std = moments(F.col("mean_amount"))
+    d = with_groups(d, ("doc_type", "party"), k=F.count(F.lit(1)), group_mean=mean, std=std)
     return d.filter((F.col("k") >= least_docs) & (F.col("std") > 0)).withColumn("z", (F.col("mean_amount") - F.col("group_mean")) / F.col("std")).filter(F.abs("z") > z)
 
 
@@ -115,10 +113,9 @@ def end_of_month_clustering(documents: DataFrame, by: tuple[str, ...] = ("party"
 
 def end_of_month_anomalies(documents: DataFrame, factor: float = 2.0, least: int = 3, days: int = 3) -> DataFrame:
     """Documents of the last days of their month, where their party's share of documents, or of money, in those days exceeds factor times the days' share of the month."""
-    w = Window.partitionBy("party", "month")
     late = end_of_month(F.col("date_created"), days)
     d = documents.withColumns({"month": month(F.col("date_created")), "late": late, "dim": F.dayofmonth(F.last_day("date_created"))})
-    d = d.withColumns({"n": F.count(F.lit(1)).over(w), "k": F.sum(F.when(late, 1).otherwise(0)).over(w), "s": F.sum(cents(F.col("total"))).over(w), "m": F.sum(F.when(late, cents(F.col("total"))).otherwise(0)).over(w)})
+    d = with_groups(d, ("party", "month"), n=F.count(F.lit(1)), k=F.sum(F.when(F.col("late"), 1).otherwise(0)), s=F.sum(cents(F.col("total"))), m=F.sum(F.when(F.col("late"), cents(F.col("total"))).otherwise(0)))
     ratio = F.greatest(F.col("k") / F.col("n"), F.col("m") / F.col("s")) / (days / F.col("dim"))
     return d.withColumn("ratio", ratio).filter((F.col("n") >= least) & F.col("late") & (F.col("ratio") > factor))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.functions.amounts import cents
+from tallyforge.functions.amounts import cents, near_bin, near_bins
 from tallyforge.functions.json import number_at
-from tallyforge.functions.texts import blended_similarity
+from tallyforge.functions.texts import SUBSTITUTIONS, blended_similarity, plain, word_set
+from tallyforge.operators.ordered import ranked
+from tallyforge.storage import drop, stored
 
 #: Fee words, words that make them suspicious, and authorised percentages (fixed values).
 FEES = ("fee", "overhead", "markup", "profit", "premium", "surcharge", "admin", "supervision", "escalation")
@@ -18,9 +20,9 @@ AUTHORISED = {"markup": 15.0, "general_conditions": 10.0, "bond": 1.5, "insuranc
 
 def premature_billing(items: DataFrame, documents: DataFrame, per_mille: int = 5) -> DataFrame:
     """Payment and invoice items within per_mille of an approved change order of the project that is dated after them; the nearest such order."""
-    p = items.filter(F.col("doc_type").isin("payment_app", "invoice")).select("project_id", "item_id", F.col("date_created").alias("billed"), cents(F.col("amount")).alias("c"))
-    o = documents.filter("doc_type = 'change_order' AND status = 'approved'").select("project_id", F.col("doc_id").alias("order_id"), F.col("date_created").alias("approved"), cents(F.col("total")).alias("oc"))
-    j = p.join(o, "project_id").filter((F.col("approved") > F.col("billed")) & (F.abs(F.col("c") - F.col("oc")) * 1000 <= per_mille * F.col("oc")))
+    p = items.filter(F.col("doc_type").isin("payment_app", "invoice")).select("project_id", "item_id", F.col("date_created").alias("billed"), cents(F.col("amount")).alias("c"), near_bin(F.col("amount"), per_mille).alias("bin"))
+    o = documents.filter("doc_type = 'change_order' AND status = 'approved'").select("project_id", F.col("doc_id").alias("order_id"), F.col("date_created").alias("approved"), cents(F.col("total")).alias("oc"), F.explode(near_bins(F.col("total"), per_mille)).alias("bin"))
+    j = p.join(o, ["project_id", "bin"]).filter((F.col("approved") > F.col("billed")) & (F.abs(F.col("c") - F.col("oc")) * 1000 <= per_mille * F.col("oc")))
     return j.groupBy("project_id", "item_id").agg(F.min(F.struct(F.datediff("approved", "billed").alias("days"), "order_id")).alias("m")).select("project_id", "item_id", "m.order_id", "m.days")
 
 
@@ -41,20 +43,28 @@ def missing_documentation(items: DataFrame, relationships: DataFrame, words: str
 def rejected_scope(items: DataFrame, relationships: DataFrame, per_mille: int = 10) -> DataFrame:
     """Items of change orders with a rejection, and items of other documents of the project within per_mille of them; confidence 0.85."""
     r = relationships.filter("relationship_type = 'rejection'").select(F.col("source_doc_id").alias("doc_id")).distinct()
-    a = items.join(r, "doc_id", "left_semi").select("project_id", F.col("doc_id").alias("order_id"), F.col("item_id").alias("rejected_id"), cents(F.col("amount")).alias("rc"))
-    b = items.select("project_id", F.col("doc_id").alias("other_doc"), F.col("item_id").alias("other_id"), cents(F.col("amount")).alias("c"))
-    return a.join(b, "project_id").filter((F.col("order_id") != F.col("other_doc")) & (F.abs(F.col("c") - F.col("rc")) * 1000 <= per_mille * F.col("rc"))).withColumn("confidence", F.lit(0.85))
+    a = items.join(r, "doc_id", "left_semi").select("project_id", F.col("doc_id").alias("order_id"), F.col("item_id").alias("rejected_id"), cents(F.col("amount")).alias("rc"), F.explode(near_bins(F.col("amount"), per_mille)).alias("bin"))
+    b = items.select("project_id", F.col("doc_id").alias("other_doc"), F.col("item_id").alias("other_id"), cents(F.col("amount")).alias("c"), near_bin(F.col("amount"), per_mille).alias("bin"))
+    return a.join(b, ["project_id", "bin"]).drop("bin").filter((F.col("order_id") != F.col("other_doc")) & (F.abs(F.col("c") - F.col("rc")) * 1000 <= per_mille * F.col("rc"))).withColumn("confidence", F.lit(0.85))
 
 
 def scope_restoration(documents: DataFrame, items: DataFrame, least: float = 0.3) -> DataFrame:
     """Rejected change orders and the later change orders of the project that aren't rejected: likeness of their items' texts, and the share of the rejected total that they restore in all.
 
-    Each order's text is its distinct descriptions in order; pairs are those of one project.
+    Each order's text is its distinct descriptions in order. Pairs are those of one project that share a word, or have the two sides of a
+    substitution; others can't reach `least`.
     """
     text = items.filter("doc_type = 'change_order'").groupBy("doc_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set("description"))).alias("text"))
     o = documents.filter("doc_type = 'change_order'").join(text, "doc_id").select("project_id", "doc_id", "status", "date_created", cents(F.col("total")).alias("c"), "text")
-    r = o.filter("status = 'rejected'").select("project_id", F.col("doc_id").alias("rejected_id"), F.col("date_created").alias("d0"), F.col("c").alias("rc"), F.col("text").alias("t0"))
-    j = r.join(o.filter("status != 'rejected'"), "project_id").filter("date_created > d0").withColumn("alike", blended_similarity(F.col("t0"), F.col("text"))).filter(F.col("alike") >= least)
+    words = word_set(F.col("text"))
+    side = lambda k: F.array_compact(F.array(*(F.when(plain(F.col("text")).contains(p[k]), F.lit(f"{p[0]}/{p[1]}")) for p in SUBSTITUTIONS)))
+    token = lambda *columns: F.explode(F.array_distinct(F.concat(*columns))).alias("token")
+    mark = lambda c, m: F.transform(c, lambda x: F.concat(F.lit(m), x))
+    left = o.filter("status = 'rejected'").select("project_id", F.col("doc_id").alias("rejected_id"), F.col("date_created").alias("d0"), token(mark(words, "w"), mark(side(0), "0"), mark(side(1), "1")))
+    right = o.filter("status != 'rejected'").select("project_id", "doc_id", "date_created", token(mark(words, "w"), mark(side(1), "0"), mark(side(0), "1")))
+    near = left.join(right, ["project_id", "token"]).filter("date_created > d0").select("project_id", "rejected_id", "doc_id").distinct()
+    r = o.select(F.col("doc_id").alias("rejected_id"), F.col("c").alias("rc"), F.col("text").alias("t0"))
+    j = near.join(r, "rejected_id").join(o.select("doc_id", "c", "text"), "doc_id").withColumn("alike", blended_similarity(F.col("t0"), F.col("text"))).filter(F.col("alike") >= least)
     return j.groupBy("project_id", "rejected_id", "rc").agg(F.count(F.lit(1)).alias("orders"), F.max("alike").alias("alike"), F.sum("c").alias("restored")).withColumn("percent", F.col("restored") * 100.0 / F.col("rc"))
 
 
@@ -107,11 +117,7 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
     as ranks are distinct. Spans have at most `longest` places, so those that overlap lie in the same bin of that many places or the
     next, and the join is one of equality. Rounds are written to the shared folder.
     """
-    from tallyforge.storage import stored
-
-    w = Window.partitionBy(*by).orderBy(*priority, first, size)
-    left = stored(spans.withColumn("_rank", F.row_number().over(w)), "spans")
-    chosen = None
+    left, chosen = stored(ranked(spans, by, *priority, first, size, out="_rank"), "spans"), None
     for _ in range(rounds):
         a = left.select(*by, F.col("_rank").alias("r"), F.col(first).alias("f"), F.col(size).alias("s"), F.explode(F.array(*(F.floor(F.col(first) / longest) + k for k in (-1, 0, 1)))).alias("bin"))
         b = left.select(*by, F.col("_rank").alias("r2"), F.col(first).alias("f2"), F.col(size).alias("s2"), F.floor(F.col(first) / longest).alias("bin"))
@@ -122,7 +128,8 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
         gone = over.join(best.select(*by, F.col("_rank").alias("r2")), [*by, "r2"], "left_semi").select(*by, F.col("r").alias("_rank")).distinct()
         best = stored(best, "best")
         chosen = best if chosen is None else chosen.unionByName(best)
-        left = stored(left.join(best.select(*by, "_rank"), [*by, "_rank"], "left_anti").join(gone, [*by, "_rank"], "left_anti"), "spans")
+        old, left = left, stored(left.join(best.select(*by, "_rank"), [*by, "_rank"], "left_anti").join(gone, [*by, "_rank"], "left_anti"), "spans")
+        drop(old)
         if not left.limit(1).count():
             return chosen.drop("_rank")
     raise RuntimeError(f"overlaps did not settle in {rounds} rounds")

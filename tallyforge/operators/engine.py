@@ -14,7 +14,7 @@ def finding(df: DataFrame, kind: str, subject: str, confidence: str = "confidenc
 
 
 def suspicious_patterns(documents: DataFrame, items: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    """kind, subject, confidence, level of every detector's findings of enough confidence, surest first."""
+    """kind, subject, confidence, level of every detector's findings of enough confidence."""
     key = aggregates.coarse(F.col("amount"), 1)
     found = [
         finding(aggregates.recurring_amounts(items, key), "recurring_amount", "key"),
@@ -26,7 +26,7 @@ def suspicious_patterns(documents: DataFrame, items: DataFrame, min_confidence:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.filter(F.col("confidence") >= min_confidence).withColumn("level", confidence_level(F.col("confidence"))).orderBy(F.desc("confidence"), "kind", "subject")
+    return out.filter(F.col("confidence") >= min_confidence).withColumn("level", confidence_level(F.col("confidence")))
 
 
 def anomalies(items: DataFrame, documents: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def clusters(edges: DataFrame, least: int = 2) -> DataFrame:
 def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     """Simple directed cycles of 2 to `longest` edges, each once, as arrays that begin with their smallest vertex.
 
-    A path only grows through vertices above its first, so a cycle is found from its smallest vertex alone.
+    A path only grows through vertices above its first, so a cycle is found from its smallest vertex alone. Longer cycles are not sought:
+    in a dense graph there are exponentially many.
     """
     e = edges.select("src", "dst").distinct().filter("src != dst")
     paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("end"))
@@ -103,33 +104,52 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
     return ranks.select("id", "rank")
 
 
-def closeness(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """id, reached, total distance and closeness (reached / total) along at most `depth` edges out of each vertex. Grows with reachable pairs; for graphs of small components."""
-    e = edges.select("src", "dst").distinct().filter("src != dst")
-    level, every = e.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(1).alias("d")), None
-    every = level
-    for d in range(2, depth + 1):
-        level = level.join(e, F.col("to") == F.col("src")).select("id", F.col("dst").alias("to"), F.lit(d).alias("d")).distinct()
-        every = every.unionByName(level)
-    near = every.filter("id != to").groupBy("id", "to").agg(F.min("d").alias("d"))
-    return near.groupBy("id").agg(F.count(F.lit(1)).alias("reached"), F.sum("d").alias("total")).withColumn("closeness", F.col("reached") / F.col("total"))
-
+def distances(edges: DataFrame, depth: int | None = None) -> list[DataFrame]:
+    """For each distance 1, 2, ...: s, t, paths of the ordered pairs at that least distance, with the number of shortest paths between them.
 
-def betweenness(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """id, betweenness over shortest paths of at most `depth` edges: the share of each pair's shortest paths that a vertex lies inside, summed over pairs.
-
-    Grows with paths of that length; for graphs of small components.
+    Level by level until no new pair is found (or to `depth`), each level written once. In all there is a row for each pair that is
+    connected, which is what a closeness is made of; with large components give a depth.
     """
-    e = edges.select("src", "dst").distinct().filter("src != dst")
-    at = e.select(F.array("src", "dst").alias("path"), F.col("src").alias("s"), F.col("dst").alias("t"))
-    every = at
-    for _ in range(depth - 1):
-        at = at.join(e, F.col("t") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), "s", F.col("dst").alias("t"))
-        every = every.unionByName(at)
-    shortest = every.groupBy("s", "t", F.size("path").alias("n")).agg(F.count(F.lit(1)).alias("paths"))
-    least = shortest.groupBy("s", "t").agg(F.min(F.struct("n", "paths")).alias("m")).select("s", "t", "m.n", "m.paths")
-    inner = every.join(least, ["s", "t"]).filter((F.size("path") == F.col("n")) & (F.col("n") > 2)).select("paths", F.explode(F.slice("path", 2, F.col("n") - 2)).alias("id"))
-    return inner.groupBy("id").agg(F.sum(1 / F.col("paths")).alias("betweenness"))
+    e = stored(edges.select("src", "dst").distinct().filter("src != dst"), "links")
+    level = stored(e.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.lit(1.0).alias("paths")), "level")
+    levels, known = [level], level.select("s", "t")
+    while depth is None or len(levels) < depth:
+        step = level.join(e, F.col("t") == F.col("src")).filter("s != dst").groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
+        level = stored(step.join(known, ["s", "t"], "left_anti"), "level")
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+        known = known.unionByName(level.select("s", "t"))
+    return levels
+
+
+def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, reached, total distance and closeness (reached / total) along the edges out of each vertex, of all vertices that can be reached (or those within `depth`)."""
+    per = [level.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("d", F.lit(d)) for d, level in enumerate(distances(edges, depth), 1)]
+    every = per[0]
+    for p in per[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("id").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("d")).alias("total")).withColumn("closeness", F.col("reached") / F.col("total"))
+
+
+def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, betweenness: the share of each pair's shortest paths that a vertex lies inside, summed over pairs (or those within `depth`).
+
+    Shortest paths are counted by level, and shares are handed back from the last level to the first; no path is a row.
+    """
+    levels = distances(edges, depth)
+    e = stored(edges.select("src", "dst").distinct().filter("src != dst"), "links")
+    below, shares = levels[-1].select("s", "t", "paths", F.lit(0.0).alias("share")), []
+    for level in reversed(levels[:-1]):
+        after = below.select(F.col("s").alias("s2"), F.col("t").alias("w"), F.col("paths").alias("p2"), "share")
+        given = level.join(e, F.col("t") == F.col("src")).join(after, (F.col("s") == F.col("s2")) & (F.col("dst") == F.col("w")))
+        share = given.groupBy("s", "t").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("share"))).alias("share"))
+        below = stored(level.join(share, ["s", "t"], "left").select("s", "t", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
+        shares.append(below.filter("share > 0").select(F.col("t").alias("id"), "share"))
+    every = levels[-1].filter("false").select(F.col("t").alias("id"), F.lit(0.0).alias("share"))
+    for x in shares:
+        every = every.unionByName(x)
+    return every.groupBy("id").agg(F.sum("share").alias("betweenness"))
 
 
 def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -145,5 +165,6 @@ def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
         # One row.
         x = y.crossJoin(F.broadcast(length)).select("id", (F.col("score") / F.col("length")).alias("score"))
         if r % 2 or r + 1 == rounds:
-            x = stored(x, "scores")
+            old, x = x, stored(x, "scores")
+            drop(old)
     return x

@@ -145,3 +145,25 @@ def run_sql(spark: SparkSession, query: str, args: dict | None = None) -> DataFr
 def description_similarity(items: DataFrame, text: str) -> DataFrame:
     """Distinct descriptions by word overlap with a text."""
     return items.select("description").distinct().withColumn("score", jaccard(word_set(F.col("description")), word_set(F.lit(text))))
+
+
+def flags_by_type(flags: DataFrame, flag_type: str, min_confidence: float | None = None, status: str | None = None) -> DataFrame:
+    """Analysis flags of a type, of enough confidence and with a status where those are asked for; surest first."""
+    f = flags.filter(F.col("flag_type") == flag_type)
+    f = f if min_confidence is None else f.filter(F.col("confidence") >= min_confidence)
+    f = f if status is None else f.filter(F.col("status") == status)
+    return f.orderBy(F.desc("confidence"), "flag_id")
+
+
+def registered_matches(matches: DataFrame, item_ids: DataFrame) -> DataFrame:
+    """Registered matches (source_item_id, target_item_id) that touch one of the items (item_id) at either end, each once."""
+    ids = item_ids.select("item_id").distinct()
+    a = matches.join(ids, matches["source_item_id"] == ids["item_id"], "left_semi")
+    b = matches.join(ids, matches["source_item_id"] == ids["item_id"], "left_anti").join(ids, matches["target_item_id"] == ids["item_id"], "left_semi")
+    return a.unionByName(b)
+
+
+def known_matches(matches: DataFrame, found: DataFrame) -> DataFrame:
+    """Registered matches whose two items are a pair of found (a_item_id, b_item_id), in either order."""
+    f = found.select(F.least("a_item_id", "b_item_id").alias("x"), F.greatest("a_item_id", "b_item_id").alias("y")).distinct()
+    return matches.join(f, (F.least("source_item_id", "target_item_id") == f["x"]) & (F.greatest("source_item_id", "target_item_id") == f["y"]), "left_semi")

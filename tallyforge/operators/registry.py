@@ -34,3 +34,24 @@ def in_projects(df: DataFrame, projects: list | None = None) -> DataFrame:
 def copy_project(df: DataFrame, source, target) -> DataFrame:
     """A project's rows under another project's id."""
     return df.filter(F.col("project_id") == source).withColumn("project_id", F.lit(target).cast(df.schema["project_id"].dataType))
+
+
+def merged_results(results: dict[str, DataFrame]) -> DataFrame:
+    """Results of the same operator over several projects in one frame, each row with its project_id."""
+    out = None
+    for project, df in sorted(results.items()):
+        one = df.drop("project_id").withColumn("project_id", F.lit(project))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("there are no results to merge")
+    return out
+
+
+def projects(df: DataFrame) -> DataFrame:
+    """project_id and rows of every project."""
+    return df.groupBy("project_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def without_project(df: DataFrame, project) -> DataFrame:
+    """All rows but a project's; rows without a project stay."""
+    return df.filter(~F.col("project_id").eqNullSafe(F.lit(project)))

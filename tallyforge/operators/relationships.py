@@ -5,54 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.dates import day_bin
+
 RELATIONS = "source_doc_id bigint, target_doc_id bigint, relationship_type string, confidence double"
 
 
-def pair_rules(documents: DataFrame) -> DataFrame:
-    """project_id, source_doc_id, target_doc_id, relationship_type, confidence for all pairs of documents of a project, the first dated before the second (or, on the same day, with the smaller id).
+#: Pairs of document types that are related whatever their dates: from the first to the second.
+TYPE_PAIRS = (("change_order", "correspondence"), ("change_order", "payment_app"), ("change_order", "invoice"), ("payment_app", "invoice"), ("correspondence", "invoice"), ("contract", "invoice"), ("invoice", "payment_app"))
+
+
+def pair_rules(documents: DataFrame, days: int = 30) -> DataFrame:
+    """project_id, source_doc_id, target_doc_id, relationship_type, confidence of documents of a project. Documents without a date are related with none.
 
     Change order and correspondence: rejection (0.95) or correspondence (0.85). Change order and payment: referenced_in (0.8), and
     rejected_reappearing (0.9) if it was rejected. Anything and invoice: related_invoice (0.85), and rejected_reappearing for a
-    rejected change order; invoice and payment: referenced_in (0.85). Two payments, or change orders, with successive numbers:
-    sequential (0.95). Two of another same type: revision (0.85) if only the later's file name says so. Within 30 days, otherwise:
-    approval (0.9) for a change order and correspondence, else parent_child (0.75).
+    rejected change order; invoice and payment: referenced_in (0.85). Two payments, or change orders, with successive numbers, in order of
+    dates: sequential (0.95). Two of another same type: revision (0.85) if only the later's file name says so. Within `days` days,
+    otherwise: approval (0.9) for a change order and later correspondence, else parent_child (0.75). Of one day the smaller id is first.
+
+    The rules of types relate all pairs of such documents of a project, so their result has that many rows by definition. The others are
+    equality joins: on successive numbers, and on bins of dates.
     """
     cols = ("doc_id", "doc_type", "status", "date_created", "number", "file_name")
-    a = documents.select("project_id", *(F.col(c).alias("a_" + c) for c in cols))
-    b = documents.select("project_id", *(F.col(c).alias("b_" + c) for c in cols))
+    dated = documents.filter("date_created IS NOT NULL").select("project_id", *cols)
+    side = lambda p, *more: dated.select("project_id", *(F.col(c).alias(p + c) for c in cols), *more)
     before = (F.col("a_date_created") < F.col("b_date_created")) | ((F.col("a_date_created") == F.col("b_date_created")) & (F.col("a_doc_id") < F.col("b_doc_id")))
-    pairs = a.join(b, "project_id").filter(before)
-    t = lambda x, y: (F.col("a_doc_type") == x) & (F.col("b_doc_type") == y)
-    either = lambda x, y: t(x, y) | t(y, x)
-    rejected = lambda side: F.col(side + "status") == "rejected"
-    ab, ba = ("a_doc_id", "b_doc_id"), ("b_doc_id", "a_doc_id")
-
-    def rule(when, ends, kind, confidence):
-        return F.when(when, F.struct(F.col(ends[0]).alias("source_doc_id"), F.col(ends[1]).alias("target_doc_id"), F.lit(kind).alias("relationship_type"), F.lit(confidence).alias("confidence")))
-
-    def ordered(first, second, kind, confidence, extra=None):
-        """A rule for either order of dates, always from `first` to `second`."""
-        yes = F.lit(True) if extra is None else None
-        return [rule(t(first, second) & (yes if extra is None else extra("a_", "b_")), ab, kind, confidence), rule(t(second, first) & (yes if extra is None else extra("b_", "a_")), ba, kind, confidence)]
-
-    close = F.datediff("b_date_created", "a_date_created") <= 30
-    same = F.col("a_doc_type") == F.col("b_doc_type")
-    numbered = same & F.col("a_doc_type").isin("payment_app", "change_order")
-    revised = same & ~numbered & F.col("b_file_name").rlike("rev|version|update") & ~F.col("a_file_name").rlike("rev|version|update")
-    rules = [
-        *ordered("change_order", "correspondence", "rejection", 0.95, lambda o, c: rejected(c)),
-        *ordered("change_order", "correspondence", "correspondence", 0.85, lambda o, c: ~rejected(c)),
-        *ordered("change_order", "payment_app", "referenced_in", 0.8),
-        *ordered("change_order", "payment_app", "rejected_reappearing", 0.9, lambda o, p: rejected(o)),
-        *(r for x in ("change_order", "payment_app", "correspondence", "contract") for r in ordered(x, "invoice", "related_invoice", 0.85)),
-        *ordered("change_order", "invoice", "rejected_reappearing", 0.9, lambda o, i: rejected(o)),
-        *ordered("invoice", "payment_app", "referenced_in", 0.85),
-        rule(numbered & (F.col("b_number") == F.col("a_number") + 1), ab, "sequential", 0.95),
-        rule(close & revised, ab, "revision", 0.85),
-        rule(close & t("change_order", "correspondence"), ab, "approval", 0.9),
-        rule(close & ~same & ~either("change_order", "correspondence"), ab, "parent_child", 0.75),
-    ]
-    return pairs.select("project_id", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("project_id", "r.*")
+    relation = lambda kind, confidence: F.struct(kind.alias("relationship_type"), F.lit(confidence).alias("confidence"))
+    of = lambda kind, confidence: relation(F.lit(kind), confidence)
+    ends = ("project_id", F.col("a_doc_id").alias("source_doc_id"), F.col("b_doc_id").alias("target_doc_id"))
+
+    role = lambda k, column: F.explode(F.array_compact(F.array(*(F.when(column == p[k], F.lit(">".join(p))) for p in TYPE_PAIRS)))).alias("pair")
+    typed = side("a_", role(0, F.col("doc_type"))).join(side("b_", role(1, F.col("doc_type"))), ["project_id", "pair"]).filter(F.col("a_doc_id") != F.col("b_doc_id"))
+    pair, refused = F.col("pair"), (F.col("a_doc_type") == "change_order") & (F.col("a_status") == "rejected")
+    kinds = F.array_compact(F.array(
+        F.when(pair == "change_order>correspondence", F.when(F.col("b_status") == "rejected", of("rejection", 0.95)).otherwise(of("correspondence", 0.85))),
+        F.when(pair == "change_order>payment_app", of("referenced_in", 0.8)), F.when(pair == "invoice>payment_app", of("referenced_in", 0.85)),
+        F.when(F.col("b_doc_type") == "invoice", of("related_invoice", 0.85)), F.when(refused & pair.isin("change_order>payment_app", "change_order>invoice"), of("rejected_reappearing", 0.9)),
+    ))
+    out = typed.select(*ends, F.explode(kinds).alias("r"))
+
+    numbered = F.col("doc_type").isin("payment_app", "change_order")
+    a = side("a_", F.col("doc_type").alias("t"), (F.col("number") + 1).alias("k")).filter(F.col("a_doc_type").isin("payment_app", "change_order"))
+    b = side("b_", F.col("doc_type").alias("t"), F.col("number").alias("k")).filter(F.col("b_doc_type").isin("payment_app", "change_order"))
+    out = out.unionByName(a.join(b, ["project_id", "t", "k"]).filter(before).select(*ends, of("sequential", 0.95).alias("r")))
+
+    at = day_bin(F.col("date_created"), days + 1)
+    named = F.coalesce(F.col("file_name").rlike("rev|version|update"), F.lit(False))
+    near = side("a_", at.alias("bin"), numbered.alias("a_numbered"), named.alias("a_named")).join(side("b_", F.explode(F.array(at - 1, at)).alias("bin"), named.alias("b_named")), ["project_id", "bin"])
+    near = near.filter(before & (F.datediff("b_date_created", "a_date_created") <= days))
+    types = F.concat_ws(">", "a_doc_type", "b_doc_type")
+    close = F.when(F.col("a_doc_type") == F.col("b_doc_type"), F.when(~F.col("a_numbered") & F.col("b_named") & ~F.col("a_named"), of("revision", 0.85)))
+    close = close.when(types == "change_order>correspondence", of("approval", 0.9)).when(types != "correspondence>change_order", of("parent_child", 0.75))
+    out = out.unionByName(near.select(*ends, close.alias("r")).filter("r IS NOT NULL"))
+    return out.select("project_id", "source_doc_id", "target_doc_id", "r.*")
 
 
 def two_hops(relationships: DataFrame, doc_id) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.amounts import format_currency
 from tallyforge.operators import aggregates, engine
+from tallyforge.operators.ordered import ranked
 
 
 def sheets(documents: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
@@ -30,12 +31,10 @@ def write_sheets(tables: dict[str, DataFrame], path: str, form: str = "csv") ->
 
 def evidence(findings: DataFrame, items: DataFrame) -> DataFrame:
     """Findings (kind, subject, confidence) about items with the item's document, amount and a citation, numbered by confidence within their kind."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("kind").orderBy(F.desc("confidence"), "subject")
     one = items.select(F.col("item_id").alias("subject"), "doc_id", "description", "amount").dropDuplicates(["subject"])
     cite = F.concat_ws(" ", F.col("description"), F.lit("for"), format_currency(F.col("amount")), F.lit("in document"), F.col("doc_id").cast("string"))
-    return findings.join(one, "subject").withColumns({"evidence": F.concat(F.lit("evidence_"), F.row_number().over(w).cast("string")), "citation": cite})
+    found = ranked(findings.join(one, "subject"), ("kind",), F.desc("confidence"), "subject", out="_k")
+    return found.withColumns({"evidence": F.concat(F.lit("evidence_"), (F.col("_k") + 1).cast("string")), "citation": cite}).drop("_k")
 
 
 def amount_sentence(items: DataFrame, amount: float) -> DataFrame:
@@ -52,3 +51,46 @@ def markdown(title: str, tables: dict[str, DataFrame], rows: int = 20) -> str:
         out += ["", f"## {name.replace('_', ' ').title()}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(rows).collect()]
     return "\n".join(out) + "\n"
+
+
+def narrative(documents: DataFrame, items: DataFrame, disputed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """section, text: sentences on the whole, on disputed amounts (item_id, why), and on patterns (kind, confidence)."""
+    n = engine.summary(documents, items)
+    dollars = lambda c: format_currency(F.coalesce(c, F.lit(0)).cast("decimal(25,2)"))
+    d = disputed.join(items.select("item_id", "amount").dropDuplicates(["item_id"]), "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+    p = patterns.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("high"))
+    # One row each.
+    one = n.crossJoin(d.select(F.col("total").alias("disputed")))
+    return (
+        one.select(F.lit("summary").alias("section"), F.concat(F.lit("Of "), F.col("documents").cast("string"), F.lit(" documents with "), F.col("items").cast("string"), F.lit(" line items, "), dollars(F.col("disputed")), F.lit(" is in dispute.")).alias("text"))
+        .unionByName(d.select(F.lit("disputed amounts").alias("section"), F.when(F.col("n") == 0, "No disputed amounts were found.").otherwise(F.concat(F.col("n").cast("string"), F.lit(" disputed amounts come to "), dollars(F.col("total")), F.lit("."))).alias("text")))
+        .unionByName(p.select(F.concat(F.lit("pattern: "), F.col("kind")).alias("section"), F.concat(F.col("n").cast("string"), F.lit(" findings, confidence up to "), F.format_number("high", 2), F.lit(".")).alias("text")))
+    )
+
+
+def document_reports(documents: DataFrame, items: DataFrame, relationships: DataFrame) -> DataFrame:
+    """doc_id, text: a sentence on every document: its type, party, date, items, total, and relations."""
+    i = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("sum"))
+    ends = relationships.select(F.explode(F.array("source_doc_id", "target_doc_id")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("relations"))
+    d = documents.join(i, "doc_id", "left").join(ends, "doc_id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    text = F.concat(F.coalesce("doc_type", F.lit("document")), F.lit(" of "), F.coalesce("party", F.lit("unknown")), F.lit(", "), F.coalesce(F.col("date_created").cast("string"), F.lit("undated")), F.lit(": "), number(F.col("n")), F.lit(" items, "), format_currency(F.coalesce("sum", F.lit(0)).cast("decimal(25,2)")), F.lit(", "), number(F.col("relations")), F.lit(" relations"))
+    return d.select("doc_id", text.alias("text"))
+
+
+def timeline_sentences(documents: DataFrame) -> DataFrame:
+    """project_id, text: the span of each project's documents, how many there are, and how many of each type."""
+    n = documents.filter("doc_type IS NOT NULL").groupBy("project_id", "doc_type").agg(F.count(F.lit(1)).alias("n"))
+    types = n.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_type", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["doc_type"])), ", ").alias("types"))
+    span = documents.groupBy("project_id").agg(F.count(F.lit(1)).alias("k"), F.min("date_created").alias("first"), F.max("date_created").alias("last"))
+    text = F.concat(F.lit("From "), F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string"), F.lit(" ("), F.datediff("last", "first").cast("string"), F.lit(" days), "), F.col("k").cast("string"), F.lit(" documents: "), F.coalesce("types", F.lit("of no known type")))
+    return span.join(types, "project_id", "left").select("project_id", F.coalesce(text, F.concat(F.col("k").cast("string"), F.lit(" documents without a clear timeline"))).alias("text"))
+
+
+def amount_tables(items: DataFrame, documents: DataFrame, amount: float) -> dict[str, DataFrame]:
+    """The tables of one amount: summary, matches, anomalies."""
+    from tallyforge.operators import matching
+
+    found = matching.exact_matches(items, amount)
+    odd = engine.anomalies(items, documents)
+    return {"summary": amount_sentence(items, amount), "matches": found.select("item_id", "doc_id", "description", "amount", "date_created"), "anomalies": odd.join(found.select(F.col("item_id").alias("subject")), "subject", "left_semi")}

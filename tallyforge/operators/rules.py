@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.functions.amounts import cents, roundness
-from tallyforge.functions.texts import CONSTRUCTION, EXCLUDED_COST_CODES, any_word, jaccard, suspiciousness, word_set
+from tallyforge.functions.amounts import cents, near_bin, near_bins, roundness
+from tallyforge.functions.dates import day_bin
+from tallyforge.functions.texts import CONSTRUCTION, DELIVERY, EXCLUDED_COST_CODES, HVAC, any_word, has_part, jaccard, suspiciousness, word_set
 from tallyforge.operators.aggregates import category_averages
+from tallyforge.operators.components import components
 
 
 def reappearing_amounts(items: DataFrame, tolerance_cents: int = 1) -> DataFrame:
@@ -58,9 +60,10 @@ def missing_change_orders(items: DataFrame, documents: DataFrame, least: float =
     Confidence 0.8, 0.1 more over 10,000, 0.05 more with a word of changed scope; at most 0.95.
     """
     p = items.filter(F.col("doc_type").isin("payment_app", "invoice") & (F.col("amount") > least)).select("project_id", "item_id", "doc_id", "description", "amount", F.col("date_created").alias("billed"))
-    o = documents.filter("doc_type = 'change_order'").select("project_id", cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"), "status")
+    o = documents.filter("doc_type = 'change_order'").select(F.col("project_id").alias("project"), cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"), "status", F.explode(near_bins(F.col("total"), per_mille)).alias("bin"))
     c = cents(F.col("amount"))
-    j = p.join(o, (p["project_id"] == o["project_id"]) & (F.col("ordered") <= F.col("billed")) & (F.abs(F.col("oc") - c) * 1000 <= per_mille * c), "left").drop(o["project_id"])
+    # An equality join on project and bin of the amount.
+    j = p.join(o, (p["project_id"] == o["project"]) & (near_bin(F.col("amount"), per_mille) == F.col("bin")) & (F.col("ordered") <= F.col("billed")) & (F.abs(F.col("oc") - c) * 1000 <= per_mille * c), "left").drop("project", "bin")
     g = j.groupBy("project_id", "doc_id", "item_id", "description", "amount").agg(F.count("status").alias("orders"), F.coalesce(F.sum(F.when(F.col("status") != "rejected", 1)), F.lit(0)).alias("valid"))
     scope = any_word(F.col("description"), ("add", "extra", "additional", "new", "change", "modify"))
     conf = F.least(F.lit(0.95), 0.8 + F.when(F.col("amount") > 10_000, 0.1).otherwise(0.0) + F.when(scope, 0.05).otherwise(0.0))
@@ -84,10 +87,35 @@ def math_error_summary(items: DataFrame, documents: DataFrame) -> DataFrame:
     return g.withColumn("systematic", F.col("benefits") >= 3)
 
 
-def similar_items_prices(items: DataFrame, least_cv: float = 0.2) -> DataFrame:
-    """Descriptions with two or more unit prices whose coefficient of variation exceeds least_cv."""
+def description_groups(items: DataFrame, by: tuple[str, ...] = (), least: float = 0.3) -> DataFrame:
+    """Distinct descriptions (of each group of `by`) with their group of like ones: by..., description, like, the smallest description that is linked to it, directly or not.
+
+    A link: blank-separated, lower-cased words in common are `least` or more of those in either. Two such descriptions share one of the
+    rarest words of each, as many as the share leaves open, so they are joined on those words and then compared; only distinct
+    descriptions are, and rare words come first. Null and blank descriptions are alike only to themselves.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("description"), r"\s+"), lambda x: x != ""))
+    d = items.select(*by, "description").distinct().withColumn("id", F.xxhash64(*by, "description"))
+    w = d.withColumn("w", words).filter(F.size("w") > 0)
+    often = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    per = w.select("id", F.explode("w").alias("word")).join(often, "word").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("rare"))
+    keep = F.size("rare") - F.ceil(F.size("rare") * least).cast("int") + 1
+    w = w.join(per, "id")
+    s = w.select(*by, "id", "w", F.explode(F.slice("rare", F.lit(1), keep)).alias("word"))
+    other = s.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("id").alias("id2"), F.col("w").alias("w2"), F.col("word").alias("word2"))
+    on = (F.col("word") == F.col("word2")) & (F.col("id") < F.col("id2"))
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    links = s.join(other, on).filter(jaccard(F.col("w"), F.col("w2")) >= least).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    roots = d.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = roots.groupBy("root").agg(F.min("description").alias("like"))
+    return roots.join(names, "root").select(*by, "description", "like")
+
+
+def similar_items_prices(items: DataFrame, least_cv: float = 0.2, column: str = "description") -> DataFrame:
+    """Descriptions (or groups of them: column) with two or more unit prices whose coefficient of variation exceeds least_cv."""
     p = F.col("amount").cast("double") / F.col("quantity")
-    g = items.filter("quantity > 0").withColumn("p", p).groupBy("description").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
+    g = items.filter("quantity > 0").withColumn("p", p).groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"))
     g = g.filter("n >= 2").withColumn("cv", F.col("std") / F.col("mean")).filter(F.col("cv") > least_cv)
     c = 0.7 + F.least(F.lit(0.15), 0.3 * F.col("cv")) + F.least(F.lit(0.1), 0.1 * (F.col("high") - F.col("low")) / F.col("mean")) + F.least(F.lit(0.1), 0.02 * (F.col("n") - 2))
     return g.withColumn("confidence", F.least(F.lit(0.95), c))
@@ -95,11 +123,25 @@ def similar_items_prices(items: DataFrame, least_cv: float = 0.2) -> DataFrame:
 
 def outlier_pricing(items: DataFrame) -> DataFrame:
     """Items whose unit price is over twice, or under half, their description's mean."""
-    w = Window.partitionBy("description")
-    p = items.filter("quantity > 0").withColumn("price", F.col("amount").cast("double") / F.col("quantity")).withColumns({"n": F.count(F.lit(1)).over(w), "mean": F.avg("price").over(w)})
+    p = items.filter("quantity > 0").withColumn("price", F.col("amount").cast("double") / F.col("quantity"))
+    g = p.groupBy(F.col("description").alias("_d")).agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean"))
+    p = p.join(g, F.col("description").eqNullSafe(F.col("_d"))).drop("_d")
     return p.filter((F.col("n") >= 2) & ((F.col("price") > 2 * F.col("mean")) | (F.col("price") < 0.5 * F.col("mean"))))
 
 
+def hvac_duplicates(items: DataFrame, key: Column) -> DataFrame:
+    """Amounts (key) that two or more items have, of which two name HVAC equipment, or one names it and one a delivery; confidence 0.95."""
+    hvac, delivery = has_part(F.col("description"), HVAC).cast("int"), has_part(F.col("description"), DELIVERY).cast("int")
+    g = items.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(hvac).alias("hvac"), F.sum(delivery).alias("delivery"))
+    return g.filter("n >= 2 AND (hvac >= 2 OR (hvac > 0 AND delivery > 0))").withColumn("confidence", F.lit(0.95))
+
+
+def explained(anomalies: DataFrame) -> DataFrame:
+    """Rows of features() with reasons: why each is unusual by fixed thresholds, or that its features are together."""
+    reasons = F.array_compact(F.array(F.when(F.col("amount") > 100_000, "large amount"), F.when(F.col("length") < 5, "very short description"), F.when((F.col("round") > 0.5) & (F.col("amount") > 10_000), "round large amount"), F.when(F.col("day") >= 28, "end of month")))
+    return anomalies.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("features unusual together"))))
+
+
 def duplicate_in_document(items: DataFrame) -> DataFrame:
     """Amounts that stand more than once in a document."""
     return items.groupBy("doc_id", "amount").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("description").alias("descriptions")).filter("n > 1")
@@ -116,18 +158,20 @@ def threshold_bypass(documents: DataFrame, most: float = 50_000.0, total: float
 
 def strategic_timing(documents: DataFrame, low: int = 2, high: int = 14) -> DataFrame:
     """Change orders dated low to high days after a payment application of the project; the nearest such application."""
-    p = documents.filter("doc_type = 'payment_app'").select("project_id", F.col("doc_id").alias("payment_id"), F.col("date_created").alias("paid"))
-    o = documents.filter("doc_type = 'change_order'").select("project_id", F.col("doc_id").alias("order_id"), F.col("date_created").alias("ordered"))
-    j = o.join(p, "project_id").withColumn("days", F.datediff("ordered", "paid")).filter(F.col("days").between(low, high))
+    at = day_bin(F.col("date_created"), high + 1)
+    p = documents.filter("doc_type = 'payment_app'").select("project_id", F.col("doc_id").alias("payment_id"), F.col("date_created").alias("paid"), F.explode(F.array(at, at + 1)).alias("bin"))
+    o = documents.filter("doc_type = 'change_order'").select("project_id", F.col("doc_id").alias("order_id"), F.col("date_created").alias("ordered"), at.alias("bin"))
+    j = o.join(p, ["project_id", "bin"]).withColumn("days", F.datediff("ordered", "paid")).filter(F.col("days").between(low, high)).drop("bin")
     w = Window.partitionBy("order_id").orderBy("days", "payment_id")
     return j.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
 def recurring_follow_ups(documents: DataFrame, days: int = 10) -> DataFrame:
     """Projects where at least two, and half, of the payment applications are followed by a change order within `days` days."""
-    p = documents.filter("doc_type = 'payment_app'").select("project_id", F.col("doc_id").alias("payment_id"), F.col("date_created").alias("paid"))
-    o = documents.filter("doc_type = 'change_order'").select("project_id", F.col("date_created").alias("ordered"))
-    f = p.join(o, "project_id").filter(F.datediff("ordered", "paid").between(0, days)).select("project_id", "payment_id").distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("followed"))
+    at = day_bin(F.col("date_created"), days + 1)
+    p = documents.filter("doc_type = 'payment_app'").select("project_id", F.col("doc_id").alias("payment_id"), F.col("date_created").alias("paid"), at.alias("bin"))
+    o = documents.filter("doc_type = 'change_order'").select("project_id", F.col("date_created").alias("ordered"), F.explode(F.array(at - 1, at)).alias("bin")).distinct()
+    f = p.join(o, ["project_id", "bin"]).filter(F.datediff("ordered", "paid").between(0, days)).select("project_id", "payment_id").distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("followed"))
     n = p.groupBy("project_id").agg(F.count(F.lit(1)).alias("payments"))
     return n.join(f, "project_id").filter("followed >= 2 AND followed * 2 >= payments")
 
@@ -156,19 +200,32 @@ def interconnected_changes(documents: DataFrame, items: DataFrame, least: int =
 
 
 def split_rejections(documents: DataFrame, least: float = 100_000.0, most: float = 100_000.0, per_mille: int = 50) -> DataFrame:
-    """Rejected change orders over `least`, and pairs of later change orders of the project under `most` whose sum is within per_mille of them."""
+    """Rejected change orders over `least`, and pairs of later change orders of the project under `most` whose sum is within per_mille (500 at most) of them."""
     r = documents.filter((F.col("doc_type") == "change_order") & (F.col("status") == "rejected") & (F.col("total") > least)).select("project_id", F.col("doc_id").alias("rejected_id"), cents(F.col("total")).alias("whole"), F.col("date_created").alias("d0"))
     o = documents.filter((F.col("doc_type") == "change_order") & (F.col("status") != "rejected") & (F.col("total") < most)).select("project_id", "doc_id", cents(F.col("total")).alias("c"), "date_created")
-    a = r.join(o.select("project_id", F.col("doc_id").alias("a_id"), F.col("c").alias("a_c"), F.col("date_created").alias("a_d")), "project_id").filter("a_d > d0")
-    b = a.join(o.select("project_id", F.col("doc_id").alias("b_id"), F.col("c").alias("b_c"), F.col("date_created").alias("b_d")), "project_id").filter("b_d > d0 AND a_id < b_id")
-    return b.filter(F.abs(F.col("a_c") + F.col("b_c") - F.col("whole")) * 1000 <= per_mille * F.col("whole")).select("project_id", "rejected_id", "a_id", "b_id", (F.col("a_c") + F.col("b_c")).alias("sum_cents"))
+    # The larger of a pair is about half the whole or more, so it lies in one of few bins of powers of two.
+    double = lambda c: F.floor(F.log2(F.col(c).cast("double")))
+    big = o.filter("c > 0").select("project_id", F.col("doc_id").alias("x_id"), F.col("c").alias("x_c"), F.col("date_created").alias("x_d"), double("c").alias("bin"))
+    a = r.withColumn("bin", F.explode(F.sequence(double("whole") - 2, double("whole") + 1))).join(big, ["project_id", "bin"]).drop("bin")
+    off = per_mille * F.col("whole") / 1000
+    a = a.filter((F.col("x_d") > F.col("d0")) & (2 * F.col("x_c") >= F.col("whole") - off) & (F.col("x_c") <= F.col("whole") + off))
+    # The other one is what is missing, give or take the tolerance: bins of the power of two above that, whichever of those the rows have.
+    a = a.withColumn("level", F.ceil(F.log2(F.greatest(off, F.lit(1.0)))))
+    place = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    at = place(F.col("whole") - F.col("x_c"))
+    a = a.withColumn("bin", F.explode(F.array(at - 1, at, at + 1)))
+    b = o.select("project_id", F.col("doc_id").alias("y_id"), F.col("c").alias("y_c"), F.col("date_created").alias("y_d")).join(a.select("project_id", "level").distinct(), "project_id").withColumn("bin", place(F.col("y_c")))
+    j = a.join(b, ["project_id", "level", "bin"]).filter((F.col("y_d") > F.col("d0")) & ((F.col("y_c") < F.col("x_c")) | ((F.col("y_c") == F.col("x_c")) & (F.col("y_id") < F.col("x_id")))))
+    j = j.filter(F.abs(F.col("x_c") + F.col("y_c") - F.col("whole")) * 1000 <= per_mille * F.col("whole"))
+    return j.select("project_id", "rejected_id", F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id"), (F.col("x_c") + F.col("y_c")).alias("sum_cents"))
 
 
 def fuzzy_documents(documents: DataFrame) -> DataFrame:
     """Pairs of documents of a project with different types whose totals are within 5 % of their mean, and at most 1000 apart; confidence 0.75 + 0.1, 0.15 more if one is rejected."""
-    s = documents.select("project_id", "doc_id", "doc_type", "status", cents(F.col("total")).alias("c"))
-    a, b = (s.select("project_id", *(F.col(x).alias(p + x) for x in ("doc_id", "doc_type", "status", "c"))) for p in ("a_", "b_"))
-    j = a.join(b, "project_id").filter("a_doc_id < b_doc_id AND a_doc_type != b_doc_type")
+    s = documents.select("project_id", "doc_id", "doc_type", "status", cents(F.col("total")).alias("c")).withColumn("bin", F.floor(F.col("c") / 100_000))
+    a, b = (s.select("project_id", "bin", *(F.col(x).alias(p + x) for x in ("doc_id", "doc_type", "status", "c"))) for p in ("a_", "b_"))
+    b = b.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    j = a.join(b, ["project_id", "bin"]).drop("bin").filter("a_doc_id < b_doc_id AND a_doc_type != b_doc_type")
     j = j.filter((F.abs(F.col("a_c") - F.col("b_c")) * 40 <= F.col("a_c") + F.col("b_c")) & (F.abs(F.col("a_c") - F.col("b_c")) <= 100_000))
     return j.withColumn("confidence", 0.85 + F.when((F.col("a_status") == "rejected") | (F.col("b_status") == "rejected"), 0.15).otherwise(0.0))
 

@@ -6,23 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.functions.amounts import cents
+from tallyforge.functions.amounts import cents, near_bin, near_bins
+from tallyforge.functions.dates import day_bin
+from tallyforge.functions.texts import jaccard, word_set
+from tallyforge.operators.ordered import blocked, ranked
+
+
+def with_groups(rows: DataFrame, by: tuple[str, ...], **figures: Column) -> DataFrame:
+    """rows with figures of their group: aggregated before the shuffle and joined again, so no task holds a group. Null groups are a group."""
+    g = rows.groupBy(*by).agg(*(c.alias(name) for name, c in figures.items())).withColumnsRenamed({c: f"_{c}_" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    return rows.join(g, on).drop(*(f"_{c}_" for c in by))
 
 
 def zscore_outliers(rows: DataFrame, value: str, by: tuple[str, ...], z: float = 2.5, least: int = 5) -> DataFrame:
     """Rows whose value is over z population deviations from their group's mean, in groups of `least` rows whose deviation is at least 1 % of the mean; confidence 0.7 and up."""
-    w = Window.partitionBy(*by)
-    s = rows.withColumns({"n": F.count(value).over(w), "mean": F.avg(value).over(w), "std": F.stddev_pop(value).over(w)})
+    s = with_groups(rows, by, n=F.count(value), mean=F.avg(value), std=F.stddev_pop(value))
     s = s.filter((F.col("n") >= least) & (F.col("std") > 0) & (F.col("std") >= 0.01 * F.abs("mean"))).withColumn("z", (F.col(value) - F.col("mean")) / F.col("std"))
     return s.filter(F.abs("z") > z).withColumn("confidence", F.least(F.lit(0.95), 0.7 + 0.1 * (F.abs("z") - z)))
 
 
 def iqr_outliers(rows: DataFrame, value: str, by: tuple[str, ...], order: str, factor: float = 1.5, least: int = 5) -> DataFrame:
     """Rows beyond the quartiles by factor times their distance. Quartiles are the values at 0-based places n // 4 and 3 n // 4; no interpolation."""
-    w = Window.partitionBy(*by)
-    s = rows.filter(F.col(value).isNotNull()).withColumns({"n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(value, order)) - 1})
-    at = lambda place: F.max(F.when(F.col("_k") == place, F.col(value))).over(w)
-    s = s.withColumns({"q1": at(F.floor(F.col("n") / 4)), "q3": at(F.floor(F.col("n") * 3 / 4))}).withColumn("iqr", F.col("q3") - F.col("q1"))
+    s = ranked(rows.filter(F.col(value).isNotNull()), by, value, order, out="_k")
+    s = with_groups(s, by, n=F.count(F.lit(1)))
+    at = lambda place: F.max(F.when(F.col("_k") == place, F.col(value)))
+    s = with_groups(s, by, q1=at(F.floor(F.col("n") / 4)), q3=at(F.floor(F.col("n") * 3 / 4))).withColumn("iqr", F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - factor * F.col("iqr"), F.col("q3") + factor * F.col("iqr")
     return s.filter((F.col("n") >= least) & (F.col("iqr") > 0) & ((F.col(value) < low) | (F.col(value) > high))).drop("_k")
 
@@ -44,21 +55,32 @@ def monotone_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, o
 
 
 def arithmetic_windows(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, sizes: range = range(3, 10), gap: int = 90, off: float = 0.1) -> DataFrame:
-    """Windows of 3 to 9 consecutive rows whose steps are all within `off` of their mean step and at most `gap` days apart: group, first place, size.
+    """Windows of 3 to 9 consecutive rows whose steps are all within `off` of their mean step and at most `gap` days apart: group, first place (from 1), size, mean_step, confidence.
 
-    All windows, longest first by `size`; `first` and `size` say which overlap.
+    All windows; `first` and `size` say which overlap. Confidence as for runs, and 0.1 for the even step; at most 0.95.
     """
-    w = Window.partitionBy(*by).orderBy(date, order)
-    r = rows.withColumns({"_i": F.row_number().over(w), "_d": F.lead(value).over(w) - F.col(value), "_g": F.datediff(F.lead(date).over(w), date)})
-    out = None
+    ranks = ranked(rows.select(*by, F.col(value).alias("_v"), F.col(date).alias("_t"), F.col(order).alias("_o")), by, "_t", "_o")
+    dealt, parts = blocked(ranks, by, max(sizes))
+    w = Window.partitionBy(*parts).orderBy("rank")
+    r = dealt.withColumns({"_d": F.lead("_v").over(w) - F.col("_v"), "_g": F.datediff(F.lead("_t").over(w), "_t")})
+    even = lambda c, over: F.greatest(F.lit(0.0), 0.15 * (1 - F.least(F.lit(1.0), 5 * F.var_pop(c).over(over) / (F.avg(c).over(over) * F.avg(c).over(over)))))
+    tests = []
     for n in sizes:
         over = w.rowsBetween(0, n - 2)
-        mean = F.avg("_d").over(over)
-        s = r.withColumns({"mean_step": mean, "_k": F.count("_d").over(over), "_lo": F.min("_d").over(over), "_hi": F.max("_d").over(over), "_far": F.max("_g").over(over)})
-        ok = (F.col("_k") == n - 1) & (F.col("mean_step") != 0) & (F.abs(F.col("_hi") - F.col("mean_step")) <= off * F.abs("mean_step")) & (F.abs(F.col("_lo") - F.col("mean_step")) <= off * F.abs("mean_step")) & (F.col("_far") <= gap)
-        s = s.filter(ok).select(*by, F.col("_i").alias("first"), F.lit(n).alias("size"), "mean_step")
-        out = s if out is None else out.unionByName(s)
-    return out
+        mean, bound = F.avg("_d").over(over), off * F.abs(F.avg("_d").over(over))
+        ok = (F.count("_d").over(over) == n - 1) & (mean != 0) & (F.max("_d").over(over) - mean <= bound) & (mean - F.min("_d").over(over) <= bound) & (F.max("_g").over(over) <= gap)
+        steps, days = F.when(mean > 0, even("_d", over)).otherwise(0.0), F.when(F.avg("_g").over(over) > 0, even("_g", over)).otherwise(0.0)
+        c = F.least(F.lit(0.95), F.least(F.lit(0.95), 0.5 + 0.3 * F.least(F.lit(1.0), F.lit((n - 2) / 8)) + steps + days) + 0.1)
+        tests.append(F.when(ok, F.struct(F.lit(n).alias("size"), mean.alias("mean_step"), c.alias("confidence"))))
+    r = r.withColumn("_w", F.array(*tests)).filter("_own").select(*by, (F.col("rank") + 1).alias("first"), F.explode(F.array_compact("_w")).alias("_w"))
+    return r.select(*by, "first", "_w.*")
+
+
+def arithmetic_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, **windows) -> DataFrame:
+    """Of arithmetic_windows those that remain if the longest, then the earliest, are taken first and none overlaps a taken one."""
+    from tallyforge.operators.detectors import drop_overlaps
+
+    return drop_overlaps(arithmetic_windows(rows, by, value, date, order, **windows), by, "first", "size", [F.desc("size"), F.col("first")], share=0.0)
 
 
 def gaps(documents: DataFrame, by: tuple[str, ...] = ("project_id",), days: int = 60) -> DataFrame:
@@ -72,8 +94,9 @@ def gaps(documents: DataFrame, by: tuple[str, ...] = ("project_id",), days: int
 
 def event_clusters(documents: DataFrame, by: tuple[str, ...] = ("party",), sizes: range = range(3, 10)) -> DataFrame:
     """Runs of 3 to 9 consecutive documents of a group that span at most 2 (size - 1) days; density size / (span + 1); confidence 0.7 and up."""
-    w = Window.partitionBy(*by).orderBy("date_created", "doc_id")
-    base = documents.withColumns({f"_e{n}": F.lead("date_created", n - 1).over(w) for n in sizes})
+    rows, parts = blocked(ranked(documents.select(*by, "doc_id", "date_created"), by, "date_created", "doc_id"), by, max(sizes) - 1)
+    w = Window.partitionBy(*parts).orderBy("rank")
+    base = rows.withColumns({f"_e{n}": F.lead("date_created", n - 1).over(w) for n in sizes}).filter("_own")
     d = base.select(*by, "doc_id", F.col("date_created").alias("start"), F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.col(f"_e{n}").alias("end")) for n in sizes))).alias("c")).select(*by, "doc_id", "start", "c.*")
     d = d.withColumn("span", F.datediff("end", "start")).filter(F.col("span") <= 2 * (F.col("size") - 1))
     density = F.col("size") / (F.col("span") + 1)
@@ -125,10 +148,9 @@ def type_trigrams(documents: DataFrame) -> DataFrame:
 
 def amounts_before_approval(items: DataFrame, documents: DataFrame, per_mille: int = 10) -> DataFrame:
     """Payment and invoice items whose amount is within per_mille thousandths of a change order of the project that isn't rejected and is dated over a day later. Confidence 0.7, up to 0.2 for days and 0.1 for their number."""
-    p = items.filter(F.col("doc_type").isin("payment_app", "invoice")).select("project_id", "item_id", "doc_id", cents(F.col("amount")).alias("c"), F.col("date_created").alias("billed"))
-    o = documents.filter("doc_type = 'change_order' AND status != 'rejected'").select("project_id", F.col("doc_id").alias("order_id"), cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"))
-    # Both sides of a project: as many pairs as its items times its change orders.
-    j = p.join(o, "project_id").filter((F.datediff("ordered", "billed") > 1) & (F.abs(F.col("c") - F.col("oc")) * 1000 <= per_mille * F.col("oc")))
+    p = items.filter(F.col("doc_type").isin("payment_app", "invoice")).select("project_id", "item_id", "doc_id", cents(F.col("amount")).alias("c"), F.col("date_created").alias("billed"), near_bin(F.col("amount"), per_mille).alias("bin"))
+    o = documents.filter("doc_type = 'change_order' AND status != 'rejected'").select("project_id", F.col("doc_id").alias("order_id"), cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"), F.explode(near_bins(F.col("total"), per_mille)).alias("bin"))
+    j = p.join(o, ["project_id", "bin"]).filter((F.datediff("ordered", "billed") > 1) & (F.abs(F.col("c") - F.col("oc")) * 1000 <= per_mille * F.col("oc")))
     g = j.groupBy("project_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.datediff("ordered", "billed")).alias("days"))
     return g.withColumn("confidence", 0.7 + F.least(F.col("days") / 30, F.lit(0.2)) + F.least(F.col("n") / 2, F.lit(0.1)))
 
@@ -149,21 +171,39 @@ def cents_wide(amount: Column) -> Column:
 def combined_amounts(items: DataFrame, most: float = 1000.0, days: int = 90, per_mille: int = 100) -> DataFrame:
     """Small items of a document (each under `most`, two or more) and the later item of the project, at most `days` days on, nearest to their sum and within per_mille of it."""
     s = items.filter(F.col("amount") < most).groupBy("project_id", "doc_id", "date_created").agg(F.count(F.lit(1)).alias("parts"), F.sum(cents(F.col("amount"))).alias("s")).filter("parts >= 2")
-    later = items.select("project_id", F.col("item_id").alias("later_id"), F.col("doc_id").alias("later_doc"), F.col("date_created").alias("later"), cents(F.col("amount")).alias("c"))
-    j = s.join(later, "project_id").filter(F.datediff("later", "date_created").between(1, days) & (F.abs(F.col("c") - F.col("s")) * 1000 <= per_mille * F.col("s")))
+    s = s.withColumn("bin", F.explode(near_bins(F.col("s"), per_mille)))
+    later = items.select("project_id", F.col("item_id").alias("later_id"), F.col("doc_id").alias("later_doc"), F.col("date_created").alias("later"), cents(F.col("amount")).alias("c")).withColumn("bin", near_bin(F.col("c"), per_mille))
+    j = s.join(later, ["project_id", "bin"]).drop("bin").filter(F.datediff("later", "date_created").between(1, days) & (F.abs(F.col("c") - F.col("s")) * 1000 <= per_mille * F.col("s")))
     w = Window.partitionBy("project_id", "doc_id").orderBy(F.abs(F.col("c") - F.col("s")), "later_id")
     return j.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def part_confidence(off: Column, whole: Column, parts: Column, alike: Column) -> Column:
+    """0.7, up to 0.15 for a small difference, 0.02 for each part after the first and for each alike in words, up to 0.1 each; at most 0.95."""
+    near = F.greatest(F.lit(0.0), 0.15 * (1 - F.least(F.lit(1.0), F.abs(off) / whole * 10)))
+    return F.least(F.lit(0.95), 0.7 + near + F.least(F.lit(0.1), (parts - 1) * 0.02) + F.least(F.lit(0.1), alike * 0.02))
+
+
+def combined_confidence(found: DataFrame, items: DataFrame, most: float = 1000.0, least_alike: float = 0.6) -> DataFrame:
+    """Rows of combined_amounts with alike, the parts whose description shares `least_alike` of the words with the later item's, and confidence."""
+    name = items.select(F.col("item_id").alias("later_id"), F.col("description").alias("_later")).dropDuplicates(["later_id"])
+    parts = items.filter(F.col("amount") < most).select("doc_id", F.col("description").alias("_part"))
+    like = (jaccard(word_set(F.col("_later")), word_set(F.col("_part"))) >= least_alike).cast("int")
+    n = found.select("doc_id", "later_id").join(name, "later_id").join(parts, "doc_id").groupBy("doc_id", "later_id").agg(F.sum(like).alias("alike"))
+    return found.join(n, ["doc_id", "later_id"]).withColumn("confidence", part_confidence(F.col("c") - F.col("s"), F.col("s"), F.col("parts"), F.col("alike")))
+
+
 def split_amounts(items: DataFrame, least: float = 1000.0, days: int = 90, per_mille: int = 100) -> DataFrame:
     """Items over `least` and the later, smaller items of their project (at most `days` days on) that, taken largest first while they fit, sum to within per_mille of them.
 
-    The greedy sum is a fold over an item's candidates, which are those of one project in the time span.
+    The greedy sum is a fold over an item's candidates, which are those of one project in the time span. alike: parts whose description
+    shares 60 % of its words with the item's.
     """
-    big = items.filter(F.col("amount") > least).select("project_id", F.col("item_id").alias("big_id"), F.col("doc_id").alias("big_doc"), F.col("date_created").alias("d0"), cents(F.col("amount")).alias("whole"))
-    small = items.select("project_id", "item_id", "doc_id", F.col("date_created").alias("d1"), cents(F.col("amount")).alias("c")).filter("c > 0")
-    j = big.join(small, "project_id").filter(F.datediff("d1", "d0").between(1, days) & (F.col("c") < F.col("whole")))
-    g = j.groupBy("project_id", "big_id", "whole").agg(F.sort_array(F.collect_list(F.struct("c", "item_id")), asc=False).alias("parts"))
-    step = lambda s, x: F.when(s["t"] + x["c"] <= F.col("whole") * (1000 + per_mille) / 1000, F.struct((s["t"] + x["c"]).alias("t"), (s["n"] + 1).alias("n"))).otherwise(s)
-    f = g.withColumn("f", F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("n")), step)).select("project_id", "big_id", "whole", F.col("f.t").alias("sum"), F.col("f.n").alias("n"))
-    return f.filter((F.col("n") >= 2) & (F.abs(F.col("sum") - F.col("whole")) * 1000 <= per_mille * F.col("whole")))
+    big = items.filter(F.col("amount") > least).select("project_id", F.col("item_id").alias("big_id"), F.col("doc_id").alias("big_doc"), F.col("description").alias("text0"), F.col("date_created").alias("d0"), cents(F.col("amount")).alias("whole"), F.explode(F.array(day_bin(F.col("date_created"), days), day_bin(F.col("date_created"), days) + 1)).alias("bin"))
+    small = items.select("project_id", "item_id", F.col("description").alias("text1"), F.col("date_created").alias("d1"), cents(F.col("amount")).alias("c"), day_bin(F.col("date_created"), days).alias("bin")).filter("c > 0")
+    j = big.join(small, ["project_id", "bin"]).filter(F.datediff("d1", "d0").between(1, days) & (F.col("c") < F.col("whole")))
+    g = j.groupBy("project_id", "big_id", "whole").agg(F.sort_array(F.collect_list(F.struct("c", "item_id", (jaccard(word_set(F.col("text0")), word_set(F.col("text1"))) >= 0.6).cast("int").alias("like"))), asc=False).alias("parts"))
+    step = lambda s, x: F.when(s["t"] + x["c"] <= F.col("whole") * (1000 + per_mille) / 1000, F.struct((s["t"] + x["c"]).alias("t"), (s["n"] + 1).alias("n"), (s["like"] + x["like"]).alias("like"))).otherwise(s)
+    f = g.withColumn("f", F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("like")), step)).select("project_id", "big_id", "whole", F.col("f.t").alias("sum"), F.col("f.n").alias("n"), F.col("f.like").alias("alike"))
+    f = f.filter((F.col("n") >= 2) & (F.abs(F.col("sum") - F.col("whole")) * 1000 <= per_mille * F.col("whole")))
+    return f.withColumn("confidence", part_confidence(F.col("sum") - F.col("whole"), F.col("whole"), F.col("n"), F.col("alike")))

@@ -14,6 +14,7 @@ from tallyforge.functions import amounts
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
 from tallyforge.operators import detectors, engine, graph, lookups, matching, relationships, reports, rules, search, sequences, upserts
+from tallyforge.operators.ordered import ranked
 from tallyforge.plans.model import SQL, Model
 from tallyforge.sources import extract
 
@@ -273,9 +274,9 @@ def matching_amounts_exact(m):
 
 @query("""
 , w AS (SELECT DISTINCT c // 10000 AS k, string_split(description, ' ') AS d FROM items WHERE c > 0),
-j AS (SELECT a.k, min(CAST(len(list_intersect(a.d, b.d)) AS DOUBLE) / len(list_distinct(list_concat(a.d, b.d)))) AS low, count(DISTINCT a.d) AS names FROM w a JOIN w b ON a.k = b.k GROUP BY a.k),
+j AS (SELECT a.k, min(CAST(len(list_intersect(a.d, b.d)) AS DOUBLE) / len(list_distinct(list_concat(a.d, b.d)))) AS low FROM w a JOIN w b ON a.k = b.k GROUP BY a.k),
 g AS (SELECT c // 10000 AS k, count(*) AS n, count(DISTINCT doc_type) AS types, count(DISTINCT party) AS parties FROM items WHERE c > 0 GROUP BY 1 HAVING count(*) > 2),
-h AS (SELECT g.k, n, types, parties, names = 1 OR (names <= 64 AND low >= 0.6) AS alike FROM g JOIN j ON g.k = j.k),
+h AS (SELECT g.k, n, types, parties, low >= 0.6 AS alike FROM g JOIN j ON g.k = j.k),
 f AS (SELECT *, least(0.95, 0.7 + 0.1 * least(1.0, n / 5.0::DOUBLE) + 0.1 * least(1.0, types / 3.0::DOUBLE) + CASE WHEN alike THEN 0 ELSE 0.15 END + CASE WHEN parties > 1 THEN 0.2 ELSE 0 END)::DOUBLE AS confidence FROM h WHERE types > 1 OR parties > 1 OR NOT alike)
 SELECT k * 100 AS amount, CAST(n AS BIGINT) AS n, CAST(types AS BIGINT) AS types, CAST(parties AS BIGINT) AS parties, alike, round(confidence, 6) AS confidence FROM f WHERE confidence >= 0.7""")
 def recurring_amounts(m):
@@ -515,20 +516,39 @@ def combined_amounts(m):
     return sequences.combined_amounts(m.items, most=15_000).select("project_id", "doc_id", "parts", F.col("s").alias("sum_cents"), "later_id", F.col("c").alias("later_cents"))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {SQL.strip()},
+cand AS MATERIALIZED (SELECT b.project_id, b.item_id AS big, b.c AS whole, s.item_id, s.c, row_number() OVER (PARTITION BY b.project_id, b.item_id, b.c ORDER BY s.c DESC, s.item_id DESC) AS k FROM items b JOIN items s ON b.project_id = s.project_id AND b.c > 5000000 AND s.c > 0 AND s.c < b.c AND date_diff('day', b.date_created, s.date_created) BETWEEN 1 AND 90),
+f(project_id, big, whole, k, t, n) AS (SELECT DISTINCT project_id, big, whole, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM cand
+  UNION ALL SELECT f.project_id, f.big, f.whole, f.k + 1, CASE WHEN (t + c) * 10 <= f.whole * 11 THEN t + c ELSE t END, CASE WHEN (t + c) * 10 <= f.whole * 11 THEN n + 1 ELSE n END FROM f JOIN cand ON f.project_id = cand.project_id AND f.big = cand.big AND f.whole = cand.whole AND cand.k = f.k + 1),
+l AS (SELECT * FROM f QUALIFY k = max(k) OVER (PARTITION BY project_id, big, whole))
+SELECT project_id, big AS item_id, CAST(whole AS BIGINT) AS whole_cents, CAST(t AS BIGINT) AS sum_cents, n FROM l WHERE n >= 2 AND abs(t - whole) * 10 <= whole""", model=False)
 def split_amounts(m):
-    """A greedy fold, which SQL here has no form of; tested against a plain version."""
+    """A greedy fold; in SQL step by step."""
     return sequences.split_amounts(m.items, least=50_000).select("project_id", F.col("big_id").alias("item_id"), F.col("whole").alias("whole_cents"), F.col("sum").alias("sum_cents"), _l("n"))
 
 
-@query("""
-, d AS (SELECT *, row_number() OVER w AS i, lead(c) OVER w - c AS s, date_diff('day', date_created, lead(date_created) OVER w) AS g FROM docs WINDOW w AS (PARTITION BY project_id ORDER BY date_created, doc_id)),
-e AS (SELECT project_id, i, (s + lead(s) OVER w) / 2.0::DOUBLE AS mean, least(s, lead(s) OVER w) AS lo, greatest(s, lead(s) OVER w) AS hi, greatest(g, lead(g) OVER w) AS far, lead(s) OVER w AS s2, s FROM d WINDOW w AS (PARTITION BY project_id ORDER BY i))
-SELECT project_id, CAST(i AS BIGINT) AS first, round(mean / 100, 4) AS mean_step FROM e WHERE s IS NOT NULL AND s2 IS NOT NULL AND mean <> 0 AND abs(hi - mean) <= 0.1 * abs(mean) AND abs(lo - mean) <= 0.1 * abs(mean) AND far <= 900""")
+def _arithmetic_sql():
+    """Windows of all sizes over a party's items, by lists of the next steps and gaps."""
+    return """
+, d AS (SELECT party, item_id, row_number() OVER w AS i, lead(c) OVER w - c AS s, date_diff('day', date_created, lead(date_created) OVER w) AS g FROM items WINDOW w AS (PARTITION BY party ORDER BY date_created, item_id)),
+l AS (SELECT party, i, list(s) OVER n AS s, list(g) OVER n AS g FROM d WINDOW n AS (PARTITION BY party ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+z AS (SELECT party, i, n, list_filter(s[1:n - 1], lambda x: x IS NOT NULL) AS s, g[1:n - 1] AS g FROM l, (SELECT unnest(range(3, 10)) AS n)),
+a AS (SELECT *, list_avg(s) AS mean FROM z WHERE len(s) = n - 1)
+SELECT party, CAST(i AS BIGINT) AS first, CAST(n AS BIGINT) AS size, round(mean / 100, 4) AS mean_step FROM a WHERE mean <> 0 AND list_max(s) - mean <= 0.1::DOUBLE * abs(mean) AND mean - list_min(s) <= 0.1::DOUBLE * abs(mean) AND list_max(g) <= 90"""
+
+
+@query(_arithmetic_sql())
 def arithmetic_sequences(m):
-    d = m.documents.withColumn("v", cents(F.col("total")))
-    w = sequences.arithmetic_windows(d, ("project_id",), "v", "date_created", "doc_id", range(3, 4), gap=900)
-    return w.select("project_id", _l("first"), _r(F.col("mean_step") / 100, "mean_step", 4))
+    w = sequences.arithmetic_windows(m.items.withColumn("v", cents(F.col("amount"))), ("party",), "v", "date_created", "item_id")
+    return w.select("party", _l("first"), _l("size"), _r(F.col("mean_step") / 100, "mean_step", 4))
+
+
+@query(None)
+def chosen_sequences(m):
+    """A greedy choice, tested against a plain version."""
+    w = sequences.arithmetic_runs(m.items.withColumn("v", cents(F.col("amount"))), ("party",), "v", "date_created", "item_id")
+    return w.select("party", _l("first"), _l("size"), _r(F.col("confidence"), "confidence"))
 
 
 # --- rules -----------------------------------------------------------------------------------------------------------------
@@ -660,16 +680,45 @@ def summary_stats(m):
     return engine.summary(m.documents, m.line_items).select("documents", "projects", "items", _c("total"), _c("rejected"), _r(F.col("rejected_percent"), "rejected_percent"))
 
 
-@query(None)
+def _jaccard_sql(a, b):
+    return f"coalesce(CAST(len(list_intersect({a}, {b})) AS DOUBLE) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+def _word_set_sql(text):
+    return f"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+_REAPPEARED_SQL = f"""
+rejected AS (SELECT project_id, item_id, date_created, c, {_word_set_sql('description')} AS w FROM items WHERE item_status = 'rejected' OR status = 'rejected'),
+again AS (SELECT r.item_id, r.project_id, r.c, bool_or(l.doc_type = 'invoice') AS invoice, avg({_jaccard_sql('r.w', _word_set_sql('l.description'))}) AS alike FROM rejected r JOIN items l ON r.project_id = l.project_id AND abs(r.c - l.c) <= 1 AND l.date_created > r.date_created GROUP BY r.item_id, r.project_id, r.c),
+reappeared AS (SELECT item_id, CASE WHEN invoice THEN 0.9 ELSE 0.75 + CASE WHEN alike > 0.8 THEN -0.15 WHEN alike < 0.3 THEN 0.15 ELSE 0 END END::DOUBLE AS confidence FROM again)"""
+_UNBACKED_SQL = """
+billed AS (SELECT project_id, doc_id, item_id, description, c, date_created, count(*) AS copies FROM items WHERE doc_type IN ('payment_app', 'invoice') AND c > 500000 GROUP BY ALL), orders_ AS (SELECT project_id, c, date_created, status FROM docs WHERE doc_type = 'change_order'),
+unbacked AS (SELECT b.item_id, least(0.95, 0.8 + CASE WHEN b.c > 1000000 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(lower(b.description), '\\b(add|extra|additional|new|change|modify)\\b') THEN 0.05 ELSE 0 END)::DOUBLE AS confidence
+  FROM billed b LEFT JOIN orders_ o ON b.project_id = o.project_id AND o.date_created <= b.date_created AND abs(o.c - b.c) * 1000 <= 10 * b.c GROUP BY b.doc_id, b.item_id, b.description, b.c HAVING coalesce(sum(CASE WHEN o.status <> 'rejected' THEN 1 END), 0) = 0)"""
+
+
+@query(f""", {_REAPPEARED_SQL.strip()},
+w AS (SELECT DISTINCT c // 100 AS k, {_word_set_sql('description')} AS d FROM items WHERE c > 0), j AS (SELECT a.k, min({_jaccard_sql('a.d', 'b.d')}) AS low FROM w a JOIN w b ON a.k = b.k GROUP BY a.k),
+g AS (SELECT c // 100 AS k, count(*) AS n, count(DISTINCT doc_type) AS types, count(DISTINCT party) AS parties FROM items WHERE c > 0 GROUP BY 1 HAVING count(*) > 2),
+recurring AS (SELECT CAST(g.k AS VARCHAR) AS subject, least(0.95, 0.7 + 0.1 * least(1.0, n / 5.0::DOUBLE) + 0.1 * least(1.0, types / 3.0::DOUBLE) + CASE WHEN low >= 0.6 THEN 0 ELSE 0.15 END + CASE WHEN parties > 1 THEN 0.2 ELSE 0 END)::DOUBLE AS confidence FROM g JOIN j ON g.k = j.k WHERE types > 1 OR parties > 1 OR low < 0.6),
+mk AS (SELECT cost_code, (c / 100.0::DOUBLE - quantity * (uc / 100.0::DOUBLE)) / (quantity * (uc / 100.0::DOUBLE)) * 100 AS m FROM items WHERE quantity > 0 AND uc > 0),
+markups AS (SELECT cost_code AS subject, least(0.95, 0.7 + least(0.15, var_pop(m) / 100) + least(0.1, (max(m) - min(m)) / 100) + least(0.1, 0.02 * (count(*) - 2)))::DOUBLE AS confidence FROM mk GROUP BY cost_code HAVING count(*) >= 2 AND (var_pop(m) > 5 OR max(m) - min(m) > 10)),
+gd AS (SELECT doc_id, project_id, date_diff('day', lag(date_created) OVER (PARTITION BY project_id ORDER BY date_created, doc_id), date_created) AS gap FROM docs),
+gs AS (SELECT *, avg(gap) OVER (PARTITION BY project_id) AS mean, stddev_pop(gap) OVER (PARTITION BY project_id) AS std FROM gd WHERE gap IS NOT NULL),
+gz AS (SELECT *, CASE WHEN std > 0 THEN (gap - mean) / std ELSE 0 END AS z FROM gs), far AS (SELECT CAST(doc_id AS VARCHAR) AS subject, (0.7 + least(z / 5, 0.25))::DOUBLE AS confidence FROM gz WHERE gap > 60 AND (z > 2 OR gap > 3 * mean)),
+early AS (SELECT p.item_id AS subject, (0.7 + least(max(date_diff('day', p.date_created, o.date_created)) / 30.0::DOUBLE, 0.2) + least(count(*) / 2.0::DOUBLE, 0.1))::DOUBLE AS confidence FROM items p JOIN docs o ON p.project_id = o.project_id AND p.doc_type IN ('payment_app', 'invoice') AND o.doc_type = 'change_order' AND o.status <> 'rejected' AND date_diff('day', p.date_created, o.date_created) > 1 AND abs(p.c - o.c) * 1000 <= 10 * o.c GROUP BY p.project_id, p.item_id),
+f AS (SELECT 'recurring_amount' AS kind, * FROM recurring UNION ALL SELECT 'reappearing_amount', * FROM reappeared UNION ALL SELECT 'inconsistent_markup', * FROM markups UNION ALL SELECT 'unusual_gap', * FROM far UNION ALL SELECT 'amount_before_approval', * FROM early)
+SELECT kind, subject, round(confidence, 6) AS confidence FROM f WHERE confidence >= 0.7""")
 def suspicious_patterns(m):
-    """A union of detectors that are each checked by a query of their own."""
-    return engine.suspicious_patterns(m.documents, m.items)
+    return engine.suspicious_patterns(m.documents, m.items).select("kind", "subject", _r(F.col("confidence"), "confidence"))
 
 
-@query(None)
+@query(f""", {_REAPPEARED_SQL.strip()}, {_UNBACKED_SQL.strip()},
+f AS (SELECT item_id, 'reappeared' AS why, confidence FROM reappeared UNION ALL SELECT item_id, 'missing change order', confidence FROM unbacked)
+SELECT item_id, why, round(confidence, 6) AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, why DESC) = 1""")
 def disputed_amounts(m):
-    """A union of two detectors that are each checked by a query of their own."""
-    return engine.disputed_amounts(m.items, m.documents)
+    return engine.disputed_amounts(m.items, m.documents).select("item_id", "why", _r(F.col("confidence"), "confidence"))
 
 
 # --- relations and graphs --------------------------------------------------------------------------------------------------
@@ -701,34 +750,43 @@ def two_hop_network(m):
     return relationships.two_hops(relationships.pair_rules(m.documents), 14).select("doc_id", _l("depth"))
 
 
-def _close(m):
-    """Edges between documents at most 30 days apart, so that components stay small."""
-    return graph.document_edges(relationships.pair_rules(m.documents).filter(F.col("relationship_type").isin("revision", "approval", "parent_child")))
+def _edges(m):
+    return graph.document_edges(relationships.pair_rules(m.documents))
 
 
-_CLOSE_SQL = _PAIRS_SQL.strip() + ",\nclose AS (SELECT DISTINCT src, dst FROM rel WHERE kind IN ('revision', 'approval', 'parent_child'))"
+_EDGES_SQL = _PAIRS_SQL.strip() + ",\ne AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel)"
+_DEEPEST = 12
 
 
-@query(f""", {_CLOSE_SQL}
-, d AS (SELECT src AS id, 1 AS o, 0 AS i FROM close UNION ALL SELECT dst, 0, 1 FROM close)
+def _distance_sql():
+    """Pairs at each distance with their number of shortest paths, up to a distance that no pair here has."""
+    out = ", d1 AS MATERIALIZED (SELECT src AS s, dst AS t, 1.0::DOUBLE AS paths FROM e)"
+    for d in range(2, _DEEPEST + 1):
+        before = " UNION ALL ".join(f"SELECT s, t FROM d{k}" for k in range(1, d))
+        out += f", d{d} AS MATERIALIZED (SELECT s, dst AS t, sum(paths) AS paths FROM d{d - 1} JOIN e ON t = src WHERE s <> dst AND (s, dst) NOT IN ({before}) GROUP BY s, dst)"
+    return out + ", dist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, t, paths, {d} AS d FROM d{d}" for d in range(1, _DEEPEST + 1)) + ")"
+
+
+@query(f""", {_EDGES_SQL}
+, d AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)
 SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(count(*) AS BIGINT) AS degree FROM d GROUP BY id""")
 def degree_centrality(m):
-    return graph.degrees(_close(m))
+    return graph.degrees(_edges(m))
 
 
-@query(f""", {_CLOSE_SQL}
-SELECT doc_id AS id FROM docs WHERE doc_id NOT IN (SELECT src FROM close UNION SELECT dst FROM close)""")
+@query(f""", {_EDGES_SQL}
+SELECT doc_id AS id FROM docs WHERE doc_id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)""")
 def isolated_documents(m):
-    return graph.isolated(m.documents.select(F.col("doc_id").alias("id")), _close(m))
+    return graph.isolated(m.documents.select(F.col("doc_id").alias("id")), _edges(m))
 
 
 @query(f"""
-WITH RECURSIVE {SQL.strip()}, {_CLOSE_SQL},
-und AS (SELECT src AS a, dst AS b FROM close UNION SELECT dst, src FROM close),
+WITH RECURSIVE {SQL.strip()}, {_EDGES_SQL},
+und AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 reach(a, b) AS (SELECT a, a FROM und UNION SELECT reach.a, und.b FROM reach JOIN und ON reach.b = und.a)
 SELECT a AS id, min(b) AS root, CAST(count(*) AS BIGINT) AS size FROM reach GROUP BY a""", model=False)
 def components(m):
-    return graph.clusters(_close(m)).select("id", "root", "size")
+    return graph.clusters(_edges(m)).select("id", "root", "size")
 
 
 @query(f""", {_PAIRS_SQL.strip()}, e AS (SELECT DISTINCT src, dst FROM rel),
@@ -740,71 +798,88 @@ def circular_references(m):
     return graph.cycles(e, 3).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("cycle"))
 
 
-@query(f""", {_CLOSE_SQL}
-, n1 AS (SELECT DISTINCT src AS id, dst AS t, 1 AS d FROM close), n2 AS (SELECT DISTINCT n1.id, close.dst AS t, 2 AS d FROM n1 JOIN close ON n1.t = close.src), n3 AS (SELECT DISTINCT n2.id, close.dst AS t, 3 AS d FROM n2 JOIN close ON n2.t = close.src),
-m AS (SELECT id, t, min(d) AS d FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE id <> t GROUP BY id, t)
-SELECT id, CAST(count(*) AS BIGINT) AS reached, round(count(*)::DOUBLE / sum(d), 6) AS closeness FROM m GROUP BY id""")
+@query(f""", {_EDGES_SQL}{_distance_sql()}
+SELECT s AS id, CAST(count(*) AS BIGINT) AS reached, round(count(*)::DOUBLE / sum(d), 6) AS closeness FROM dist GROUP BY s""")
 def closeness_centrality(m):
-    return graph.closeness(_close(m)).select("id", "reached", _r(F.col("closeness"), "closeness"))
+    return graph.closeness(_edges(m)).select("id", "reached", _r(F.col("closeness"), "closeness"))
 
 
-@query(None)
+def _rank_sql():
+    out = ", v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM v)"
+    out += ", r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS rank FROM v, n)"
+    for k in range(1, 11):
+        out += f", g{k} AS (SELECT dst, sum(rank / k) AS got FROM e JOIN r{k - 1} ON src = id JOIN deg ON deg.src = e.src GROUP BY dst), l{k} AS (SELECT coalesce(sum(rank), 0) AS loose FROM r{k - 1} WHERE id NOT IN (SELECT src FROM deg))"
+        out += f", r{k} AS MATERIALIZED (SELECT id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + loose / n) AS rank FROM v LEFT JOIN g{k} ON id = dst, n, l{k})"
+    return out
+
+
+@query(f""", {_EDGES_SQL}{_rank_sql()}
+SELECT id, round(rank, 12) AS rank FROM r10""")
 def pagerank(m):
-    """Iterative; tested against a plain version."""
-    return graph.pagerank(_close(m), 10).select("id", _r(F.col("rank"), "rank", 12))
+    return graph.pagerank(_edges(m), 10).select("id", _r(F.col("rank"), "rank", 12))
 
 
-@query(None)
+@query(f""", {_PAIRS_SQL.strip()},
+best AS MATERIALIZED (SELECT src AS s, dst AS t FROM rel WHERE kind IN ('parent_child', 'revision', 'sequential') QUALIFY row_number() OVER (PARTITION BY src ORDER BY CASE kind WHEN 'sequential' THEN 1 WHEN 'revision' THEN 2 ELSE 3 END, dst) = 1),
+c1 AS (SELECT [s, t] AS c FROM best), c2 AS (SELECT CASE WHEN t IS NULL OR list_contains(c, t) THEN c ELSE list_append(c, t) END AS c FROM c1 LEFT JOIN best ON c[-1] = s),
+c3 AS (SELECT CASE WHEN t IS NULL OR list_contains(c, t) THEN c ELSE list_append(c, t) END AS c FROM c2 LEFT JOIN best ON c[-1] = s)
+SELECT array_to_string(c, '>') AS chain FROM c3""")
 def relationship_chains(m):
-    """Iterative; tested on a small graph."""
     return relationships.chains(relationships.pair_rules(m.documents)).select(F.concat_ws(">", F.transform("chain", lambda x: x.cast("string"))).alias("chain"))
 
 
 # --- text and vectors ------------------------------------------------------------------------------------------------------
 
-_COS = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
+_ASKED = "vec_id % 20 = 0"
+_UNIT = "list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))"
+_SCORES = f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS y FROM embeddings WHERE {_ASKED}), s AS (SELECT query_id, vec_id, CAST(label AS BIGINT) AS label, round({_UNIT}, 10) AS score FROM (SELECT query_id, vec_id, label, embedding AS x, y FROM embeddings, q))"""
 
 
-@query(f"""
-WITH v AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, v ORDER BY {_COS} DESC, vec_id LIMIT 10""", model=False)
+def _asked(m):
+    return m.table("embeddings").filter(_ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""{_SCORES.strip()}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""", model=False)
 def vector_top_k(m):
-    v = m.table("embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()
-    return search.vector_search(v, list(q[0]) if q else [], 10).select("vec_id", _r(F.col("score"), "score"))
+    """The queries are all vectors whose id is divisible by 20, against all."""
+    return search.vector_ranks(m.table("embeddings"), _asked(m), 10).select("query_id", _l("rank"), "vec_id", _r(F.col("score"), "score"))
 
 
-@query(f"""
-WITH v AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, CAST(label AS BIGINT) AS label, round({_COS}, 6) AS score FROM embeddings, v WHERE label IN (1, 2, 3) AND {_COS} >= 0 ORDER BY {_COS} DESC, vec_id LIMIT 10""", model=False)
+@query(f"""{_SCORES.strip()}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM s WHERE label IN (1, 2, 3) AND score >= 0 QUALIFY rank <= 10""", model=False)
 def vector_filtered(m):
-    v = m.table("embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()
-    return search.vector_search(v, list(q[0]) if q else [], 10, filters={"label": [1, 2, 3]}).select("vec_id", _l("label"), _r(F.col("score"), "score"))
+    v = search.filtered(m.table("embeddings"), {"label": [1, 2, 3]})
+    return search.vector_ranks(v, _asked(m), 10, 0.0).select("query_id", _l("rank"), "vec_id", _r(F.col("score"), "score"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), ' ') AS w FROM documents WHERE lang = 'en'),
-c AS (SELECT doc_id, len(w) AS words, len(list_filter(w, lambda x: x = 'with')) AS a, len(list_filter(w, lambda x: x = 'there')) AS b FROM t)
-SELECT doc_id, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS found, CAST(a + b AS BIGINT) AS hits, CAST(words AS BIGINT) AS words, round(((a > 0)::INT + (b > 0)::INT) / 2.0::DOUBLE + 0.01 * (a + b) / words, 6) AS score FROM c WHERE a + b > 0""", model=False)
+_KEYWORDS = """t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS words, len(list_filter(w, lambda x: x = 'with')) AS a, len(list_filter(w, lambda x: x = 'there')) AS b FROM t),
+k AS (SELECT doc_id, CAST((a > 0)::INT + (b > 0)::INT AS BIGINT) AS found, CAST(a + b AS BIGINT) AS hits, CAST(words AS BIGINT) AS words, ((a > 0)::INT + (b > 0)::INT) / 2.0::DOUBLE + 0.01::DOUBLE * (a + b) / words AS score FROM c WHERE a + b > 0)"""
+
+
+@query(f"""
+WITH {_KEYWORDS}
+SELECT doc_id, found, hits, words, round(score, 6) AS score FROM k""", model=False)
 def keyword_search(m):
-    pages = m.table("documents").filter("lang = 'en'")
-    return search.keyword_scores(pages, "there with").select("doc_id", _l("found"), _l("hits"), _l("words"), _r(F.col("score"), "score"))
+    return search.keyword_scores(m.table("documents"), "there with").select("doc_id", _l("found"), _l("hits"), _l("words"), _r(F.col("score"), "score"))
 
 
-@query(None)
+@query(f"""{_SCORES.strip()}, {_KEYWORDS},
+a AS (SELECT query_id, vec_id AS doc_id, score, 'vector' AS how FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20), b AS (SELECT doc_id, score FROM k ORDER BY k.score DESC, doc_id LIMIT 20),
+g AS (SELECT query_id, doc_id, max(score) AS score, string_agg(DISTINCT how, '+' ORDER BY how) AS how FROM (SELECT * FROM a UNION ALL SELECT query_id, doc_id, score, 'keyword' FROM q, b) GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, how FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g.score DESC, doc_id) <= 10""", model=False)
 def hybrid_search(m):
-    """Vector and keyword ranks merged; each is checked by a query of its own."""
-    v = m.table("embeddings")
-    q = v.filter("vec_id = 0").select("embedding").first()
-    return search.hybrid_search(m.table("documents"), v, "there with", list(q[0]) if q else []).select("doc_id", _r(F.col("score"), "score"), "how")
+    return search.hybrid_search(m.table("documents"), m.table("embeddings"), "there with", _asked(m)).select("query_id", "doc_id", _r(F.col("score"), "score"), "how")
 
 
 @query("""
-WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\\|.+\\|')) AS t, len(regexp_extract_all(text, '\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b')) AS d, len(regexp_extract_all(text, '\\$\\s?\\d[\\d,]*(?:\\.\\d\\d)?')) AS m, len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?%')) AS p FROM documents)
-SELECT doc_id, 'table' AS marker, CAST(t AS BIGINT) AS n, round(t * 1.3, 6)::DOUBLE AS score FROM c WHERE t > 0 UNION ALL SELECT doc_id, 'date', d, round(d * 1.4, 6) FROM c WHERE d > 0 UNION ALL SELECT doc_id, 'currency', m, round(m * 1.8, 6) FROM c WHERE m > 0 UNION ALL SELECT doc_id, 'percent', p, round(p * 1.5, 6) FROM c WHERE p > 0""", model=False)
+WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][A-Z ]{3,}:?$')) AS h, len(regexp_extract_all(text, '(?m)^\\s*(?:[-*•]|\\d+\\.)\\s')) AS l, len(regexp_extract_all(text, '\\|.+\\|')) AS t, len(regexp_extract_all(text, '\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b')) AS d, len(regexp_extract_all(text, '\\$\\s?\\d[\\d,]*(?:\\.\\d\\d)?')) AS m, len(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)?%')) AS p FROM documents)
+SELECT doc_id, 'table' AS marker, CAST(t AS BIGINT) AS n, round(t * 1.3, 6)::DOUBLE AS score FROM c WHERE t > 0 UNION ALL SELECT doc_id, 'date', d, round(d * 1.4, 6) FROM c WHERE d > 0 UNION ALL SELECT doc_id, 'currency', m, round(m * 1.8, 6) FROM c WHERE m > 0 UNION ALL SELECT doc_id, 'percent', p, round(p * 1.5, 6) FROM c WHERE p > 0
+UNION ALL SELECT doc_id, 'header', h, round(h * 1.5, 6) FROM c WHERE h > 0 UNION ALL SELECT doc_id, 'list', l, round(l * 1.2, 6) FROM c WHERE l > 0""", model=False)
 def important_content(m):
-    return search.markers(m.table("documents")).filter(F.col("marker").isin("table", "date", "currency", "percent")).select("doc_id", "marker", _l("n"), _r(F.col("score"), "score"))
+    return search.markers(m.table("documents")).select("doc_id", "marker", _l("n"), _r(F.col("score"), "score"))
 
 
 @query(None)
@@ -849,10 +924,25 @@ def rejected_scope(m):
     return detectors.rejected_scope(m.items, relationships.pair_rules(m.documents)).select("project_id", "rejected_id", "other_id")
 
 
-@query(None)
+def _restoration_sql():
+    from tallyforge.functions.texts import SUBSTITUTIONS, TECHNICAL
+
+    terms = "[" + ", ".join(f"'{t}'" for t in TECHNICAL) + "]"
+    has = lambda t, x: f"contains({t}, '{x}')"
+    pair = " OR ".join(f"({has('r.p', x)} AND {has('o.p', y)} AND NOT {has('o.p', x)}) OR ({has('r.p', y)} AND {has('o.p', x)} AND NOT {has('o.p', y)})" for x, y in SUBSTITUTIONS)
+    grams = "list_distinct([concat_ws(' ', w0[i], w0[i + 1]) for i in range(1, len(w0))])"
+    return f"""
+, t AS (SELECT doc_id, string_agg(description, ' ' ORDER BY description) AS text FROM (SELECT DISTINCT doc_id, description FROM items WHERE doc_type = 'change_order') GROUP BY doc_id),
+x AS (SELECT docs.project_id, docs.doc_id, status, date_created, c, lower(text) AS p, string_split(lower(text), ' ') AS w0 FROM docs JOIN t ON docs.doc_id = t.doc_id WHERE doc_type = 'change_order'),
+y AS (SELECT *, list_distinct(w0) AS w, {grams} AS g, list_intersect(list_distinct(w0), {terms}) AS k FROM x),
+j AS (SELECT r.project_id, r.doc_id AS rejected_id, r.c AS rc, o.c, 0.3::DOUBLE * {_jaccard_sql('r.w', 'o.w')} + 0.2::DOUBLE * {_jaccard_sql('r.g', 'o.g')} + 0.2::DOUBLE * {_jaccard_sql('r.k', 'o.k')} + CASE WHEN {pair} THEN 0.3 ELSE 0 END::DOUBLE AS alike
+  FROM y r JOIN y o ON r.project_id = o.project_id AND r.status = 'rejected' AND o.status <> 'rejected' AND o.date_created > r.date_created)
+SELECT project_id, rejected_id, CAST(count(*) AS BIGINT) AS orders, round(max(alike), 6) AS alike, CAST(sum(c) AS BIGINT) AS restored_cents, round(sum(c) * 100.0::DOUBLE / rc, 6) AS percent FROM j WHERE alike >= 0.1 GROUP BY project_id, rejected_id, rc"""
+
+
+@query(_restoration_sql())
 def scope_restoration(m):
-    """A blend of word, word-pair and term overlaps; tested on a small frame."""
-    return detectors.scope_restoration(m.documents, m.items).select("project_id", "rejected_id", "orders", _r(F.col("alike"), "alike"), F.col("restored").alias("restored_cents"), _r(F.col("percent"), "percent"))
+    return detectors.scope_restoration(m.documents, m.items, 0.1).select("project_id", "rejected_id", "orders", _r(F.col("alike"), "alike"), F.col("restored").alias("restored_cents"), _r(F.col("percent"), "percent"))
 
 
 @query("""
@@ -876,29 +966,31 @@ def sequential_change_orders(m):
     return detectors.sequential_chains(relationships.pair_rules(m.documents), m.documents)
 
 
-@query(f""", {_CLOSE_SQL}
-, p2 AS (SELECT a.src AS s, b.dst AS t, [a.dst] AS v FROM close a JOIN close b ON a.dst = b.src WHERE a.src <> b.dst), p3 AS (SELECT p2.s, c.dst AS t, list_concat(v, [p2.t]) AS v FROM p2 JOIN close c ON p2.t = c.src WHERE c.dst <> p2.s AND NOT list_contains(v, c.dst)),
-every AS (SELECT src AS s, dst AS t, []::BIGINT[] AS v FROM close UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
-k AS (SELECT s, t, len(v) AS n, count(*) AS paths FROM every GROUP BY ALL), l AS (SELECT s, t, n, paths FROM k QUALIFY n = min(n) OVER (PARTITION BY s, t)),
-i AS (SELECT paths, unnest(v) AS id FROM every JOIN l ON every.s = l.s AND every.t = l.t AND len(v) = l.n)
-SELECT id, round(sum(1.0::DOUBLE / paths), 6) AS betweenness FROM i GROUP BY id""")
+@query(f""", {_EDGES_SQL}{_distance_sql()}
+SELECT a.t AS id, round(sum(a.paths * b.paths / c.paths), 6) AS betweenness FROM dist a JOIN dist b ON a.t = b.s AND a.s <> b.t JOIN dist c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY a.t""")
 def betweenness_centrality(m):
-    return graph.betweenness(_close(m)).select("id", _r(F.col("betweenness"), "betweenness"))
+    return graph.betweenness(_edges(m)).select("id", _r(F.col("betweenness"), "betweenness"))
 
 
-@query(None)
+def _eigen_sql():
+    out = ", v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), x0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS score FROM v)"
+    for k in range(1, 11):
+        out += f", y{k} AS MATERIALIZED (SELECT x.id, x.score + coalesce(got, 0) AS score FROM x{k - 1} x LEFT JOIN (SELECT dst, sum(score) AS got FROM e JOIN x{k - 1} ON src = id GROUP BY dst) ON x.id = dst)"
+        out += f", x{k} AS MATERIALIZED (SELECT id, score / (SELECT sqrt(sum(score * score)) FROM y{k}) AS score FROM y{k})"
+    return out
+
+
+@query(f""", {_EDGES_SQL}{_eigen_sql()}
+SELECT id, round(score, 9) AS score FROM x10""")
 def eigenvector_centrality(m):
-    """Iterative; tested against a plain version."""
-    return graph.eigenvector(_close(m)).select("id", _r(F.col("score"), "score", 9))
+    return graph.eigenvector(_edges(m)).select("id", _r(F.col("score"), "score", 9))
 
 
 @query(None)
 def chosen_clusters(m):
     """A greedy choice, tested against a plain version."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("party").orderBy("date_created", "doc_id")
-    c = sequences.best_clusters(sequences.event_clusters(m.documents)).join(m.documents.select("doc_id", F.row_number().over(w).alias("first")), "doc_id")
+    places = ranked(m.documents.select("party", "doc_id", "date_created"), ("party",), "date_created", "doc_id", out="first")
+    c = sequences.best_clusters(sequences.event_clusters(m.documents)).join(places.select("doc_id", "first"), "doc_id")
     best = detectors.drop_overlaps(c, ("party",), "first", "size", [F.desc("confidence"), F.desc("size")])
     return best.select("party", "doc_id", _l("size"), _l("span"), _r(F.col("confidence"), "confidence"))
 
@@ -957,10 +1049,17 @@ def math_error_summary(m):
     return rules.math_error_summary(m.items, m.documents).select(F.col("check").alias("rule"), "party", "n", _l("benefits"), _l("net"), "systematic")
 
 
-@query(None)
+@query(f""", {_UNBACKED_SQL.strip()}, {_ROUNDNESS_SQL.strip()},
+zs AS (SELECT *, count(*) OVER w AS k, avg(c / 100.0::DOUBLE) OVER w AS mean, stddev_pop(c / 100.0::DOUBLE) OVER w AS std FROM items WINDOW w AS (PARTITION BY cost_code, doc_type, party)),
+zz AS (SELECT item_id, abs((c / 100.0::DOUBLE - mean) / std) AS z FROM zs WHERE k >= 5 AND std > 0 AND std >= 0.01 * abs(mean)),
+av AS (SELECT cost_code, CAST(sum(c) AS DOUBLE) / count(*) / 100 AS mean FROM items WHERE c > 0 GROUP BY cost_code),
+sd AS (SELECT item_id, least(1.0, CASE WHEN length(trim(description)) < 5 THEN 0.4 WHEN length(trim(description)) < 10 THEN 0.3 ELSE 0 END + CASE WHEN c > 10000000 AND length(trim(description)) < 15 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM items),
+f AS (SELECT 'amount_outlier' AS kind, item_id AS subject, least(0.95, 0.7 + 0.1 * (z - 2.5))::DOUBLE AS confidence FROM zz WHERE z > 2.5
+  UNION ALL SELECT 'unusually_large', item_id, least(0.95, 0.7 + 0.05 * (c / 100.0::DOUBLE / mean - 3))::DOUBLE FROM items JOIN av ON items.cost_code = av.cost_code WHERE c > 10000000 AND c / 100.0::DOUBLE / mean > 3
+  UNION ALL SELECT 'suspicious_description', item_id, (0.6 + 0.3 * score)::DOUBLE FROM sd WHERE score >= 0.7 UNION ALL SELECT 'round_amount', item_id, r FROM rr WHERE c >= 100000 AND r >= 0.7 UNION ALL SELECT 'missing_change_order', item_id, confidence FROM unbacked)
+SELECT kind, subject, round(confidence, 6) AS confidence FROM f""")
 def anomalies(m):
-    """A union of detectors that are each checked by a query of their own."""
-    return engine.anomalies(m.items, m.documents)
+    return engine.anomalies(m.items, m.documents).select("kind", "subject", _r(F.col("confidence"), "confidence"))
 
 
 @query(f""", {_PAIRS_SQL.strip()}

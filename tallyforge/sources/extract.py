@@ -103,6 +103,7 @@ FIELDS = {
     "payment_app": {"application_number": r"(?i)application\s*no\.?\s*:?\s*([A-Za-z0-9-]+)", "period_start": r"(?i)period\s+from\s*:?\s*" + _DATE, "period_end": r"(?i)(?:period\s+)?to\s*:\s*" + _DATE, "contract_sum": r"(?i)contract\s+sum[^$\n]*" + _MONEY, "payment_due": r"(?i)payment\s+due[^$\n]*" + _MONEY},
     "change_order": {"change_order_number": r"(?i)change\s+order\s*(?:no|number|#)\.?\s*:?\s*([A-Za-z0-9-]+)", "change_order_date": r"(?i)date\s*:?\s*" + _DATE, "change_order_amount": r"(?i)total\s+change\s+order\s+amount[^$\n]*" + _MONEY},
     "correspondence": {"subject": r"(?im)^(?:subject|re)\s*:\s*(.+)$", "sender": r"(?im)^from\s*:\s*(.+)$", "recipient": r"(?im)^to\s*:\s*(.+)$", "letter_date": r"(?i)date\s*:?\s*" + _DATE},
+    "contract": {"contract_date": r"(?i)(?:contract\s*)?date[:\s]*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", "contract_sum": r"(?i)contract\s*(?:sum|amount)[:\s]*\$?([0-9,]+\.[0-9]{2})"},
     "schedule": {"schedule_date": r"(?i)date\s*:?\s*" + _DATE, "revision": r"(?i)rev(?:ision)?\.?\s*:?\s*([A-Za-z0-9]+)"},
 }
 
@@ -116,6 +117,82 @@ def fields(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fields", out)
 
 
+#: Patterns of project information, tried in order; and of references to other documents, with the words that tell their type (fixed values).
+PROJECT = {"project_name": (r"PROJECT(?: NAME| TITLE)?:\s*([^\n]+)",), "project_number": (r"Project ID:\s*([\w-]+)", r"(?:PROJECT NUMBER|PROJECT ID|CONTRACT NUMBER):\s*([\w-]+)")}
+PARTIES = ("contractor", "owner", "architect")
+REFERENCES = (
+    (r"(?i)(?:change order|co)[\s#:.]+\d+", "change_order"), (r"(?i)(?:payment application|pay app|application)[\s#:.]+\d+", "payment_app"), (r"(?i)(?:invoice|billing)[\s#:.]+[a-z0-9-]{2,}", "invoice"),
+    (r"(?i)(?:contract|agreement)[\s#:.]+[a-z0-9-]{2,}", "contract"), (r"(?i)(?:letter|email|memo) dated[\s:]+[a-z]+ \d{1,2}, \d{4}", "correspondence"),
+)
+
+
+def project_information(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with project_name, project_number, contractor, owner, architect (each up to a blank line or the next party) and follows, the number of a change order that this one says it follows. Null where a text doesn't say."""
+    t = F.col(text)
+    stop = "|".join(p.upper() for p in PARTIES)
+    party = {p: F.nullif(F.trim(F.regexp_extract(t, rf"(?s){p.upper()}:\s*(.+?)(?:\n\s*\n|\n(?:{stop})|\z)", 1)), F.lit("")) for p in PARTIES}
+    follows = first_group(t, r"(?i)(?:follows|following|subsequent to|related to|continuation of)[^.]*?(?:change order|co)[\s#:.]+(\d+)", r"(?i)(?:change order|co)[\s#:.]+(\d+)[^.]*?(?:series|sequence|chain|related)")
+    return docs.withColumns({name: F.trim(first_group(t, *patterns)) for name, patterns in PROJECT.items()} | party | {"follows": F.when(document_type(t) == "change_order", follows)})
+
+
+def references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, kind, reference, status of every mention of another document. status: approved or rejected if the words before it in its sentence say so, else null."""
+    found = None
+    for pattern, kind in REFERENCES:
+        one = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?i)([^.]{0,60}?" + pattern[4:] + ")"), F.lit(1))).alias("at")).select(key, F.lit(kind).alias("kind"), "at", F.regexp_extract("at", pattern, 0).alias("whole"))
+        found = one if found is None else found.unionByName(one)
+    low = F.lower("at")
+    status = F.when(low.rlike("reject|denied"), "rejected").when(low.rlike("approv|accepted"), "approved")
+    return found.select(key, "kind", F.regexp_extract("whole", r"([A-Za-z0-9-]+(?: \d{1,2}, \d{4})?)$", 1).alias("reference"), status.alias("status"))
+
+
+#: Words of header cells, by role (fixed values).
+HEADER_WORDS = ("total", "subtotal", "item", "description", "qty", "quantity", "amount", "price", "cost", "date", "no.", "number", "unit")
+ROLES = {"description": ("description", "item", "work", "scope", "detail"), "amount": ("amount", "total", "cost", "price", "value", "sum"), "quantity": ("qty", "quantity", "count", "units"), "unit_price": ("unit price", "unit cost", "rate", "price per")}
+
+
+def is_header(cells: Column) -> Column:
+    """Whether over half of a row's cells are in capitals, or one has a header word."""
+    capital = F.size(F.filter(cells, lambda c: c.rlike("[A-Z]") & (c == F.upper(c))))
+    return (capital > F.floor(F.size(cells) / 2)) | F.exists(cells, lambda c: _has(F.lower(c), HEADER_WORDS))
+
+
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out |= text.contains(w)
+    return out
+
+
+def key_columns(tables: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For each block of table_rows(): key, block, header (its cells, null without one), and the 0-based places of the columns description, amount, quantity, unit_price.
+
+    By header words; a description is otherwise the first column of which over half the cells are texts of over five characters, an
+    amount the column with most cells that look like money, if any does.
+    """
+    first = tables.groupBy(key, "block").agg(F.min(F.struct("line", "cells")).alias("f")).select(key, "block", F.col("f.line").alias("first"), F.when(is_header(F.col("f.cells")), F.col("f.cells")).alias("header"))
+    body = tables.join(first, [key, "block"]).filter(F.col("header").isNull() | (F.col("line") > F.col("first")))
+    cell = body.select(key, "block", F.posexplode("cells").alias("at", "cell"))
+    texts = (F.length("cell") > 5) & ~F.col("cell").rlike(r"^[-+$\d.,()\s%]+$")
+    money_like = F.col("cell").rlike(r"\$\s*[\d,.]+|\d{1,3}(?:,\d{3})*\.\d{2}")
+    per = cell.groupBy(key, "block", "at").agg(F.avg(texts.cast("double")).alias("texts"), F.sum(money_like.cast("int")).alias("money"))
+    guess = per.groupBy(key, "block").agg(F.min(F.when(F.col("texts") > 0.5, F.col("at"))).alias("text_at"), F.min(F.struct((-F.col("money")).alias("m"), "at")).alias("m"))
+    named = lambda words: F.nullif(F.array_position(F.transform("header", lambda c: _has(F.lower(c), words)), True) - 1, F.lit(-1))
+    j = first.join(guess, [key, "block"], "left")
+    fallback = {"description": F.col("text_at"), "amount": F.when(F.col("m.m") < 0, F.col("m.at"))}
+    return j.select(key, "block", "header", *(F.coalesce(named(words), fallback.get(role, F.lit(None))).cast("int").alias(role) for role, words in ROLES.items()))
+
+
+def table_items(tables: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, block, line, description, amount, quantity, unit_price from rows of table_rows(); rows named as totals, and rows with neither description nor amount, are none."""
+    from tallyforge.functions.amounts import normalize_amount
+
+    j = tables.join(key_columns(tables, key), [key, "block"]).filter(F.col("header").isNull() | (F.col("cells") != F.col("header")))
+    at = lambda role: F.get("cells", F.col(role))
+    rows = j.select(key, "block", "line", at("description").alias("description"), *(normalize_amount(at(c)).alias(c) for c in ("amount", "quantity", "unit_price")))
+    return rows.filter(~F.coalesce(F.lower("description").rlike("total|sum"), F.lit(False)) & (F.col("amount").isNotNull() | (F.coalesce("description", F.lit("")) != "")))
+
+
 def embed(text: Column, dimensions: int = 1536) -> Column:
     """A stand-in for an embedding service: a unit vector that depends on the text alone, from the digests of the text and each place's number."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(F.coalesce(text, F.lit("")), F.lit("#"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967295.0 - 0.5)
