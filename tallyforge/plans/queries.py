@@ -1106,6 +1106,282 @@ def text_approvals(m):
     return extract.metadata(m.table("documents")).groupBy("approval").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- likeness, confidences and explanations --------------------------------------------------------------------------------
+
+_LIKE_SQL = f"""
+WITH RECURSIVE {SQL.strip()},
+ds AS MATERIALIZED (SELECT cost_code, description, list_distinct(string_split(lower(description), ' ')) AS w FROM lines GROUP BY cost_code, description),
+li AS MATERIALIZED (SELECT a.cost_code, a.description AS a, b.description AS b FROM ds a JOIN ds b ON a.cost_code = b.cost_code AND {_jaccard_sql('a.w', 'b.w')} >= 0.5),
+rc(cost_code, a, b) AS (SELECT cost_code, a, b FROM li UNION SELECT rc.cost_code, rc.a, li.b FROM rc JOIN li ON rc.cost_code = li.cost_code AND rc.b = li.a),
+groups AS MATERIALIZED (SELECT cost_code, a AS description, min(b) AS "like" FROM rc GROUP BY cost_code, a)"""
+
+
+@query(f"""{_LIKE_SQL.strip()}
+SELECT cost_code, description, "like" FROM groups""", model=False)
+def similar_descriptions(m):
+    return rules.description_groups(m.line_items, ("cost_code",), 0.5)
+
+
+@query(f"""{_LIKE_SQL.strip()},
+p AS (SELECT lines.cost_code || ': ' || "like" AS name, c / 100.0::DOUBLE / quantity AS price FROM lines JOIN groups ON lines.cost_code = groups.cost_code AND lines.description = groups.description WHERE quantity > 0)
+SELECT name, CAST(count(*) AS BIGINT) AS n, round(min(price), 8) AS low, round(max(price), 8) AS high, round(stddev_pop(price) / avg(price), 4) AS cv FROM p GROUP BY name HAVING count(*) >= 2 AND stddev_pop(price) / avg(price) > 0.2""", model=False)
+def price_variation_by_likeness(m):
+    groups = rules.description_groups(m.line_items, ("cost_code",), 0.5)
+    items = m.line_items.join(groups, ["cost_code", "description"]).withColumn("name", F.concat_ws(": ", "cost_code", "like"))
+    return rules.similar_items_prices(items, column="name").select("name", "n", _r(F.col("low"), "low", 8), _r(F.col("high"), "high", 8), _r(F.col("cv"), "cv", 4))
+
+
+@query("""
+, t AS (SELECT c // 10000 AS k, description || CASE WHEN quantity % 7 = 0 THEN ' HVAC unit' ELSE '' END || CASE WHEN quantity % 5 = 0 THEN ' delivery' ELSE '' END AS d FROM lines),
+g AS (SELECT k, count(*) AS n, sum(CASE WHEN contains(d, 'HVAC') THEN 1 ELSE 0 END) AS hvac, sum(CASE WHEN contains(d, 'delivery') THEN 1 ELSE 0 END) AS delivery FROM t GROUP BY k)
+SELECT k * 100 AS amount, CAST(n AS BIGINT) AS n, CAST(hvac AS BIGINT) AS hvac, CAST(delivery AS BIGINT) AS delivery FROM g WHERE n >= 2 AND (hvac >= 2 OR (hvac > 0 AND delivery > 0))""")
+def hvac_duplicates(m):
+    """Some items are named as equipment and deliveries here, as the tables have no such."""
+    named = F.concat("description", F.when(F.col("quantity") % 7 == 0, " HVAC unit").otherwise(""), F.when(F.col("quantity") % 5 == 0, " delivery").otherwise(""))
+    return rules.hvac_duplicates(m.line_items.withColumn("description", named), agg.coarse(F.col("amount"))).select(F.col("key").alias("amount"), "n", "hvac", "delivery")
+
+
+@query("""
+, f AS (SELECT item_id, list_filter([CASE WHEN c > 10000000 THEN 'large amount' END, CASE WHEN length(description) < 5 THEN 'very short description' END, CASE WHEN c % 100000 = 0 AND c > 1000000 THEN 'round large amount' END, CASE WHEN day(date_created) >= 28 THEN 'end of month' END], lambda x: x IS NOT NULL) AS r FROM items)
+SELECT item_id, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'features unusual together' END AS reasons FROM f""")
+def explained_features(m):
+    return rules.explained(rules.features(m.items)).select("item_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"""
+, s AS (SELECT project_id, doc_id, date_created, count(*) AS parts, sum(c) AS s FROM items WHERE c < 1500000 GROUP BY ALL HAVING count(*) >= 2),
+j AS (SELECT s.project_id, s.doc_id, parts, s, i.item_id, i.c, i.description, row_number() OVER (PARTITION BY s.project_id, s.doc_id ORDER BY abs(i.c - s), i.item_id) AS k FROM s JOIN items i ON s.project_id = i.project_id AND date_diff('day', s.date_created, i.date_created) BETWEEN 1 AND 90 AND abs(i.c - s) * 1000 <= 100 * s),
+a AS (SELECT j.doc_id, j.parts, j.s, j.item_id, j.c, sum(CASE WHEN {_jaccard_sql("string_split(j.description, ' ')", "string_split(p.description, ' ')")} >= 0.6 THEN 1 ELSE 0 END) AS alike FROM j JOIN items p ON p.doc_id = j.doc_id AND p.c < 1500000 WHERE k = 1 GROUP BY ALL)
+SELECT doc_id, item_id AS later_id, CAST(alike AS BIGINT) AS alike, round(least(0.95, 0.7 + greatest(0, 0.15 * (1 - least(1, abs(c - s)::DOUBLE / s * 10))) + least(0.1, (parts - 1) * 0.02) + least(0.1, alike * 0.02))::DOUBLE, 6) AS confidence FROM a""")
+def combination_confidence(m):
+    found = sequences.combined_amounts(m.items, most=15_000)
+    return sequences.combined_confidence(found, m.items, most=15_000).select("doc_id", "later_id", _l("alike"), _r(F.col("confidence"), "confidence"))
+
+
+@query(f"""
+, t AS (SELECT doc_id, list_distinct(flatten(list(list_intersect(string_split(description || CASE WHEN quantity % 2 = 0 THEN ' steel' ELSE '' END || CASE WHEN quantity % 3 = 0 THEN ' concrete roofing' ELSE '' END, ' '), ['steel', 'concrete', 'roofing'])))) AS t FROM items WHERE doc_type = 'change_order' GROUP BY doc_id),
+d AS (SELECT project_id, docs.doc_id, t, lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM docs JOIN t ON docs.doc_id = t.doc_id WHERE doc_type = 'change_order' WINDOW w AS (PARTITION BY project_id ORDER BY date_created, docs.doc_id))
+SELECT project_id, doc_id, array_to_string(list_sort(list_intersect(list_intersect(t, t2), t3)), ',') AS shared FROM d WHERE len(list_intersect(list_intersect(t, t2), t3)) >= 2""")
+def interconnected_changes(m):
+    """Some items are named with building terms here."""
+    named = F.concat("description", F.when(F.col("quantity") % 2 == 0, " steel").otherwise(""), F.when(F.col("quantity") % 3 == 0, " concrete roofing").otherwise(""))
+    return rules.interconnected_changes(m.documents, m.items.withColumn("description", named)).select("project_id", "doc_id", F.array_join("shared", ",").alias("shared"))
+
+
+@query("""
+, t AS (SELECT item_id, description || CASE WHEN quantity % 4 = 0 THEN ' extra fee' WHEN quantity % 4 = 1 THEN ' overheads' ELSE '' END AS d FROM lines WHERE c > 10000)
+SELECT item_id, contains(d, 'extra') AS suspicious FROM t WHERE contains(d, ' fee') OR contains(d, ' overheads')""")
+def hidden_fees(m):
+    """Some items are named as fees here."""
+    named = F.concat("description", F.when(F.col("quantity") % 4 == 0, " extra fee").when(F.col("quantity") % 4 == 1, " overheads").otherwise(""))
+    return detectors.hidden_fees(m.line_items.withColumn("description", named)).select("item_id", "suspicious")
+
+
+@query("""
+, t AS (SELECT doc_id, item_id, c, description || CASE WHEN quantity % 9 = 0 THEN ' total' ELSE '' END AS d FROM lines), u AS (SELECT *, count(*) OVER w AS n, sum(c) OVER w - c AS rest FROM t WINDOW w AS (PARTITION BY doc_id))
+SELECT item_id, c AS amount_cents, CAST(rest AS BIGINT) AS rest FROM u WHERE n > 5 AND contains(d, ' total') AND abs(c - rest) * 1000 > 10 * abs(rest)""")
+def total_lines(m):
+    """Some items are named as totals here."""
+    named = F.concat("description", F.when(F.col("quantity") % 9 == 0, " total").otherwise(""))
+    return agg.total_lines(m.line_items.withColumn("description", named)).select("item_id", _c("amount"), "rest")
+
+
+@query("SELECT doc_id, c AS amount_cents, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, c // 100000 * 100000 AS c FROM lines) GROUP BY doc_id, c HAVING count(*) > 1")
+def amount_groups(m):
+    rows = m.line_items.withColumn("amount", agg.coarse(F.col("amount"), 1000).cast("decimal(15,2)"))
+    return matching.amount_groups(rows).select("doc_id", _c("amount"), "n")
+
+
+@query("""
+, a AS (SELECT * FROM lines WHERE doc_id = 11), b AS (SELECT * FROM lines WHERE doc_id = 14),
+s AS (SELECT a.item_id AS a_item_id, b.item_id AS b_item_id, 0.4 * greatest(0, 1 - abs(a.c - b.c)::DOUBLE / greatest(a.c, b.c) / 0.05) + 0.3 * CAST(len(list_intersect(string_split(a.description, ' '), string_split(b.description, ' '))) AS DOUBLE) / len(list_distinct(list_concat(string_split(a.description, ' '), string_split(b.description, ' ')))) + 0.05 AS similarity FROM a, b)
+SELECT a_item_id, b_item_id, round(similarity::DOUBLE, 6) AS similarity FROM s WHERE similarity >= 0.05""")
+def context_matches_between_documents(m):
+    return matching.context_matches_between_documents(m.line_items, 11, 14, 0.05).select("a_item_id", "b_item_id", _r(F.col("similarity"), "similarity"))
+
+
+@query("SELECT item_id, array_to_string(list_sort(list_filter(string_split(description, ' '), lambda x: length(x) > 3)), ',') AS words FROM lines")
+def item_keywords(m):
+    from tallyforge.functions.texts import keywords
+
+    return m.line_items.select("item_id", F.array_join(F.array_sort(keywords(F.col("description"))), ",").alias("words"))
+
+
+# --- registered matches, flags, projects -----------------------------------------------------------------------------------
+
+
+def _matches(m):
+    p = matching.item_matches(m.items).filter("a_item_id < b_item_id")
+    return p.select(F.col("a_item_id").alias("source_item_id"), F.col("b_item_id").alias("target_item_id"))
+
+
+_MATCHES_SQL = "reg AS (SELECT a.item_id AS s, b.item_id AS t FROM items a JOIN items b ON a.project_id = b.project_id AND a.doc_id <> b.doc_id AND abs(a.c - b.c) * 1000 <= 10 * a.c WHERE a.c > 0 AND b.c > 0 AND a.item_id < b.item_id)"
+
+
+@query(f""", {_MATCHES_SQL}, ids AS (SELECT item_id FROM lines WHERE quantity = 7)
+SELECT s AS source_item_id, t AS target_item_id FROM reg WHERE s IN (SELECT item_id FROM ids) OR t IN (SELECT item_id FROM ids)""")
+def registered_matches(m):
+    return lookups.registered_matches(_matches(m), m.line_items.filter("quantity = 7"))
+
+
+@query(f""", {_MATCHES_SQL}, f AS (SELECT a.item_id AS a, b.item_id AS b FROM lines a JOIN lines b ON a.quantity = 7 AND b.quantity = 8)
+SELECT s AS source_item_id, t AS target_item_id FROM reg WHERE (s, t) IN (SELECT a, b FROM f) OR (t, s) IN (SELECT a, b FROM f)""")
+def known_matches(m):
+    found = matching.item_matches(m.items.filter("quantity IN (7, 8)")).select("a_item_id", "b_item_id")
+    seven = m.line_items.filter("quantity = 7").select(F.col("item_id").alias("a_item_id")).distinct()
+    eight = m.line_items.filter("quantity = 8").select(F.col("item_id").alias("b_item_id")).distinct()
+    return lookups.known_matches(_matches(m), found.join(seven, "a_item_id", "left_semi").join(eight, "b_item_id", "left_semi"))
+
+
+@query("SELECT item_id AS flag_id, round(quantity / 50.0::DOUBLE, 6) AS confidence FROM lines WHERE cost_code = 'Brand#12' AND quantity >= 40 AND item_status = 'pending'")
+def flags_by_type(m):
+    """Items as flags: their cost code as type, and a fiftieth of their quantity as confidence."""
+    flags = m.line_items.select(F.col("item_id").alias("flag_id"), F.col("cost_code").alias("flag_type"), (F.col("quantity") / 50).alias("confidence"), F.col("item_status").alias("status"))
+    return lookups.flags_by_type(flags, "Brand#12", 0.8, "pending").select("flag_id", _r(F.col("confidence"), "confidence"))
+
+
+@query("SELECT project_id, CAST(count(*) AS BIGINT) AS rows FROM docs WHERE project_id <> 7 GROUP BY project_id")
+def projects(m):
+    from tallyforge.operators.registry import projects, without_project
+
+    return projects(without_project(m.documents, 7))
+
+
+@query("SELECT doc_id, party, 'changes' AS project_id FROM docs WHERE doc_type = 'change_order' AND c > 30000000 UNION ALL SELECT doc_id, party, 'invoices' FROM docs WHERE doc_type = 'invoice' AND c > 30000000")
+def merged_results(m):
+    from tallyforge.operators.registry import merged_results
+
+    big = lambda kind: m.documents.filter((F.col("doc_type") == kind) & (F.col("total") > 300_000)).select("doc_id", "party")
+    return merged_results({"invoices": big("invoice"), "changes": big("change_order")})
+
+
+# --- reports as tables -----------------------------------------------------------------------------------------------------
+
+
+@query(f""", {_PAIRS_SQL.strip()},
+n AS (SELECT doc_id, count(*) AS n, sum(c) AS s FROM lines GROUP BY doc_id), r AS (SELECT d, count(*) AS k FROM (SELECT src AS d FROM rel UNION ALL SELECT dst FROM rel) GROUP BY d)
+SELECT docs.doc_id, doc_type || ' of ' || party || ', ' || date_created || ': ' || coalesce(n, 0) || ' items, $' || format('{{:,.2f}}', coalesce(s, 0)::DOUBLE / 100) || ', ' || coalesce(k, 0) || ' relations' AS text FROM docs LEFT JOIN n ON docs.doc_id = n.doc_id LEFT JOIN r ON docs.doc_id = d""")
+def document_reports(m):
+    return reports.document_reports(m.documents, m.line_items, relationships.pair_rules(m.documents))
+
+
+@query("""
+, n AS (SELECT project_id, doc_type, count(*) AS n FROM docs GROUP BY ALL), t AS (SELECT project_id, string_agg(n || ' ' || doc_type, ', ' ORDER BY doc_type) AS t FROM n GROUP BY project_id)
+SELECT docs.project_id, 'From ' || min(date_created) || ' to ' || max(date_created) || ' (' || date_diff('day', min(date_created), max(date_created)) || ' days), ' || count(*) || ' documents: ' || t AS text FROM docs JOIN t ON docs.project_id = t.project_id GROUP BY docs.project_id, t""")
+def timeline_sentences(m):
+    return reports.timeline_sentences(m.documents)
+
+
+@query(f""", {_REAPPEARED_SQL.strip()}, {_UNBACKED_SQL.strip()},
+d AS (SELECT item_id FROM reappeared UNION SELECT item_id FROM unbacked), a AS (SELECT DISTINCT ON (item_id) item_id, c FROM lines), t AS (SELECT count(*) AS n, sum(c) AS s FROM d JOIN a USING (item_id)),
+p AS (SELECT item_status AS kind, count(*) AS n, max(quantity / 50.0::DOUBLE) AS high FROM lines GROUP BY item_status)
+SELECT 'summary' AS section, 'Of ' || (SELECT count(*) FROM docs) || ' documents with ' || (SELECT count(*) FROM lines) || ' line items, $' || format('{{:,.2f}}', s::DOUBLE / 100) || ' is in dispute.' AS text FROM t
+UNION ALL SELECT 'disputed amounts', n || ' disputed amounts come to $' || format('{{:,.2f}}', s::DOUBLE / 100) || '.' FROM t UNION ALL SELECT 'pattern: ' || kind, n || ' findings, confidence up to ' || format('{{:.2f}}', high) || '.' FROM p""")
+def narrative(m):
+    """Items by status stand for patterns here."""
+    patterns = m.line_items.select(F.col("item_status").alias("kind"), (F.col("quantity") / 50).alias("confidence"))
+    return reports.narrative(m.documents, m.line_items, engine.disputed_amounts(m.items, m.documents), patterns)
+
+
+# --- vectors kept ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS vectors, CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most, 0::BIGINT AS zeros FROM embeddings WHERE vec_id % 3 <> 0", model=False)
+def vector_stats(m):
+    v = m.table("embeddings")
+    s = search.vector_stats(search.removed_vectors(v, v.filter("vec_id % 3 = 0")))
+    return s.select("vectors", _l("least_dimensions").alias("least"), _l("most_dimensions").alias("most"), _l("zeros"))
+
+
+# --- texts written and read back -------------------------------------------------------------------------------------------
+
+
+def _tables_text(m):
+    """A text for each document: a header, and a line for each item."""
+    money = lambda c: amounts.format_currency(F.col(c))
+    line = F.concat_ws(" | ", "description", F.col("quantity").cast("string"), money("unit_price"), money("amount"))
+    lines = m.line_items.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_number", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return lines.select("doc_id", F.concat(F.lit("Item | Qty | Rate | Amount\n"), "t", F.lit("\nGrand total | | | $1.00")).alias("text"))
+
+
+@query("SELECT doc_id, description, CAST(quantity AS DOUBLE) AS quantity, c / 100.0::DOUBLE AS amount FROM lines")
+def table_items(m):
+    return extract.table_items(extract.table_rows(_tables_text(m))).select("doc_id", "description", "quantity", "amount")
+
+
+@query("SELECT DISTINCT doc_id, 0::BIGINT AS description, 3::BIGINT AS amount, 1::BIGINT AS quantity, 2::BIGINT AS unit_price FROM lines")
+def table_key_columns(m):
+    return extract.key_columns(extract.table_rows(_tables_text(m))).select("doc_id", *map(_l, ("description", "amount", "quantity", "unit_price")))
+
+
+@query("SELECT doc_id, description, c / 100.0::DOUBLE AS amount FROM lines")
+def text_line_items(m):
+    line = F.concat(F.col("item_number").cast("string"), F.lit(". "), "description", F.lit(": "), amounts.format_currency(F.col("amount")))
+    texts = m.line_items.groupBy("doc_id").agg(F.concat(F.array_join(F.collect_list(line), "\n"), F.lit("\nSubtotal: $3.00")).alias("text"))
+    return extract.line_items(texts).select("doc_id", "description", "amount")
+
+
+@query("SELECT doc_id, 'Job ' || project_id AS project_name, 'P-' || project_id AS project_number, 'Builder ' || party AS contractor, 'School District' AS owner, CAST(number AS VARCHAR) AS follows FROM docs")
+def text_project_information(m):
+    text = F.concat(F.lit("CHANGE ORDER\nPROJECT: Job "), F.col("project_id").cast("string"), F.lit("\nPROJECT NUMBER: P-"), F.col("project_id").cast("string"), F.lit("\nCONTRACTOR: Builder "), "party", F.lit("\nOWNER: School District\n\nThis follows Change Order #"), F.col("number").cast("string"), F.lit("."))
+    return extract.project_information(m.documents.select("doc_id", text.alias("text"))).select("doc_id", "project_name", "project_number", "contractor", "owner", "follows")
+
+
+@query("""
+SELECT doc_id, 'change_order' AS kind, CAST(number AS VARCHAR) AS reference, CASE WHEN status = 'rejected' THEN 'rejected' WHEN status = 'approved' THEN 'approved' END AS status FROM docs
+UNION ALL SELECT doc_id, 'invoice', 'INV-' || doc_id, NULL FROM docs""")
+def text_references(m):
+    said = F.when(F.col("status") == "rejected", "We rejected ").when(F.col("status") == "approved", "We approved ").otherwise("See ")
+    text = F.concat(said, F.lit("Change Order #"), F.col("number").cast("string"), F.lit(". Then there is Invoice INV-"), F.col("doc_id").cast("string"), F.lit(" too."))
+    return extract.references(m.documents.select("doc_id", text.alias("text"))).select("doc_id", "kind", "reference", "status")
+
+
+@query("SELECT doc_id, CASE doc_type WHEN 'contract' THEN strftime(date_created, '%m/%d/%Y') ELSE CAST(doc_id AS VARCHAR) END AS first, CASE doc_type WHEN 'contract' THEN format('{:,.2f}', c / 100.0::DOUBLE) END AS sum FROM docs WHERE doc_type IN ('contract', 'invoice')")
+def text_fields(m):
+    d = m.documents.filter("doc_type IN ('contract', 'invoice')")
+    contract = F.concat(F.lit("AGREEMENT\nContract Date: "), F.date_format("date_created", "MM/dd/yyyy"), F.lit("\nContract Sum: $"), F.format_number("total", 2))
+    text = F.when(F.col("doc_type") == "contract", contract).otherwise(F.concat(F.lit("INVOICE\nInvoice No: "), F.col("doc_id").cast("string")))
+    f = extract.fields(d.select("doc_id", text.alias("text")))
+    return f.select("doc_id", F.coalesce(F.col("fields")["contract_date"], F.col("fields")["invoice_number"]).alias("first"), F.col("fields")["contract_sum"].alias("sum"))
+
+
+@query("""
+SELECT doc_id, c * 10 % 1000 = 0 AS retainage_ok, number % 2 = 0 AS due_ok FROM (SELECT *, c % 100000 AS x FROM docs)""")
+def text_financial_checks(m):
+    """Payment figures written into texts: the retainage is cut to whole tens of cents, the payment due is right for even numbers."""
+    c, rest = cents(F.col("total")), F.floor(cents(F.col("total")) / 100) * 10
+    money = lambda x: amounts.format_currency(x / 100)
+    text = F.concat(F.lit("Completed to date: "), money(c), F.lit("\nRetainage (10%): "), money(rest + F.when(c % 100 == 0, 0).otherwise(100)), F.lit("\nCurrent payment due: "), money(c - rest - F.when(c % 100 == 0, 0).otherwise(100) + F.when(F.col("number") % 2 == 0, 0).otherwise(500)), F.lit("\nPrevious certificates: $0.00"))
+    return extract.financial_checks(m.documents.select("doc_id", text.alias("text"))).select("doc_id", "retainage_ok", "due_ok")
+
+
+@query("""
+SELECT doc_id, CASE WHEN number % 3 = 0 THEN 1 ELSE 0 END::BIGINT + CASE WHEN number % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS failed FROM docs WHERE number % 3 = 0 OR number % 2 = 0""")
+def stated_figures(m):
+    """Documents with stated figures in JSON; those of every third number have a wrong line, those of even numbers a wrong sum."""
+    n = F.col("number")
+    meta = F.to_json(F.struct(F.array(F.struct(F.lit(2.0).alias("quantity"), n.cast("double").alias("unit_price"), (2 * n + F.when(n % 3 == 0, 1).otherwise(0)).cast("double").alias("total"))).alias("line_items"), F.lit(100.0).alias("original_contract"), n.cast("double").alias("change_orders"), (100 + n + F.when(n % 2 == 0, 5).otherwise(0)).cast("double").alias("adjusted_contract")))
+    return detectors.metadata_math(m.documents.select("doc_id", meta.alias("meta_data"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("failed"))
+
+
+@query("""
+WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, CAST(count(*) AS BIGINT) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM r GROUP BY user_id, k""", model=False)
+def event_sessions(m):
+    from tallyforge.streaming.ingest import sessions
+
+    return sessions(m.table("events")).select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@query(f""", {_EDGES_SQL}, p1 AS (SELECT [src, dst] AS p, dst AS t FROM e WHERE src = 1), p2 AS (SELECT list_append(p, dst) AS p, dst AS t FROM p1 JOIN e ON t = src WHERE NOT list_contains(p, dst)), p3 AS (SELECT list_append(p, dst) AS p, dst AS t FROM p2 JOIN e ON t = src WHERE NOT list_contains(p, dst))
+SELECT array_to_string(p, '>') AS path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) WHERE t = (SELECT max(dst) FROM e WHERE src = 1)""")
+def document_paths(m):
+    edges = _edges(m)
+    to = edges.filter("src = 1").agg(F.max("dst")).first()[0]
+    return graph.paths(edges, 1, to).select(F.array_join("path", ">").alias("path"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))
