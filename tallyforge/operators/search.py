@@ -191,7 +191,7 @@ def _paragraphs(text: str, size: int, overlap: int, least: int) -> list[str]:
     if held:
         out.append("\n\n".join(held))
     tails = ["", *(p[-overlap:] if overlap else "" for p in out[:-1])]
-    return [tail + "\n\n" + p if tail and len(tail) + len(p) <= size * 1.1 else p for tail, p in zip(tails, out, strict=True)]
+    return [tail + "\n\n" + p if tail and len(tail) + len(p) <= size * 1.1 else p for tail, p in zip(tails, out, strict=False)]
 
 
 def structured_chunks(pages: DataFrame, text: str = "text", key: str = "doc_id", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST, contract: Column | None = None) -> DataFrame:

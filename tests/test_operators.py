@@ -283,3 +283,194 @@ def test_recurring_amounts_with_many_descriptions(spark):
     items = spark.createDataFrame(rows, "amount long, description string, doc_type string, party string, doc_id long")
     got = {r["key"]: (r["n"], r["alike"]) for r in aggregates.recurring_amounts(items, F.col("amount")).collect()}
     assert got == {200: (150, True), 300: (151, False), 400: (3, False), 500: (3, True)}
+
+
+def test_ranked_and_blocked_windows(spark):
+    """Ranks and windows of groups that lie in many partitions, null groups and ties of the first key included."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    from tallyforge.operators.ordered import blocked, ranked
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.randrange(40), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v long, id long").repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {x["id"]: x["rank"] for x in ranked(df, ("g",), F.desc("v"), "id").collect()}
+        want = {x[2]: k for g in ("a", "b", None) for k, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2])))}
+        assert got == want
+        dealt, parts = blocked(ranked(df, ("g",), "v", "id"), ("g",), 3, block=16)
+        ahead = dealt.withColumn("next", F.lead("id", 3).over(Window.partitionBy(*parts).orderBy("rank"))).filter("_own")
+        order = {g: [x[2] for x in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1], x[2]))] for g in ("a", "b", None)}
+        assert {x["id"]: x["next"] for x in ahead.collect()} == {i: (ids[k + 3] if k + 3 < len(ids) else None) for ids in order.values() for k, i in enumerate(ids)}
+        some = sequences.iqr_outliers(df, "v", ("g",), "id", factor=0.1)
+        for g in ("a", "b", None):
+            v = sorted(x[1] for x in rows if x[0] == g)
+            q1, q3 = v[len(v) // 4], v[3 * len(v) // 4]
+            out = {x[2] for x in rows if x[0] == g and (x[1] < q1 - 0.1 * (q3 - q1) or x[1] > q3 + 0.1 * (q3 - q1))}
+            assert {x["id"] for x in some.filter(F.col("g").eqNullSafe(F.lit(g))).collect()} == out
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert ranked(df.filter("false"), ("g",), "v").collect() == []
+
+
+def test_arithmetic_runs_equal_a_plain_version(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for g in "ab":
+        v = 100
+        for i in range(150):
+            v += r.choice([10, 10, 10, 10, -7, 30])
+            rows.append((g, i, dt.date(2023, 1, 1) + dt.timedelta(days=3 * i + (200 if i > 70 else 0)), v))
+    df = spark.createDataFrame(rows, "g string, id long, day date, v long")
+    got = {(x["g"], x["first"], x["size"]) for x in sequences.arithmetic_runs(df, ("g",), "v", "day", "id").collect()}
+    want = set()
+    for g in "ab":
+        s, found = [x for x in rows if x[0] == g], []
+        for n in range(3, 10):
+            for a in range(len(s) - n + 1):
+                w = s[a : a + n]
+                steps, mean = [y[3] - x[3] for x, y in zip(w, w[1:])], (w[-1][3] - w[0][3]) / (n - 1)
+                if mean and all(abs(x - mean) <= 0.1 * abs(mean) for x in steps) and all((y[2] - x[2]).days <= 90 for x, y in zip(w, w[1:])):
+                    found.append((a, n))
+        covered = set()
+        for a, n in sorted(found, key=lambda x: (-x[1], x[0])):
+            if not covered & set(range(a, a + n)):
+                covered |= set(range(a, a + n))
+                want.add((g, a + 1, n))
+    assert got == want and max(n for _, _, n in want) == 9
+
+
+def test_split_rejections_equal_all_pairs(spark):
+    import random
+
+    from tallyforge.operators.rules import split_rejections
+
+    r = random.Random(4)
+    d0 = dt.date(2023, 1, 1)
+    rows = [(r.randrange(3), i, "change_order", r.choice(["rejected", "approved", None]), d0 + dt.timedelta(days=r.randrange(90)), Decimal(r.choice([0, 100, 5000, r.randrange(1, 9000), r.randrange(1, 20000)]))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "project_id int, doc_id long, doc_type string, status string, date_created date, total decimal(15,2)")
+    got = {(x["rejected_id"], x["a_id"], x["b_id"]) for x in split_rejections(docs, 1000, 9000).collect()}
+    ok = [x for x in rows if x[3] == "approved" and x[5] < 9000]
+    want = {(x[1], a[1], b[1]) for x in rows if x[3] == "rejected" and x[5] > 1000 for a in ok for b in ok if a[0] == b[0] == x[0] and a[1] < b[1] and min(a[4], b[4]) > x[4] and abs(a[5] + b[5] - x[5]) * 1000 <= 50 * x[5]}
+    assert got == want and len(want) > 20
+
+
+def test_amounts_near_zero_and_below(spark):
+    """Bins of amounts lose no pair that the plain test has."""
+    values = [Decimal(x) for x in ("0", "0", "-5", "-5", "0.01", "0.02", "100", "100.5", "101", "99.01")]
+    d0 = dt.date(2023, 1, 1)
+    items = spark.createDataFrame([(1, f"i{k}", k, "invoice", v, d0, "x") for k, v in enumerate(values)], "project_id int, item_id string, doc_id int, doc_type string, amount decimal(15,2), date_created date, description string")
+    docs = spark.createDataFrame([(1, 100 + k, "change_order", "approved", v, d0 + dt.timedelta(days=5)) for k, v in enumerate(values)], "project_id int, doc_id int, doc_type string, status string, total decimal(15,2), date_created date")
+    got = {x["item_id"]: x["n"] for x in sequences.amounts_before_approval(items, docs).collect()}
+    want = {f"i{k}": sum(abs(v - o) * 1000 <= 10 * o for o in values) for k, v in enumerate(values)}
+    assert got == {k: n for k, n in want.items() if n} and got["i0"] == 2
+
+
+def test_description_groups_equal_all_pairs(spark):
+    import random
+
+    from tallyforge.operators.rules import description_groups
+
+    r = random.Random(9)
+    names = {" ".join(r.choice("abcdefghijkl") for _ in range(r.randrange(1, 6))) for _ in range(60)} | {"", " "}
+    rows = [(r.choice(["x", "y", None]), n) for n in sorted(names) for _ in range(2)] + [("x", None)]
+    got = {(x["code"], x["description"]): x["like"] for x in description_groups(spark.createDataFrame(rows, "code string, description string"), ("code",), 0.5).collect()}
+    for code in ("x", "y", None):
+        mine = sorted({n for c, n in rows if c == code and n is not None})
+        like = {n: n for n in mine}
+        for _ in range(60):
+            for a in mine:
+                for b in mine:
+                    x, y = set(a.split()), set(b.split())
+                    if x and y and len(x & y) / len(x | y) >= 0.5:
+                        like[a] = like[b] = min(like[a], like[b])
+        assert {n: v for (c, n), v in got.items() if c == code and n is not None} == like
+
+
+def test_vector_ranks_in_blocks(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(i, [round(r.uniform(-1, 1), 1) for _ in range(3)]) for i in range(90)] + [(90, [0.0, 0.0, 0.0]), (91, None), (92, [1.0]), (93, [1.0, None, 1.0]), (94, [1.0, 0.0, 0.0]), (95, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.filter("vec_id % 5 = 0 OR vec_id IN (90, 92)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = {i: np.array(x) for i, x in rows if x and None not in x}
+
+    def cos(a, b):
+        return 0.0 if not a.any() or not b.any() else round(float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b))), 10)
+
+    for block in (4, 1000):
+        got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in search.vector_ranks(v, q, 7, 0.1, block=block).collect()}
+        want = {}
+        for i in [i for i, x in rows if (i % 5 == 0 or i in (90, 92)) and i in whole]:
+            best = sorted(((cos(whole[i], x), k) for k, x in whole.items() if len(x) == len(whole[i])), key=lambda p: (-p[0], p[1]))[:7]
+            want |= {(i, n): (k, s) for n, (s, k) in enumerate(best, 1) if s >= 0.1}
+        assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert search.vector_ranks(v.filter("false"), q).collect() == []
+
+
+def test_structured_chunks(spark):
+    parts = ["a" * 300, "b" * 300, "c" * 500, "d" * 100]
+    long = ". ".join("word " * 30 for _ in range(15))
+    table = spark.createDataFrame([(1, "\n\n".join(parts)), (2, long + "\n\n" + "tail " * 30), (3, None), (4, " \n \n ")], "doc_id long, text string")
+    got = {}
+    for x in search.structured_chunks(table).orderBy("chunk_index").collect():
+        got.setdefault(x["doc_id"], []).append(x["chunk"])
+    assert got[1] == ["a" * 300 + "\n\n" + "b" * 300, "b" * 200 + "\n\n" + "c" * 500 + "\n\n" + "d" * 100]
+    assert set(got) == {1, 2} and all(len(c) <= 1202 for c in got[2]) and got[2][-1].endswith(("tail " * 30).rstrip() + " ")
+    small = search.structured_chunks(table, contract=F.col("doc_id") == 2).filter("doc_id = 2").collect()
+    assert max(x["chunk_length"] for x in small) <= 882
+
+
+def test_projects_and_results(spark):
+    from tallyforge.operators.registry import merged_results, projects, without_project
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "project_id int, x string")
+    assert {x["project_id"]: x["rows"] for x in projects(without_project(df, 2)).collect()} == {1: 2, None: 1}
+    got = merged_results({"p": df.filter("project_id = 1"), "q": df.filter("project_id = 2").withColumn("y", F.lit(3))}).collect()
+    assert {(x["project_id"], x["x"], x["y"]) for x in got} == {("p", "a", None), ("p", "b", None), ("q", "c", 3)}
+    with pytest.raises(ValueError):
+        merged_results({})
+
+
+def test_tables_without_headers(spark):
+    text = "Concrete foundation work | 3 | $1,200.00\nSteel framing | 2 | $300.00\nSubtotal | | $1,500.00"
+    rows = extract.table_rows(spark.createDataFrame([(1, text), (2, None), (3, "plain text")], "doc_id long, text string"))
+    k = extract.key_columns(rows).collect()
+    assert [(x["doc_id"], x["header"], x["description"], x["amount"], x["quantity"]) for x in k] == [(1, None, 0, 2, None)]
+    assert sorted((x["description"], x["amount"]) for x in extract.table_items(rows).collect()) == [("Concrete foundation work", 1200.0), ("Steel framing", 300.0)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from tallyforge.storage import shared_dir
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+
+
+def test_amount_tables(spark):
+    from tallyforge.operators import reports
+    from tallyforge.plans.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    t = reports.amount_tables(m.items, m.documents, 50_000.0)
+    n = m.items.filter("abs(amount - 50000) <= 500").count()
+    assert n and t["matches"].count() == n and t["summary"].count() == 1 and set(t["anomalies"].columns) == {"kind", "subject", "confidence"}
