@@ -133,3 +133,31 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
         if not left.limit(1).count():
             return chosen.drop("_rank")
     raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
+
+
+def coordination(relationships: DataFrame, top: int = 3) -> DataFrame:
+    """One row: documents that refer to others, mutual references, cycles of three, confidence; and the `top` documents by PageRank, where at least three refer.
+
+    Confidence min(0.95, 0.7 + 0.05 n) by the number of cycles if there are any, else min(0.85, 0.6 + 0.05 n) by that of mutual references.
+    """
+    from tallyforge.operators import graph
+
+    e = graph.document_edges(relationships)
+    mutual = mutual_references(relationships).agg(F.count(F.lit(1)).alias("mutual"))
+    cycles = graph.cycles(e, 3).filter(F.size("path") >= 3).agg(F.count(F.lit(1)).alias("cycles"))
+    referring = e.agg(F.countDistinct("src").alias("referring"))
+    best = graph.pagerank(e).orderBy(F.desc(F.round("rank", 12)), "id").limit(top).agg(F.array_sort(F.collect_list("id")).alias("central"))
+    # One row each.
+    one = referring.crossJoin(mutual).crossJoin(cycles).crossJoin(best)
+    c = F.when(F.col("cycles") > 0, F.least(F.lit(0.95), 0.7 + 0.05 * F.col("cycles"))).when(F.col("mutual") > 0, F.least(F.lit(0.85), 0.6 + 0.05 * F.col("mutual"))).otherwise(0.0)
+    return one.withColumns({"confidence": c, "central": F.when(F.col("referring") >= 3, F.col("central"))})
+
+
+def network_patterns(documents: DataFrame, items: DataFrame, relationships: DataFrame, longest: int = 3) -> DataFrame:
+    """kind, subject, confidence: sequential change orders (0.7), rejected scope that comes again (0.85), circular references (0.9)."""
+    from tallyforge.operators import graph
+
+    chain = sequential_chains(relationships, documents).select(F.lit("sequential_change_orders").alias("kind"), F.concat_ws(">", "first", "second", "third").alias("subject"), F.lit(0.7).alias("confidence"))
+    scope = rejected_scope(items, relationships).groupBy("rejected_id").agg(F.max("confidence").alias("confidence")).select(F.lit("rejected_scope").alias("kind"), F.col("rejected_id").alias("subject"), "confidence")
+    ring = graph.cycles(graph.document_edges(relationships), longest).select(F.lit("circular_reference").alias("kind"), F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("subject"), F.lit(0.9).alias("confidence"))
+    return chain.unionByName(scope).unionByName(ring)

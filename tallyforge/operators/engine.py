@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.texts import confidence_level
-from tallyforge.operators import aggregates, rules, sequences
+from tallyforge.operators import aggregates, matching, rules, sequences
 
 
 def finding(df: DataFrame, kind: str, subject: str, confidence: str = "confidence") -> DataFrame:
@@ -69,3 +69,18 @@ def summary(documents: DataFrame, items: DataFrame) -> DataFrame:
     i = items.agg(F.count(F.lit(1)).alias("items"), F.sum("amount").alias("total"), F.sum(F.when(F.col("item_status") == "rejected", F.col("amount"))).alias("rejected"))
     # One row each.
     return d.crossJoin(i).withColumn("rejected_percent", F.col("rejected").cast("double") / F.col("total").cast("double") * 100)
+
+
+def analyze_amount(items: DataFrame, documents: DataFrame, amount: float) -> dict[str, DataFrame]:
+    """What is known of an amount, as lazy frames: matches (to 1 %, or to 10 % if there are none), history, anomalies, relations and doubts."""
+    found = matching.exact_matches(items, amount)
+    if not found.limit(1).count():
+        found = matching.fuzzy_matches(items, amount).drop("confidence")
+    ids = found.select("item_id").distinct()
+    return {
+        "matches": found,
+        "history": matching.amount_chronology(items, amount),
+        "anomalies": anomalies(items, documents).join(ids.withColumnRenamed("item_id", "subject"), "subject", "left_semi"),
+        "relations": matching.linked_items(items).join(ids.withColumnRenamed("item_id", "a_item_id"), "a_item_id", "left_semi"),
+        "disputed": disputed_amounts(items, documents).join(ids, "item_id", "left_semi"),
+    }

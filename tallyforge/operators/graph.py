@@ -85,7 +85,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
     """id, rank after `rounds` rounds over distinct edges; ranks of vertices without a way out go to all alike. Ranks are written every second round, which cuts the plan."""
     e = edges.select("src", "dst").distinct()
     out_degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    v = stored(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct().join(out_degree, F.col("id") == F.col("src"), "left").select("id", "k"), "vertices")
+    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    v = stored(ids.join(out_degree, F.col("id") == F.col("src"), "left").select("id", "k"), "vertices")
     n = v.count()
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
@@ -101,6 +102,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
             if old is not None:
                 drop(old)
             old = ranks
+    drop(v, links)
     return ranks.select("id", "rank")
 
 
@@ -168,3 +170,33 @@ def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
             old, x = x, stored(x, "scores")
             drop(old)
     return x
+
+
+def item_network(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id) of items, and edges of their matches (source_item_id, target_item_id, confidence)."""
+    return items.select(F.col("item_id").alias("id")).distinct(), matches.select(F.col("source_item_id").alias("src"), F.col("target_item_id").alias("dst"), "confidence")
+
+
+def centrality(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """id with degree, closeness, betweenness and eigenvector score; 0 where a vertex has none."""
+    out = degrees(edges).select("id", "degree")
+    for df, c in ((closeness(edges, depth), "closeness"), (betweenness(edges, depth), "betweenness"), (eigenvector(edges).withColumnRenamed("score", "eigenvector"), "eigenvector")):
+        out = out.join(df.select("id", c), "id", "left").fillna({c: 0.0})
+    return out
+
+
+def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """id, community after `rounds` rounds in which every vertex takes the label that most of its neighbours and itself have, the smallest of equals. Labels are written each round.
+
+    A vertex's neighbours are counted by label before they are compared, so one with very many edges is no large group.
+    """
+    e = edges.filter("src != dst").select("src", "dst")
+    both = stored(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    v = both.select(F.col("src").alias("id")).distinct()
+    labels, own = stored(v.select("id", F.col("id").alias("community")), "labels"), both.unionByName(v.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    for _ in range(rounds):
+        votes = own.join(labels, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
+        new = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(-F.col("n"), "community")).alias("m")).select("id", F.col("m.community").alias("community"))
+        old, labels = labels, stored(new, "labels")
+        drop(old)
+    return labels

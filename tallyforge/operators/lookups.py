@@ -167,3 +167,42 @@ def known_matches(matches: DataFrame, found: DataFrame) -> DataFrame:
     """Registered matches whose two items are a pair of found (a_item_id, b_item_id), in either order."""
     f = found.select(F.least("a_item_id", "b_item_id").alias("x"), F.greatest("a_item_id", "b_item_id").alias("y")).distinct()
     return matches.join(f, (F.least("source_item_id", "target_item_id") == f["x"]) & (F.greatest("source_item_id", "target_item_id") == f["y"]), "left_semi")
+
+
+def document_by_id(documents: DataFrame, items: DataFrame, doc_id) -> DataFrame:
+    """A document with its items as an array in order of their numbers."""
+    i = items.filter(F.col("doc_id") == doc_id).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_number", "item_id", "description", "amount"))).alias("items"))
+    return documents.filter(F.col("doc_id") == doc_id).join(i, "doc_id", "left")
+
+
+def document_content(documents: DataFrame, pages: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and text of every document: its pages in order, joined by blank lines; without pages, its type, party and file name and its items' descriptions."""
+    p = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "content"))), lambda x: x["content"]), "\n\n").alias("pages"))
+    i = items.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_number", "description"))), lambda x: x["description"]), " ").alias("names"))
+    rest = F.concat_ws(" ", "doc_type", "party", "file_name", "names")
+    return documents.join(p, "doc_id", "left").join(i, "doc_id", "left").select("doc_id", F.coalesce("pages", rest).alias("text"))
+
+
+def next_and_previous(documents: DataFrame, relationships: DataFrame, kinds: tuple[str, ...] = ("parent_child", "revision", "amendment")) -> DataFrame:
+    """doc_id, previous_id, next_id: the best incoming relation's source (by confidence, then the latest) and the best outgoing one's target (by confidence, then the earliest)."""
+    r = relationships.filter(F.col("relationship_type").isin(*kinds))
+    day = documents.select(F.col("doc_id").alias("other"), F.unix_date("date_created").alias("day"))
+    into = r.select(F.col("target_doc_id").alias("doc_id"), F.col("source_doc_id").alias("other"), "confidence").join(day, "other")
+    out = r.select(F.col("source_doc_id").alias("doc_id"), F.col("target_doc_id").alias("other"), "confidence").join(day, "other")
+    best = lambda df, d, name: df.groupBy("doc_id").agg(F.min_by("other", F.struct(-F.col("confidence"), d, "other")).alias(name))
+    return documents.select("doc_id").join(best(into, -F.col("day"), "previous_id"), "doc_id", "left").join(best(out, F.col("day"), "next_id"), "doc_id", "left")
+
+
+def match_details(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """Registered matches with both items' documents, descriptions and amounts."""
+    cols = ("doc_id", "description", "amount")
+    one = items.select("item_id", *cols).dropDuplicates(["item_id"])
+    end = lambda name: one.select(F.col("item_id").alias(f"{name}_item_id"), *(F.col(c).alias(f"{name}_{c}") for c in cols))
+    return matches.join(end("source"), "source_item_id").join(end("target"), "target_item_id")
+
+
+def financial_journey(items: DataFrame, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Of each group: first and last date, days between, documents, items, and types and parties in alphabetical order."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ").alias(c + "s")
+    g = items.groupBy(*by).agg(F.min("date_created").alias("first"), F.max("date_created").alias("last"), F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("items"), names("doc_type"), names("party"))
+    return g.withColumn("days", F.datediff("last", "first"))

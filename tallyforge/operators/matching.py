@@ -170,3 +170,24 @@ def amount_history(items: DataFrame, amount: float, per_mille: int = 10) -> Data
 def amount_groups(items: DataFrame) -> DataFrame:
     """Within a document: amounts, to the cent, that more than one item has."""
     return items.groupBy("doc_id", "amount").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def context_matches_for_item(items: DataFrame, item_id: str, threshold: float = 0.6) -> DataFrame:
+    """Other items within 5 % of an item's amount whose similarity in context to it reaches the threshold."""
+    one = items.filter(F.col("item_id") == item_id).select(F.col("amount").alias("_amount"), F.col("description").alias("_text")).limit(1)
+    score = context_similarity(F.col("_amount"), F.col("_text"), F.col("amount"), F.col("description"), F.col("cost_code"))
+    # One row.
+    near = items.filter(F.col("item_id") != item_id).join(F.broadcast(one), (F.abs(cents(F.col("amount")) - cents(F.col("_amount"))) * 1000 <= 50 * cents(F.col("_amount"))) & (F.col("amount") > 0))
+    return near.withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("_amount", "_text")
+
+
+def amount_chronology(items: DataFrame, amount: float, per_mille: int = 10) -> DataFrame:
+    """The runs of document types, and of parties, through which an amount goes in order of date: column, run, value, length, first."""
+    near, out = _near(items, amount, per_mille), None
+    w = Window.orderBy("date_created", "item_id")  # rows of one amount
+    for c in ("doc_type", "party"):
+        new = F.when(F.lag(c).over(w).eqNullSafe(F.col(c)) & F.lag("item_id").over(w).isNotNull(), 0).otherwise(1)
+        r = near.withColumn("_n", new).withColumn("run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        g = r.groupBy("run").agg(F.min(c).alias("value"), F.count(F.lit(1)).alias("length"), F.min("date_created").alias("first")).select(F.lit(c).alias("column"), "run", "value", "length", "first")
+        out = g if out is None else out.unionByName(g)
+    return out

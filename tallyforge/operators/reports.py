@@ -94,3 +94,31 @@ def amount_tables(items: DataFrame, documents: DataFrame, amount: float) -> dict
     found = matching.exact_matches(items, amount)
     odd = engine.anomalies(items, documents)
     return {"summary": amount_sentence(items, amount), "matches": found.select("item_id", "doc_id", "description", "amount", "date_created"), "anomalies": odd.join(found.select(F.col("item_id").alias("subject")), "subject", "left_semi")}
+
+
+def financial_report(documents: DataFrame, items: DataFrame, relationships: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a report, for write_sheets(): those of sheets(), patterns, anomalies, relations, evidence and narrative."""
+    patterns, odd, disputed = engine.suspicious_patterns(documents, items), engine.anomalies(items, documents), engine.disputed_amounts(items, documents)
+    return sheets(documents, items) | {
+        "patterns": patterns,
+        "patterns_by_kind": patterns.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("high")),
+        "anomalies": odd,
+        "relationships": document_relations(documents, relationships),
+        "evidence": evidence(odd, items),
+        "narrative": narrative(documents, items, disputed, patterns),
+    }
+
+
+def document_relations(documents: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Relations of which either end is among the documents."""
+    ids = documents.select(F.col("doc_id").alias("id")).distinct()
+    a = relationships.join(ids, F.col("source_doc_id") == F.col("id"), "left_semi")
+    b = relationships.join(ids, F.col("source_doc_id") == F.col("id"), "left_anti").join(ids, F.col("target_doc_id") == F.col("id"), "left_semi")
+    return a.unionByName(b)
+
+
+def stored_evidence(report_id: int, found: DataFrame) -> DataFrame:
+    """Rows of report_evidence from evidence(): one for each document, and one for each item."""
+    base = {"report_id": F.lit(report_id).cast("long"), "citation_text": F.col("citation"), "relevance_score": F.col("confidence").cast("decimal(5,2)")}
+    docs = found.groupBy("doc_id").agg(F.min_by("citation", F.struct(-F.col("confidence"), "citation")).alias("citation"), F.max("confidence").alias("confidence")).select(*(c.alias(n) for n, c in base.items()), F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("item_id"))
+    return docs.unionByName(found.select(*(c.alias(n) for n, c in base.items()), F.col("doc_id").cast("string").alias("doc_id"), F.col("subject").alias("item_id")))

@@ -54,6 +54,31 @@ def monotone_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, o
     return g.filter(F.col("n") >= least).withColumn("confidence", c)
 
 
+def progressions(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, increasing: bool = True, least: int = 3) -> DataFrame:
+    """Maximal runs of at least `least` rows that never fall (or never rise): n, start, end, first and last value, percent of change; confidence 0.7, up to 0.1 for length and 0.15 for change."""
+    w = Window.partitionBy(*by).orderBy(date, order)
+    on = F.col(value) >= F.lag(value).over(w) if increasing else F.col(value) <= F.lag(value).over(w)
+    r = rows.filter(F.col(value).isNotNull()).withColumn("_new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = F.min(value), F.max(value)
+    g = r.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("start"), F.max(date).alias("end"), (low if increasing else high).alias("first_value"), (high if increasing else low).alias("last_value")).filter(F.col("n") >= least)
+    g = g.withColumn("percent", F.when(F.col("first_value") > 0, F.abs(F.col("last_value") - F.col("first_value")).cast("double") / F.col("first_value").cast("double") * 100).otherwise(0.0))
+    return g.withColumn("confidence", F.least(F.lit(0.95), 0.7 + F.least(F.col("n") / 10, F.lit(0.1)) + F.least(F.col("percent") / 100, F.lit(0.15))))
+
+
+def sequence_patterns(documents: DataFrame) -> DataFrame:
+    """project_id, pattern, n: rising and falling runs of totals, totals that alternate, and days of the month that come again."""
+    run = lambda up, name: progressions(documents, ("project_id",), "total", "date_created", "doc_id", up).select("project_id", F.lit(name).alias("pattern"), "n")
+    out = run(True, "rising").unionByName(run(False, "falling"))
+    out = out.unionByName(alternating(documents).select("project_id", F.lit("alternating").alias("pattern"), "n"))
+    return out.unionByName(same_day_of_month(documents).select("project_id", F.lit("day of month").alias("pattern"), "n"))
+
+
+def key_documents(documents: DataFrame, main: Column | None = None, gap: int = 30) -> DataFrame:
+    """key_events() of documents without changes of status, and the main ones (a condition)."""
+    events = key_events(documents, gap).filter("event != 'status change'")
+    return events if main is None else events.unionByName(documents.filter(main).select("project_id", "doc_id", "date_created", F.lit("main").alias("event")))
+
+
 def arithmetic_windows(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, sizes: range = range(3, 10), gap: int = 90, off: float = 0.1) -> DataFrame:
     """Windows of 3 to 9 consecutive rows whose steps are all within `off` of their mean step and at most `gap` days apart: group, first place (from 1), size, mean_step, confidence.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.schema import KEYS, TABLES
+
 
 def insert_absent(known: DataFrame, fresh: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """known, and the first fresh row (by order) of each key that known lacks."""
@@ -14,6 +16,17 @@ def insert_absent(known: DataFrame, fresh: DataFrame, keys: tuple[str, ...], ord
     return known.unionByName(first.join(known.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
+def registered(table: str, known: DataFrame, fresh: DataFrame, order: str | None = None) -> DataFrame:
+    """A table of the model with fresh rows put in: those with a known key are left out, of fresh ones with the same key the first (by order) counts.
+
+    fresh may lack columns, which are then null, and have others, which are dropped. A table without a key takes all rows.
+    """
+    types = known.sparkSession.createDataFrame([], TABLES[table]).schema
+    whole = lambda df: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in types))
+    keys = KEYS.get(table, ())
+    return insert_absent(whole(known), whole(fresh), keys, order or keys[0]) if keys else whole(known).unionByName(whole(fresh))
+
+
 def latest(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
     """The row of highest version of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(version))
@@ -40,5 +53,6 @@ def hard_delete(tables: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str, D
 
 
 def write_project(df: DataFrame, path: str, project: str = "project_id", mode: str = "append") -> None:
-    """One folder for each project, so a project is read, replaced or deleted alone."""
+    """One folder for each project, so a project is read, replaced or deleted alone. Names are letters, digits and underscores; others raise."""
+    df = df.withColumn(project, F.when(F.col(project).cast("string").rlike("^[A-Za-z0-9_]+$"), F.col(project)).otherwise(F.raise_error(F.concat(F.lit("no project name: "), F.coalesce(F.col(project).cast("string"), F.lit("null"))))))
     df.write.partitionBy(project).mode(mode).parquet(path)

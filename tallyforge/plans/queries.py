@@ -1382,6 +1382,195 @@ def document_paths(m):
     return graph.paths(edges, 1, to).select(F.array_join("path", ">").alias("path"))
 
 
+# --- registering, networks and journeys ------------------------------------------------------------------------------------
+
+
+@query("""
+, h AS (SELECT * FROM docs WHERE doc_id % 5 < 3), f AS (SELECT * FROM docs WHERE doc_id % 5 >= 2)
+SELECT 'documents' AS "table", CAST(count(*) AS BIGINT) AS rows FROM docs UNION ALL SELECT 'pages', (SELECT count(*) FROM lines WHERE doc_id % 5 < 3) + (SELECT count(DISTINCT (doc_id, item_number)) FROM lines WHERE doc_id % 5 > 2)
+UNION ALL SELECT 'line_items', count(*) FROM lines UNION ALL SELECT 'annotations', count(*) FROM lines UNION ALL SELECT 'reports', count(*) FROM (SELECT 1 FROM h UNION ALL SELECT 1 FROM f) UNION ALL SELECT 'report_evidence', count(*) FROM lines UNION ALL SELECT 'financial_transactions', count(*) FROM lines
+UNION ALL SELECT 'change_orders', count(*) FROM docs WHERE doc_type = 'change_order' UNION ALL SELECT 'payment_applications', count(*) FROM docs WHERE doc_type = 'payment_app'
+UNION ALL SELECT 'analysis_flags', (SELECT count(*) FROM lines WHERE doc_id % 5 < 3) + (SELECT count(DISTINCT (item_id, item_status)) FROM lines WHERE doc_id % 5 > 2) UNION ALL SELECT 'amount_matches', (SELECT count(*) FROM lines WHERE doc_id % 5 < 3) + (SELECT count(DISTINCT (item_id, doc_id)) FROM lines WHERE doc_id % 5 > 2) UNION ALL SELECT 'document_relationships', count(DISTINCT (project_id, doc_id)) FROM docs""")
+def registered_tables(m):
+    """Rows of each of the model's tables after fresh rows, some of them known, are registered."""
+    d, i = m.documents, m.line_items
+    text = lambda c: F.col(c).cast("string")
+    parts = {
+        "documents": d.select(text("doc_id").alias("doc_id"), text("doc_id").alias("file_hash"), "file_name", F.col("doc_id").alias("_k")),
+        "pages": i.select(text("doc_id").alias("doc_id"), F.col("item_number").cast("int").alias("page_number"), F.col("doc_id").alias("_k")),
+        "change_orders": d.filter("doc_type = 'change_order'").select(text("doc_id").alias("doc_id"), F.col("total").alias("amount"), F.col("doc_id").alias("_k")),
+        "payment_applications": d.filter("doc_type = 'payment_app'").select(text("doc_id").alias("doc_id"), F.col("total").alias("amount_requested"), F.col("doc_id").alias("_k")),
+        "analysis_flags": i.select("item_id", F.col("item_status").alias("flag_type"), F.col("doc_id").alias("_k")),
+        "amount_matches": i.select(F.col("item_id").alias("source_item_id"), text("doc_id").alias("target_item_id"), F.col("doc_id").alias("_k")),
+        "document_relationships": d.select(text("project_id").alias("source_doc_id"), text("doc_id").alias("target_doc_id"), F.lit("parent_child").alias("relationship_type"), F.col("doc_id").alias("_k")),
+        "reports": d.select(F.col("doc_id").alias("report_id"), F.col("doc_id").alias("_k")),
+    }
+    keyless = {"line_items": i.select("item_id", text("doc_id").alias("doc_id")), "annotations": i.select(text("doc_id").alias("doc_id"), F.col("description").alias("content")), "report_evidence": i.select("item_id", text("doc_id").alias("doc_id")), "financial_transactions": i.select("item_id", "amount")}
+    out = [(name, upserts.registered(name, df.filter("_k % 5 < 3").drop("_k"), df.filter("_k % 5 >= 2").drop("_k"))) for name, df in parts.items()]
+    out += [(name, upserts.registered(name, df.filter("false"), df)) for name, df in keyless.items()]
+    rows = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in out]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every
+
+
+@query("SELECT docs.doc_id, docs.party, string_agg(item_number || ' ' || description, '; ' ORDER BY item_number, item_id) AS items FROM docs LEFT JOIN lines ON docs.doc_id = lines.doc_id WHERE docs.doc_id = 14 GROUP BY docs.doc_id, docs.party")
+def document_by_id(m):
+    d = lookups.document_by_id(m.documents, m.line_items, 14)
+    return d.select("doc_id", "party", F.array_join(F.transform("items", lambda x: F.concat_ws(" ", x["item_number"].cast("string"), x["description"])), "; ").alias("items"))
+
+
+@query("""
+, p AS (SELECT doc_id, string_agg(description, chr(10) || chr(10) ORDER BY item_number, description) AS t FROM lines WHERE doc_id % 2 = 0 GROUP BY doc_id), i AS (SELECT doc_id, string_agg(description, ' ' ORDER BY item_number, description) AS t FROM lines GROUP BY doc_id)
+SELECT docs.doc_id, md5(coalesce(p.t, concat_ws(' ', doc_type, party, file_name, i.t))) AS text_md5 FROM docs LEFT JOIN p ON docs.doc_id = p.doc_id LEFT JOIN i ON docs.doc_id = i.doc_id""")
+def document_content(m):
+    """Items of even documents stand for their pages here."""
+    pages = m.line_items.filter("doc_id % 2 = 0").select("doc_id", F.col("item_number").alias("page_number"), F.col("description").alias("content"))
+    return lookups.document_content(m.documents, pages, m.line_items).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}, r AS (SELECT src, dst, CASE kind WHEN 'revision' THEN 0.85 ELSE 0.75 END AS w FROM rel WHERE kind IN ('parent_child', 'revision')),
+i AS (SELECT dst AS id, src AS previous_id FROM r JOIN docs ON doc_id = src QUALIFY row_number() OVER (PARTITION BY dst ORDER BY w DESC, date_created DESC, src) = 1), o AS (SELECT src AS id, dst AS next_id FROM r JOIN docs ON doc_id = dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, date_created, dst) = 1)
+SELECT doc_id, previous_id, next_id FROM docs LEFT JOIN i ON doc_id = i.id LEFT JOIN o ON doc_id = o.id""")
+def next_and_previous(m):
+    return lookups.next_and_previous(m.documents, relationships.pair_rules(m.documents))
+
+
+@query(f""", {_MATCHES_SQL}, one AS (SELECT DISTINCT ON (item_id) item_id, doc_id, description, c FROM lines)
+SELECT s AS source_item_id, t AS target_item_id, a.doc_id AS source_doc_id, b.doc_id AS target_doc_id, a.c - b.c AS off_cents FROM reg JOIN one a ON a.item_id = s JOIN one b ON b.item_id = t""")
+def match_details(m):
+    d = lookups.match_details(_matches(m), m.line_items)
+    return d.select("source_item_id", "target_item_id", "source_doc_id", "target_doc_id", (cents(F.col("source_amount")) - cents(F.col("target_amount"))).alias("off_cents"))
+
+
+@query("""
+SELECT project_id, CAST(min(date_created) AS VARCHAR) AS first, CAST(date_diff('day', min(date_created), max(date_created)) AS BIGINT) AS days, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS items, string_agg(DISTINCT doc_type, ', ' ORDER BY doc_type) AS doc_types, string_agg(DISTINCT party, ', ' ORDER BY party) AS partys FROM items GROUP BY project_id""")
+def financial_journey(m):
+    return lookups.financial_journey(m.items).select("project_id", _d("first"), _l("days"), "documents", "items", "doc_types", "partys")
+
+
+@query("""
+, o AS (SELECT * FROM lines ORDER BY item_id LIMIT 1), s AS (SELECT l.item_id, 0.4 * greatest(0, 1 - abs(l.c - o.c)::DOUBLE / greatest(l.c, o.c) / 0.05) + 0.3 * CAST(len(list_intersect(string_split(l.description, ' '), string_split(o.description, ' '))) AS DOUBLE) / len(list_distinct(list_concat(string_split(l.description, ' '), string_split(o.description, ' ')))) + 0.05 AS similarity FROM lines l, o WHERE l.item_id <> o.item_id AND abs(l.c - o.c) * 1000 <= 50 * o.c)
+SELECT item_id, round(similarity::DOUBLE, 6) AS similarity FROM s WHERE similarity >= 0.3""")
+def context_matches_for_item(m):
+    item = m.line_items.agg(F.min("item_id")).first()[0]
+    return matching.context_matches_for_item(m.line_items, item, 0.3).select("item_id", _r(F.col("similarity"), "similarity"))
+
+
+@query("""
+, n AS (SELECT * FROM items WHERE abs(c - 5000000) * 1000 <= 10 * 5000000),
+r AS (SELECT *, CASE WHEN lag(doc_type) OVER w = doc_type THEN 0 ELSE 1 END AS a, CASE WHEN lag(party) OVER w = party THEN 0 ELSE 1 END AS b FROM n WINDOW w AS (ORDER BY date_created, item_id)),
+q AS (SELECT *, sum(a) OVER w AS ra, sum(b) OVER w AS rb FROM r WINDOW w AS (ORDER BY date_created, item_id ROWS UNBOUNDED PRECEDING))
+SELECT 'doc_type' AS "column", CAST(ra AS BIGINT) AS run, min(doc_type) AS value, CAST(count(*) AS BIGINT) AS length FROM q GROUP BY ra UNION ALL SELECT 'party', CAST(rb AS BIGINT), min(party), count(*) FROM q GROUP BY rb""")
+def amount_chronology(m):
+    return matching.amount_chronology(m.items, 50_000.0).select("column", _l("run"), "value", "length")
+
+
+def _progression_sql(sign, first, last):
+    return f"""SELECT project_id, CAST(count(*) AS BIGINT) AS n, round(least(0.95, 0.7 + least(count(*) / 10.0::DOUBLE, 0.1) + least(CASE WHEN {first}(c) > 0 THEN abs({last}(c) - {first}(c))::DOUBLE / {first}(c) ELSE 0 END, 0.15))::DOUBLE, 6) AS confidence
+FROM (SELECT *, sum(new) OVER (PARTITION BY project_id ORDER BY date_created, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN c {sign} lag(c) OVER (PARTITION BY project_id ORDER BY date_created, doc_id) THEN 0 ELSE 1 END AS new FROM docs)) GROUP BY project_id, run HAVING count(*) >= 3"""
+
+
+@query(_progression_sql("<=", "max", "min"))
+def falling_progressions(m):
+    p = sequences.progressions(m.documents, ("project_id",), "total", "date_created", "doc_id", False)
+    return p.select("project_id", "n", _r(F.col("confidence"), "confidence"))
+
+
+@query(f"""
+, up AS ({_progression_sql(">=", "min", "max")}), down AS ({_progression_sql("<=", "max", "min")}),
+d AS (SELECT project_id, sign(c - lag(c) OVER w) * sign(lead(c) OVER w - c) AS t FROM docs WINDOW w AS (PARTITION BY project_id ORDER BY date_created, doc_id)),
+g AS (SELECT project_id, day(date_created) AS day, count(*) AS n FROM docs GROUP BY ALL)
+SELECT project_id, 'rising' AS pattern, n FROM up UNION ALL SELECT project_id, 'falling', n FROM down UNION ALL SELECT project_id, 'alternating', count(*) FROM d GROUP BY project_id HAVING count(*) >= 4 AND sum(CASE WHEN t < 0 THEN 1 ELSE 0 END) >= 0.75 * (count(*) - 2)
+UNION ALL SELECT project_id, 'day of month', n FROM (SELECT project_id, n, sum(n) OVER (PARTITION BY project_id) AS s FROM g) WHERE n >= 3 AND n >= 0.3 * s""")
+def sequence_patterns(m):
+    return sequences.sequence_patterns(m.documents)
+
+
+@query("""
+, d AS (SELECT *, lag(date_created) OVER w AS pd, lag(doc_type) OVER w AS pt, lag(doc_id) OVER w AS pid, lead(doc_id) OVER w AS nid FROM docs WINDOW w AS (PARTITION BY project_id ORDER BY date_created, doc_id))
+SELECT project_id, doc_id, 'first' AS event FROM d WHERE pid IS NULL UNION ALL SELECT project_id, doc_id, 'last' FROM d WHERE nid IS NULL UNION ALL SELECT project_id, doc_id, 'gap' FROM d WHERE date_diff('day', pd, date_created) > 30
+UNION ALL SELECT project_id, doc_id, 'type change' FROM d WHERE pt <> doc_type UNION ALL SELECT project_id, doc_id, 'main' FROM docs WHERE c > 40000000""")
+def key_documents(m):
+    return sequences.key_documents(m.documents, F.col("total") > 400_000).select("project_id", "doc_id", "event")
+
+
+@query(f""", {_MATCHES_SQL}, u AS (SELECT item_id FROM lines)
+SELECT CAST((SELECT count(DISTINCT item_id) FROM lines) AS BIGINT) AS vertices, CAST((SELECT count(*) FROM reg) AS BIGINT) AS edges""")
+def item_network(m):
+    v, e = graph.item_network(m.line_items, _matches(m).withColumn("confidence", F.lit(1.0)))
+    return v.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))
+
+
+@query(f""", {_EDGES_SQL}{_distance_sql()}{_eigen_sql().replace(", v AS", ", ve AS").replace("FROM v)", "FROM ve)")},
+dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id), cl AS (SELECT s, count(*)::DOUBLE / sum(d) AS closeness FROM dist GROUP BY s),
+bt AS (SELECT a.t, sum(a.paths * b.paths / c.paths) AS betweenness FROM dist a JOIN dist b ON a.t = b.s AND a.s <> b.t JOIN dist c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY a.t)
+SELECT dg.id, CAST(degree AS BIGINT) AS degree, round(coalesce(closeness, 0), 6) AS closeness, round(coalesce(betweenness, 0), 6) AS betweenness, round(score, 9) AS eigenvector FROM dg LEFT JOIN cl ON dg.id = s LEFT JOIN bt ON dg.id = t LEFT JOIN x10 ON dg.id = x10.id""")
+def centralities(m):
+    return graph.centrality(_edges(m)).select("id", "degree", _r(F.col("closeness"), "closeness"), _r(F.col("betweenness"), "betweenness"), _r(F.col("eigenvector"), "eigenvector", 9))
+
+
+def _community_sql():
+    out = ", b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e), l0 AS (SELECT DISTINCT src AS id, src AS c FROM b)"
+    for k in range(1, 6):
+        out += f", l{k} AS MATERIALIZED (SELECT src AS id, c FROM (SELECT src, c, count(*) AS n FROM b JOIN l{k - 1} ON dst = id GROUP BY src, c) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, c) = 1)"
+    return out
+
+
+@query(f""", {_EDGES_SQL}{_community_sql()}
+SELECT id, c AS community FROM l5""")
+def communities(m):
+    return graph.communities(_edges(m))
+
+
+@query(f""", {_EDGES_SQL}{_rank_sql()},
+mu AS (SELECT count(*) AS mutual FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), cy AS (SELECT count(*) AS cycles FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst),
+t AS (SELECT id FROM r10 ORDER BY round(rank, 12) DESC, id LIMIT 3)
+SELECT CAST((SELECT count(DISTINCT src) FROM e) AS BIGINT) AS referring, CAST(mutual AS BIGINT) AS mutual, CAST(cycles AS BIGINT) AS cycles, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS central, round(CASE WHEN cycles > 0 THEN least(0.95, 0.7 + 0.05 * cycles) WHEN mutual > 0 THEN least(0.85, 0.6 + 0.05 * mutual) ELSE 0 END::DOUBLE, 6) AS confidence FROM mu, cy""")
+def coordination(m):
+    return detectors.coordination(relationships.pair_rules(m.documents)).select("referring", "mutual", "cycles", F.array_join("central", ",").alias("central"), _r(F.col("confidence"), "confidence"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel), rj AS (SELECT DISTINCT src FROM rel WHERE kind = 'rejection'),
+n AS (SELECT doc_id AS a, lead(doc_id) OVER w AS b, lead(doc_id, 2) OVER w AS c FROM docs WHERE doc_type = 'change_order' WINDOW w AS (PARTITION BY project_id ORDER BY number)),
+c AS (SELECT [a.src, a.dst] AS p FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT [a.src, a.dst, b.dst] FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
+SELECT 'sequential_change_orders' AS kind, concat_ws('>', a, b, c) AS subject, 0.7::DOUBLE AS confidence FROM n WHERE c IS NOT NULL UNION ALL SELECT 'circular_reference', array_to_string(p, '>'), 0.9 FROM c
+UNION ALL SELECT DISTINCT 'rejected_scope', a.item_id, 0.85 FROM items a JOIN rj ON a.doc_id = rj.src JOIN items b ON a.project_id = b.project_id AND a.doc_id <> b.doc_id AND abs(a.c - b.c) * 1000 <= 10 * a.c""")
+def network_patterns(m):
+    return detectors.network_patterns(m.documents, m.items, relationships.pair_rules(m.documents)).select("kind", "subject", _r(F.col("confidence"), "confidence"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT src AS source_doc_id, dst AS target_doc_id, kind AS relationship_type FROM rel JOIN docs a ON a.doc_id = src JOIN docs b ON b.doc_id = dst WHERE a.party = 'BUILDING' OR b.party = 'BUILDING'""")
+def relations_of_documents(m):
+    some = m.documents.filter("party = 'BUILDING'")
+    return reports.document_relations(some, relationships.pair_rules(m.documents)).select("source_doc_id", "target_doc_id", "relationship_type")
+
+
+@query("""
+, f AS (SELECT * FROM lines WHERE quantity >= 49)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, NULL::VARCHAR AS item_id, CAST(max(quantity) AS DOUBLE) AS score FROM f GROUP BY doc_id UNION ALL SELECT CAST(doc_id AS VARCHAR), item_id, CAST(quantity AS DOUBLE) FROM f""")
+def stored_evidence(m):
+    found = reports.evidence(engine.finding(m.line_items.filter("quantity >= 49"), "large_quantity", "item_id", "quantity"), m.line_items)
+    return reports.stored_evidence(1, found).select("doc_id", "item_id", F.col("relevance_score").cast("double").alias("score"))
+
+
+@query("SELECT doc_id, strftime(date_created, '%m/%d/%Y') AS document_date, CASE WHEN doc_id % 2 = 0 THEN strftime(date_received, '%m/%d/%Y') END AS response_date FROM docs")
+def text_dates(m):
+    day = lambda c: F.date_format(c, "MM/dd/yyyy")
+    text = F.concat(F.lit("INVOICE\nDATE: "), day("date_created"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\nResponded: "), day("date_received"))).otherwise(""))
+    return extract.dates(m.documents.select("doc_id", text.alias("text"))).select("doc_id", "document_date", "response_date")
+
+
+@query("SELECT doc_id, 'Pour ' || number || ' slabs.' AS scope, CASE WHEN number % 2 = 0 THEN 'Steel was used instead of wood.' ELSE '' END AS substitutions, CASE WHEN number % 3 = 0 THEN 'Extra work is under Change Order 4.' WHEN number % 3 = 1 THEN 'Some extra hours.' ELSE '' END AS extra_work, number % 3 = 0 AS has_order FROM docs")
+def text_scopes(m):
+    n = F.col("number")
+    text = F.concat(F.lit("SCOPE OF WORK: Pour "), n.cast("string"), F.lit(" slabs.\n\n"), F.when(n % 2 == 0, "Steel was used instead of wood.").otherwise("Nothing is new here."), F.lit("\n"), F.when(n % 3 == 0, "Extra work is under Change Order 4.").when(n % 3 == 1, "Some extra hours.").otherwise("All well."))
+    s = extract.scope(m.documents.select("doc_id", text.alias("text")))
+    return s.select("doc_id", "scope", F.array_join("substitutions", " ").alias("substitutions"), F.array_join("extra_work", " ").alias("extra_work"), F.col("extra_work_has_order").alias("has_order"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))

@@ -198,3 +198,30 @@ def embed(text: Column, dimensions: int = 1536) -> Column:
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(F.coalesce(text, F.lit("")), F.lit("#"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967295.0 - 0.5)
     length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.try_divide(x, length))
+
+
+#: Kinds of dates, with what stands before them (fixed values).
+DATE_KINDS = {
+    "effective_date": r"(?:Effective Date|EFFECTIVE DATE)[:\s]+", "submission_date": r"(?:(?:Submission Date|SUBMISSION DATE|Submitted|SUBMITTED)[:\s]+|PERIOD (?:FROM|TO):?\s*)",
+    "creation_date": r"(?:CONTRACT DATE|Date Created|Created on):?\s*", "response_date": r"(?:Response Date|RESPONSE DATE|Responded|RESPONDED)[:\s]+",
+}
+SUBSTITUTED, EXTRA = ("substitut", "replac", "instead of", "in lieu of", "alternate"), ("additional", "extra", "added", "supplemental", "new scope", "outside contract", "not in contract", "unforeseen", "field change", "modification", "amendment")
+_ANY_DATE = r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|[A-Za-z]+\s+\d{1,2},?\s+\d{4})"
+
+
+def dates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with document_date and the other kinds of dates as text; document_date falls back to the date of creation, of effect, of submission."""
+    t = F.col(text)
+    kinds = {k: first_group(t, p + _ANY_DATE) for k, p in DATE_KINDS.items()}
+    own = first_group(t, r"(?:^|[^A-Za-z ] ?|\n)(?:Date|DATE|Dated|DATED)[:\s]+" + _ANY_DATE)
+    return docs.withColumns(kinds | {"document_date": F.coalesce(own, kinds["creation_date"], kinds["effective_date"], kinds["submission_date"])})
+
+
+def scope(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with scope (the passage so headed), substitutions and extra_work (sentences with such words), and whether one of the latter names a change order."""
+    t = F.col(text)
+    sentences = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"([^.!?]+[.!?])"), F.lit(1))
+    some = lambda words: F.transform(F.filter(sentences, lambda s: _has(F.lower(s), words)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    head = F.nullif(F.trim(F.regexp_extract(t, r"(?is)(?:scope of work|description of work|scope)\s*:?\s*(.+?)(?:\n\s*\n|\z)", 1)), F.lit(""))
+    d = docs.withColumns({"scope": head, "substitutions": some(SUBSTITUTED), "extra_work": some(EXTRA)})
+    return d.withColumn("extra_work_has_order", F.exists("extra_work", lambda s: F.lower(s).rlike(r"change order|\bco\b")))
