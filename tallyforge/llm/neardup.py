@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = confirmed(_bounded(beside.select(F.col("region").alias("grp"), "id", "n")))
         runtime.drop(beside)
         joined = components(links.unionByName(more))
-    runtime.drop(stored_trees)
+        runtime.drop(more)
+    runtime.drop(stored_trees, crowded, links)
     class_of = classes.select("f1", "f2", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("root"))
     out = marks.select("doc_id", "n", "f1", "f2").join(class_of, ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
