@@ -83,14 +83,13 @@ def neighbours(edges: DataFrame, start, depth: int = 1) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """id, rank after `rounds` rounds over distinct edges; ranks of vertices without a way out go to all alike. Ranks are written every second round, which cuts the plan."""
-    e = edges.select("src", "dst").distinct()
+    links = e = stored(edges.select("src", "dst").distinct(), "links")
     out_degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     v = stored(ids.join(out_degree, F.col("id") == F.col("src"), "left").select("id", "k"), "vertices")
     n = v.count()
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
-    links = stored(e, "links")
     ranks, old = v.select("id", "k", F.lit(1.0 / n).alias("rank")), None
     for r in range(rounds):
         given = links.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
@@ -122,6 +121,7 @@ def distances(edges: DataFrame, depth: int | None = None) -> list[DataFrame]:
             break
         levels.append(level)
         known = known.unionByName(level.select("s", "t"))
+    drop(e)
     return levels
 
 
@@ -148,6 +148,7 @@ def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
         share = given.groupBy("s", "t").agg(F.sum(F.col("paths") / F.col("p2") * (1 + F.col("share"))).alias("share"))
         below = stored(level.join(share, ["s", "t"], "left").select("s", "t", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
         shares.append(below.filter("share > 0").select(F.col("t").alias("id"), "share"))
+    drop(e)
     every = levels[-1].filter("false").select(F.col("t").alias("id"), F.lit(0.0).alias("share"))
     for x in shares:
         every = every.unionByName(x)
@@ -156,9 +157,8 @@ def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
 
 def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """id, score: `rounds` steps of power iteration over incoming edges and oneself, scaled to length 1. Scores are written every second round."""
-    e = edges.select("src", "dst").distinct()
-    v = stored(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct(), "vertices")
-    links = stored(e, "links")
+    links = stored(edges.select("src", "dst").distinct(), "links")
+    v = stored(links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct(), "vertices")
     x = v.select("id", F.lit(1.0).alias("score"))
     for r in range(rounds):
         given = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum("score").alias("got"))
@@ -169,6 +169,7 @@ def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
         if r % 2 or r + 1 == rounds:
             old, x = x, stored(x, "scores")
             drop(old)
+    drop(v, links)
     return x
 
 
@@ -199,4 +200,5 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
         new = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(-F.col("n"), "community")).alias("m")).select("id", F.col("m.community").alias("community"))
         old, labels = labels, stored(new, "labels")
         drop(old)
+    drop(both)
     return labels

@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from tallyforge.functions.texts import normalize
 from tallyforge.shipping import ship
-from tallyforge.storage import stored
 
 #: Markers of structure and their weights (fixed values).
 MARKERS = {"header": (r"(?m)^[A-Z][A-Z ]{3,}:?$", 1.5), "list": (r"(?m)^\s*(?:[-*•]|\d+\.)\s", 1.2), "table": (r"\|.+\|", 1.3), "date": (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", 1.4), "currency": (r"\$\s?\d[\d,]*(?:\.\d\d)?", 1.8), "percent": (r"\b\d+(?:\.\d+)?%", 1.5)}
@@ -80,9 +79,11 @@ def vector_ranks(vectors: DataFrame, queries: DataFrame, limit: int = 5, thresho
     score is 0.
     """
     ship(vectors.sparkSession)
-    dealt = stored(_packed(vectors, key, embedding, block, ("keys", "data")), "vectors")
-    asked = stored(_packed(queries, "query_id", "query", block, ("ids", "query")), "queries")
-    pairs = dealt.join(asked, "width").repartition(F.xxhash64("keys", "ids"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Blocks of vectors are dealt over the partitions, and each of those gets every block of queries: an equality join, however few lengths there are.
+    dealt = _packed(vectors, key, embedding, block, ("keys", "data")).withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(parts)))
+    asked = _packed(queries, "query_id", "query", block, ("ids", "query")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = dealt.join(asked, ["width", "salt"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(raw: bytes, n: int) -> np.ndarray:
