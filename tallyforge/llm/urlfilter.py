@@ -27,6 +27,8 @@ from tallyforge.llm import runtime
 
 #: Letters of the longest word that a run is split into, other than unknown ones; cost of an unknown word, and of each of its letters.
 LONGEST, UNKNOWN, LETTER = 24, 12.0, 2.5
+#: A key with at least one of so many rows is common; there are so many such keys at most.
+HOT = 1000
 #: Share of all tokens that a common word or a seed has at least.
 PRIOR = 1 / 2000
 #: Words that mark a host as unwanted.
@@ -171,6 +173,16 @@ def odds(tokens: DataFrame, urls: DataFrame) -> tuple[DataFrame, float]:
     return tokens.select("w", (log("b", size[2]) - log("a", size[1])).alias("odds")), math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
 
 
+def beside(rows: DataFrame, figures: DataFrame, key: str) -> DataFrame:
+    """rows with the figures (key, n, ...) of their key, where n counts the key's rows. Keys with a share of 1 / HOT or more, HOT at most, are sent to the tasks; only the others' rows are dealt by key."""
+    total = figures.agg(F.sum("n")).first()[0] or 0
+    hot = figures.filter(F.col("n") * HOT >= total)
+    rest = [c for c in figures.columns if c not in (key, "n")]
+    marked = rows.join(F.broadcast(hot.drop("n").withColumn("_hot", F.lit(True))), key, "left")
+    cold = marked.filter("_hot IS NULL").drop("_hot", *rest).join(figures.filter(F.col("n") * HOT < total).drop("n"), key)
+    return marked.filter("_hot").drop("_hot").unionByName(cold)
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block (naive Bayes) and tokens for each row of page_id, url.
 
@@ -179,17 +191,19 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     runtime.prepare(pages.sparkSession)
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     counts = runtime.stored(lexicon(parts), "lexicon")
-    per_host = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    hosts = runtime.stored(segmented(runtime.stored(per_host.select("host"), "hosts"), counts).withColumn("kind", seeded(F.col("words")).cast("int")), "words")
-    runtime.drop(counts)
     shaped = parts.select("*", path_tokens(F.col("path")).alias("rest")).withColumn("shape", F.md5(F.array_join("rest", " ").cast("binary")))
+    seen = runtime.stored(shaped.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest")), "urls")
+    names = runtime.stored(seen.groupBy("host").agg(F.sum("n").alias("n")), "hosts")
+    shapes = runtime.stored(seen.groupBy("shape").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), "shapes")
+    hosts = runtime.stored(segmented(names.select("host"), counts).join(names, "host").withColumn("kind", seeded(F.col("words")).cast("int")), "words")
+    runtime.drop(counts, names)
     if labels is None:
-        taught = shaped.join(hosts.select("host", "kind"), "host").groupBy("host", "shape", "kind")
+        taught = seen.select("host", "shape", "n").join(hosts.select("host", "kind"), "host")
     else:
         known = labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("blocked").cast("int").alias("kind")).filter("kind IS NOT NULL").dropDuplicates(["page_id"])
-        taught = shaped.join(known, "page_id").groupBy("host", "shape", "kind")
-    taught = runtime.stored(taught.agg(F.count(F.lit(1)).alias("n")), "taught")
-    shapes = runtime.stored(shaped.groupBy("shape").agg(F.first("rest").alias("rest")), "shapes")
+        taught = shaped.join(known, "page_id").groupBy("host", "shape", "kind").agg(F.count(F.lit(1)).alias("n"))
+    taught = runtime.stored(taught, "taught")
+    runtime.drop(seen)
     of_hosts = taught.groupBy("host", "kind").agg(F.sum("n").alias("n")).join(hosts.select("host", F.col("words").alias("t")), "host")
     of_shapes = taught.groupBy("shape", "kind").agg(F.sum("n").alias("n")).join(shapes.select("shape", F.col("rest").alias("t")), "shape")
     seen = of_hosts.select("kind", "n", F.explode("t").alias("w")).unionByName(of_shapes.select("kind", "n", F.explode("t").alias("w")))
@@ -201,7 +215,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
         """A token never seen says nothing about either class."""
         return df.select(key, F.explode(column).alias("w")).join(log_odds, "w").groupBy(key).agg(F.sum("odds").alias(key + "_odds"))
 
-    out = shaped.join(hosts, "host").join(scored(hosts, "host", "words"), "host", "left").join(scored(shapes, "shape", "rest"), "shape", "left")
+    by_host = runtime.stored(hosts.select("host", "n", "words").join(scored(hosts, "host", "words"), "host", "left"), "host-scores")
+    by_shape = runtime.stored(shapes.select("shape", "n").join(scored(shapes, "shape", "rest"), "shape", "left"), "shape-scores")
+    out = beside(beside(shaped, by_host, "host"), by_shape, "shape")
     x = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0))
     out = out.withColumn("p_block", F.when(F.size("words") + F.size("rest") == 0, 0.0).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), x))))))
     found, verdict = rule(F.col("host"), F.col("path"), rules)
