@@ -1,7 +1,8 @@
-"""Token ids of whole texts by a public tokenizer file, with each distinct piece encoded once per worker.
+"""Token ids of whole texts by a public tokenizer file, with each distinct piece encoded once per task.
 
-Pieces are known by 64-bit hashes. A worker remembers at most CACHE_IDS ids, so that it ever takes one piece for another has a
-probability of about 1e-6.
+A worker keeps the tokenizer for its later tasks; what a task has encoded goes with it, as idle workers' memory counts too. Pieces are
+known by 64-bit hashes. A task remembers at most CACHE_IDS ids, so that it ever takes one piece for another has a probability of about
+1e-6.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 
 from tallyforge.llm.text import ALNUM, NOT_SPACE, Words, ragged
 
-#: Token ids that a worker remembers at most; beyond that it forgets all and starts again.
+#: Token ids that a task remembers at most; beyond that it forgets all and starts again.
 CACHE_IDS = 4_000_000
 
 _WORD = ALNUM.copy()
@@ -35,9 +36,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.bytes = {b: c for b, c in enumerate(_byte_letters())}
         self._forget()
 
@@ -101,9 +100,10 @@ class WordEncoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> WordEncoder:
-    """A worker's encoder, which later tasks there use on."""
-    return WordEncoder(path)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> list[str]:
