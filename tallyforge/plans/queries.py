@@ -528,25 +528,36 @@ def split_amounts(m):
     return sequences.split_amounts(m.items, least=50_000).select("project_id", F.col("big_id").alias("item_id"), F.col("whole").alias("whole_cents"), F.col("sum").alias("sum_cents"), _l("n"))
 
 
-def _arithmetic_sql():
-    """Windows of all sizes over a party's items, by lists of the next steps and gaps."""
-    return """
-, d AS (SELECT party, item_id, row_number() OVER w AS i, lead(c) OVER w - c AS s, date_diff('day', date_created, lead(date_created) OVER w) AS g FROM items WINDOW w AS (PARTITION BY party ORDER BY date_created, item_id)),
-l AS (SELECT party, i, list(s) OVER n AS s, list(g) OVER n AS g FROM d WINDOW n AS (PARTITION BY party ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-z AS (SELECT party, i, n, list_filter(s[1:n - 1], lambda x: x IS NOT NULL) AS s, g[1:n - 1] AS g FROM l, (SELECT unnest(range(3, 10)) AS n)),
-a AS (SELECT *, list_avg(s) AS mean FROM z WHERE len(s) = n - 1)
-SELECT party, CAST(i AS BIGINT) AS first, CAST(n AS BIGINT) AS size, round(mean / 100, 4) AS mean_step FROM a WHERE mean <> 0 AND list_max(s) - mean <= 0.1::DOUBLE * abs(mean) AND mean - list_min(s) <= 0.1::DOUBLE * abs(mean) AND list_max(g) <= 90"""
+_ARITHMETIC_SQL = """
+ad AS (SELECT party, item_id, row_number() OVER w AS i, lead(c) OVER w - c AS s, date_diff('day', date_created, lead(date_created) OVER w) AS g FROM items WINDOW w AS (PARTITION BY party ORDER BY date_created, item_id)),
+al AS (SELECT party, i, list(s) OVER n AS s, list(g) OVER n AS g FROM ad WINDOW n AS (PARTITION BY party ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+az AS (SELECT party, i, n, list_filter(s[1:n - 1], lambda x: x IS NOT NULL) AS s, g[1:n - 1] AS g FROM al, (SELECT unnest(range(3, 10)) AS n)),
+am AS (SELECT *, list_avg(s) AS mean FROM az WHERE len(s) = n - 1),
+aw AS MATERIALIZED (SELECT party, CAST(i AS BIGINT) AS first, CAST(n AS BIGINT) AS size, mean, s, g FROM am WHERE mean <> 0 AND list_max(s) - mean <= 0.1::DOUBLE * abs(mean) AND mean - list_min(s) <= 0.1::DOUBLE * abs(mean) AND list_max(g) <= 90)"""
 
 
-@query(_arithmetic_sql())
+def _greedy_sql(clash):
+    """Spans of ranks(party, first, size, k), taken in order of k unless they clash with a taken one (x)."""
+    return f"""
+taken(party, k, chosen) AS (SELECT DISTINCT party, 0::BIGINT, []::STRUCT(f BIGINT, s BIGINT)[] FROM ranks
+  UNION ALL SELECT t.party, t.k + 1, CASE WHEN len(list_filter(chosen, lambda x: {clash})) = 0 THEN list_append(chosen, {{'f': r.first, 's': r.size}}) ELSE chosen END FROM taken t JOIN ranks r ON t.party = r.party AND r.k = t.k + 1),
+best AS (SELECT party, unnest(chosen) AS c FROM (SELECT * FROM taken QUALIFY k = max(k) OVER (PARTITION BY party)))"""
+
+
+@query(f""", {_ARITHMETIC_SQL.strip()}
+SELECT party, first, size, round(mean / 100, 4) AS mean_step FROM aw""")
 def arithmetic_sequences(m):
     w = sequences.arithmetic_windows(m.items.withColumn("v", cents(F.col("amount"))), ("party",), "v", "date_created", "item_id")
     return w.select("party", _l("first"), _l("size"), _r(F.col("mean_step") / 100, "mean_step", 4))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {SQL.strip()}, {_ARITHMETIC_SQL.strip()},
+ranks AS MATERIALIZED (SELECT party, first, size, row_number() OVER (PARTITION BY party ORDER BY size DESC, first) AS k FROM aw), {_greedy_sql("least(x.f + x.s, r.first + r.size) > greatest(x.f, r.first)").strip()},
+even AS (SELECT best.party, c.f AS first, c.s AS size, CASE WHEN mean > 0 THEN greatest(0, 0.15 * (1 - least(1, 5 * list_var_pop(s) / (mean * mean)))) ELSE 0 END AS steps, CASE WHEN list_avg(g) > 0 THEN greatest(0, 0.15 * (1 - least(1, 5 * list_var_pop(g) / (list_avg(g) * list_avg(g))))) ELSE 0 END AS days FROM best JOIN aw ON best.party = aw.party AND c.f = aw.first AND c.s = aw.size)
+SELECT party, first, size, round(least(0.95, least(0.95, 0.5 + 0.3 * least(1, (size - 2) / 8.0::DOUBLE) + steps + days) + 0.1)::DOUBLE, 6) AS confidence FROM even""", model=False)
 def chosen_sequences(m):
-    """A greedy choice, tested against a plain version."""
+    """A greedy choice; in SQL step by step."""
     w = sequences.arithmetic_runs(m.items.withColumn("v", cents(F.col("amount"))), ("party",), "v", "date_created", "item_id")
     return w.select("party", _l("first"), _l("size"), _r(F.col("confidence"), "confidence"))
 
@@ -882,9 +893,20 @@ def important_content(m):
     return search.markers(m.table("documents")).select("doc_id", "marker", _l("n"), _r(F.col("score"), "score"))
 
 
-@query(None)
+def _chunk_sql():
+    """Step by step: a piece ends behind the last paragraph, sentence or word that ends in its second half."""
+    behind = lambda mark, n: f"CASE WHEN strpos(reverse(w), '{mark[::-1]}') > 0 THEN lo + length(w) - strpos(reverse(w), '{mark[::-1]}') + 1 END".replace("\n", "' || chr(10) || '")
+    stop = f"coalesce({behind(chr(10) * 2, 2)}, {behind('. ', 2)}, {behind(' ', 1)}, hi)"
+    step = lambda source, at: f"SELECT doc_id, pos, CASE WHEN hi < n THEN {stop} ELSE hi END AS stop, n FROM (SELECT *, substring(text, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)) AS w FROM (SELECT d.doc_id, {at} AS pos, least(d.n, {at} + 1000) AS hi, {at} + 500 AS lo, d.n, d.text FROM {source}))"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+c(doc_id, pos, stop, n) AS ({step("d", "0::BIGINT")} UNION ALL {step("c JOIN d ON c.doc_id = d.doc_id AND c.stop < c.n", "greatest(c.stop - 200, c.pos + 1)")}),
+p AS (SELECT c.doc_id, pos, regexp_replace(substring(text, CAST(pos + 1 AS BIGINT), CAST(stop - pos AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS piece FROM c JOIN d ON c.doc_id = d.doc_id)
+SELECT doc_id, row_number() OVER w - 1 AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS total_chunks, CAST(length(piece) AS BIGINT) AS chunk_length, md5(piece) AS chunk_md5 FROM p WHERE length(piece) >= 50 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
+
+
+@query(_chunk_sql(), model=False)
 def text_chunks(m):
-    """Pieces at natural breaks, found one after the other; tested on small texts."""
     return search.chunks(m.table("documents")).select("doc_id", _l("chunk_index"), _l("total_chunks"), _l("chunk_length"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
@@ -986,9 +1008,17 @@ def eigenvector_centrality(m):
     return graph.eigenvector(_edges(m)).select("id", _r(F.col("score"), "score", 9))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {SQL.strip()},
+pl AS (SELECT party, doc_id, date_created, row_number() OVER (PARTITION BY party ORDER BY date_created, doc_id) - 1 AS first FROM docs),
+pw AS (SELECT pl.*, s.size, lead(date_created, s.size - 1) OVER (PARTITION BY party, s.size ORDER BY first) AS e FROM pl, (SELECT unnest(range(3, 10)) AS size) s),
+pc AS (SELECT party, doc_id, first, size, date_diff('day', date_created, e) AS span FROM pw WHERE e IS NOT NULL AND date_diff('day', date_created, e) <= 2 * (size - 1)),
+pb AS MATERIALIZED (SELECT *, 0.7::DOUBLE + least(0.2::DOUBLE * (size / (span + 1)::DOUBLE - 1), 0.25) AS confidence FROM pc QUALIFY row_number() OVER (PARTITION BY party, doc_id ORDER BY 0.7::DOUBLE + least(0.2::DOUBLE * (size / (span + 1)::DOUBLE - 1), 0.25) DESC, size DESC) = 1),
+ranks AS MATERIALIZED (SELECT party, first, size, row_number() OVER (PARTITION BY party ORDER BY confidence DESC, size DESC, first) AS k FROM pb),
+{_greedy_sql("least(x.f + x.s, r.first + r.size) - greatest(x.f, r.first) > 0 AND 2 * (least(x.f + x.s, r.first + r.size) - greatest(x.f, r.first)) >= least(x.s, r.size)").strip()}
+SELECT best.party, doc_id, CAST(size AS BIGINT) AS size, CAST(span AS BIGINT) AS span, round(confidence, 6) AS confidence FROM best JOIN pb ON best.party = pb.party AND c.f = pb.first AND c.s = pb.size""", model=False)
 def chosen_clusters(m):
-    """A greedy choice, tested against a plain version."""
+    """A greedy choice; in SQL step by step."""
     places = ranked(m.documents.select("party", "doc_id", "date_created"), ("party",), "date_created", "doc_id", out="first")
     c = sequences.best_clusters(sequences.event_clusters(m.documents)).join(places.select("doc_id", "first"), "doc_id")
     best = detectors.drop_overlaps(c, ("party",), "first", "size", [F.desc("confidence"), F.desc("size")])
