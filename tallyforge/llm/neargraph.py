@@ -35,11 +35,11 @@ from pyspark.sql.window import Window
 from tallyforge.llm import runtime
 
 #: Neighbours of a vector; those of a list that a round compares, of each kind; rounds at most; share of new entries at which it ends.
-DEGREE, SAMPLE, ROUNDS, SETTLED = 32, 12, 6, 0.06
+DEGREE, SAMPLE, ROUNDS, SETTLED = 32, 12, 6, 0.12
 #: Orders, signs and block size of the start.
 ORDERS, BITS, BLOCK = 3, 16, 1024
 #: Candidates that a query keeps; those it expands in a round; rounds at most (a search that takes more raises).
-BEAM, EXPAND, SEARCH_ROUNDS = 384, 64, 200
+BEAM, EXPAND, SEARCH_ROUNDS = 384, 256, 200
 #: Vectors of a bucket, which a task holds; requests to a bucket that one task takes; found pairs held before they are reduced.
 BUCKET, REQUESTS, HELD = 4096, 1 << 16, 1 << 20
 #: Places where queries that are not of the table begin.
@@ -159,12 +159,11 @@ def build(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     """The graph of a table of vectors; copies: ids kept of equal vectors, one more than a search is to return."""
     spark = runtime.prepare(vectors.sparkSession)
     rows = runtime.stored(_values(vectors, key, embedding).withColumn("digest", F.md5("data")), "vectors")
-    place = F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))
-    ranked = runtime.stored(rows.select("digest", "vec_id").withColumn("k", place).filter(F.col("k") <= copies), "copies")
-    first = ranked.filter("k = 1").select("digest", F.col("vec_id").alias("node"))
+    equal = Window.partitionBy("digest")
+    ranked = rows.select("digest", "vec_id").withColumn("k", F.row_number().over(equal.orderBy("vec_id"))).filter(F.col("k") <= copies)
+    members = runtime.stored(ranked.withColumn("node", F.min("vec_id").over(equal)).select("digest", "node", "vec_id"), "members")  # of few rows each by now
+    first = members.filter("node = vec_id").select("digest", "node")
     nodes = runtime.stored(rows.select("digest", "vec_id").join(first, "digest").select("vec_id", "node"), "nodes")
-    members = runtime.stored(ranked.join(first, "digest").select("node", "vec_id"), "members")
-    runtime.drop(ranked)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +171,7 @@ def build(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
             square = np.add.reduceat(flat * flat, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
             yield _batch(node=batch.column("vec_id"), data=batch.column("data"), vec=_pack(flat.astype("<f4"), sizes), square=square)
 
-    distinct = rows.join(nodes, "vec_id").filter("vec_id = node").select("vec_id", "data")
+    distinct = rows.join(first.select(F.col("node").alias("vec_id")), "vec_id").select("vec_id", "data")
     values = runtime.stored(distinct.mapInArrow(single, "node long, data binary, vec binary, square double"), "values")
     runtime.drop(rows)
     total = values.agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("m")).first()
@@ -553,7 +552,7 @@ def nearest(vectors: DataFrame, chosen=None, limit: int = 20, key: str = "vec_id
         names = starts.select(F.col("query").alias("query_id"), "query")
     starts = runtime.stored(starts, "starts")
     found = search(graph, starts, limit, **beam)
-    some = found.join(graph.members, "node")
+    some = found.join(graph.members.select("node", "vec_id"), "node")
     # A query's own id may be one of these, so one more.
     short = some.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("k") <= limit + 1)
     rows = names.join(short.select("query", "vec_id", "score"), "query")
