@@ -433,10 +433,13 @@ def search(graph: Graph, starts: DataFrame, limit: int = 20, beam: int = BEAM, e
             for query, vec, thr, ids, sizes in zip(*columns, strict=True):
                 if query is None:
                     size = np.frombuffer(sizes, "<i8")
-                    block = np.frombuffer(ids, "<i8"), np.cumsum(size) - size, np.frombuffer(vec, "<f4")
+                    block = np.frombuffer(ids, "<i8"), np.cumsum(size) - size, np.frombuffer(vec, "<f4"), size
                     continue
                 want, v = np.frombuffer(ids, "<i8"), np.frombuffer(vec, "<f4")
-                s = block[2][block[1][np.searchsorted(block[0], want)][:, None] + np.arange(len(v))] @ v
+                at = np.searchsorted(block[0], want)
+                like = block[3][at] == len(v)
+                want, at = want[like], at[like]
+                s = block[2][block[1][at][:, None] + np.arange(len(v))] @ v
                 best = np.flatnonzero(s > thr)
                 if len(best) > room:
                     best = best[np.argpartition(-s[best], room - 1)[:room]]
@@ -537,7 +540,7 @@ def nearest(vectors: DataFrame, chosen=None, limit: int = 20, key: str = "vec_id
     """query_id, rank, vec_id, score: for each query the `limit` vectors of largest inner product that the search finds, nearest first.
 
     Queries are the rows of vectors where the condition `chosen` on their id column (named vec_id) holds, each without its own row; or,
-    with `queries` (query_id long, embedding), other vectors, which begin at ENTRIES nodes.
+    with `queries` (query_id long, embedding), other vectors, which begin at ENTRIES nodes of as many components.
     """
     graph = build(vectors, key, embedding, copies=limit + 1, **{k: v for k, v in how.items() if k in ("degree", "seed")})
     beam = {k: v for k, v in how.items() if k in ("beam", "expand")}
@@ -547,8 +550,10 @@ def nearest(vectors: DataFrame, chosen=None, limit: int = 20, key: str = "vec_id
         starts = asked.join(graph.values.select(F.col("node").alias("query"), "data"), "query").withColumn("at", F.array("query"))
         names = ids.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     else:
-        some = [r[0] for r in graph.values.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
-        starts = _values(queries, "query_id", "embedding").select(F.col("vec_id").alias("query"), "data", F.array(*(F.lit(x) for x in some)).cast("array<long>").alias("at"))
+        width = F.octet_length("data").alias("width")
+        place = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("node"), "node"))
+        some = graph.values.select("node", width).withColumn("k", place).filter(F.col("k") <= ENTRIES).groupBy("width").agg(F.collect_list("node").alias("at"))  # ENTRIES of each
+        starts = _values(queries, "query_id", "embedding").select(F.col("vec_id").alias("query"), "data", width).join(some, "width").select("query", "data", "at")
         names = starts.select(F.col("query").alias("query_id"), "query")
     starts = runtime.stored(starts, "starts")
     found = search(graph, starts, limit, **beam)

@@ -153,10 +153,10 @@ class _Trie:
         self.buffer = np.frombuffer(b"".join(rest) + b"\0", np.uint8)
         self.size = np.array([len(r) for r in rest], np.int64)
         self.offset = np.cumsum(self.size) - self.size
-        alive = np.arange(len(rest))
+        alive = np.flatnonzero(self.size)
         #: Of each level: for every node the letter, the parent and its first word; the words and nodes that go on; how many words a node has.
         self.keys, self.firsts, self.counts = [], [], []
-        node, k = np.zeros(len(rest), np.int64), 0
+        node, k = np.zeros(len(alive), np.int64), 0
         while len(alive):
             key = node * 256 + self.buffer[self.offset[alive] + k]
             names, first, node, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -235,6 +235,8 @@ def near_pairs(first: list[bytes], second: list[bytes], one: bytes, other: bytes
     b = a if same else _Trie(second, other)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     if not same:
+        if one.endswith(END.encode()):  # both prefixes are whole words
+            return (a.words, b.words) if a.words and b.words else ([], [])
         if len(a.words) and len(b.words):
             _down(a, b, {(0, 0): [(np.zeros(1, np.int64), np.zeros(1, np.int64))]}, out)
     else:
