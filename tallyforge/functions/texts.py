@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +38,24 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w]+", " "))
 
 
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility form (NFKC): ligatures, full-width and circled characters as plain ones, letters and their marks composed; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(texts)).as_py() is not False:  # nothing to do, as for most batches
+            return texts
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
+def prepared(text: Column, compatible_form: bool = True, blanks: bool = True, lower: bool = False) -> Column:
+    """Text before it is cut: compatibility form, runs of white space to one blank and none at the ends, lower case, as asked for; null is empty."""
+    out = compatible(F.coalesce(text, F.lit(""))) if compatible_form else F.coalesce(text, F.lit(""))
+    out = F.trim(F.regexp_replace(out, r"(?U)\s+", " ")) if blanks else out
+    return F.lower(out) if lower else out
+
+
 def plain(text: Column) -> Column:
     """Lower case, each mark of punctuation a blank."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")

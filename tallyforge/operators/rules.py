@@ -199,37 +199,6 @@ def interconnected_changes(documents: DataFrame, items: DataFrame, least: int =
     return d.withColumn("shared", F.array_intersect(F.array_intersect("t", "t2"), "t3")).filter(F.size("shared") >= least).select("project_id", "doc_id", F.array_sort("shared").alias("shared"))
 
 
-def split_rejections(documents: DataFrame, least: float = 100_000.0, most: float = 100_000.0, per_mille: int = 50) -> DataFrame:
-    """Rejected change orders over `least`, and pairs of later change orders of the project under `most` whose sum is within per_mille (500 at most) of them."""
-    r = documents.filter((F.col("doc_type") == "change_order") & (F.col("status") == "rejected") & (F.col("total") > least)).select("project_id", F.col("doc_id").alias("rejected_id"), cents(F.col("total")).alias("whole"), F.col("date_created").alias("d0"))
-    o = documents.filter((F.col("doc_type") == "change_order") & (F.col("status") != "rejected") & (F.col("total") < most)).select("project_id", "doc_id", cents(F.col("total")).alias("c"), "date_created")
-    # The larger of a pair is about half the whole or more, so it lies in one of few bins of powers of two.
-    double = lambda c: F.floor(F.log2(F.col(c).cast("double")))
-    big = o.filter("c > 0").select("project_id", F.col("doc_id").alias("x_id"), F.col("c").alias("x_c"), F.col("date_created").alias("x_d"), double("c").alias("bin"))
-    a = r.withColumn("bin", F.explode(F.sequence(double("whole") - 2, double("whole") + 1))).join(big, ["project_id", "bin"]).drop("bin")
-    off = per_mille * F.col("whole") / 1000
-    a = a.filter((F.col("x_d") > F.col("d0")) & (2 * F.col("x_c") >= F.col("whole") - off) & (F.col("x_c") <= F.col("whole") + off))
-    # The other one is what is missing, give or take the tolerance: bins of the power of two above that, whichever of those the rows have.
-    a = a.withColumn("level", F.ceil(F.log2(F.greatest(off, F.lit(1.0)))))
-    place = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level"))).cast("long")
-    at = place(F.col("whole") - F.col("x_c"))
-    a = a.withColumn("bin", F.explode(F.array(at - 1, at, at + 1)))
-    b = o.select("project_id", F.col("doc_id").alias("y_id"), F.col("c").alias("y_c"), F.col("date_created").alias("y_d")).join(a.select("project_id", "level").distinct(), "project_id").withColumn("bin", place(F.col("y_c")))
-    j = a.join(b, ["project_id", "level", "bin"]).filter((F.col("y_d") > F.col("d0")) & ((F.col("y_c") < F.col("x_c")) | ((F.col("y_c") == F.col("x_c")) & (F.col("y_id") < F.col("x_id")))))
-    j = j.filter(F.abs(F.col("x_c") + F.col("y_c") - F.col("whole")) * 1000 <= per_mille * F.col("whole"))
-    return j.select("project_id", "rejected_id", F.least("x_id", "y_id").alias("a_id"), F.greatest("x_id", "y_id").alias("b_id"), (F.col("x_c") + F.col("y_c")).alias("sum_cents"))
-
-
-def fuzzy_documents(documents: DataFrame) -> DataFrame:
-    """Pairs of documents of a project with different types whose totals are within 5 % of their mean, and at most 1000 apart; confidence 0.75 + 0.1, 0.15 more if one is rejected."""
-    s = documents.select("project_id", "doc_id", "doc_type", "status", cents(F.col("total")).alias("c")).withColumn("bin", F.floor(F.col("c") / 100_000))
-    a, b = (s.select("project_id", "bin", *(F.col(x).alias(p + x) for x in ("doc_id", "doc_type", "status", "c"))) for p in ("a_", "b_"))
-    b = b.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    j = a.join(b, ["project_id", "bin"]).drop("bin").filter("a_doc_id < b_doc_id AND a_doc_type != b_doc_type")
-    j = j.filter((F.abs(F.col("a_c") - F.col("b_c")) * 40 <= F.col("a_c") + F.col("b_c")) & (F.abs(F.col("a_c") - F.col("b_c")) <= 100_000))
-    return j.withColumn("confidence", 0.85 + F.when((F.col("a_status") == "rejected") | (F.col("b_status") == "rejected"), 0.15).otherwise(0.0))
-
-
 def features(items: DataFrame) -> DataFrame:
     """What an anomaly model sees of an item: amount, whether it has a quantity and a unit price, length of its description, whether it is a multiple of 1000, day of month."""
     return items.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import amounts
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
-from tallyforge.operators import detectors, engine, graph, lookups, matching, relationships, reports, rules, search, sequences, upserts
+from tallyforge.operators import detectors, disguised, engine, graph, lookups, matching, network_rules, outliers, relationships, reports, rules, search, sequences, splits, structure, upserts
 from tallyforge.operators.ordered import ranked
 from tallyforge.plans.model import SQL, Model
 from tallyforge.sources import extract
@@ -359,13 +359,16 @@ def weekend_timing(m):
     return agg.weekend_timing(m.documents)
 
 
-@query("""
+_HOLIDAYS_SQL = """
 , y AS (SELECT unnest(range(1994, 2003)) AS y),
 h AS (SELECT make_date(y, 1, 1) AS d, 'New Year' AS name FROM y UNION ALL SELECT make_date(y, 7, 4), 'Independence Day' FROM y UNION ALL SELECT make_date(y, 12, 24), 'Christmas Eve' FROM y UNION ALL SELECT make_date(y, 12, 25), 'Christmas' FROM y UNION ALL SELECT make_date(y, 12, 31), 'New Year''s Eve' FROM y
   UNION ALL SELECT max(d), 'Memorial Day' FROM (SELECT y, CAST(unnest(generate_series(make_date(y, 5, 1), make_date(y, 5, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM y) WHERE isodow(d) = 1 GROUP BY y
   UNION ALL SELECT min(d), 'Labor Day' FROM (SELECT y, CAST(unnest(generate_series(make_date(y, 9, 1), make_date(y, 9, 30), INTERVAL 1 DAY)) AS DATE) AS d FROM y) WHERE isodow(d) = 1 GROUP BY y
   UNION ALL SELECT min(d), 'Thanksgiving' FROM (SELECT y, CAST(unnest(generate_series(make_date(y, 11, 22), make_date(y, 11, 30), INTERVAL 1 DAY)) AS DATE) AS d FROM y) WHERE isodow(d) = 4 GROUP BY y
-  UNION ALL SELECT min(d) + 1, 'Day after Thanksgiving' FROM (SELECT y, CAST(unnest(generate_series(make_date(y, 11, 22), make_date(y, 11, 30), INTERVAL 1 DAY)) AS DATE) AS d FROM y) WHERE isodow(d) = 4 GROUP BY y)
+  UNION ALL SELECT min(d) + 1, 'Day after Thanksgiving' FROM (SELECT y, CAST(unnest(generate_series(make_date(y, 11, 22), make_date(y, 11, 30), INTERVAL 1 DAY)) AS DATE) AS d FROM y) WHERE isodow(d) = 4 GROUP BY y)"""
+
+
+@query(f"""{_HOLIDAYS_SQL}
 SELECT name, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM docs JOIN h ON abs(date_diff('day', docs.date_created, h.d)) <= 1 GROUP BY name""")
 def holiday_timing(m):
     return agg.holiday_timing(m.documents, 1994, 2002)
@@ -661,17 +664,69 @@ def scope_inconsistencies(m):
     return rules.scope_inconsistencies(rows).select("project_id", "a_item_id", "b_item_id", _r(F.col("alike"), "alike"))
 
 
-@query("""
-, r AS (SELECT * FROM docs WHERE doc_type = 'change_order' AND status = 'rejected' AND c > 10000000), o AS (SELECT * FROM docs WHERE doc_type = 'change_order' AND status <> 'rejected' AND c < 30000000)
-SELECT r.project_id, r.doc_id AS rejected_id, a.doc_id AS a_id, b.doc_id AS b_id, a.c + b.c AS sum_cents FROM r JOIN o a ON r.project_id = a.project_id AND a.date_created > r.date_created JOIN o b ON r.project_id = b.project_id AND b.date_created > r.date_created AND a.doc_id < b.doc_id WHERE abs(a.c + b.c - r.c) * 1000 <= 50 * r.c""")
+def _subsets(k: int) -> str:
+    """SQL for sets of k orders whose sum is near a rejected one: k nested joins with ascending ids."""
+    names = [f"o{i}" for i in range(1, k + 1)]
+    joins = " ".join(f"JOIN o {n} ON {n}.project_id = r.project_id AND {n}.doc_id <> r.doc_id" + (f" AND {n}.doc_id > {names[i - 1]}.doc_id" if i else "") for i, n in enumerate(names))
+    ids, total = ", ".join(f"{n}.doc_id" for n in names), " + ".join(f"{n}.c" for n in names)
+    return f"SELECT r.project_id, r.doc_id AS rejected_id, r.c AS whole, [{ids}] AS parts, {total} AS s FROM r {joins} WHERE abs({total} - r.c) * 1000 <= 50 * r.c"
+
+
+@query(f"""
+, r AS (SELECT * FROM docs WHERE doc_type = 'change_order' AND status = 'rejected' AND c > 10000000), o AS (SELECT * FROM docs WHERE doc_type = 'change_order' AND c < 30000000 AND c > 0),
+sets AS ({" UNION ALL ".join(_subsets(k) for k in range(1, 6))}),
+terms AS (SELECT doc_id, list_distinct(flatten(list(string_split(lower(description), ' ')))) AS t FROM items GROUP BY doc_id),
+about AS (SELECT rejected_id, parts, list_distinct(flatten(list(t))) AS t FROM (SELECT rejected_id, parts, unnest(parts) AS doc_id FROM sets) p JOIN terms ON terms.doc_id = p.doc_id GROUP BY rejected_id, parts)
+SELECT project_id, sets.rejected_id, array_to_string(sets.parts, ',') AS parts, CAST(len(sets.parts) AS BIGINT) AS n, CAST(s AS BIGINT) AS sum_cents, round(0.8::DOUBLE + 0.05::DOUBLE * coalesce(len(list_intersect(about.t, terms.t)), 0), 6) AS confidence
+FROM sets LEFT JOIN about ON about.rejected_id = sets.rejected_id AND about.parts = sets.parts LEFT JOIN terms ON terms.doc_id = sets.rejected_id""")
 def split_rejections(m):
-    return rules.split_rejections(m.documents, 100_000, 300_000)
+    found = disguised.split_rejections(m.documents, 100_000, 300_000, terms=disguised.description_terms(m.items))
+    return found.select("project_id", "rejected_id", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "n", "sum_cents", _r(F.col("confidence"), "confidence"))
 
 
-@query("""
-SELECT a.project_id, a.doc_id AS a_doc_id, b.doc_id AS b_doc_id, round((0.85 + CASE WHEN a.status = 'rejected' OR b.status = 'rejected' THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS confidence FROM docs a JOIN docs b ON a.project_id = b.project_id AND a.doc_id < b.doc_id AND a.doc_type <> b.doc_type WHERE abs(a.c - b.c) * 40 <= a.c + b.c AND abs(a.c - b.c) <= 100000""")
+def _rounded(c: str, unit: int) -> str:
+    """SQL for cents to a multiple of unit dollars, halves to the even one."""
+    u = unit * 100
+    return f"(({c} // {u}) + CASE WHEN 2 * ({c} % {u}) > {u} THEN 1 WHEN 2 * ({c} % {u}) < {u} THEN 0 ELSE ({c} // {u}) % 2 END) * {u}"
+
+
+def _disguised(amounts: str) -> str:
+    """SQL for the pairs of an amounts table (project_id, c): every two amounts of a project, rule after rule."""
+    rules = [(f"rounded_{u}", f"b = {_rounded('a', u)} OR a = {_rounded('b', u)}") for u in disguised.ROUNDED_TO]
+    rules.append(("fee", "100 * b BETWEEN 105 * a AND 115 * a"))
+    for name, factors in (("tax", disguised.TAXED), ("discount", disguised.DISCOUNTED)):
+        rules.append((name, " OR ".join(f"abs(a * {f} - b * 10000) < 500000 OR abs(b * {f} - a * 10000) < 500000" for f in factors)))
+    rules.append(("near", "(b - a) * 40 <= a + b AND b - a <= 100000"))
+    cases = " ".join(f"WHEN {test} THEN '{name}'" for name, test in rules)
+    return f"""am AS (SELECT DISTINCT project_id, c FROM {amounts} WHERE c > 0), pr AS (SELECT * FROM (SELECT *, CASE {cases} END AS rule FROM (SELECT x.project_id, x.c AS a, y.c AS b FROM am x JOIN am y ON x.project_id = y.project_id AND x.c < y.c)) WHERE rule IS NOT NULL)"""
+
+
+@query(f"""
+, {_disguised("items")},
+ty AS (SELECT project_id, c, list_sort(list(DISTINCT doc_type)) AS t FROM items GROUP BY project_id, c),
+tx AS (SELECT DISTINCT project_id, c, list_distinct(string_split(lower(description), ' ')) AS w FROM items),
+alike AS (SELECT DISTINCT pr.project_id, a, b FROM pr JOIN tx p ON p.project_id = pr.project_id AND p.c = a JOIN tx q ON q.project_id = pr.project_id AND q.c = b WHERE len(list_intersect(p.w, q.w))::DOUBLE / least(len(p.w), len(q.w)) > 0.3)
+SELECT pr.project_id, pr.a, pr.b, rule, s.t <> u.t AS differ, alike.a IS NOT NULL AS alike, round(0.7::DOUBLE + CASE WHEN s.t <> u.t THEN 0.1 ELSE 0 END + CASE WHEN alike.a IS NOT NULL THEN 0.15 ELSE 0 END, 6) AS confidence
+FROM pr JOIN ty s ON s.project_id = pr.project_id AND s.c = pr.a JOIN ty u ON u.project_id = pr.project_id AND u.c = pr.b LEFT JOIN alike ON alike.project_id = pr.project_id AND alike.a = pr.a AND alike.b = pr.b""")
+def fuzzy_items(m):
+    return disguised.fuzzy_items(m.items).select("project_id", "a", "b", "rule", "differ", "alike", _r(F.col("confidence"), "confidence"))
+
+
+@query(f"""
+, {_disguised("docs")},
+ty AS (SELECT project_id, c, list_sort(list(DISTINCT doc_type)) AS t, bool_or(status = 'rejected') AS bad FROM docs GROUP BY project_id, c)
+SELECT pr.project_id, pr.a, pr.b, rule, s.t <> u.t AS differ, s.bad OR u.bad AS rejected, round(0.75::DOUBLE + CASE WHEN s.t <> u.t THEN 0.1 ELSE 0 END + CASE WHEN s.bad OR u.bad THEN 0.15 ELSE 0 END, 6) AS confidence
+FROM pr JOIN ty s ON s.project_id = pr.project_id AND s.c = pr.a JOIN ty u ON u.project_id = pr.project_id AND u.c = pr.b""")
 def fuzzy_documents(m):
-    return rules.fuzzy_documents(m.documents).select("project_id", "a_doc_id", "b_doc_id", _r(F.col("confidence"), "confidence"))
+    return disguised.fuzzy_documents(m.documents).select("project_id", "a", "b", "rule", "differ", "rejected", _r(F.col("confidence"), "confidence"))
+
+
+@query(f"""
+, {_disguised("items").replace("am AS", "ia AS").replace("pr AS", "ip AS").replace("FROM am x JOIN am y", "FROM ia x JOIN ia y")}, {_disguised("docs")},
+n AS (SELECT project_id, CAST(sum(i) AS BIGINT) AS item_pairs, CAST(sum(d) AS BIGINT) AS document_pairs FROM (SELECT project_id, 1 AS i, 0 AS d FROM ip UNION ALL SELECT project_id, 0, 1 FROM pr) GROUP BY project_id)
+SELECT project_id, item_pairs, document_pairs, round(least(0.95::DOUBLE, 0.7::DOUBLE + 0.05::DOUBLE * (item_pairs + document_pairs)), 6) AS confidence FROM n""")
+def fuzzy_summary(m):
+    return disguised.fuzzy_summary(m.items, m.documents).select("project_id", "item_pairs", "document_pairs", _r(F.col("confidence"), "confidence"))
 
 
 @query("""
@@ -1601,6 +1656,233 @@ def text_scopes(m):
     return s.select("doc_id", "scope", F.array_join("substitutions", " ").alias("substitutions"), F.array_join("extra_work", " ").alias("extra_work"), F.col("extra_work_has_order").alias("has_order"))
 
 
+# --- structure and outliers ------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH RECURSIVE {SQL.strip()}, {_EDGES_SQL},
+reach(a, b) AS (SELECT src, dst FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON reach.b = e.src),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+r AS (SELECT v.id, least(v.id, coalesce(min(x.b), v.id)) AS root FROM v LEFT JOIN (SELECT f.a, f.b FROM reach f JOIN reach g ON f.a = g.b AND f.b = g.a) x ON x.a = v.id GROUP BY v.id)
+SELECT id, root, CAST(count(*) OVER (PARTITION BY root) AS BIGINT) AS size FROM r""", model=False)
+def strong_components(m):
+    return structure.strong_components(_edges(m)).select("id", "root", _l("size"))
+
+
+@query(None)
+def modularity_communities(m):
+    """No SQL has the moves of Louvain's method; tests compare its modularity with a plain run's."""
+    return structure.modularity_communities(_edges(m))
+
+
+def _payment_points(m: Model) -> DataFrame:
+    """Payment documents as points: thousands of the total, and four times the day of the month."""
+    p = m.documents.filter("doc_type = 'payment_app'")
+    return p.select(F.col("doc_id").alias("id"), F.floor(_c("total") / 100_000).alias("thousands"), (F.dayofmonth("date_created") * 4).alias("days"))
+
+
+_POINTS_SQL = """
+, pt AS MATERIALIZED (SELECT doc_id AS id, CAST(c // 100000 AS DOUBLE) AS x, CAST(day(date_created) * 4 AS DOUBLE) AS y FROM docs WHERE doc_type = 'payment_app')"""
+
+
+@query(f"""{_POINTS_SQL},
+pr AS MATERIALIZED (SELECT p.id, q.id AS other, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM pt p JOIN pt q ON p.id <> q.id),
+kd AS MATERIALIZED (SELECT id, max(d) AS kd FROM (SELECT id, d FROM pr QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) <= 10) GROUP BY id),
+nb AS MATERIALIZED (SELECT pr.id, pr.other, d, kd FROM pr JOIN kd ON pr.id = kd.id AND d <= kd),
+ds AS MATERIALIZED (SELECT nb.id, 1 / (avg(greatest(nb.d, o.kd)) + 1e-10) AS density FROM nb JOIN kd o ON o.id = nb.other GROUP BY nb.id)
+SELECT ds.id, round(kd.kd, 6) AS k_distance, round(ds.density, 6) AS density, round(avg(o.density) / ds.density, 6) AS factor FROM nb JOIN ds ON ds.id = nb.id JOIN ds o ON o.id = nb.other JOIN kd ON kd.id = ds.id GROUP BY ds.id, ds.density, kd.kd""")
+def local_outlier_factor(m):
+    found = outliers.local_outlier_factor(_payment_points(m), ["thousands", "days"], 10)
+    return found.select("id", *(_r(F.col(c), c) for c in ("k_distance", "density", "factor")))
+
+
+@query(f"""
+WITH RECURSIVE {SQL.strip()}{_POINTS_SQL},
+nr AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM pt p JOIN pt q ON sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 5),
+co AS MATERIALIZED (SELECT a AS id FROM nr GROUP BY a HAVING count(*) >= 6),
+ln AS MATERIALIZED (SELECT a, b FROM nr WHERE a IN (SELECT id FROM co) AND b IN (SELECT id FROM co)),
+reach(a, b) AS (SELECT a, a FROM ln UNION SELECT reach.a, ln.b FROM reach JOIN ln ON reach.b = ln.a),
+cl AS MATERIALIZED (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a),
+bo AS (SELECT nr.a AS id, min(cluster) AS cluster FROM nr JOIN cl ON nr.b = cl.id WHERE nr.a NOT IN (SELECT id FROM co) GROUP BY nr.a)
+SELECT pt.id, coalesce(cl.cluster, bo.cluster) AS cluster, cl.id IS NOT NULL AS core FROM pt LEFT JOIN cl ON cl.id = pt.id LEFT JOIN bo ON bo.id = pt.id""", model=False)
+def density_clusters(m):
+    return outliers.density_clusters(_payment_points(m), ["thousands", "days"], 5.0, 6)
+
+
+def _trees_sql(trees: int, sample: int, levels: int) -> str:
+    """Isolation trees level by level: sampled points of each node, the node's feature and cut, and every point's way down."""
+
+    def u(*parts: str) -> str:
+        return "(('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+    mean = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2.0::DOUBLE * ({n} - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+    out = f"""{_POINTS_SQL}, sm0 AS MATERIALIZED (SELECT tree, x, y, 1::BIGINT AS node FROM (SELECT id, x, y, t AS tree FROM pt, range({trees}) r(t)) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {u("'42'", "tree", "id")}, id) <= {sample}),
+at0 AS (SELECT id, x, y, t AS tree, 1::BIGINT AS node, 0.0::DOUBLE AS path, false AS done FROM pt, range({trees}) r(t))"""
+    for k in range(levels + 1):
+        many = "0" if k == levels else "CASE WHEN n > 1 THEN (hx > lx)::INT + (hy > ly)::INT ELSE 0 END"
+        out += f""", g{k} AS (SELECT tree, node, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM sm{k} GROUP BY tree, node),
+f{k} AS (SELECT *, CASE {many} WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN hx > lx THEN 0 ELSE 1 END ELSE CAST(floor({u("'42'", "'feature'", "tree", "node")} * 2) AS INT) END AS f FROM g{k}),
+n{k} AS MATERIALIZED (SELECT tree, node, n, f, CASE f WHEN 0 THEN hx - {u("'42'", "'cut'", "tree", "node")} * (hx - lx) WHEN 1 THEN hy - {u("'42'", "'cut'", "tree", "node")} * (hy - ly) END AS cut FROM f{k}),
+sm{k + 1} AS MATERIALIZED (SELECT s.tree, x, y, 2 * s.node + ((CASE f WHEN 0 THEN x ELSE y END) >= cut)::BIGINT AS node FROM sm{k} s JOIN n{k} n ON s.tree = n.tree AND s.node = n.node AND f IS NOT NULL),
+at{k + 1} AS MATERIALIZED (SELECT id, x, y, a.tree, CASE WHEN done OR f IS NULL THEN a.node ELSE 2 * a.node + ((CASE f WHEN 0 THEN x ELSE y END) >= cut)::BIGINT END AS node, CASE WHEN done THEN path WHEN f IS NULL THEN path + {mean("n")} ELSE path + 1 END AS path, done OR f IS NULL AS done FROM at{k} a LEFT JOIN n{k} n ON a.tree = n.tree AND a.node = n.node)"""
+    return out + f""", w AS (SELECT max(n) AS n FROM n0)
+SELECT id, round(avg(path), 6) AS path, round(pow(2.0::DOUBLE, -avg(path) / (SELECT {mean("n")} FROM w)), 6) AS score FROM at{levels + 1} GROUP BY id"""
+
+
+@query(_trees_sql(20, 64, 6))
+def isolation_scores(m):
+    points = _payment_points(m)
+    nodes = outliers.isolation_trees(points, ["thousands", "days"], trees=20, sample=64)
+    return outliers.isolation_scores(points, ["thousands", "days"], nodes, sample=64).select("id", _r(F.col("path"), "path"), _r(F.col("score"), "score"))
+
+
+@query(f"""
+WITH RECURSIVE {SQL.strip()},
+cand AS MATERIALIZED (SELECT b.project_id, b.item_id AS big, b.c AS whole, s.item_id, s.c, row_number() OVER (PARTITION BY b.project_id, b.item_id, b.c ORDER BY s.c DESC, s.item_id DESC) AS k FROM items b JOIN items s ON b.project_id = s.project_id AND b.c > 5000000 AND s.c > 0 AND s.c < b.c AND date_diff('day', b.date_created, s.date_created) BETWEEN 1 AND 90),
+f(project_id, big, whole, start, k, t, n) AS (SELECT project_id, big, whole, k, k, c, 1::BIGINT FROM cand
+  UNION ALL SELECT f.project_id, f.big, f.whole, start, cand.k, CASE WHEN (t + c) * 10 <= f.whole * 11 THEN t + c ELSE t END, CASE WHEN (t + c) * 10 <= f.whole * 11 THEN n + 1 ELSE n END FROM f JOIN cand ON f.project_id = cand.project_id AND f.big = cand.big AND f.whole = cand.whole AND cand.k = f.k + 1),
+l AS (SELECT * FROM f QUALIFY k = max(k) OVER (PARTITION BY project_id, big, whole)),
+b AS (SELECT * FROM l WHERE abs(t - whole) * 10 <= whole QUALIFY row_number() OVER (PARTITION BY project_id, big, whole ORDER BY abs(t - whole), start) = 1)
+SELECT project_id, big AS item_id, CAST(whole AS BIGINT) AS whole_cents, CAST(t AS BIGINT) AS sum_cents, n FROM b WHERE n >= 2""", model=False)
+def best_splits(m):
+    return splits.best_splits(m.items, least=50_000).select("project_id", F.col("big_id").alias("item_id"), F.col("whole").alias("whole_cents"), F.col("sum").alias("sum_cents"), "n")
+
+
+def _applications(m: Model) -> DataFrame:
+    """Payment applications with figures in meta_data as a document states them: of some documents the certificates or the payment are off."""
+    a = m.payment_applications
+    money = lambda c: c.cast("double").cast("string")
+    before = F.col("earned") - F.col("requested")
+    stated = F.struct(
+        money(before * F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1)).alias("previous_certificates"), money(F.col("earned")).alias("total_earned_less_retainage"),
+        money(F.col("requested") + F.when(F.col("doc_id") % 7 == 0, 1000).otherwise(0)).alias("current_payment_due"),
+    )
+    return a.select("project_id", "doc_id", "number", F.to_json(stated).alias("meta_data"))
+
+
+@query("""
+, p AS (SELECT project_id, doc_id, number, c / 100.0::DOUBLE AS c, sum(c) OVER (PARTITION BY project_id ORDER BY number) / 100.0::DOUBLE AS earned FROM docs WHERE doc_type = 'payment_app'),
+a AS (SELECT *, (earned - c) * CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS previous, c + CASE WHEN doc_id % 7 = 0 THEN 1000 ELSE 0 END AS due, lag(earned) OVER (PARTITION BY project_id ORDER BY number) AS earned_before FROM p),
+x AS (SELECT project_id, doc_id, 'previous_certificate_mismatch' AS kind, previous AS stated, earned_before AS expected, 0.80::DOUBLE AS base FROM a WHERE earned_before IS NOT NULL UNION ALL SELECT project_id, doc_id, 'payment_calculation_error', due, earned - previous, 0.85 FROM a WHERE earned_before IS NOT NULL)
+SELECT project_id, doc_id, kind, round(stated, 2) AS stated, round(expected, 2) AS expected, round(least(0.95, base + abs(stated - expected) / greatest(stated, expected)), 6) AS confidence FROM x WHERE abs(stated - expected) > 0.01 AND abs(stated - expected) / greatest(stated, expected) > 0.001""")
+def certificate_mismatches(m):
+    found = splits.certificate_mismatches(_applications(m))
+    return found.select("project_id", "doc_id", "kind", _r(F.col("stated"), "stated", 2), _r(F.col("expected"), "expected", 2), _r(F.col("confidence"), "confidence"))
+
+
+@query("""
+, p AS (SELECT project_id, doc_id, number, item_number, item_id, quantity / 50.0::DOUBLE AS share FROM items WHERE doc_type = 'payment_app'),
+j AS (SELECT p.project_id, p.item_number, p.item_id, p.doc_id, p.share, q.share AS highest, q.doc_id AS highest_doc, row_number() OVER (PARTITION BY p.doc_id, p.item_id ORDER BY q.share DESC, q.number, q.doc_id) AS k FROM p JOIN p q ON p.project_id = q.project_id AND p.item_number = q.item_number AND q.number < p.number)
+SELECT project_id, item_number, item_id, doc_id, highest_doc, round(share, 6) AS share, round(highest, 6) AS highest, round(least(0.95, 0.75 + highest - share), 6) AS confidence FROM j WHERE k = 1 AND share < highest - 0.001""")
+def completion_regressions(m):
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.concat((F.col("quantity") * 2).cast("string"), F.lit("%")).alias("percent_complete")))).otherwise(F.to_json(F.struct((F.col("quantity") / 50).alias("percent_complete"))))
+    rows = m.items.filter("doc_type = 'payment_app'").select("project_id", "doc_id", "number", "item_number", "item_id", splits.percent_complete(text).alias("share"))
+    found = splits.completion_regressions(rows)
+    return found.select("project_id", "item_number", "item_id", "doc_id", "highest_doc", *(_r(F.col(c), c) for c in ("share", "highest", "confidence")))
+
+
+# --- rules over documents and relations ------------------------------------------------------------------------------------
+
+
+@query("""
+, p AS (SELECT project_id, doc_id, date_created AS d, lead(doc_id) OVER w AS next_id, lead(date_created) OVER w AS until FROM docs WHERE doc_type = 'payment_app' WINDOW w AS (PARTITION BY project_id ORDER BY date_created, doc_id))
+SELECT p.project_id, p.doc_id AS payment_id, next_id, string_agg(o.doc_id, ',' ORDER BY o.doc_id) AS orders, CAST(count(*) AS BIGINT) AS n FROM p JOIN docs o ON o.project_id = p.project_id AND o.doc_type = 'change_order' AND o.date_created > p.d AND o.date_created < until GROUP BY ALL""")
+def orders_between_payments(m):
+    found = network_rules.orders_between_payments(m.documents)
+    return found.select("project_id", "payment_id", "next_id", F.array_join(F.transform("orders", lambda x: x.cast("string")), ",").alias("orders"), _l("n"))
+
+
+@query("""
+, t AS (SELECT project_id, year(date_created) || '-' || month(date_created) AS period FROM docs WHERE doc_type = 'change_order' AND day(date_created) >= 28
+  UNION ALL SELECT project_id, year(date_created) || '-Q' || (month(date_created) // 3) FROM docs WHERE doc_type = 'change_order' AND day(date_created) >= 25 AND month(date_created) % 3 = 0)
+SELECT project_id, period, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY project_id, period HAVING count(*) >= 2""")
+def fiscal_clusters(m):
+    return network_rules.fiscal_clusters(m.documents).select("project_id", "period", _l("n"))
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT src AS source_doc_id, dst AS target_doc_id, kind AS relationship_type, CAST(date_diff('day', a.date_created, b.date_created) AS BIGINT) AS days FROM rel JOIN docs a ON a.doc_id = src JOIN docs b ON b.doc_id = dst WHERE a.date_created < b.date_created""")
+def referenced_before_existing(m):
+    return network_rules.referenced_before_existing(relationships.pair_rules(m.documents), m.documents).select("source_doc_id", "target_doc_id", "relationship_type", _l("days"))
+
+
+@query(f""", {_PAIRS_SQL.strip()},
+lk AS (SELECT DISTINCT src, dst FROM rel WHERE kind IN ('sequential', 'parent_child') UNION SELECT dst, src FROM rel WHERE kind IN ('sequential', 'parent_child')),
+am AS (SELECT project_id, doc_id, c // 1000000 AS k FROM docs WHERE doc_type IN ('payment_app', 'invoice') UNION SELECT project_id, doc_id, c // 1000000 FROM items WHERE doc_type IN ('payment_app', 'invoice'))
+SELECT am.project_id, am.doc_id AS payment_id, o.doc_id AS order_id, CAST(am.k * 100 AS BIGINT) AS cents, CASE WHEN o.status = 'rejected' THEN 'rejected_co_amount_in_payment' ELSE 'unlinked_matching_amount' END AS issue, CASE WHEN o.status = 'rejected' THEN 0.95::DOUBLE ELSE 0.85 END AS confidence
+FROM am JOIN docs o ON o.project_id = am.project_id AND o.doc_type = 'change_order' AND o.c // 1000000 = am.k AND am.k > 0 WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.src = am.doc_id AND lk.dst = o.doc_id)""")
+def unlinked_orders(m):
+    """Amounts in steps of 10,000 here, as equal ones are rare, and the relations of numbers and dates only."""
+    step = lambda c: F.floor(_c(c) / 1_000_000).cast("decimal(15,2)")
+    some = relationships.pair_rules(m.documents).filter(F.col("relationship_type").isin("sequential", "parent_child"))
+    return network_rules.unlinked_orders(m.items.withColumn("amount", step("amount")), m.documents.withColumn("total", step("total")), some).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query(f""", {_PAIRS_SQL.strip()},
+md AS (SELECT *, doc_id % 11 = 0 AS flag, number % 4 AS ref, ['open', 'paid', 'void'][CAST(doc_id % 3 + 1 AS INT)] AS said FROM docs),
+pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM rel)
+SELECT 'contradictory_approval' AS kind, doc_id, NULL::BIGINT AS other_id, NULL::VARCHAR AS reference, status, NULL::VARCHAR AS other_status FROM md WHERE flag
+UNION ALL SELECT 'related_documents', a, b, NULL, x.status, y.status FROM pr JOIN md x ON x.doc_id = a JOIN md y ON y.doc_id = b WHERE (x.status = 'approved' AND y.status = 'rejected') OR (x.status = 'rejected' AND y.status = 'approved')
+UNION ALL SELECT 'conflicting_reference_status', a, b, 'CO ' || x.ref, x.said, y.said FROM pr JOIN md x ON x.doc_id = a JOIN md y ON y.doc_id = b WHERE x.ref = y.ref AND x.said <> y.said""")
+def contradictions(m):
+    """Some documents carry the flag here, and each refers to a change order by its own number, with a status."""
+    d = m.documents.withColumn("meta_data", F.to_json(F.struct((F.col("doc_id") % 11 == 0).alias("contradictory_approval"))))
+    refs = m.documents.select("doc_id", F.concat(F.lit("CO "), (F.col("number") % 4).cast("string")).alias("reference"), F.element_at(F.array(F.lit("open"), F.lit("paid"), F.lit("void")), (F.col("doc_id") % 3 + 1).cast("int")).alias("status"))
+    return network_rules.contradictions(d, relationships.pair_rules(m.documents), refs).drop("confidence")
+
+
+@query("""
+, f AS (SELECT item_id, doc_id, project_id, c, description || CASE quantity % 5 WHEN 0 THEN ' special fee' WHEN 1 THEN ' surcharge' WHEN 2 THEN ' site supervision' ELSE '' END AS d FROM items),
+ct AS (SELECT project_id, string_agg('provides for ' || CASE number % 3 WHEN 0 THEN 'supervision' WHEN 1 THEN 'a SURCHARGE' ELSE 'nothing' END, ' ') AS t FROM docs WHERE doc_type = 'contract' GROUP BY project_id),
+w AS (SELECT item_id, doc_id, unnest(string_split(lower(d), ' ')) AS w, project_id FROM f),
+ok AS (SELECT DISTINCT item_id, doc_id FROM w JOIN ct ON ct.project_id = w.project_id AND length(w) > 3 AND contains(lower(t), w))
+SELECT f.item_id, f.doc_id, f.project_id, ok.item_id IS NOT NULL AS authorised, contains(d, 'special') AS modified, round(least(0.95, 0.8 + CASE WHEN c > 100000 THEN 0.05 ELSE 0 END + CASE WHEN contains(d, 'special') THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS confidence
+FROM f LEFT JOIN ok ON ok.item_id = f.item_id AND ok.doc_id = f.doc_id WHERE c > 10000 AND (contains(d, 'fee') OR contains(d, 'surcharge') OR contains(d, 'supervision')) AND (ok.item_id IS NULL OR contains(d, 'special'))""")
+def unauthorised_fees(m):
+    """Some items are named as fees here, and contracts provide for some."""
+    q = F.col("quantity") % 5
+    named = F.concat("description", F.when(q == 0, " special fee").when(q == 1, " surcharge").when(q == 2, " site supervision").otherwise(""))
+    k = F.col("number") % 3
+    contracts = m.documents.filter("doc_type = 'contract'").select("project_id", F.concat(F.lit("provides for "), F.when(k == 0, "supervision").when(k == 1, "a SURCHARGE").otherwise("nothing")).alias("text"))
+    return network_rules.unauthorised_fees(m.items.withColumn("description", named), contracts).withColumn("confidence", _r(F.col("confidence")))
+
+
+@query("""
+, o AS (SELECT project_id, doc_id, (sum(c) / 100.0::DOUBLE) / (sum(quantity * uc) / 100.0::DOUBLE) * 100 - 100 AS markup, sum(quantity * uc) / 100.0::DOUBLE AS base FROM items WHERE doc_type = 'change_order' AND quantity > 0 GROUP BY project_id, doc_id),
+a AS (SELECT project_id, max(number * 10.0::DOUBLE) AS allowed FROM docs WHERE doc_type = 'contract' GROUP BY project_id),
+j AS (SELECT o.*, coalesce(allowed, 15.0) AS allowed FROM o LEFT JOIN a ON a.project_id = o.project_id)
+SELECT project_id, doc_id, round(markup, 4) AS markup, allowed, round(base * (markup - allowed) / 100, 6) AS hidden, round(least(0.95, 0.7 + (markup - allowed) / 10), 6) AS confidence FROM j WHERE markup > allowed * 1.2::DOUBLE AND base <> 0""")
+def excessive_markups(m):
+    """A contract allows ten percent for each number here."""
+    base = F.sum(F.col("quantity") * _c("unit_price")) / 100
+    orders = m.items.filter("doc_type = 'change_order' AND quantity > 0").groupBy("project_id", "doc_id").agg(((F.sum(_c("amount")) / 100) / base * 100 - 100).alias("markup"), base.alias("base"))
+    allowed = m.documents.filter("doc_type = 'contract'").select("project_id", (F.col("number") * 10.0).alias("allowed"))
+    found = network_rules.excessive_markups(orders, allowed)
+    return found.select("project_id", "doc_id", _r(F.col("markup"), "markup", 4), "allowed", _r(F.col("hidden"), "hidden"), _r(F.col("confidence"), "confidence"))
+
+
+@query(f"""{_HOLIDAYS_SQL},
+b AS (SELECT DISTINCT CAST(h.d + k AS DATE) AS d FROM h, (SELECT unnest([-1, 0, 1]) AS k) WHERE year(CAST(h.d + k AS DATE)) BETWEEN 1994 AND 2002),
+n AS (SELECT count(*) AS documents, count(b.d) AS beside FROM docs LEFT JOIN b ON b.d = date_created WHERE year(date_created) BETWEEN 1994 AND 2002)
+SELECT documents, beside, round(documents * (SELECT count(*) FROM b) / 3287.0::DOUBLE, 6) AS expected, beside > 1.5::DOUBLE * documents * (SELECT count(*) FROM b) / 3287.0::DOUBLE AS unusual FROM n WHERE documents >= 10""")
+def holiday_share(m):
+    return network_rules.holiday_share(m.documents, 1994, 2002).select("documents", "beside", _r(F.col("expected"), "expected"), "unusual")
+
+
+@query("""
+, v AS (SELECT item_id, doc_id, category || '/' || doc_type || '/' || party AS g, CASE WHEN quantity = 50 THEN 4 ELSE 1 END * c / 100.0::DOUBLE AS v FROM items),
+s AS (SELECT *, count(*) OVER w AS n, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS std, row_number() OVER (PARTITION BY g ORDER BY v, item_id) - 1 AS k FROM v WINDOW w AS (PARTITION BY g)),
+q AS (SELECT g, max(CASE WHEN k = n // 4 THEN v END) AS q1, max(CASE WHEN k = 3 * n // 4 THEN v END) AS q3 FROM s GROUP BY g),
+z AS (SELECT item_id, doc_id, max(least(0.95, 0.7 + 0.1 * (abs((v - mean) / std) - 2.5))) AS z FROM s WHERE n >= 5 AND std > 0 AND std >= 0.01 * abs(mean) AND abs((v - mean) / std) > 2.5 GROUP BY ALL),
+i AS (SELECT item_id, doc_id, max(least(0.95, 0.7 + 0.2 * (CASE WHEN v > q3 THEN v - q3 ELSE q1 - v END / (q3 - q1) - 1.5))) AS q FROM s JOIN q ON s.g = q.g WHERE n >= 5 AND q3 > q1 AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) GROUP BY ALL)
+SELECT coalesce(z.item_id, i.item_id) AS item_id, coalesce(z.doc_id, i.doc_id) AS doc_id, CASE WHEN z IS NULL THEN 'iqr' WHEN q IS NULL THEN 'z_score' ELSE 'iqr,z_score' END AS methods, round(coalesce(least(0.95, z + CASE WHEN q IS NULL THEN 0 ELSE 0.1 END), q)::DOUBLE, 6) AS confidence FROM z FULL JOIN i ON z.item_id = i.item_id AND z.doc_id = i.doc_id""")
+def amount_outliers(m):
+    """Items of the largest quantity count four times here, so that there are outliers."""
+    rows = m.items.withColumn("amount", F.col("amount") * F.when(F.col("quantity") == 50, 4).otherwise(1))
+    found = network_rules.amount_outliers(rows, ("category", "doc_type", "party"))
+    return found.select("item_id", "doc_id", F.array_join("methods", ",").alias("methods"), _r(F.col("confidence"), "confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))

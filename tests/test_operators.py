@@ -346,19 +346,82 @@ def test_arithmetic_runs_equal_a_plain_version(spark):
     assert got == want and max(n for _, _, n in want) == 9
 
 
-def test_split_rejections_equal_all_pairs(spark):
+def test_split_rejections_equal_all_subsets(spark):
+    """Every set of one to five other orders of the project near a rejected one, by trying all of them."""
+    import itertools
     import random
 
-    from tallyforge.operators.rules import split_rejections
+    from tallyforge.operators.disguised import split_rejections
 
     r = random.Random(4)
-    d0 = dt.date(2023, 1, 1)
-    rows = [(r.randrange(3), i, "change_order", r.choice(["rejected", "approved", None]), d0 + dt.timedelta(days=r.randrange(90)), Decimal(r.choice([0, 100, 5000, r.randrange(1, 9000), r.randrange(1, 20000)]))) for i in range(120)]
-    docs = spark.createDataFrame(rows, "project_id int, doc_id long, doc_type string, status string, date_created date, total decimal(15,2)")
-    got = {(x["rejected_id"], x["a_id"], x["b_id"]) for x in split_rejections(docs, 1000, 9000).collect()}
-    ok = [x for x in rows if x[3] == "approved" and x[5] < 9000]
-    want = {(x[1], a[1], b[1]) for x in rows if x[3] == "rejected" and x[5] > 1000 for a in ok for b in ok if a[0] == b[0] == x[0] and a[1] < b[1] and min(a[4], b[4]) > x[4] and abs(a[5] + b[5] - x[5]) * 1000 <= 50 * x[5]}
-    assert got == want and len(want) > 20
+    kinds = ["rejected", "Denied by owner", "declined", "approved", "approved", "approved", None]
+    rows = [(k // 18, k, "change_order" if k % 9 else "invoice", r.choice(kinds), Decimal(r.choice([0, -50, 100, 5000, 4999, r.randrange(1, 5000), r.randrange(1, 5000), r.randrange(1, 5000)]))) for k in range(54)]
+    rows += [(p, 100 + 10 * p + k, "change_order", kinds[k], Decimal(r.randrange(10_001, 16_000))) for p in range(3) for k in range(4)]
+    docs = spark.createDataFrame(rows, "project_id int, doc_id long, doc_type string, status string, total decimal(15,2)")
+    terms = spark.createDataFrame([(k, [f"t{k % 3}", f"t{k % 5}"]) for k in range(150)], "doc_id long, terms array<string>")
+    for parts in (5, 2):
+        want = {}
+        for rejected in rows:
+            if rejected[2] == "change_order" and rejected[3] in kinds[:3] and rejected[4] > 10_000:
+                small = [x for x in rows if x[0] == rejected[0] and x[2] == "change_order" and 0 < x[4] < 5000 and x[1] != rejected[1]]
+                for n in range(1, parts + 1):
+                    for some in itertools.combinations(small, n):
+                        total = sum(x[4] for x in some)
+                        if abs(total - rejected[4]) * 1000 <= 50 * rejected[4]:
+                            about = {f"t{x[1] % 3}" for x in some} | {f"t{x[1] % 5}" for x in some}
+                            want[rejected[1], tuple(x[1] for x in some)] = (int(total * 100), round(0.8 + 0.05 * len(about & {f"t{rejected[1] % 3}", f"t{rejected[1] % 5}"}), 6))
+        got = {(x["rejected_id"], tuple(x["parts"])): (x["sum_cents"], round(x["confidence"], 6)) for x in split_rejections(docs, parts=parts, terms=terms).collect()}
+        assert got == want
+        if parts == 5:
+            assert {len(k[1]) for k in want} >= {3, 4, 5} and len(want) > 100
+    assert split_rejections(docs.limit(0)).count() == 0
+
+
+def _disguise(a, b):
+    """The first rule that relates two amounts in dollars, tried as written, either way round."""
+    u = {1: "rounded_1", 5: "rounded_5", 10: "rounded_10", 25: "rounded_25", 50: "rounded_50", 100: "rounded_100"}
+    for unit, name in u.items():
+        if abs(round(a / unit) * unit - b) < Decimal("0.01") or abs(a - round(b / unit) * unit) < Decimal("0.01"):
+            return name
+    if Decimal("1.05") <= max(a, b) / min(a, b) <= Decimal("1.15"):
+        return "fee"
+    for name, rates in (("tax", ("1.07", "1.08", "1.0925")), ("discount", ("0.9", "0.95", "0.925"))):
+        if any(abs(x * Decimal(f) - y) < Decimal("0.5") for f in rates for x, y in ((a, b), (b, a))):
+            return name
+    return "near" if abs(a - b) / ((a + b) / 2) * 100 <= 5 and abs(a - b) <= 1000 else None
+
+
+def test_fuzzy_amounts_equal_all_pairs(spark):
+    import random
+
+    from tallyforge.operators import disguised
+
+    r = random.Random(9)
+    base = [Decimal(r.randrange(100, 400_000)) / 100 for _ in range(40)]
+    base += [Decimal("12.5"), Decimal("12"), Decimal("37.5"), Decimal("25"), Decimal("50"), Decimal("2.5"), Decimal("1000"), Decimal("1070"), Decimal("1070.50"), Decimal("1070.49"), Decimal("105"), Decimal("115"), Decimal("100"), Decimal("115.01"), Decimal("20000"), Decimal("21000"), Decimal("19000.01"), Decimal("0.01"), Decimal("0.5"), Decimal("1"), Decimal("1234"), Decimal("1235"), Decimal("1200"), Decimal("3"), Decimal("2.4"), Decimal("3.6"), Decimal("4"), Decimal("3.2")]
+    rows = [(p, f"i{p}_{k}", r.choice(["invoice", "change_order", None]), v, r.choice(["pipe fitting", "Pipe bends and a long tail of words", "", None, "door"])) for p in (1, 2) for k, v in enumerate([*base, base[0], Decimal(0)])]
+    items = spark.createDataFrame(rows, "project_id int, item_id string, doc_type string, amount decimal(15,2), description string")
+    got = {(x["project_id"], x["a"], x["b"]): (x["rule"], x["differ"], x["alike"], round(x["confidence"], 6)) for x in disguised.fuzzy_items(items).collect()}
+    want = {}
+    for p in (1, 2):
+        types, texts = {}, {}
+        for row in rows:
+            if row[0] == p:
+                types.setdefault(row[3], set()).add(row[2] or "unknown")
+                texts.setdefault(row[3], []).append(set((row[4] or "").lower().split()))
+        amounts = sorted(v for v in types if v)
+        for k, a in enumerate(amounts):
+            for b in amounts[k + 1 :]:
+                rule = _disguise(a, b)
+                if rule:
+                    alike = any(x and y and len(x & y) / min(len(x), len(y)) > 0.3 for x in texts[a] for y in texts[b])
+                    differ = types[a] != types[b]
+                    want[p, int(a * 100), int(b * 100)] = (rule, differ, alike, round(0.7 + 0.1 * differ + 0.15 * alike, 6))
+    assert got == want
+    assert {v[0] for v in want.values()} >= {"rounded_1", "rounded_5", "rounded_100", "fee", "tax", "discount", "near"} and {v[2] for v in want.values()} == {True, False}
+    # Credits are compared with credits.
+    signed = spark.createDataFrame([(1, -10_000), (1, -10_700), (1, 10_700)], "project_id int, cents long")
+    assert [(x["a"], x["b"], x["rule"]) for x in disguised.disguised_pairs(signed).collect()] == [(-10_700, -10_000, "rounded_25")]
 
 
 def test_amounts_near_zero_and_below(spark):
