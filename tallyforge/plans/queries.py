@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import amounts
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
-from tallyforge.operators import detectors, disguised, engine, graph, lookups, matching, network_rules, outliers, relationships, reports, rules, search, sequences, splits, structure, upserts
+from tallyforge.operators import detectors, disguised, engine, graph, lookups, matching, network_rules, outliers, relationships, reports, rules, search, sequences, splits, statements, structure, upserts
 from tallyforge.operators.ordered import ranked
 from tallyforge.plans.model import SQL, Model
 from tallyforge.sources import extract
@@ -1883,6 +1883,56 @@ def amount_outliers(m):
     return found.select("item_id", "doc_id", F.array_join("methods", ",").alias("methods"), _r(F.col("confidence"), "confidence"))
 
 
+def _stated(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Items and documents with what they state in meta_data: some items' and documents' figures are off."""
+    amount = F.col("amount").cast("double")
+    off = lambda n, k: F.when(F.col("quantity") % n == 0, k).otherwise(0)
+    said = F.struct((F.col("quantity") / 50).alias("percent_complete"), (amount * 50 / F.col("quantity") + off(7, 500)).alias("scheduled_value"), (off(11, -200) + 100.0).alias("previous_completed"))
+    items = m.items.withColumns({"total": (F.col("amount") + 100 + off(5, 3)).cast("decimal(15,2)"), "meta_data": F.to_json(said)})
+    money = F.col("total").cast("double")
+    doc = F.struct(
+        money.alias("completed_to_date"), (money * 0.05 + F.when(F.col("doc_id") % 3 == 0, 0).otherwise(900)).alias("retainage"), F.when(F.col("doc_id") % 2 == 0, 5.0).otherwise(0.05).alias("retainage_percent"), money.alias("total_earned_less_retainage"),
+        F.lit(1000.0).alias("previous_certificates"), (money - F.when(F.col("doc_id") % 4 == 0, 9000).otherwise(1000)).alias("current_payment_due"), F.create_map(F.lit("ECONOMY"), F.lit(60000.0)).alias("category_totals"),
+    )
+    return items, m.documents.withColumn("meta_data", F.to_json(doc))
+
+
+_STATED_SQL = """
+, i AS (SELECT doc_id, item_id, category, c / 100.0::DOUBLE AS amount, quantity AS q, uc / 100.0::DOUBLE AS price, c / 100.0::DOUBLE + 100 + CASE WHEN quantity % 5 = 0 THEN 3 ELSE 0 END AS total FROM items),
+d AS (SELECT doc_id, doc_type, party, c / 100.0::DOUBLE AS money FROM docs),
+e AS (SELECT 'quantity_price' AS "check", doc_id, item_id, NULL::VARCHAR AS part, total AS stated, q * price AS expected, 0.01 AS lo, 0.0 AS sh, 0.95 AS c0, 0.98 AS c1, ['invoice', 'payment_app', 'change_order'] AS ty FROM i
+  UNION ALL SELECT 'amount_total', doc_id, item_id, NULL, amount, total, 0.01, 0.0, 0.90, 0.95, ['invoice', 'payment_app', 'change_order'] FROM i
+  UNION ALL SELECT 'percent_complete', doc_id, item_id, NULL, amount, q / 50.0::DOUBLE * (amount * 50 / q + CASE WHEN q % 7 = 0 THEN 500 ELSE 0 END), 0.1, 0.01, 0.90, 0.95, ['invoice', 'payment_app'] FROM i
+  UNION ALL SELECT 'current_work', i.doc_id, item_id, NULL, amount, total - (100 - CASE WHEN q % 11 = 0 THEN 200 ELSE 0 END), 0.1, 0.01, 0.90, 0.95, ['payment_app'] FROM i JOIN d ON d.doc_id = i.doc_id AND doc_type = 'payment_app'
+  UNION ALL SELECT 'category_total', doc_id, NULL, category, 60000, round(sum(amount), 2), 0.01, 0.01, 0.90, 0.95, ['invoice', 'payment_app', 'change_order'] FROM i WHERE category = 'ECONOMY' GROUP BY doc_id, category
+  UNION ALL SELECT 'document_total', d.doc_id, NULL, 'completed_to_date', money, s, 0.01, 0.01, 0.95, 0.98, ['invoice', 'payment_app', 'change_order'] FROM d JOIN (SELECT doc_id, round(sum(amount), 2) AS s FROM i GROUP BY doc_id) t ON t.doc_id = d.doc_id
+  UNION ALL SELECT 'retainage', doc_id, NULL, NULL, money * 0.05::DOUBLE + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 900 END, money * 0.05::DOUBLE, 0.01, 0.01, 0.95, 0.98, ['payment_app'] FROM d
+  UNION ALL SELECT 'payment_due', doc_id, NULL, NULL, money - CASE WHEN doc_id % 4 = 0 THEN 9000 ELSE 1000 END, money - 1000, 0.01, 0.01, 0.95, 0.98, ['payment_app'] FROM d),
+f AS (SELECT e.*, d.party, d.party = 'BUILDING' AND list_contains(ty, d.doc_type) AND (CASE WHEN "check" = 'retainage' THEN stated < expected ELSE stated > expected END) AS benefits FROM e JOIN d ON d.doc_id = e.doc_id
+  WHERE abs(stated - expected) > lo + 0.001 AND coalesce(abs(stated - expected) / nullif(greatest(abs(stated), abs(expected)), 0), 0) > sh)"""
+
+
+@query(f"""{_STATED_SQL}
+SELECT "check", doc_id, item_id, part, round(stated, 4) AS stated, round(expected, 4) AS expected, benefits, CASE WHEN benefits THEN c1 ELSE c0 END::DOUBLE AS confidence FROM f""")
+def statement_errors(m):
+    found = statements.statement_errors(*_stated(m), submitter="BUILDING")
+    return found.select("check", "doc_id", "item_id", "part", _r(F.col("stated"), "stated", 4), _r(F.col("expected"), "expected", 4), "benefits", "confidence")
+
+
+@query(f"""{_STATED_SQL}
+SELECT party, CAST(count(*) AS BIGINT) AS n, round(least(0.95, 0.75 + 0.05 * count(*))::DOUBLE, 6) AS confidence FROM f WHERE benefits GROUP BY party HAVING count(*) >= 3""")
+def systematic_errors(m):
+    return statements.systematic_errors(statements.statement_errors(*_stated(m), submitter="BUILDING")).select("party", "n", _r(F.col("confidence"), "confidence"))
+
+
+@query("""
+, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY date_created, doc_id) AS k FROM docs WHERE doc_type = 'change_order')
+SELECT min(CASE WHEN k = 1 THEN doc_id END) AS first, string_agg(doc_id, '>' ORDER BY k) AS orders, CAST(count(*) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS sum_cents FROM o GROUP BY project_id HAVING count(*) >= 3""")
+def order_chains(m):
+    found = statements.order_chains(relationships.pair_rules(m.documents), m.documents)
+    return found.select("first", F.array_join(F.transform("orders", lambda x: x.cast("string")), ">").alias("orders"), "n", "sum_cents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))
