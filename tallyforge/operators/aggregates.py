@@ -97,12 +97,12 @@ def systematic_rounding(items: DataFrame, least: int = 5, share: float = 0.5) ->
     return g.withColumn("confidence", F.when(F.col("share") >= share, F.least(F.lit(0.95), 0.75 + 2 * (F.col("share") - share))))
 
 
-def common_terms(items: DataFrame) -> DataFrame:
-    """By cost code: words of over three letters in at least two, and half, of the distinct descriptions."""
+def common_terms(items: DataFrame, part: int = 2) -> DataFrame:
+    """By cost code: words of over three letters in at least two, and one of `part`, of the distinct descriptions."""
     d = items.select("cost_code", "description").distinct()
     n = d.groupBy("cost_code").agg(F.count(F.lit(1)).alias("of"))
     w = d.select("cost_code", F.explode(F.filter(word_set(F.col("description")), lambda x: F.length(x) > 3)).alias("word")).groupBy("cost_code", "word").agg(F.count(F.lit(1)).alias("n"))
-    return w.join(n, "cost_code").filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("of") / 2)))
+    return w.join(n, "cost_code").filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("of") / part)))
 
 
 def end_of_month_clustering(documents: DataFrame, by: tuple[str, ...] = ("party",), factor: float = 2.0, least: int = 5, days: int = 3, least_late: int = 3) -> DataFrame:

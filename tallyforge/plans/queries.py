@@ -330,12 +330,7 @@ def round_amounts(m):
 , d AS (SELECT DISTINCT cost_code, description FROM lines), k AS (SELECT cost_code, count(*) AS k FROM d GROUP BY 1), w AS (SELECT cost_code, unnest(list_distinct(string_split(lower(description), ' '))) AS word FROM d)
 SELECT w.cost_code, word, CAST(count(*) AS BIGINT) AS n FROM w JOIN k ON w.cost_code = k.cost_code WHERE length(word) > 3 GROUP BY w.cost_code, word, k.k HAVING count(*) >= greatest(2, k.k // 8)""")
 def common_terms(m):
-    d = m.line_items.select("cost_code", "description").distinct()
-    n = d.groupBy("cost_code").agg(F.count(F.lit(1)).alias("of"))
-    from tallyforge.functions.texts import word_set
-
-    w = d.select("cost_code", F.explode(F.filter(word_set(F.col("description")), lambda x: F.length(x) > 3)).alias("word")).groupBy("cost_code", "word").agg(F.count(F.lit(1)).alias("n"))
-    return w.join(n, "cost_code").filter(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("of") / 8))).select("cost_code", "word", "n")
+    return agg.common_terms(m.line_items, 8).select("cost_code", "word", "n")
 
 
 @query("""
@@ -1933,6 +1928,19 @@ def order_chains(m):
     return found.select("first", F.array_join(F.transform("orders", lambda x: x.cast("string")), ">").alias("orders"), "n", "sum_cents")
 
 
+@query("""
+SELECT category, CAST(count(*) AS BIGINT) AS n, round(min(uc) / 100.0::DOUBLE, 6) AS low, round(max(uc) / 100.0::DOUBLE, 6) AS high, round(sum(uc) / count(*) / 100.0::DOUBLE, 6) AS mean, round(stddev_pop(uc / 100.0::DOUBLE) / (sum(uc) / count(*) / 100.0::DOUBLE), 6) AS cv FROM lines GROUP BY category""")
+def price_variance(m):
+    found = agg.price_variance(m.line_items, ("category",), F.col("unit_price"))
+    return found.select("category", "n", *(_r(F.col(c), c) for c in ("low", "high", "mean", "cv")))
+
+
+@query(f""", {_PAIRS_SQL.strip()}
+SELECT 'doc_' || src AS src, 'doc_' || dst AS dst, kind FROM rel UNION ALL SELECT DISTINCT 'item_' || item_id, 'doc_' || doc_id, 'belongs_to' FROM items""")
+def financial_network(m):
+    return graph.financial_network(m.documents, m.items, relationships.pair_rules(m.documents))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(f):
         return lambda spark, sf_dir: f(Model(spark, sf_dir))

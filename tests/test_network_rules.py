@@ -125,3 +125,41 @@ def test_order_chains(spark):
     rel = [(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.79), (2, 9, 0.9), (5, 6, 0.8), (6, 20, 0.95), (7, 7, 0.9)]
     got = order_chains(spark.createDataFrame([(a, b, "sequential", c) for a, b, c in rel], "source_doc_id long, target_doc_id long, relationship_type string, confidence double"), docs).collect()
     assert [(x["first"], list(x["orders"]), x["n"], x["sum_cents"], x["confidence"]) for x in got] == [(3, [3, 2, 1], 3, 3000, 0.9)]
+
+
+def test_reports_of_the_whole_model(spark, tmp_path):
+    """Every table of a financial report, and all that is known of an amount, over the smallest tables."""
+    from tallyforge.operators import engine, relationships, reports
+    from tallyforge.plans.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    rel = relationships.pair_rules(m.documents).drop("project_id")
+    report = reports.financial_report(m.documents, m.items, rel)
+    counts = {name: df.count() for name, df in report.items()}
+    assert set(counts) >= {"patterns", "patterns_by_kind", "anomalies", "relationships", "evidence", "narrative"} and all(counts.values())
+    assert counts["relationships"] == rel.count() and counts["patterns_by_kind"] <= counts["patterns"]
+    amount = float(m.items.selectExpr("max(amount)").first()[0])
+    known = engine.analyze_amount(m.items, m.documents, amount)
+    assert {"matches", "history", "anomalies", "relations", "disputed"} == set(known)
+    ids = {x["item_id"] for x in known["matches"].collect()}
+    assert ids and known["history"].count() >= len(ids) and {x["subject"] for x in known["anomalies"].collect()} <= ids
+
+
+def test_projects_descriptions_and_json(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyforge.functions.json import as_json
+    from tallyforge.operators.lookups import description_similarity
+    from tallyforge.operators.upserts import write_project
+
+    rows = spark.createDataFrame([("a", 1, "Pipe and pump", Decimal("1.50"), day(1, 2)), ("b_2", 2, "pump", None, None), ("a", 3, "Pipe and pump", None, None)], "project_id string, doc_id int, description string, amount decimal(5,2), date date")
+    at = str(tmp_path / "projects")
+    write_project(rows, at)
+    write_project(rows.filter("doc_id = 2"), at)
+    assert sorted(p.name for p in (tmp_path / "projects").iterdir() if p.is_dir()) == ["project_id=a", "project_id=b_2"]
+    assert spark.read.parquet(at).count() == 4
+    with pytest.raises(Exception, match="no project name"):
+        write_project(rows.withColumn("project_id", F.lit("../x")), at)
+    got = {x["description"]: round(x["score"], 6) for x in description_similarity(rows, "the pump").collect()}
+    assert got == {"Pipe and pump": 0.25, "pump": 0.5}
+    assert [json.loads(x[0]) for x in rows.orderBy("doc_id").select(as_json("doc_id", "amount", "date")).collect()] == [{"doc_id": 1, "amount": 1.5, "date": "2023-01-02"}, {"doc_id": 2}, {"doc_id": 3}]
