@@ -135,8 +135,8 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
     raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
 
 
-def coordination(relationships: DataFrame, top: int = 3) -> DataFrame:
-    """One row: documents that refer to others, mutual references, cycles of three, confidence; and the `top` documents by PageRank, where at least three refer.
+def coordination(relationships: DataFrame, top: int = 3, longest: int = 3, rounds: int | None = None) -> DataFrame:
+    """One row: documents that refer to others, mutual references, cycles of three to `longest`, confidence; and the `top` documents by PageRank (of `rounds` rounds if given), where at least three refer.
 
     Confidence min(0.95, 0.7 + 0.05 n) by the number of cycles if there are any, else min(0.85, 0.6 + 0.05 n) by that of mutual references.
     """
@@ -144,9 +144,9 @@ def coordination(relationships: DataFrame, top: int = 3) -> DataFrame:
 
     e = graph.document_edges(relationships)
     mutual = mutual_references(relationships).agg(F.count(F.lit(1)).alias("mutual"))
-    cycles = graph.cycles(e, 3).filter(F.size("path") >= 3).agg(F.count(F.lit(1)).alias("cycles"))
+    cycles = graph.cycles(e, longest).filter(F.size("path") >= 3).agg(F.count(F.lit(1)).alias("cycles"))
     referring = e.agg(F.countDistinct("src").alias("referring"))
-    best = graph.pagerank(e).orderBy(F.desc(F.round("rank", 12)), "id").limit(top).agg(F.array_sort(F.collect_list("id")).alias("central"))
+    best = graph.pagerank(e, rounds).orderBy(F.desc(F.round("rank", 12)), "id").limit(top).agg(F.array_sort(F.collect_list("id")).alias("central"))
     # One row each.
     one = referring.crossJoin(mutual).crossJoin(cycles).crossJoin(best)
     c = F.when(F.col("cycles") > 0, F.least(F.lit(0.95), 0.7 + 0.05 * F.col("cycles"))).when(F.col("mutual") > 0, F.least(F.lit(0.85), 0.6 + 0.05 * F.col("mutual"))).otherwise(0.0)

@@ -81,8 +81,12 @@ def neighbours(edges: DataFrame, start, depth: int = 1) -> DataFrame:
     return out.filter(F.col("id") != start).groupBy("id").agg(F.min("depth").alias("depth"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """id, rank after `rounds` rounds over distinct edges; ranks of vertices without a way out go to all alike. Ranks are written every second round, which cuts the plan."""
+def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+    """id, rank over distinct edges; ranks of vertices without a way out go to all alike.
+
+    Rounds go on until ranks change by less than `tolerance` for each vertex in all, and more than `most` raise; with `rounds`, so many.
+    Ranks are written every round (every second with `rounds`), which cuts the plan.
+    """
     links = e = stored(edges.select("src", "dst").distinct(), "links")
     out_degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
@@ -91,16 +95,22 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFra
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
     ranks, old = v.select("id", "k", F.lit(1.0 / n).alias("rank")), None
-    for r in range(rounds):
+    for r in range(most if rounds is None else rounds):
         given = links.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         # One row: the rank of vertices without a way out.
-        ranks = v.join(given, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("id", "k", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if r % 2 or r + 1 == rounds:
+        new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
+        ranks = ranks.join(given, F.col("id") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("id", "k", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        if rounds is None or r % 2 or r + 1 == rounds:
             ranks = stored(ranks, "ranks")
             if old is not None:
                 drop(old)
             old = ranks
+            if rounds is None and ranks.agg(F.sum("moved")).first()[0] < n * tolerance:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {most} rounds")
     drop(v, links)
     return ranks.select("id", "rank")
 
@@ -155,22 +165,33 @@ def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     return every.groupBy("id").agg(F.sum("share").alias("betweenness"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, score: `rounds` steps of power iteration over incoming edges and oneself, scaled to length 1. Scores are written every second round."""
+def eigenvector(edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, most: int = 500) -> DataFrame:
+    """id, score: power iteration over incoming edges and oneself, scaled to length 1.
+
+    Steps go on until scores change by less than `tolerance` for each vertex in all, and more than `most` raise; with `rounds`, so many.
+    Scores are written every step (every second with `rounds`).
+    """
     links = stored(edges.select("src", "dst").distinct(), "links")
     v = stored(links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct(), "vertices")
-    x = v.select("id", F.lit(1.0).alias("score"))
-    for r in range(rounds):
+    x, n, old = v.select("id", F.lit(1.0).alias("score")), v.count(), None
+    for r in range(most if rounds is None else rounds):
         given = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum("score").alias("got"))
-        y = x.join(given, F.col("id") == F.col("to"), "left").select("id", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        y = x.join(given, F.col("id") == F.col("to"), "left").select("id", F.col("score").alias("before"), (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("score"))
         length = y.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
         # One row.
-        x = y.crossJoin(F.broadcast(length)).select("id", (F.col("score") / F.col("length")).alias("score"))
-        if r % 2 or r + 1 == rounds:
-            old, x = x, stored(x, "scores")
-            drop(old)
+        x = y.crossJoin(F.broadcast(length)).select("id", (F.col("score") / F.col("length")).alias("score"), F.abs(F.col("score") / F.col("length") - F.col("before")).alias("moved"))
+        if rounds is None or r % 2 or r + 1 == rounds:
+            x = stored(x, "scores")
+            if old is not None:
+                drop(old)
+            old = x
+            if rounds is None and (x.agg(F.sum("moved")).first()[0] or 0.0) < max(n, 1) * tolerance:
+                break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"scores did not settle in {most} steps")
     drop(v, links)
-    return x
+    return x.select("id", "score")
 
 
 def item_network(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,10 +199,10 @@ def item_network(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataF
     return items.select(F.col("item_id").alias("id")).distinct(), matches.select(F.col("source_item_id").alias("src"), F.col("target_item_id").alias("dst"), "confidence")
 
 
-def centrality(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """id with degree, closeness, betweenness and eigenvector score; 0 where a vertex has none."""
+def centrality(edges: DataFrame, depth: int | None = None, rounds: int | None = None) -> DataFrame:
+    """id with degree, closeness, betweenness and eigenvector score (of `rounds` steps if given); 0 where a vertex has none."""
     out = degrees(edges).select("id", "degree")
-    for df, c in ((closeness(edges, depth), "closeness"), (betweenness(edges, depth), "betweenness"), (eigenvector(edges).withColumnRenamed("score", "eigenvector"), "eigenvector")):
+    for df, c in ((closeness(edges, depth), "closeness"), (betweenness(edges, depth), "betweenness"), (eigenvector(edges, rounds).withColumnRenamed("score", "eigenvector"), "eigenvector")):
         out = out.join(df.select("id", c), "id", "left").fillna({c: 0.0})
     return out
 

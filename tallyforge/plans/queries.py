@@ -1055,7 +1055,7 @@ def _eigen_sql():
 @query(f""", {_EDGES_SQL}{_eigen_sql()}
 SELECT id, round(score, 9) AS score FROM x10""")
 def eigenvector_centrality(m):
-    return graph.eigenvector(_edges(m)).select("id", _r(F.col("score"), "score", 9))
+    return graph.eigenvector(_edges(m), 10).select("id", _r(F.col("score"), "score", 9))
 
 
 @query(f"""
@@ -1588,7 +1588,7 @@ dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SEL
 bt AS (SELECT a.t, sum(a.paths * b.paths / c.paths) AS betweenness FROM dist a JOIN dist b ON a.t = b.s AND a.s <> b.t JOIN dist c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY a.t)
 SELECT dg.id, CAST(degree AS BIGINT) AS degree, round(coalesce(closeness, 0), 6) AS closeness, round(coalesce(betweenness, 0), 6) AS betweenness, round(score, 9) AS eigenvector FROM dg LEFT JOIN cl ON dg.id = s LEFT JOIN bt ON dg.id = t LEFT JOIN x10 ON dg.id = x10.id""")
 def centralities(m):
-    return graph.centrality(_edges(m)).select("id", "degree", _r(F.col("closeness"), "closeness"), _r(F.col("betweenness"), "betweenness"), _r(F.col("eigenvector"), "eigenvector", 9))
+    return graph.centrality(_edges(m), rounds=10).select("id", "degree", _r(F.col("closeness"), "closeness"), _r(F.col("betweenness"), "betweenness"), _r(F.col("eigenvector"), "eigenvector", 9))
 
 
 def _community_sql():
@@ -1609,7 +1609,7 @@ mu AS (SELECT count(*) AS mutual FROM e a JOIN e b ON a.src = b.dst AND a.dst =
 t AS (SELECT id FROM r10 ORDER BY round(rank, 12) DESC, id LIMIT 3)
 SELECT CAST((SELECT count(DISTINCT src) FROM e) AS BIGINT) AS referring, CAST(mutual AS BIGINT) AS mutual, CAST(cycles AS BIGINT) AS cycles, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS central, round(CASE WHEN cycles > 0 THEN least(0.95, 0.7 + 0.05 * cycles) WHEN mutual > 0 THEN least(0.85, 0.6 + 0.05 * mutual) ELSE 0 END::DOUBLE, 6) AS confidence FROM mu, cy""")
 def coordination(m):
-    return detectors.coordination(relationships.pair_rules(m.documents)).select("referring", "mutual", "cycles", F.array_join("central", ",").alias("central"), _r(F.col("confidence"), "confidence"))
+    return detectors.coordination(relationships.pair_rules(m.documents), rounds=10).select("referring", "mutual", "cycles", F.array_join("central", ",").alias("central"), _r(F.col("confidence"), "confidence"))
 
 
 @query(f""", {_PAIRS_SQL.strip()}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel), rj AS (SELECT DISTINCT src FROM rel WHERE kind = 'rejection'),

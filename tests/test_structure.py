@@ -336,3 +336,29 @@ def test_compatible_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(compatible(F.col("t")), prepared(F.col("t"), lower=True)).collect()
     assert [r[0] for r in rows] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
     assert [r[1] for r in rows] == [" ".join(unicodedata.normalize("NFKC", t or "").split()).lower() for t in texts]
+
+
+def test_ranks_and_scores_settle(spark):
+    import numpy as np
+
+    from tallyforge.operators.graph import eigenvector, pagerank
+
+    r = random.Random(8)
+    edges = sorted({(r.randrange(15), r.randrange(15)) for _ in range(50)} | {(20, 1), (3, 21)})
+    ids = sorted({x for e in edges for x in e})
+    at = {v: k for k, v in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in edges:
+        m[at[b], at[a]] = 1
+    out = m.sum(axis=0)
+    walk = np.where(out > 0, m / np.where(out > 0, out, 1), 1 / len(ids))
+    rank = np.linalg.solve(np.eye(len(ids)) - 0.85 * walk, np.full(len(ids), 0.15 / len(ids)))
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {x["id"]: x["rank"] for x in pagerank(df, tolerance=1e-8).collect()}
+    assert [got[v] for v in ids] == pytest.approx(rank, abs=1e-6)
+    values, vectors = np.linalg.eig(m + np.eye(len(ids)))
+    best = np.abs(vectors[:, np.argmax(values.real)].real)
+    got = {x["id"]: x["score"] for x in eigenvector(df, tolerance=1e-8).collect()}
+    assert [got[v] for v in ids] == pytest.approx(best / np.linalg.norm(best), abs=1e-5)
+    with pytest.raises(RuntimeError, match="settle"):
+        pagerank(df, most=2)
