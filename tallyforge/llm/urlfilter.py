@@ -151,7 +151,9 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     runs = hosts.select("host", F.posexplode(host_runs(F.col("host"))).alias("at", "run")).withColumn("id", F.md5(F.col("run").cast("binary")))
     runs = runtime.stored(runs, "runs")
     distinct = runs.groupBy("id").agg(F.first("run").alias("run"))
-    found = distinct.mapInArrow(_substrings, "id string, start int, end int, w string").join(costs, "w").groupBy("id").agg(F.collect_list(F.struct("start", "end", "cost")).alias("found"))
+    cut = distinct.mapInArrow(_substrings, "id string, start int, end int, w string")
+    known = runtime.stored(cut.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(costs, "w"), "costs")
+    found = beside(cut, known, "w").groupBy("id").agg(F.collect_list(F.struct("start", "end", "cost")).alias("found"))
     split = distinct.join(found, "id", "left").select("id", "run", "found").mapInArrow(_split, "id string, words array<string>")
     per = runs.join(split, "id").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
     return hosts.join(per, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
@@ -198,7 +200,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     hosts = runtime.stored(segmented(names.select("host"), counts).join(names, "host").withColumn("kind", seeded(F.col("words")).cast("int")), "words")
     runtime.drop(counts, names)
     if labels is None:
-        taught = seen.select("host", "shape", "n").join(hosts.select("host", "kind"), "host")
+        kinds = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(hosts.select("host", "kind"), "host")
+        taught = beside(seen.select("host", "shape", "n"), kinds, "host")
     else:
         known = labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("blocked").cast("int").alias("kind")).filter("kind IS NOT NULL").dropDuplicates(["page_id"])
         taught = shaped.join(known, "page_id").groupBy("host", "shape", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -213,7 +216,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
 
     def scored(df: DataFrame, key: str, column: str) -> DataFrame:
         """A token never seen says nothing about either class."""
-        return df.select(key, F.explode(column).alias("w")).join(log_odds, "w").groupBy(key).agg(F.sum("odds").alias(key + "_odds"))
+        each = df.select(key, F.explode(column).alias("w"))
+        known = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(log_odds, "w")
+        return beside(each, known, "w").groupBy(key).agg(F.sum("odds").alias(key + "_odds"))
 
     by_host = runtime.stored(hosts.select("host", "n", "words").join(scored(hosts, "host", "words"), "host", "left"), "host-scores")
     by_shape = runtime.stored(shapes.select("shape", "n").join(scored(shapes, "shape", "rest"), "shape", "left"), "shape-scores")
