@@ -64,8 +64,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                 )
                 row, start = row + n, start + int(at[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return runtime.stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA), "tokens", **FORMAT)
+    # Rows of one id, or without, are dealt by their texts' hashes, and equal rows by where they were read.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"h": F.xxhash64("text"), "k": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("doc_id", "h", "k").sortWithinPartitions("doc_id", "h", "k")
+    return runtime.stored(dealt.select("doc_id", "text").mapInArrow(encode, SCHEMA), "tokens", **FORMAT)
 
 
 def starts(tokens: DataFrame) -> DataFrame:
