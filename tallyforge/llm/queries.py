@@ -72,8 +72,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.ogg import decode, encode
+    from tallyforge.llm.runtime import stored
 
-    return decode(encode(_table(spark, sf_dir, "documents")))
+    return decode(stored(encode(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
