@@ -325,17 +325,18 @@ def _judged(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, blocks: li
         if result:
             found.add(items, window)
         else:
-            yield from _best(rows.column(0).to_numpy(zero_copy_only=False), found, items, window)
+            yield from _best(rows.column(0), found, items, window)
     if result:
         yield result(rows, found)
 
 
-def _best(ids: np.ndarray, found: Found, items: Items, window: int) -> Iterator[pa.RecordBatch]:
+def _best(column: pa.Array, found: Found, items: Items, window: int) -> Iterator[pa.RecordBatch]:
     out = []
+    ids, none = column.fill_null(0).to_numpy(), np.asarray(column.is_null())  # whole numbers throughout; those without an id are last
     for item, offset, doc, word, length in found.search(items, window):
         if length.max() >= window:
-            k = np.lexsort((word, ids[doc], -length))[0]
-            out.append((items.ids[item], offset, int(length[k]), None if np.isnan(ids[doc[k]]) else int(ids[doc[k]]), int(word[k])))
+            k = np.lexsort((word, ids[doc], none[doc], -length))[0]
+            out.append((items.ids[item], offset, int(length[k]), None if none[doc[k]] else int(ids[doc[k]]), int(word[k])))
     if out:
         kinds = (pa.string(), *[pa.int64()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["item_id", "offset", "length", "doc_id", "word"])

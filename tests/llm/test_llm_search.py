@@ -203,3 +203,47 @@ def test_neighbours(spark, monkeypatch, block):
     found = neargraph.nearest(d, limit=3, queries=others).orderBy("rank").collect()
     best = sorted(((-float(base[3].astype("f8") @ np.array(v, "f8")), k) for k, v in {k: v for k, v in rows[:760]}.items()))[:3]
     assert [(x["query_id"], x["vec_id"]) for x in found] == [(7, k) for _, k in best]
+
+
+def test_rows_of_one_id_are_dealt_to_many_files(spark):
+    """A third of all rows with one id, and with one text too, don't meet in one file."""
+    import public_tokenizers
+
+    from tallyforge.llm.tokenfile import digests, starts, write_tokens
+
+    texts = [(7, "the same words") for _ in range(400)] + [(None, f"without an id {k}") for k in range(400)] + [(k, f"text {k}") for k in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if they were too large to join
+    try:
+        files = write_tokens(table(spark, texts, 6), public_tokenizers.path("word_bpe_49k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for where in ("doc_id = 7", "doc_id IS NULL"):
+        sizes = [r["count"] for r in starts(files).filter(where).groupBy("shard").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 0.9 * sum(sizes)
+    rows = sorted(digests(files).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows[1:]] == [r["start"] + r["n_tokens"] for r in rows[:-1]] and len(rows) == 1200
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert ids == sorted(ids)
+
+
+def test_url_scores_whether_keys_are_sent_or_dealt(spark, monkeypatch):
+    from tallyforge.llm import urlfilter
+
+    hosts = ["casino-bonus.example.net", "news.example.org", "winter-sports.example.com", "freecasinowin.example.net"]
+    urls = [(k, f"https://{hosts[0] if k % 2 else hosts[k % 4]}/a{k % 7}/page{k}.html?x") for k in range(300)] + [(900, None), (901, "no host")]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
+    got = []
+    for hot in (1000, 1, 3):
+        monkeypatch.setattr(urlfilter, "HOT", hot)
+        got.append(sorted((r["page_id"], r["verdict"], round(r["p_block"], 9), tuple(r["tokens"])) for r in urlfilter.judge(pages).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 302
+
+
+def test_longest_matches_keep_large_ids(spark):
+    from tallyforge.llm.decontaminate import longest_matches
+
+    passage = " ".join(f"word{k}" for k in range(14))
+    docs = spark.createDataFrame([(2**60 + 1, "x " + passage), (None, passage)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    found = longest_matches(docs, items, 10).filter("offset = 0").collect()
+    assert [(r["doc_id"], r["word"], r["length"]) for r in found] == [(2**60 + 1, 1, 14)]
