@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.amounts import cents
 from tallyforge.functions.texts import word_set
+from tallyforge.storage import stored
 
 #: Units of rounding in dollars; fee ratios in hundredths; factors of tax and of discount in ten-thousandths (fixed values).
 ROUNDED_TO = (1, 5, 10, 25, 50, 100)
@@ -116,6 +117,7 @@ def split_rejections(documents: DataFrame, least: float = 10_000.0, most: float
 
     Sets meet in the middle: sums of one, two and three parts by ascending ids; four are two and two, five are two and three, joined on
     what is missing from the whole, in bins of the power of two above the tolerance, with the ids of the one below those of the other.
+    Sums are written to the shared folder, as several joins read them.
     """
     if not 1 <= parts <= 5:
         raise ValueError("parts: 1 to 5")
@@ -124,12 +126,14 @@ def split_rejections(documents: DataFrame, least: float = 10_000.0, most: float
     r = orders.filter(bad & (F.col("total") > least)).select("project_id", F.col("doc_id").alias("rejected_id"), cents(F.col("total")).alias("whole"))
     off = F.col("whole") * per_mille / 1000
     r = r.withColumns({"low": F.ceil(F.col("whole") - off), "high": F.floor(F.col("whole") + off), "level": F.ceil(F.log2(F.greatest(2 * off, F.lit(1.0)))).cast("int")})
+    r = stored(r, "rejected")
     top = r.groupBy("project_id").agg(F.max("high").alias("top"))
     one = orders.filter((F.col("total") < most) & (F.col("total") > 0)).select("project_id", "doc_id", cents(F.col("total")).alias("c")).join(top, "project_id").filter("c <= top")
+    one = stored(one, "orders")
     sums = [one.select("project_id", "top", F.array("doc_id").alias("ids"), F.col("doc_id").alias("first"), F.col("doc_id").alias("last"), F.col("c").alias("s"))]
     for _ in range(min(parts, 3) - 1):
         more = sums[-1].join(one.select("project_id", "doc_id", "c"), "project_id").filter("doc_id > last AND s + c <= top")
-        sums.append(more.select("project_id", "top", F.concat("ids", F.array("doc_id")).alias("ids"), "first", F.col("doc_id").alias("last"), (F.col("s") + F.col("c")).alias("s")))
+        sums.append(stored(more.select("project_id", "top", F.concat("ids", F.array("doc_id")).alias("ids"), "first", F.col("doc_id").alias("last"), (F.col("s") + F.col("c")).alias("s")), "sums"))
     levels = r.select("project_id", "level").distinct()
     placed = [x.join(levels, "project_id").withColumn("bin", F.expr("shiftright(s, level)")) for x in sums]
     bins = lambda low, high: F.explode(F.sequence(F.expr(f"shiftright({low}, level)"), F.expr(f"shiftright({high}, level)")))
@@ -144,6 +148,7 @@ def split_rejections(documents: DataFrame, least: float = 10_000.0, most: float
     out = reduce(DataFrame.unionByName, found).select("project_id", "rejected_id", "whole", F.col("ids").alias("parts"), F.size("ids").cast("long").alias("n"), F.col("s").alias("sum_cents"))
     if terms is None:
         return out.withColumns({"shared": F.lit(0).cast("long"), "confidence": F.lit(0.8)})
+    out = stored(out, "sets")
     each = out.select("rejected_id", "parts", F.explode("parts").alias("doc_id")).join(terms.select("doc_id", F.explode("terms").alias("term")), "doc_id")
     own = terms.select(F.col("doc_id").alias("rejected_id"), F.explode("terms").alias("term")).distinct()
     shared = each.select("rejected_id", "parts", "term").distinct().join(own, ["rejected_id", "term"]).groupBy("rejected_id", "parts").agg(F.count(F.lit(1)).alias("shared"))
