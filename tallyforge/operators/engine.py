@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.texts import confidence_level
-from tallyforge.operators import aggregates, matching, rules, sequences
+from tallyforge.operators import aggregates, matching, network_rules, rules, sequences, splits, statements
 
 
 def finding(df: DataFrame, kind: str, subject: str, confidence: str = "confidence") -> DataFrame:
@@ -84,3 +86,51 @@ def analyze_amount(items: DataFrame, documents: DataFrame, amount: float) -> dic
         "relations": matching.linked_items(items).join(ids.withColumnRenamed("item_id", "a_item_id"), "a_item_id", "left_semi"),
         "disputed": disputed_amounts(items, documents).join(ids, "item_id", "left_semi"),
     }
+
+
+def rule_anomalies(items: DataFrame, documents: DataFrame, applications: DataFrame | None = None, completion: DataFrame | None = None) -> DataFrame:
+    """kind, subject, confidence of all nine rule detectors: running totals, systematic rounding, math errors, large amounts, suspicious descriptions, round amounts, month ends, mismatched totals, missing change orders.
+
+    applications (project_id, doc_id, number, meta_data) and completion (project_id, doc_id, number, item_number, item_id, share) are what
+    running totals are checked on, where they are given. Month ends take 0.7 and a tenth of what their ratio exceeds, mismatched totals
+    0.8 and the difference's share of the total; at most 0.95.
+    """
+    found = []
+    if applications is not None:
+        found.append(splits.certificate_mismatches(applications).select("kind", F.col("doc_id").cast("string").alias("subject"), "confidence"))
+    if completion is not None:
+        found.append(finding(splits.completion_regressions(completion), "decreasing_completion_percentage", "item_id"))
+    late = aggregates.end_of_month_anomalies(documents).withColumn("confidence", F.least(F.lit(0.95), 0.6 + 0.1 * (F.col("ratio") - 2.0) + 0.1 * F.least(F.lit(1.0), F.col("total").cast("double") / 10_000)))
+    totals = aggregates.mismatched_totals(documents, items).withColumn("confidence", F.least(F.lit(0.95), 0.7 + F.least(F.lit(0.25), F.coalesce(F.try_divide(F.abs("difference") * 5.0, F.abs("item_cents").cast("double")), F.lit(0.25)))))
+    errors = statements.statement_errors(items, documents if "meta_data" in documents.columns else documents.withColumn("meta_data", F.lit(None).cast("string")))
+    found += [
+        finding(aggregates.systematic_rounding(items).filter("confidence IS NOT NULL"), "systematic_rounding_pattern", "party"),
+        errors.select(F.concat(F.lit("math_error_"), "check").alias("kind"), F.coalesce("item_id", F.col("doc_id").cast("string")).alias("subject"), "confidence"),
+        finding(statements.systematic_errors(errors), "systematic_math_errors", "party"),
+        finding(rules.unusually_large(items), "unusually_large", "item_id"),
+        finding(rules.suspicious_descriptions(items), "suspicious_description", "item_id"),
+        finding(rules.round_amounts(items), "round_amount", "item_id", "score"),
+        finding(late, "end_of_month", "doc_id"),
+        finding(totals, "mismatched_total", "doc_id"),
+        finding(rules.missing_change_orders(items, documents), "missing_change_order", "item_id"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def statistical_anomalies(items: DataFrame) -> DataFrame:
+    """kind, subject, confidence of the three statistical detectors: amounts by either method, distributions of documents, frequencies of amounts."""
+    surer = lambda df: df.withColumn("confidence", F.least(F.lit(0.95), 0.7 + 0.05 * (F.abs("z") - 2.5)))
+    found = [
+        finding(network_rules.amount_outliers(items), "amount_outlier", "item_id"),
+        finding(surer(aggregates.distribution_anomalies(items)), "distribution_anomaly", "doc_id"),
+        finding(surer(aggregates.frequency_anomalies(items, F.col("amount"))), "frequency_anomaly", "key"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def all_anomalies(items: DataFrame, documents: DataFrame, applications: DataFrame | None = None, completion: DataFrame | None = None, scores: DataFrame | None = None, least: float = 0.6) -> DataFrame:
+    """kind, subject, confidence of statistical and rule anomalies, and, with scores (id, score) of an outlier model, of items that score `least` or more."""
+    out = statistical_anomalies(items).unionByName(rule_anomalies(items, documents, applications, completion))
+    if scores is None:
+        return out
+    return out.unionByName(finding(scores.filter(F.col("score") >= least), "model_outlier", "id", "score"))

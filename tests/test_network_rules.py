@@ -163,3 +163,21 @@ def test_projects_descriptions_and_json(spark, tmp_path):
     got = {x["description"]: round(x["score"], 6) for x in description_similarity(rows, "the pump").collect()}
     assert got == {"Pipe and pump": 0.25, "pump": 0.5}
     assert [json.loads(x[0]) for x in rows.orderBy("doc_id").select(as_json("doc_id", "amount", "date")).collect()] == [{"doc_id": 1, "amount": 1.5, "date": "2023-01-02"}, {"doc_id": 2}, {"doc_id": 3}]
+
+
+def test_all_detectors_together(spark):
+    from tallyforge.operators import engine, outliers
+    from tallyforge.plans.model import Model
+    from tallyforge.plans.queries import _applications, _stated
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    items, docs = _stated(m)
+    share = m.items.filter("doc_type = 'payment_app'").selectExpr("project_id", "doc_id", "number", "item_number", "item_id", "quantity / 50.0D AS share")
+    points = items.selectExpr("item_id AS id", "CAST(amount AS DOUBLE) AS a", "CAST(quantity AS DOUBLE) AS q")
+    scores = outliers.isolation_scores(points, ["a", "q"], outliers.isolation_trees(points, ["a", "q"], trees=5, sample=32), sample=32)
+    found = engine.all_anomalies(items, docs, _applications(m), share, scores, least=0.5)
+    n = {x["kind"]: x["n"] for x in found.groupBy("kind").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert set(n) >= {"previous_certificate_mismatch", "payment_calculation_error", "decreasing_completion_percentage", "math_error_quantity_price", "math_error_retainage", "mismatched_total", "missing_change_order", "model_outlier"}
+    assert found.filter("subject IS NULL OR confidence IS NULL OR confidence > 0.98 AND kind != 'model_outlier'").count() == 0
+    assert n["decreasing_completion_percentage"] == engine.splits.completion_regressions(share).count()
+    assert engine.rule_anomalies(items.limit(0), docs.limit(0)).count() == 0
