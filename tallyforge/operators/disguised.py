@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.functions.amounts import cents
 from tallyforge.functions.texts import word_set
@@ -16,6 +16,8 @@ from tallyforge.storage import stored
 ROUNDED_TO = (1, 5, 10, 25, 50, 100)
 FEE_RATIOS = (105, 115)
 TAXED, DISCOUNTED = (10700, 10800, 10925), (9000, 9500, 9250)
+#: Descriptions that an amount brings along into its pairs; for amounts with more, the rest is joined.
+TEXTS = 8
 #: Names of the rules, in the order in which a pair takes the first that holds.
 RULES = (*(f"rounded_{u}" for u in ROUNDED_TO), "fee", "tax", "discount", "near")
 
@@ -27,77 +29,77 @@ def half_even(c: Column, unit: int) -> Column:
     return (q + F.when(2 * r > u, 1).when(2 * r < u, 0).otherwise(F.pmod(q, F.lit(2)))) * u
 
 
+def _related(amounts: DataFrame, more: tuple[str, ...] = (), percent: int = 5, most: float = 1000.0) -> DataFrame:
+    """project_id, a, b, rule, and columns `more` of either as a_... and b_...: each two of a project's amounts (project_id, cents: distinct rows) that a rule relates.
+
+    Whatever the rule, amounts from 334 dollars on are within 15 % of each other (or what `percent` of the mean allows), and lower ones
+    within 15 % of 334. Bins are that wide, evenly below and by logarithm above, so the greater of two lies in the smaller's bin or the
+    next: an equality join in which each pair comes once, in order, and both ways round are tested on it.
+    """
+    s = amounts.select("project_id", F.signum("cents").cast("int").alias("sign"), F.abs("cents").alias("c"), *more).filter("c > 0")
+    low = 33_400
+    wide = max(0.15, (200 + percent) / (200 - percent) - 1 + 1e-6)
+    c = F.col("c").cast("double")
+    at = F.floor(F.when(c < low, c / (wide * low)).otherwise((1 + F.log(c / low)) / wide)).cast("long")
+    # Of which units an amount is a multiple (bits from 0), and an even one (from 8): what others may be rounded to.
+    whole = reduce(lambda m, b: m + b, (F.when(F.col("c") % (u * 100 * n) == 0, 1 << k + at).otherwise(0) for k, u in enumerate(ROUNDED_TO) for n, at in ((1, 0), (2, 8))))
+    s = s.withColumns({"m": F.when(F.col("c") % 100 == 0, whole).otherwise(0), "bin": at})
+    x = s.select("project_id", "sign", F.col("c").alias("x"), F.col("m").alias("xm"), *(F.col(k).alias(f"x_{k}") for k in more), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    y = s.select("project_id", "sign", F.col("c").alias("y"), F.col("m").alias("ym"), *(F.col(k).alias(f"y_{k}") for k in more), "bin")
+    p, q, d = F.col("x"), F.col("y"), F.col("y") - F.col("x")
+    # The fewest comparisons first: the exact tests are a long expression.
+    j = x.join(y, ["project_id", "sign", "bin"]).filter((p < q) & ((100 * q <= FEE_RATIOS[1] * p) | (d <= ROUNDED_TO[-1] * 50) | (d * 200 <= percent * (p + q))))
+    j = j.withColumn("m", F.col("xm").bitwiseOR(F.col("ym")))
+    round_to = reduce(lambda out, k: F.when(((d < ROUNDED_TO[k] * 50) & (F.col("m").bitwiseAND(1 << k) != 0)) | ((d == ROUNDED_TO[k] * 50) & (F.col("m").bitwiseAND(1 << k + 8) != 0)), F.lit(k)).otherwise(out), reversed(range(len(ROUNDED_TO))), F.lit(None).cast("int"))
+    n = len(ROUNDED_TO)
+    rate = lambda group: reduce(lambda a, b: a | b, ((F.abs(p * f - q * 10000) < 500_000) | (F.abs(q * f - p * 10000) < 500_000) for f in group))
+    fee = (100 * q >= FEE_RATIOS[0] * p) & (100 * q <= FEE_RATIOS[1] * p)
+    near = (d * 200 <= percent * (p + q)) & (d <= round(most * 100))
+    j = j.withColumn("at", F.coalesce(F.when(F.col("m") != 0, round_to), F.when(fee, n).when(rate(TAXED), n + 1).when(rate(DISCOUNTED), n + 2).when(near, n + 3)))
+    j = j.withColumn("rule", F.explode(F.when(F.col("at").isNotNull(), F.array(F.element_at(F.array(*(F.lit(r) for r in RULES)), F.col("at") + 1)))))
+    up = F.col("sign") > 0
+    sides = [c for m in more for c in (F.when(up, F.col(f"x_{m}")).otherwise(F.col(f"y_{m}")).alias(f"a_{m}"), F.when(up, F.col(f"y_{m}")).otherwise(F.col(f"x_{m}")).alias(f"b_{m}"))]
+    return j.select("project_id", F.when(up, p).otherwise(-q).alias("a"), F.when(up, q).otherwise(-p).alias("b"), "rule", *sides)
+
+
 def disguised_pairs(amounts: DataFrame, percent: int = 5, most: float = 1000.0) -> DataFrame:
     """project_id, a, b, rule: each two different amounts (cents, a < b) of a project's rows (project_id, cents) that a rule relates; of several the first of RULES.
 
     One is the other rounded to a unit; greater by a fee of 5 to 15 %; within 0.50 of the other with a tax or discount rate; or they are
     within `percent` of their mean and `most` apart. Amounts of either sign are compared with their like, zero with nothing.
-
-    Each rule turns an amount into the few bins where its partner must lie: its rounded values in whole cents; one or two logarithmic
-    bins as wide as the ratios allowed; one or two whole dollars for each rate. So the join is an equality on project, sign, rule and bin.
     """
-    s = amounts.select("project_id", F.signum("cents").cast("int").alias("sign"), F.abs("cents").alias("c")).filter("c > 0").distinct()
-    log = F.log(F.col("c").cast("double"))
-    wide = math.log(FEE_RATIOS[1] / FEE_RATIOS[0])
-    apart = math.log((200 + percent) / (200 - percent))
-    floor = lambda x: F.floor(x).cast("long")
-    key = lambda rule, at: F.struct(F.lit(rule).alias("rule"), at.cast("long").alias("bin"))
-    # A hair is left at the edges of logarithmic bins, as the exact test follows.
-    here = F.array(key("rounded", F.col("c")), key("fee", floor(log / wide)), key("rate", floor(F.col("c") / 100)), *(key("near", floor(log / apart) + k) for k in (0, 1)))
-    low, high = (floor((log + math.log(x / 100) + e) / wide) for x, e in zip(FEE_RATIOS, (-1e-9, 1e-9), strict=True))
-    targets = [half_even(F.col("c"), u) for u in ROUNDED_TO]
-    rates = [F.col("c") * f / 10000 for f in (*TAXED, *DISCOUNTED)]
-    there = F.array(
-        *(key("rounded", t) for t in targets), key("fee", low), key("fee", high),
-        *(key("rate", floor((r + e) / 100)) for r in rates for e in (-50, 50)), key("near", floor(log / apart)), key("near", floor(log / apart) + 1),
-    )
-    x = s.select("project_id", "sign", F.col("c").alias("x"), F.explode(F.array_distinct(there)).alias("k")).select("project_id", "sign", "x", "k.*")
-    y = s.select("project_id", "sign", F.col("c").alias("y"), F.explode(here).alias("k")).select("project_id", "sign", "y", "k.*")
-    j = x.join(y, ["project_id", "sign", "rule", "bin"]).filter("x != y").drop("bin", "rule")
-    p, q = F.col("x"), F.col("y")
-    big, small = F.greatest(p, q), F.least(p, q)
-    tests = [F.col("y") == t for t in (half_even(p, u) for u in ROUNDED_TO)]
-    tests.append((100 * big >= FEE_RATIOS[0] * small) & (100 * big <= FEE_RATIOS[1] * small))
-    tests += [reduce(lambda a, b: a | b, (F.abs(p * f - q * 10000) < 500_000 for f in group)) for group in (TAXED, DISCOUNTED)]
-    tests.append(((big - small) * 200 <= percent * (big + small)) & (big - small <= round(most * 100)))
-    first = reduce(lambda out, k: F.when(tests[k], k).otherwise(out), reversed(range(len(tests))), F.lit(None).cast("int"))
-    j = j.withColumn("at", first).filter("at IS NOT NULL")
-    g = j.select("project_id", (F.col("sign") * p).alias("x"), (F.col("sign") * q).alias("y"), "at").groupBy("project_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("at").alias("at"))
-    return g.select("project_id", "a", "b", F.element_at(F.array(*(F.lit(r) for r in RULES)), F.col("at") + 1).alias("rule"))
-
-
-def _types(rows: DataFrame) -> DataFrame:
-    """project_id, cents, types: the document types of an amount, in order."""
-    return rows.groupBy("project_id", "cents").agg(F.array_sort(F.collect_set("doc_type")).alias("types"))  # a few types
-
-
-def _with_types(pairs: DataFrame, types: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(types.select("project_id", F.col("cents").alias(side), F.col("types").alias(f"{side}_types")), ["project_id", side])
-    return pairs
+    return _related(amounts.select("project_id", "cents").distinct(), (), percent, most)
 
 
 def fuzzy_items(items: DataFrame, overlap: float = 0.3) -> DataFrame:
-    """project_id, a, b, rule, differ, alike, confidence: disguised pairs of line items' amounts; 0.7, 0.1 more if their document types differ, 0.15 more if two of their descriptions share over `overlap` of the words of the shorter."""
-    rows = items.select("project_id", cents(F.col("amount")).alias("cents"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"), "description")
-    pairs = _with_types(disguised_pairs(rows), _types(rows))
-    # Descriptions of either amount are compared row by row; only whether any two agree is kept.
-    texts = rows.select("project_id", "cents", F.array_distinct(F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w != "")).alias("w")).filter(F.size("w") > 0).distinct()
-    both = pairs.select("project_id", "a", "b").join(texts.select("project_id", F.col("cents").alias("a"), F.col("w").alias("wa")), ["project_id", "a"]).join(texts.select("project_id", F.col("cents").alias("b"), F.col("w").alias("wb")), ["project_id", "b"])
-    shared = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
-    alike = both.filter(shared > overlap).select("project_id", "a", "b", F.lit(True).alias("alike")).distinct()
-    out = pairs.join(alike, ["project_id", "a", "b"], "left").withColumns({"differ": F.col("a_types") != F.col("b_types"), "alike": F.coalesce("alike", F.lit(False))})
-    return out.withColumn("confidence", 0.7 + F.when(F.col("differ"), 0.1).otherwise(0.0) + F.when(F.col("alike"), 0.15).otherwise(0.0)).drop("a_types", "b_types")
+    """project_id, a, b, rule, differ, alike, confidence: disguised pairs of line items' amounts; 0.7, 0.1 more if their document types differ, 0.15 more if two of their descriptions share over `overlap` of the words of the shorter.
+
+    An amount brings its descriptions along up to TEXTS; for pairs of an amount with more, and none alike so far, they are joined row by row.
+    """
+    rows = items.select("project_id", cents(F.col("amount")).alias("cents"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"), F.array_distinct(F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w != "")).alias("w"))
+    types = rows.groupBy("project_id", "cents").agg(F.array_sort(F.collect_set("doc_type")).alias("types"))  # a few types
+    texts = rows.filter(F.size("w") > 0).select("project_id", "cents", "w").distinct()
+    some = texts.withColumn("_k", F.row_number().over(Window.partitionBy("project_id", "cents").orderBy("w"))).filter(F.col("_k") <= TEXTS + 1)
+    some = some.groupBy("project_id", "cents").agg(F.collect_list("w").alias("texts"))
+    amounts = stored(types.join(some, ["project_id", "cents"], "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<array<string>>"))), "amounts")
+    like = lambda u, v: F.size(F.array_intersect(u, v)) / F.least(F.size(u), F.size(v)) > overlap
+    pairs = _related(amounts, ("types", "texts"))
+    pairs = pairs.withColumn("alike", F.exists("a_texts", lambda u: F.exists("b_texts", lambda v: like(u, v)))).withColumn("differ", F.col("a_types") != F.col("b_types"))
+    if amounts.filter(F.size("texts") > TEXTS).limit(1).count():
+        open_ = pairs.filter(~F.col("alike") & (F.greatest(F.size("a_texts"), F.size("b_texts")) > TEXTS)).select("project_id", "a", "b")
+        for side in ("a", "b"):
+            open_ = open_.join(texts.select("project_id", F.col("cents").alias(side), F.col("w").alias(f"w{side}")), ["project_id", side])
+        also = open_.filter(like(F.col("wa"), F.col("wb"))).select("project_id", "a", "b", F.lit(True).alias("also")).distinct()
+        pairs = pairs.join(also, ["project_id", "a", "b"], "left").withColumn("alike", F.col("alike") | F.coalesce("also", F.lit(False)))
+    confidence = 0.7 + F.when(F.col("differ"), 0.1).otherwise(0.0) + F.when(F.col("alike"), 0.15).otherwise(0.0)
+    return pairs.select("project_id", "a", "b", "rule", "differ", "alike", confidence.alias("confidence"))
 
 
 def fuzzy_documents(documents: DataFrame) -> DataFrame:
     """project_id, a, b, rule, differ, rejected, confidence: disguised pairs of documents' totals; 0.75, 0.1 more if their types differ, 0.15 more if a document of either is rejected."""
     rows = documents.select("project_id", cents(F.col("total")).alias("cents"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"), F.coalesce(F.lower("status").contains("reject"), F.lit(False)).alias("rejected"))
-    pairs = _with_types(disguised_pairs(rows), _types(rows))
-    bad = rows.filter("rejected").select("project_id", "cents").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(bad.select("project_id", F.col("cents").alias(side), F.lit(True).alias(f"{side}_bad")), ["project_id", side], "left")
-    out = pairs.withColumns({"differ": F.col("a_types") != F.col("b_types"), "rejected": F.col("a_bad").isNotNull() | F.col("b_bad").isNotNull()})
+    amounts = rows.groupBy("project_id", "cents").agg(F.array_sort(F.collect_set("doc_type")).alias("types"), F.max("rejected").alias("bad"))  # a few types
+    out = _related(amounts, ("types", "bad")).withColumns({"differ": F.col("a_types") != F.col("b_types"), "rejected": F.col("a_bad") | F.col("b_bad")})
     return out.withColumn("confidence", 0.75 + F.when(F.col("differ"), 0.1).otherwise(0.0) + F.when(F.col("rejected"), 0.15).otherwise(0.0)).drop("a_types", "b_types", "a_bad", "b_bad")
 
 

@@ -537,3 +537,24 @@ def test_amount_tables(spark):
     t = reports.amount_tables(m.items, m.documents, 50_000.0)
     n = m.items.filter("abs(amount - 50000) <= 500").count()
     assert n and t["matches"].count() == n and t["summary"].count() == 1 and set(t["anomalies"].columns) == {"kind", "subject", "confidence"}
+
+
+def test_fuzzy_items_with_many_descriptions(spark):
+    """An amount of more descriptions than travel with it: the one that is alike may be any of them."""
+    from tallyforge.operators import disguised
+
+    more = [f"word{k:02d} only" for k in range(3 * disguised.TEXTS)]
+    rows = [(1, "invoice", Decimal(1000), t) for t in more] + [(1, "invoice", Decimal(1070), f"word{3 * disguised.TEXTS - 1:02d} door"), (1, "invoice", Decimal(-1000), "a"), (1, None, Decimal(-1100), "b"), (1, "invoice", Decimal(900), "nothing")]
+    got = {(x["a"], x["b"]): (x["rule"], x["differ"], x["alike"]) for x in disguised.fuzzy_items(spark.createDataFrame(rows, "project_id int, doc_type string, amount decimal(15,2), description string")).collect()}
+    assert got == {(100_000, 107_000): ("fee", False, True), (-110_000, -100_000): ("fee", True, False), (90_000, 100_000): ("fee", False, False)}
+
+
+def test_disguised_pairs_deal_few_rows(spark):
+    """Three rows of an amount go into the join, in which a pair comes once, so nothing is grouped after it."""
+    from tallyforge.operators import disguised
+
+    rows = spark.createDataFrame([(1, 100_000), (1, 107_000), (1, 15_000), (1, 19_960), (1, 20_000), (2, 100_000)], "project_id int, cents long")
+    df = disguised.disguised_pairs(rows)
+    assert sorted((x["a"], x["b"], x["rule"]) for x in df.collect()) == [(15_000, 20_000, "rounded_100"), (19_960, 20_000, "rounded_1"), (100_000, 107_000, "fee")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate")  # all grouping is below the join
