@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tallyforge.functions.amounts import cents, near_bin, near_bins
 from tallyforge.functions.json import number_at
 from tallyforge.functions.texts import SUBSTITUTIONS, blended_similarity, plain, word_set
 from tallyforge.operators.ordered import ranked
+from tallyforge.shipping import ship
 from tallyforge.storage import drop, stored
 
 #: Fee words, words that make them suspicious, and authorised percentages (fixed values).
@@ -110,29 +116,76 @@ def metadata_math(documents: DataFrame, tolerance: float = 0.1) -> DataFrame:
     return a.unionByName(b).filter(F.abs(F.col("stated") - F.col("expected")) > tolerance)
 
 
-def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str, priority: list[Column], share: float = 0.5, longest: int = 9, rounds: int = 200) -> DataFrame:
+def _greedy(first, size, rank, own, taken, share: float, longest: int):
+    """Of one block's spans: 1 chosen, -1 dropped, 0 open, as it depends on spans of other blocks that are open. In order of rank, against what is decided around each."""
+    state = [1 if t else 0 for t in taken]
+    at: dict[int, list[int]] = {}  # by place: spans that are chosen, or open
+    for i, t in enumerate(taken):
+        if t:
+            at.setdefault(first[i], []).append(i)
+    for i in sorted((i for i, t in enumerate(taken) if not t), key=rank.__getitem__):
+        f, n, now = first[i], size[i], 1 if own[i] else 0
+        for place in range(f - longest + 1, f + n):
+            for k in at.get(place, ()):
+                common = min(f + n, place + size[k]) - max(f, place)
+                if common > 0 and common >= share * min(n, size[k]):
+                    if state[k] == 1:
+                        now = -1
+                        break
+                    now = 0
+            if now == -1:
+                break
+        state[i] = now
+        if now != -1:
+            at.setdefault(f, []).append(i)
+    return state
+
+
+def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str, priority: list[Column], share: float = 0.5, longest: int = 9, block: int = 1 << 17) -> DataFrame:
     """Greedy choice of spans (first, size, in places of a group) by priority: a span goes if a chosen one overlaps it by `share` of the smaller.
 
-    Every round keeps the spans that outrank all they overlap and drops what those overlap, which gives what the sequential greedy gives,
-    as ranks are distinct. Spans have at most `longest` places, so those that overlap lie in the same bin of that many places or the
-    next, and the join is one of equality. Rounds are written to the shared folder.
+    A task takes the spans of `block` places of a group in order of rank, and those within `longest` of its edges beside them, and decides
+    all that doesn't depend on open spans of other blocks; the next round does so with what is decided. That gives what the sequential
+    greedy gives, as ranks are distinct. A chain of spans, each decided by the one before, takes a round for each block that it crosses.
+    Rounds are written to the shared folder, ids and places only.
     """
-    left, chosen = stored(ranked(spans, by, *priority, first, size, out="_rank"), "spans"), None
-    for _ in range(rounds):
-        a = left.select(*by, F.col("_rank").alias("r"), F.col(first).alias("f"), F.col(size).alias("s"), F.explode(F.array(*(F.floor(F.col(first) / longest) + k for k in (-1, 0, 1)))).alias("bin"))
-        b = left.select(*by, F.col("_rank").alias("r2"), F.col(first).alias("f2"), F.col(size).alias("s2"), F.floor(F.col(first) / longest).alias("bin"))
-        common = F.least(F.col("f") + F.col("s"), F.col("f2") + F.col("s2")) - F.greatest("f", "f2")
-        over = a.join(b, [*by, "bin"]).filter((F.col("r") != F.col("r2")) & (common >= share * F.least("s", "s2")) & (common > 0))
-        beaten = over.filter("r2 < r").select(*by, F.col("r").alias("_rank")).distinct()
-        best = left.join(beaten, [*by, "_rank"], "left_anti")
-        gone = over.join(best.select(*by, F.col("_rank").alias("r2")), [*by, "r2"], "left_semi").select(*by, F.col("r").alias("_rank")).distinct()
-        best = stored(best, "best")
-        chosen = best if chosen is None else chosen.unionByName(best)
-        old, left = left, stored(left.join(best.select(*by, "_rank"), [*by, "_rank"], "left_anti").join(gone, [*by, "_rank"], "left_anti"), "spans")
-        drop(old)
+    ranks = stored(ranked(spans, by, *priority, first, size, out="_rank"), "spans")
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    left = ranks.select(*named, F.col("_rank").cast("long").alias("r"), F.col(first).cast("long").alias("f"), F.col(size).cast("long").alias("s"), F.lit(False).alias("taken"))
+    schema = StructType([*(left.schema[k] for k in keys), *(StructField(c, LongType()) for c in ("r", "f", "s", "state"))])
+
+    def run(t: pa.Table) -> pa.Table:
+        f, s, r, own, taken = (t.column(c).to_pylist() for c in ("f", "s", "r", "own", "taken"))
+        state = pa.array(_greedy(f, s, r, own, taken, share, longest), pa.int64())
+        out = t.select([*keys, "r", "f", "s"]).append_column("state", state)
+        return out.filter(pc.and_(pc.and_(t.column("own"), pc.invert(t.column("taken"))), pc.not_equal(state, -1)))
+
+    ship(spans.sparkSession)
+    at, inside = F.floor(F.col("f") / block), F.pmod("f", F.lit(block))
+    old, chosen, edges = None, [], None
+    while True:
+        # A span near an edge also lies beside the next block.
+        sides = F.array_compact(F.array(at, F.when(inside < longest, at - 1), F.when(inside >= block - longest, at + 1)))
+        near = (inside < longest) | (inside >= block - longest)
+        rows = left if edges is None else left.unionByName(edges)
+        dealt = rows.withColumn("_block", F.explode(sides)).withColumn("own", F.col("_block") == at)
+        new = stored(dealt.groupBy(*keys, "_block").applyInArrow(run, schema), "spans")
+        if old is not None:
+            drop(old)
+        old, some = new, stored(new.filter("state = 1").select(*keys, "r", "f", "s"), "chosen")
+        chosen.append(some)
+        taken = some.filter(near).withColumn("taken", F.lit(True))
+        edges = taken if edges is None else edges.unionByName(taken)
+        left = new.filter("state = 0").select(*keys, "r", "f", "s", F.lit(False).alias("taken"))
         if not left.limit(1).count():
-            return chosen.drop("_rank")
-    raise RuntimeError(f"overlaps did not settle in {rounds} rounds")
+            break
+    drop(old)
+    best = reduce(DataFrame.unionByName, chosen).select(*keys, F.col("r").alias("_rank"))
+    on = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        on &= F.col(c).eqNullSafe(F.col(k))
+    return ranks.withColumnRenamed("_rank", "_r").join(best, on & (F.col("_r") == F.col("_rank"))).drop("_rank", "_r", *keys)
 
 
 def coordination(relationships: DataFrame, top: int = 3, longest: int = 3, rounds: int | None = None) -> DataFrame:

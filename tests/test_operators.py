@@ -558,3 +558,25 @@ def test_disguised_pairs_deal_few_rows(spark):
     assert sorted((x["a"], x["b"], x["rule"]) for x in df.collect()) == [(15_000, 20_000, "rounded_100"), (19_960, 20_000, "rounded_1"), (100_000, 107_000, "fee")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate")  # all grouping is below the join
+
+
+def test_drop_overlaps_in_a_long_chain(spark):
+    """Spans of equal priority, each decided by the one before it, over many blocks; and random ones with spans of all sizes."""
+    import random
+
+    from tallyforge.operators.detectors import drop_overlaps
+
+    r = random.Random(3)
+    rows = [("a", k, 9, 0.95) for k in range(400)] + [(None, k, r.randrange(3, 10), r.choice([0.7, 0.8])) for k in range(300)] + [("c", k, 9, float(k)) for k in range(200)]
+    for share in (0.5, 0.0):
+        want = set()
+        for g in ("a", None, "c"):
+            taken = []
+            for f, n in sorted(((f, n) for h, f, n, _ in rows if h == g), key=lambda x: next((-p, *x) for h, f, n, p in rows[x[0] + {"a": 0, None: 400, "c": 700}[g] :][:1])):
+                common = [(min(f + n, a + b) - max(f, a), min(n, b)) for a, b in taken[-200:] + [t for t in taken if abs(t[0] - f) < 9]]
+                if not any(c > 0 and c >= share * m for c, m in common):
+                    taken.append((f, n))
+            want |= {(g, *t) for t in taken}
+        df = spark.createDataFrame(rows, "g string, first long, size long, p double")
+        got = [(x["g"], x["first"], x["size"]) for x in drop_overlaps(df, ("g",), "first", "size", [F.desc("p")], share, block=100).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
