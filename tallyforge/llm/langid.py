@@ -309,16 +309,21 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, runs array<struct<start:long,end:long,lang:string,words:long,p:double>>")
 
 
-def keep(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told: not `und`, and with a score of `least` or more."""
+def keep(docs: DataFrame, model: Model | None, least: float = 0.0, fill: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told: not `und`, and with a score of `least` or more. Where the column `fill` is null it takes the language found."""
     spark = runtime.prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, into = docs.columns.index("text"), None if fill is None or model is None else docs.columns.index(fill)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(at)):
                 lang, score, _ = _judge(sent.value, batch.column(at).slice(lo, hi - lo), data, offs)
-                yield batch.slice(lo, hi - lo).filter(pc.and_(pc.not_equal(lang, UNKNOWN), pc.greater_equal(score, least)))
+                some = batch.slice(lo, hi - lo)
+                if into is not None:
+                    columns = list(some.columns)
+                    columns[into] = pc.coalesce(columns[into], lang.cast(columns[into].type))
+                    some = pa.RecordBatch.from_arrays(columns, schema=some.schema)
+                yield some.filter(pc.and_(pc.not_equal(lang, UNKNOWN), pc.greater_equal(score, least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """Stages of a training corpus: each takes (spark, docs, sf_dir) and returns what it keeps, with the columns of docs, or the packed pieces.
 
-Defined results: a document with a null or empty text, or one without a letter, goes with the first stage; one without an id is no
+Defined results: a document with a null or empty text, one without a letter, or one whose language has a score under SURE goes with the
+first stage, and a null lang takes the language found; one without an id is no
 near-duplicate of anything and goes on to the others; of rows that share an id, as of near-duplicates, one stays (the smallest id, of that
 the smallest text); a text that only repeats itself stays; an empty table gives no pieces; other columns are carried, whatever their names.
 """
@@ -14,11 +15,14 @@ from tallyforge.llm.queries import tokenizer_path
 
 #: Words of a shingle; percent of shingles in common; words of a benchmark window; tokens of a sequence and the id that ends a document.
 SHINGLE, PERCENT, WINDOW, LENGTH, END = 5, 80, 10, 4096, 2
+#: Least score of a document's language: more probable than all others together.
+SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (no text, no letter) go."""
-    return langid.keep(docs, langid.train(docs))
+    """Documents whose language can be told, which they carry where they had none; the others (no text, no letter, no language more probable than the rest) go. Of tables without labels only those with no letter go."""
+    model = langid.train(docs)
+    return langid.keep(docs, model, SURE if model else 0.0, "lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -728,6 +728,17 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     assert collections.Counter((x["doc_id"], x["text"]) for x in kept.collect()) == collections.Counter(_plain_pipeline(rows, bench))
 
 
+def test_language_stage_depends_on_the_languages_found(spark):
+    from tallyforge.llm.pipeline import language
+
+    r = random.Random(5)
+    text = lambda letters, n=40: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(k, text(letters), lang) for k, (letters, lang) in enumerate([("abcd", "aa"), ("klmn", "kk"), ("wxyz", "ww")] * 20)]
+    rows += [(100, text("abcd"), None), (101, text("wxyz"), None), (102, " ".join(text(x, 20) for x in ("abcd", "klmn", "wxyz")), "aa")]
+    got = {x["doc_id"]: x["lang"] for x in language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert got == {i: lang for i, _, lang in rows if i < 100} | {100: "aa", 101: "ww"}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     from tallyforge.llm.pipeline import run
 
