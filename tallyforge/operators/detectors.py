@@ -188,20 +188,23 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
     return ranks.withColumnRenamed("_rank", "_r").join(best, on & (F.col("_r") == F.col("_rank"))).drop("_rank", "_r", *keys)
 
 
-def coordination(relationships: DataFrame, top: int = 3, longest: int = 3, rounds: int | None = None) -> DataFrame:
+def coordination(relationships: DataFrame, top: int = 3, longest: int = 3, rounds: int | None = None, part: str | None = None) -> DataFrame:
     """One row: documents that refer to others, mutual references, cycles of three to `longest`, confidence; and the `top` documents by PageRank (of `rounds` rounds if given), where at least three refer.
 
     Confidence min(0.95, 0.7 + 0.05 n) by the number of cycles if there are any, else min(0.85, 0.6 + 0.05 n) by that of mutual references.
+    part names a column as in graph.document_edges. Edges are written once.
     """
     from tallyforge.operators import graph
 
-    e = graph.document_edges(relationships)
-    mutual = mutual_references(relationships).agg(F.count(F.lit(1)).alias("mutual"))
-    cycles = graph.cycles(e, longest).filter(F.size("path") >= 3).agg(F.count(F.lit(1)).alias("cycles"))
+    e = graph.document_edges(relationships, part=part)
+    e = stored(e.select(*(c for c in ("part", "src", "dst") if c in e.columns)).distinct(), "edges")
+    n = graph.cycles(e, max(longest, 2)).groupBy(F.size("path").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    # A mutual reference is a cycle of two.
+    found = n.agg(*(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0).cast("long")).alias(name) for name, of in (("mutual", F.col("size") == 2), ("cycles", F.col("size") > 2))))
     referring = e.agg(F.countDistinct("src").alias("referring"))
     best = graph.pagerank(e, rounds).orderBy(F.desc(F.round("rank", 12)), "id").limit(top).agg(F.array_sort(F.collect_list("id")).alias("central"))
     # One row each.
-    one = referring.crossJoin(mutual).crossJoin(cycles).crossJoin(best)
+    one = referring.crossJoin(found).crossJoin(best)
     c = F.when(F.col("cycles") > 0, F.least(F.lit(0.95), 0.7 + 0.05 * F.col("cycles"))).when(F.col("mutual") > 0, F.least(F.lit(0.85), 0.6 + 0.05 * F.col("mutual"))).otherwise(0.0)
     return one.withColumns({"confidence": c, "central": F.when(F.col("referring") >= 3, F.col("central"))})
 

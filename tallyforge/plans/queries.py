@@ -812,7 +812,7 @@ def two_hop_network(m):
 
 
 def _edges(m):
-    return graph.document_edges(relationships.pair_rules(m.documents))
+    return graph.document_edges(relationships.pair_rules(m.documents), part="project_id")
 
 
 _EDGES_SQL = _PAIRS_SQL.strip() + ",\ne AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel)"
@@ -855,8 +855,7 @@ c AS (SELECT [a.src, a.dst] AS p FROM e a JOIN e b ON a.dst = b.src AND b.dst =
   UNION ALL SELECT [a.src, a.dst, b.dst] FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
 SELECT array_to_string(p, '>') AS cycle FROM c""")
 def circular_references(m):
-    e = graph.document_edges(relationships.pair_rules(m.documents))
-    return graph.cycles(e, 3).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("cycle"))
+    return graph.cycles(_edges(m), 3).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("cycle"))
 
 
 @query(f""", {_EDGES_SQL}{_distance_sql()}
@@ -1609,7 +1608,7 @@ mu AS (SELECT count(*) AS mutual FROM e a JOIN e b ON a.src = b.dst AND a.dst =
 t AS (SELECT id FROM r10 ORDER BY round(rank, 12) DESC, id LIMIT 3)
 SELECT CAST((SELECT count(DISTINCT src) FROM e) AS BIGINT) AS referring, CAST(mutual AS BIGINT) AS mutual, CAST(cycles AS BIGINT) AS cycles, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS central, round(CASE WHEN cycles > 0 THEN least(0.95, 0.7 + 0.05 * cycles) WHEN mutual > 0 THEN least(0.85, 0.6 + 0.05 * mutual) ELSE 0 END::DOUBLE, 6) AS confidence FROM mu, cy""")
 def coordination(m):
-    return detectors.coordination(relationships.pair_rules(m.documents), rounds=10).select("referring", "mutual", "cycles", F.array_join("central", ",").alias("central"), _r(F.col("confidence"), "confidence"))
+    return detectors.coordination(relationships.pair_rules(m.documents), rounds=10, part="project_id").select("referring", "mutual", "cycles", F.array_join("central", ",").alias("central"), _r(F.col("confidence"), "confidence"))
 
 
 @query(f""", {_PAIRS_SQL.strip()}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM rel), rj AS (SELECT DISTINCT src FROM rel WHERE kind = 'rejection'),
