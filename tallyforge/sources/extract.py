@@ -78,7 +78,8 @@ def table_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
     cells = F.filter(F.transform(F.split("raw", r"\s*\|\s*|\t+| {2,}"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = lines.withColumn("cells", cells).filter((F.size("cells") >= 2) & ~F.col("raw").rlike(r"^[\s|+=-]+$"))
+    # Out of an array of one, so that the filter does not split a line again.
+    rows = lines.select(key, "line", "raw", F.explode(F.array(cells)).alias("cells")).filter((F.size("cells") >= 2) & ~F.col("raw").rlike(r"^[\s|+=-]+$"))
     w = Window.partitionBy(key).orderBy("line")
     rows = rows.withColumn("block", F.col("line") - F.row_number().over(w))
     return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "block"))).filter("_n >= 2").select(key, "block", "line", "cells")
@@ -137,10 +138,11 @@ def project_information(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind, reference, status of every mention of another document. status: approved or rejected if the words before it in its sentence say so, else null."""
-    found = None
-    for pattern, kind in REFERENCES:
-        one = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?i)([^.]{0,60}?" + pattern[4:] + ")"), F.lit(1))).alias("at")).select(key, F.lit(kind).alias("kind"), "at", F.regexp_extract("at", pattern, 0).alias("whole"))
-        found = one if found is None else found.unionByName(one)
+    # The words before a mention are only sought in texts that have one, and a text is read once for all kinds.
+    every = F.array(*(F.struct(F.lit(k).alias("kind"), F.when(F.col(text).rlike(p), F.regexp_extract_all(F.col(text), F.lit(r"(?i)([^.]{0,60}?" + p[4:] + ")"), F.lit(1))).alias("all")) for p, k in REFERENCES))
+    found = docs.select(key, F.explode(every).alias("m")).filter("m.all IS NOT NULL").select(key, "m.kind", F.explode("m.all").alias("at"))
+    whole = F.coalesce(*(F.when(F.col("kind") == k, F.regexp_extract("at", p, 0)) for p, k in REFERENCES))
+    found = found.select(key, "kind", "at", whole.alias("whole"))
     low = F.lower("at")
     status = F.when(low.rlike("reject|denied"), "rejected").when(low.rlike("approv|accepted"), "approved")
     return found.select(key, "kind", F.regexp_extract("whole", r"([A-Za-z0-9-]+(?: \d{1,2}, \d{4})?)$", 1).alias("reference"), status.alias("status"))
@@ -184,12 +186,16 @@ def key_columns(tables: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def table_items(tables: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, block, line, description, amount, quantity, unit_price from rows of table_rows(); rows named as totals, and rows with neither description nor amount, are none."""
+    """key, block, line, description, amount, quantity, unit_price from rows of table_rows(); rows named as totals, and rows with neither description nor amount, are none. tables are written once."""
     from tallyforge.functions.amounts import normalize_amount
+    from tallyforge.storage import stored
 
+    # Lines are read three times below, and splitting them is most of the work.
+    tables = stored(tables, "tables")
     j = tables.join(key_columns(tables, key), [key, "block"]).filter(F.col("header").isNull() | (F.col("cells") != F.col("header")))
     at = lambda role: F.get("cells", F.col(role))
-    rows = j.select(key, "block", "line", at("description").alias("description"), *(normalize_amount(at(c)).alias(c) for c in ("amount", "quantity", "unit_price")))
+    figures = F.struct(at("description").alias("description"), *(normalize_amount(at(c)).alias(c) for c in ("amount", "quantity", "unit_price")))
+    rows = j.select(key, "block", "line", F.explode(F.array(figures)).alias("f")).select(key, "block", "line", "f.*")
     return rows.filter(~F.coalesce(F.lower("description").rlike("total|sum"), F.lit(False)) & (F.col("amount").isNotNull() | (F.coalesce("description", F.lit("")) != "")))
 
 
