@@ -14,7 +14,12 @@ def safe_get(data: Column, path: str, default=None) -> Column:
 
 def number_at(data: Column, path: str) -> Column:
     """The number at a dotted path in JSON text; null if it is none."""
-    return F.try_variant_get(F.try_parse_json(data), "$." + path, "string").try_cast("double")
+    return number_in(F.try_parse_json(data), path)
+
+
+def number_in(parsed: Column, path: str) -> Column:
+    """number_at() of a column that is parsed once, for many numbers of a text."""
+    return F.try_variant_get(parsed, "$." + path, "string").try_cast("double")
 
 
 def merged(first: Column, second: Column) -> Column:

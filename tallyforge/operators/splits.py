@@ -122,10 +122,10 @@ def best_splits(items: DataFrame, least: float = 1000.0, days: int = 90, per_mil
 STATED = ("previous_certificates", "total_earned_less_retainage", "current_payment_due")
 
 
-def percent_complete(data: Column) -> Column:
-    """A share from 0 to 1 of meta_data's percent_complete: text in percent, with or without its sign, is divided by 100; a number stands as it is."""
-    text = F.try_variant_get(F.try_parse_json(data), "$.percent_complete", "string")
-    quoted = F.get_json_object(data, "$.percent_complete").isNotNull() & data.rlike(r'"percent_complete"\s*:\s*"')
+def percent_complete(data: Column, parsed: Column | None = None) -> Column:
+    """A share from 0 to 1 of meta_data's percent_complete: text in percent, with or without its sign, is divided by 100; a number stands as it is. parsed: the same data, where it is parsed already."""
+    text = F.try_variant_get(F.try_parse_json(data) if parsed is None else parsed, "$.percent_complete", "string")
+    quoted = data.rlike(r'"percent_complete"\s*:\s*"') & F.get_json_object(data, "$.percent_complete").isNotNull()
     return F.when(quoted, F.regexp_replace(text, "%+$", "").try_cast("double") / 100).otherwise(text.try_cast("double"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.amounts import cents
-from tallyforge.functions.json import number_at
+from tallyforge.functions.json import number_in
 from tallyforge.operators.components import components
 from tallyforge.operators.splits import percent_complete
 
@@ -23,8 +23,17 @@ CHECKS = {
 }
 
 
+def _wrong(check: str, stated: Column, expected: Column) -> Column:
+    """Whether figures differ by more than a check's least difference and share."""
+    off, larger = F.abs(stated - expected), F.greatest(F.abs(stated), F.abs(expected))
+    # A tenth of a cent is left for figures that are whole cents.
+    return (off > CHECKS[check][0] + 0.001) & (F.coalesce(F.try_divide(off, larger), F.lit(0.0)) > CHECKS[check][1])
+
+
 def _row(check: str, item, stated: Column, expected: Column) -> Column:
-    return F.struct(F.lit(check).alias("check"), (F.col(item) if item else F.lit(None)).cast("string").alias("item_id"), F.lit(None).cast("string").alias("part"), stated.cast("double").alias("stated"), expected.cast("double").alias("expected"))
+    """A row of a check, null where its figures agree or one is missing."""
+    stated, expected = stated.cast("double"), expected.cast("double")
+    return F.when(_wrong(check, stated, expected), F.struct(F.lit(check).alias("check"), (F.col(item) if item else F.lit(None)).cast("string").alias("item_id"), F.lit(None).cast("string").alias("part"), stated.alias("stated"), expected.alias("expected")))
 
 
 def statement_errors(items: DataFrame, documents: DataFrame, submitter: str = "contractor") -> DataFrame:
@@ -40,40 +49,42 @@ def statement_errors(items: DataFrame, documents: DataFrame, submitter: str = "c
     benefits: it is the submitter's document of a type that bills, and states more than it should (less retainage). Least differences and
     confidences are those of CHECKS; shares are of the larger figure.
     """
-    at = lambda name: number_at(F.col("meta_data"), name)
+    at = lambda name: number_in(F.col("parsed"), name)
     has_total = "total" in items.columns
-    i = items.select("doc_id", "item_id", "category", *(F.col(c).cast("double").alias(c) for c in ("amount", "quantity", "unit_price")), (F.col("total") if has_total else F.lit(None)).cast("double").alias("total"), (F.col("meta_data") if "meta_data" in items.columns else F.lit(None)).cast("string").alias("meta_data"))
-    share = percent_complete(F.col("meta_data"))
-    total = F.col("total")
+    i = items.select("doc_id", "item_id", *(F.col(c).cast("double").alias(c) for c in ("amount", "quantity", "unit_price")), (F.col("total") if has_total else F.lit(None)).cast("double").alias("total"), (F.col("meta_data") if "meta_data" in items.columns else F.lit(None)).cast("string").alias("meta_data"))
+    i = i.withColumn("parsed", F.try_parse_json("meta_data"))
+    figures = i.select("doc_id", "item_id", "amount", "quantity", "unit_price", "total", percent_complete(F.col("meta_data"), F.col("parsed")).alias("share"), at("scheduled_value").alias("scheduled"), at("previous_completed").alias("previous"))
     of_items = F.array(
-        _row("quantity_price", "item_id", total, F.col("quantity") * F.col("unit_price")), _row("amount_total", "item_id", F.col("amount"), total),
-        _row("percent_complete", "item_id", F.col("amount"), share * at("scheduled_value")), _row("current_work", "item_id", F.col("amount"), total - at("previous_completed")),
+        _row("quantity_price", "item_id", F.col("total"), F.col("quantity") * F.col("unit_price")), _row("amount_total", "item_id", F.col("amount"), F.col("total")),
+        _row("percent_complete", "item_id", F.col("amount"), F.col("share") * F.col("scheduled")), _row("current_work", "item_id", F.col("amount"), F.col("total") - F.col("previous")),
     )
-    out = i.select("doc_id", F.explode(of_items).alias("r")).select("doc_id", "r.*")
+    # Documents are joined before rows are put together, so items that come by document need no further shuffle.
+    who = documents.select("doc_id", "doc_type", "party")
+    out = figures.join(who, "doc_id").select("doc_id", "doc_type", "party", F.explode(of_items).alias("r")).filter("r IS NOT NULL").select("doc_id", "doc_type", "party", "r.*")
 
-    d = documents.select("doc_id", "meta_data").filter("meta_data IS NOT NULL")
+    d = documents.filter("meta_data IS NOT NULL").select("doc_id", "doc_type", "party", "meta_data", F.try_parse_json("meta_data").alias("parsed"))
     # Sums in whole cents, so they are exact.
-    sums = items.groupBy("doc_id").agg((F.sum(cents(F.col("amount"))) / 100).alias("sum"))
-    by_category = items.filter("category IS NOT NULL AND category != ''").groupBy("doc_id", "category").agg((F.sum(cents(F.col("amount"))) / 100).alias("sum"))
-    named = d.select("doc_id", F.explode(F.from_json(F.get_json_object("meta_data", "$.category_totals"), "map<string,string>")).alias("category", "said"))
-    c = named.join(by_category, ["doc_id", "category"]).select("doc_id", F.lit("category_total").alias("check"), F.lit(None).cast("string").alias("item_id"), F.col("category").alias("part"), F.col("said").try_cast("double").alias("stated"), F.col("sum").alias("expected"))
-    out = out.unionByName(c)
+    by_both = items.groupBy("doc_id", "category").agg(F.sum(cents(F.col("amount"))).alias("c"))
+    sums = by_both.groupBy("doc_id").agg((F.sum("c") / 100).alias("sum"))
+    by_category = by_both.filter("category IS NOT NULL AND category != ''").select("doc_id", "category", (F.col("c") / 100).alias("sum"))
+    of_documents = ("doc_id", "doc_type", "party")
+    row = lambda check, part: (*of_documents, F.lit(check).alias("check"), F.lit(None).cast("string").alias("item_id"), part, "stated", F.col("sum").alias("expected"))
+    named = d.select(*of_documents, F.explode(F.from_json(F.get_json_object("meta_data", "$.category_totals"), "map<string,string>")).alias("category", "said"))
+    c = named.withColumn("stated", F.col("said").try_cast("double")).join(by_category, ["doc_id", "category"]).filter(_wrong("category_total", F.col("stated"), F.col("sum")))
+    out = out.unionByName(c.select(*row("category_total", F.col("category").alias("part"))))
     stated = F.explode(F.array(*(F.struct(F.lit(name).alias("part"), at(name).alias("stated")) for name in SUMS)))
-    t = d.select("doc_id", stated.alias("x")).select("doc_id", "x.*").filter("stated IS NOT NULL").join(sums, "doc_id").select("doc_id", F.lit("document_total").alias("check"), F.lit(None).cast("string").alias("item_id"), "part", "stated", F.col("sum").alias("expected"))
-    out = out.unionByName(t)
-    rate = at("retainage_percent")
-    of_documents = F.array(
-        _row("retainage", None, at("retainage"), at("completed_to_date") * F.when(rate > 1, rate / 100).otherwise(rate)),
-        _row("payment_due", None, at("current_payment_due"), at("total_earned_less_retainage") - at("previous_certificates")),
+    t = d.select(*of_documents, stated.alias("x")).select(*of_documents, "x.*").filter("stated IS NOT NULL").join(sums, "doc_id").filter(_wrong("document_total", F.col("stated"), F.col("sum")))
+    out = out.unionByName(t.select(*row("document_total", "part")))
+    f = d.select(*of_documents, *(at(name).alias(name) for name in ("retainage", "retainage_percent", "completed_to_date", "current_payment_due", "total_earned_less_retainage", "previous_certificates")))
+    rate = F.col("retainage_percent")
+    both = F.array(
+        _row("retainage", None, F.col("retainage"), F.col("completed_to_date") * F.when(rate > 1, rate / 100).otherwise(rate)),
+        _row("payment_due", None, F.col("current_payment_due"), F.col("total_earned_less_retainage") - F.col("previous_certificates")),
     )
-    out = out.unionByName(d.select("doc_id", F.explode(of_documents).alias("r")).select("doc_id", "r.*"))
+    out = out.unionByName(f.select(*of_documents, F.explode(both).alias("r")).filter("r IS NOT NULL").select(*of_documents, "r.*"))
 
-    j = out.filter("stated IS NOT NULL AND expected IS NOT NULL").join(documents.select("doc_id", "doc_type", "party"), "doc_id")
     of = lambda k: reduce(lambda x, n: F.when(F.col("check") == n, F.lit(CHECKS[n][k])).otherwise(x), CHECKS, F.lit(None).cast("double"))
-    off, larger = F.abs(F.col("stated") - F.col("expected")), F.greatest(F.abs("stated"), F.abs("expected"))
-    # A tenth of a cent is left for figures that are whole cents.
-    j = j.filter((off > of(0) + 0.001) & (F.coalesce(F.try_divide(off, larger), F.lit(0.0)) > of(1)))
-    j = j.filter((F.col("check") != "current_work") | (F.col("doc_type") == "payment_app"))
+    j = out.filter((F.col("check") != "current_work") | (F.col("doc_type") == "payment_app"))
     bills = reduce(lambda x, n: F.when(F.col("check") == n, F.col("doc_type").isin(*CHECKS[n][4])).otherwise(x), CHECKS, F.lit(False))
     more = F.when(F.col("check") == "retainage", F.col("stated") < F.col("expected")).otherwise(F.col("stated") > F.col("expected"))
     j = j.withColumn("benefits", F.coalesce(bills & (F.col("party") == submitter) & more, F.lit(False)))
