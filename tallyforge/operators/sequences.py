@@ -30,12 +30,17 @@ def zscore_outliers(rows: DataFrame, value: str, by: tuple[str, ...], z: float =
 
 def iqr_outliers(rows: DataFrame, value: str, by: tuple[str, ...], order: str, factor: float = 1.5, least: int = 5) -> DataFrame:
     """Rows beyond the quartiles by factor times their distance. Quartiles are the values at 0-based places n // 4 and 3 n // 4; no interpolation."""
-    s = ranked(rows.filter(F.col(value).isNotNull()), by, value, order, out="_k")
-    s = with_groups(s, by, n=F.count(F.lit(1)))
+    some = rows.filter(F.col(value).isNotNull())
+    # Places are those of values alone: which of equal ones is at a quartile does not matter, and rows stay where they are.
+    s = with_groups(ranked(some.select(*by, value), by, value, out="_k"), by, n=F.count(F.lit(1)))
     at = lambda place: F.max(F.when(F.col("_k") == place, F.col(value)))
-    s = with_groups(s, by, q1=at(F.floor(F.col("n") / 4)), q3=at(F.floor(F.col("n") * 3 / 4))).withColumn("iqr", F.col("q3") - F.col("q1"))
+    g = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(F.col("n") * 3 / 4)).alias("q3")).withColumnsRenamed({c: f"_{c}_" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    s = some.join(g, on).drop(*(f"_{c}_" for c in by)).withColumn("iqr", F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - factor * F.col("iqr"), F.col("q3") + factor * F.col("iqr")
-    return s.filter((F.col("n") >= least) & (F.col("iqr") > 0) & ((F.col(value) < low) | (F.col(value) > high))).drop("_k")
+    return s.filter((F.col("n") >= least) & (F.col("iqr") > 0) & ((F.col(value) < low) | (F.col(value) > high)))
 
 
 def monotone_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, increasing: bool = True, gap: int = 90, least: int = 3) -> DataFrame:
