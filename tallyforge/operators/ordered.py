@@ -12,15 +12,17 @@ from tallyforge.storage import stored
 BLOCK = 4096
 
 
-def ranked(rows: DataFrame, by: tuple[str, ...], *order: Column | str, out: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, by: tuple[str, ...], *order: Column | str, out: str = "rank", carry: tuple[str, ...] | None = None) -> DataFrame:
     """rows with their 0-based place in their group's order, which should be total; null groups are a group.
 
     Rows are partitioned by ranges of group and order, sorted and written once. A row's place is its place among its partition's rows of
-    the group, and what earlier partitions have of that group: one row for each partition and group that lies in it.
+    the group, and what earlier partitions have of that group: one row for each partition and group that lies in it. carry: the columns to
+    keep, `by` among them, where not all are wanted; others are sorted by and not written.
     """
     keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order]
     sort = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    kept = stored(sort.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    columns = rows.columns if carry is None else list(carry)
+    kept = stored(sort.select(*columns, F.monotonically_increasing_id().alias("_at")), "ranked")
     part = F.shiftright("_at", 33).alias("_part")
     sizes = kept.groupBy(part, *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -28,7 +30,7 @@ def ranked(rows: DataFrame, by: tuple[str, ...], *order: Column | str, out: str
     on = F.shiftright(F.col("_at"), 33) == F.col("_p_")
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"_{c}_"))
-    return kept.join(sizes, on).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_low")).alias(out))
+    return kept.join(sizes, on).select(*columns, (F.col("_before") + F.col("_at") - F.col("_low")).alias(out))
 
 
 def blocked(rows: DataFrame, by: tuple[str, ...], reach: int, rank: str = "rank", block: int = BLOCK) -> tuple[DataFrame, list[str]]:

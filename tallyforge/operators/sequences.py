@@ -89,21 +89,27 @@ def arithmetic_windows(rows: DataFrame, by: tuple[str, ...], value: str, date: s
 
     All windows; `first` and `size` say which overlap. Confidence as for runs, and 0.1 for the even step; at most 0.95.
     """
-    ranks = ranked(rows.select(*by, F.col(value).alias("_v"), F.col(date).alias("_t"), F.col(order).alias("_o")), by, "_t", "_o")
+    ranks = ranked(rows.select(*by, F.col(value).alias("_v"), F.col(date).alias("_t"), F.col(order).alias("_o")), by, "_t", "_o", carry=(*by, "_v", "_t"))
     dealt, parts = blocked(ranks, by, max(sizes))
     w = Window.partitionBy(*parts).orderBy("rank")
-    r = dealt.withColumns({"_d": F.lead("_v").over(w) - F.col("_v"), "_g": F.datediff(F.lead("_t").over(w), "_t")})
-    even = lambda c, over: F.greatest(F.lit(0.0), 0.15 * (1 - F.least(F.lit(1.0), 5 * F.var_pop(c).over(over) / (F.avg(c).over(over) * F.avg(c).over(over)))))
-    tests = []
-    for n in sizes:
-        over = w.rowsBetween(0, n - 2)
-        mean, bound = F.avg("_d").over(over), off * F.abs(F.avg("_d").over(over))
-        ok = (F.count("_d").over(over) == n - 1) & (mean != 0) & (F.max("_d").over(over) - mean <= bound) & (mean - F.min("_d").over(over) <= bound) & (F.max("_g").over(over) <= gap)
-        steps, days = F.when(mean > 0, even("_d", over)).otherwise(0.0), F.when(F.avg("_g").over(over) > 0, even("_g", over)).otherwise(0.0)
-        c = F.least(F.lit(0.95), F.least(F.lit(0.95), 0.5 + 0.3 * F.least(F.lit(1.0), F.lit((n - 2) / 8)) + steps + days) + 0.1)
-        tests.append(F.when(ok, F.struct(F.lit(n).alias("size"), mean.alias("mean_step"), c.alias("confidence"))))
-    r = r.withColumn("_w", F.array(*tests)).filter("_own").select(*by, (F.col("rank") + 1).alias("first"), F.explode(F.array_compact("_w")).alias("_w"))
-    return r.select(*by, "first", "_w.*")
+    r = dealt.withColumns({f"{c}{k}": F.lead(c, k).over(w) for k in range(1, max(sizes)) for c in ("_v", "_t")}).withColumnsRenamed({"_v": "_v0", "_t": "_t0"}).filter("_own")
+    steps = lambda f: F.array(*(f(k, k + 1) for k in range(max(sizes) - 1)))
+    r = r.select(*by, (F.col("rank") + 1).alias("first"), steps(lambda j, k: F.col(f"_v{k}") - F.col(f"_v{j}")).alias("_d"), steps(lambda j, k: F.datediff(f"_t{k}", f"_t{j}")).alias("_g"))
+    if min(sizes) > 2 and 0 <= off < 1:
+        # Steps that are all within `off` of their mean have its sign, and their sizes are this near each other; most places end with the first two.
+        x, y = F.col("_d")[0].cast("double"), F.col("_d")[1].cast("double")
+        r = r.filter((x != 0) & (F.signum(x) == F.signum(y)) & (F.greatest(F.abs(x), F.abs(y)) * (1 - off) <= F.least(F.abs(x), F.abs(y)) * (1 + off) * (1 + 1e-9)))
+    r = r.withColumn("size", F.explode(F.array(*(F.lit(n) for n in sizes))))
+    r = r.withColumns({"_d": F.transform(F.slice("_d", F.lit(1), F.col("size") - 1), lambda x: x.cast("double")), "_g": F.slice("_g", F.lit(1), F.col("size") - 1)})
+    # A missing step makes the mean null; days that are missing are passed over.
+    total = lambda c, of=lambda x: x: F.aggregate(c, F.lit(0.0), lambda s, x: s + of(x))
+    r = r.withColumn("mean_step", total("_d") / F.size("_d"))
+    mean, bound = F.col("mean_step"), off * F.abs("mean_step")
+    r = r.filter((mean != 0) & (F.array_max("_d") - mean <= bound) & (mean - F.array_min("_d") <= bound) & (F.array_max("_g") <= gap))
+    r = r.withColumn("_g", F.transform(F.array_compact("_g"), lambda x: x.cast("double"))).withColumn("_days", total("_g") / F.size("_g"))
+    even = lambda c, m: F.when(m > 0, F.greatest(F.lit(0.0), 0.15 * (1 - F.least(F.lit(1.0), 5 * total(c, lambda x: (x - m) * (x - m)) / F.size(c) / (m * m))))).otherwise(0.0)
+    c = 0.5 + 0.3 * F.least(F.lit(1.0), (F.col("size") - 2) / 8) + even("_d", mean) + even("_g", F.col("_days"))
+    return r.select(*by, "first", "size", "mean_step", F.least(F.lit(0.95), F.least(F.lit(0.95), c) + 0.1).alias("confidence"))
 
 
 def arithmetic_runs(rows: DataFrame, by: tuple[str, ...], value: str, date: str, order: str, **windows) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators import sequences, statements
 from tallyforge.sources import extract
 
@@ -44,3 +46,26 @@ def test_quartiles_rank_values_alone(spark, monkeypatch):
     found = sequences.iqr_outliers(rows, "v", ("g",), "id")
     assert sorted((r["g"] or "", r["v"], r["id"], r["q1"], r["q3"], r["n"]) for r in found.collect()) == [("", 90.0, 10, 2.0, 5.0, 6), ("g", 90.0, 11, 2.0, 5.0, 6)]
     assert seen == [["g", "v"]]
+
+
+def test_arithmetic_windows_look_ahead_once(spark):
+    day = dt.date(2020, 1, 1)
+    values = [10, 20, 30, 40, 41, 7, None, 7, 14, 21, 5, -5, -15, 99]
+    days = [0, 1, 2, 3, 4, 5, 6, 7, 8, None, 10, 11, 12, 200]
+    rows = spark.createDataFrame([("g", v, None if k is None else day + dt.timedelta(k), i) for i, (v, k) in enumerate(zip(values, days, strict=True))], "g string, v long, t date, id long")
+    found = sequences.arithmetic_windows(rows.withColumn("at", F.coalesce("t", F.lit(dt.date(2020, 1, 10)))), ("g",), "v", "at", "id")
+    assert sorted((r["first"], r["size"], r["mean_step"], round(r["confidence"], 6)) for r in found.collect()) == [(1, 3, 10.0, 0.9375), (1, 4, 10.0, 0.95), (2, 3, 10.0, 0.9375), (8, 3, 7.0, 0.9375), (11, 3, -10.0, 0.7875)]
+    # One function for each row ahead and column, and one of the ranks; not a frame for each size and figure.
+    assert plan(found).count("specifiedwindowframe(RowFrame") <= 17
+    # Days that are missing are passed over; they come first in order.
+    assert [(r["first"], r["size"], round(r["confidence"], 6)) for r in sequences.arithmetic_windows(spark.createDataFrame([("g", 1, None, 1), ("g", 2, day, 2), ("g", 3, day, 3), ("h", 1, None, 1), ("h", 2, None, 2), ("h", 3, None, 3)], "g string, v long, t date, id long"), ("g",), "v", "t", "id").collect()] == [(1, 3, 0.7875)]
+
+
+def test_ranks_write_what_is_carried(spark, monkeypatch):
+    from tallyforge.operators import ordered
+
+    written, keep = [], ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda df, name, **o: written.append(df.columns) or keep(df, name, **o))
+    rows = spark.createDataFrame([("a", 3, "z"), ("a", 3, "y"), (None, 1, "x")], "g string, v long, id string")
+    assert sorted((r["g"] or "", r["v"], r["rank"]) for r in ordered.ranked(rows, ("g",), "v", "id", carry=("g", "v")).collect()) == [("", 1, 0), ("a", 3, 0), ("a", 3, 1)]
+    assert written == [["g", "v", "_at"]]
