@@ -158,9 +158,10 @@ def flags_by_type(flags: DataFrame, flag_type: str, min_confidence: float | None
 def registered_matches(matches: DataFrame, item_ids: DataFrame) -> DataFrame:
     """Registered matches (source_item_id, target_item_id) that touch one of the items (item_id) at either end, each once."""
     ids = item_ids.select("item_id").distinct()
-    a = matches.join(ids, matches["source_item_id"] == ids["item_id"], "left_semi")
-    b = matches.join(ids, matches["source_item_id"] == ids["item_id"], "left_anti").join(ids, matches["target_item_id"] == ids["item_id"], "left_semi")
-    return a.unionByName(b)
+    # Matches are read once: each end takes a mark where it is one of the items.
+    end = lambda c, mark: ids.select(F.col("item_id").alias(c), F.lit(True).alias(mark))
+    marked = matches.join(end("source_item_id", "_s"), "source_item_id", "left").join(end("target_item_id", "_t"), "target_item_id", "left")
+    return marked.filter("_s OR _t").select(*matches.columns)
 
 
 def known_matches(matches: DataFrame, found: DataFrame) -> DataFrame:

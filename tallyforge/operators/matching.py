@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.functions.amounts import ITEM_MARKUPS, MARKUP_RATES, TAX_RATES, cents, log_bin, split_rates
+from tallyforge.functions.amounts import ITEM_MARKUPS, MARKUP_RATES, TAX_RATES, cents, near_bin, split_rates
 from tallyforge.functions.texts import jaccard, word_set
 
 
@@ -34,12 +34,20 @@ def matches_in_date_range(items: DataFrame, amount: float, start: str, end: str,
 def item_matches(items: DataFrame, per_mille: int = 10, within: str = "project_id") -> DataFrame:
     """For each pair of items of different documents, in the same group, whose amounts differ by at most per_mille thousandths of the first's: ids and difference in cents.
 
-    An equality join on (group, bin), with neighbouring bins on one side, then the exact test.
+    An equality join on (group, bin) in which each two meet once, as the greater amount lies in the smaller's bin or the next; then the
+    exact test, either way round. What holds for the smaller as the first also holds for the greater.
     """
-    base = items.filter("amount > 0").select(within, "item_id", "doc_id", "date_created", cents(F.col("amount")).alias("c"), log_bin(F.col("amount"), per_mille).alias("bin"))
-    a = base.select(within, *(F.col(x).alias("a_" + x) for x in ("item_id", "doc_id", "date_created", "c")), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    b = base.select(within, *(F.col(x).alias("b_" + x) for x in ("item_id", "doc_id", "date_created", "c")), "bin")
-    return a.join(b, [within, "bin"]).filter((F.col("a_doc_id") != F.col("b_doc_id")) & (F.abs(F.col("a_c") - F.col("b_c")) * 1000 <= per_mille * F.col("a_c"))).drop("bin")
+    base = items.filter("amount > 0").select(within, "item_id", "doc_id", "date_created", cents(F.col("amount")).alias("c"))
+    base = base.withColumn("bin", near_bin(F.col("c"), per_mille))  # of the cents, so bins are in their order
+    columns = ("item_id", "doc_id", "date_created", "c")
+    x = base.select(within, *(F.col(k).alias("x_" + k) for k in columns), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    y = base.select(within, *(F.col(k).alias("y_" + k) for k in columns), "bin")
+    off = (F.col("y_c") - F.col("x_c")) * 1000
+    once = (F.col("x_doc_id") != F.col("y_doc_id")) & ((off > 0) | ((off == 0) & (F.col("x_doc_id") < F.col("y_doc_id"))))
+    j = x.join(y, [within, "bin"]).filter(once & (off <= per_mille * F.col("y_c")))
+    j = j.withColumn("_up", F.explode(F.when(off <= per_mille * F.col("x_c"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    end = lambda k, one, other: F.when(F.col("_up"), F.col(one + k)).otherwise(F.col(other + k))
+    return j.select(within, *(end(k, "x_", "y_").alias("a_" + k) for k in columns), *(end(k, "y_", "x_").alias("b_" + k) for k in columns))
 
 
 def matches_between_documents(items: DataFrame, left, right, per_mille: int = 50) -> DataFrame:

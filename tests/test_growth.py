@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import sequences, statements
+from tallyforge.operators import lookups, matching, sequences, statements
 from tallyforge.sources import extract
 
 
@@ -69,3 +69,21 @@ def test_ranks_write_what_is_carried(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 3, "z"), ("a", 3, "y"), (None, 1, "x")], "g string, v long, id string")
     assert sorted((r["g"] or "", r["v"], r["rank"]) for r in ordered.ranked(rows, ("g",), "v", "id", carry=("g", "v")).collect()) == [("", 1, 0), ("a", 3, 0), ("a", 3, 1)]
     assert written == [["g", "v", "_at"]]
+
+
+def test_matches_meet_once_in_bins_of_cents(spark):
+    rows = [(1, "a", 1, 1.0049), (1, "b", 2, 0.9951), (1, "c", 3, 1.01), (1, "d", 3, 1.00), (1, "e", None, 1.00), (2, "f", 4, 1.00), (1, "g", 5, -1.00), (1, "h", 6, 99.00), (1, "i", 7, 100.00), (1, "j", 8, 98.01)]
+    df = spark.createDataFrame(rows, "project_id long, item_id string, doc_id long, amount double").withColumn("date_created", F.lit(dt.date(2020, 1, 1)))
+    found = matching.item_matches(df)
+    pairs = sorted((r["a_item_id"], r["b_item_id"]) for r in found.collect())
+    both = lambda *p: [x for a, b in p for x in ((a, b), (b, a))]
+    # 100.00 and 99.00 are within 1 % of the greater alone, so only that comes first.
+    assert pairs == sorted(both("ab", "ad", "bd", "ac", "bc") + [("i", "h"), ("h", "j")])
+    assert found.columns == ["project_id", *(s + c for s in ("a_", "b_") for c in ("item_id", "doc_id", "date_created", "c"))]
+
+
+def test_registered_matches_are_read_once(spark):
+    m = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), (None, "a"), ("d", None)], "source_item_id string, target_item_id string")
+    found = lookups.registered_matches(m, spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "item_id string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), (None, "a")]))
+    assert plan(found).count("LogicalRDD") == 3
