@@ -25,8 +25,15 @@ def coarse(amount: Column, step: int = 100) -> Column:
 
 
 def matching_amounts(items: DataFrame, key: Column, least: int = 2, min_confidence: float = 0.7) -> DataFrame:
-    """Amounts (key) that several items share: items, documents, document types; confidence 0.85, more with items and documents, at most 0.95."""
-    g = items.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("doc_type").alias("types"))
+    """Amounts (key) that several items share: items, documents, document types; confidence 0.85, more with items and documents, at most 0.95.
+
+    Rows are dealt by amount and document, and the first of each pair is counted as the document; so a task keeps no table of pairs, and
+    rows aren't repeated for each count.
+    """
+    rows = items.select(key.alias("key"), "doc_id", "doc_type").repartition("key", "doc_id")
+    first = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("doc_type")) == 1
+    g = rows.withColumn("_new", F.when(first & F.col("doc_id").isNotNull(), 1).otherwise(0)).groupBy("key", "doc_type").agg(F.count(F.lit(1)).alias("n"), F.sum("_new").alias("documents"))
+    g = g.groupBy("key").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"), F.count("doc_type").alias("types"))
     c = F.least(F.lit(0.95), 0.85 + F.col("n") / 10 * 0.05 + F.col("documents") / 3 * 0.1)
     return g.filter(F.col("n") >= least).withColumn("confidence", c).filter(F.col("confidence") >= min_confidence)
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import lookups, matching, sequences, statements
+from tallyforge.operators import aggregates, lookups, matching, sequences, statements
 from tallyforge.sources import extract
 
 
@@ -87,3 +87,10 @@ def test_registered_matches_are_read_once(spark):
     found = lookups.registered_matches(m, spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "item_id string"))
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), (None, "a")]))
     assert plan(found).count("LogicalRDD") == 3
+
+
+def test_shared_amounts_count_documents_without_repeated_rows(spark):
+    rows = [(5, 1, "x"), (5, 1, "y"), (5, 1, "x"), (5, 2, "x"), (5, None, None), (7, 3, "x"), (7, 3, None), (None, 4, "z"), (None, 4, "z"), (9, 8, "x")]
+    found = aggregates.matching_amounts(spark.createDataFrame(rows, "a long, doc_id long, doc_type string"), F.col("a"))
+    assert sorted((r["key"] or 0, r["n"], r["documents"], r["types"]) for r in found.collect()) == [(0, 2, 1, 1), (5, 5, 2, 2), (7, 2, 1, 1)]
+    assert "Expand" not in plan(found)
