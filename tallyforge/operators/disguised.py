@@ -151,6 +151,9 @@ def split_rejections(documents: DataFrame, least: float = 10_000.0, most: float
     if terms is None:
         return out.withColumns({"shared": F.lit(0).cast("long"), "confidence": F.lit(0.8)})
     out = stored(out, "sets")
+    # Of the documents in sets alone; that is written, as it is read for either side.
+    asked = out.select(F.explode(F.concat(F.array("rejected_id"), "parts")).alias("doc_id")).distinct()
+    terms = stored(terms.select("doc_id", "terms").join(asked, "doc_id", "left_semi"), "terms")
     each = out.select("rejected_id", "parts", F.explode("parts").alias("doc_id")).join(terms.select("doc_id", F.explode("terms").alias("term")), "doc_id")
     own = terms.select(F.col("doc_id").alias("rejected_id"), F.explode("terms").alias("term")).distinct()
     shared = each.select("rejected_id", "parts", "term").distinct().join(own, ["rejected_id", "term"]).groupBy("rejected_id", "parts").agg(F.count(F.lit(1)).alias("shared"))

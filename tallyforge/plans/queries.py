@@ -675,7 +675,7 @@ about AS (SELECT rejected_id, parts, list_distinct(flatten(list(t))) AS t FROM (
 SELECT project_id, sets.rejected_id, array_to_string(sets.parts, ',') AS parts, CAST(len(sets.parts) AS BIGINT) AS n, CAST(s AS BIGINT) AS sum_cents, round(0.8::DOUBLE + 0.05::DOUBLE * coalesce(len(list_intersect(about.t, terms.t)), 0), 6) AS confidence
 FROM sets LEFT JOIN about ON about.rejected_id = sets.rejected_id AND about.parts = sets.parts LEFT JOIN terms ON terms.doc_id = sets.rejected_id""")
 def split_rejections(m):
-    found = disguised.split_rejections(m.documents, 100_000, 300_000, terms=disguised.description_terms(m.items))
+    found = disguised.split_rejections(m.documents, 100_000, 300_000, terms=disguised.description_terms(m.items.filter("doc_type = 'change_order'")))
     return found.select("project_id", "rejected_id", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), "n", "sum_cents", _r(F.col("confidence"), "confidence"))
 
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import aggregates, lookups, matching, sequences, statements
+from tallyforge.operators import aggregates, disguised, lookups, matching, sequences, statements
 from tallyforge.sources import extract
 
 
@@ -94,3 +94,14 @@ def test_shared_amounts_count_documents_without_repeated_rows(spark):
     found = aggregates.matching_amounts(spark.createDataFrame(rows, "a long, doc_id long, doc_type string"), F.col("a"))
     assert sorted((r["key"] or 0, r["n"], r["documents"], r["types"]) for r in found.collect()) == [(0, 2, 1, 1), (5, 5, 2, 2), (7, 2, 1, 1)]
     assert "Expand" not in plan(found)
+
+
+def test_terms_are_those_of_documents_in_sets(spark, monkeypatch):
+    written, keep = {}, disguised.stored
+    monkeypatch.setattr(disguised, "stored", lambda df, name, **o: written.setdefault(name, keep(df, name, **o)))
+    rows = [(1, 1, "rejected", 20_000.0), (1, 2, "approved", 20_100.0), (1, 3, "approved", 19_000.0), (1, 4, "approved", 100.0)]
+    docs = spark.createDataFrame(rows, "project_id long, doc_id long, status string, total double").withColumn("doc_type", F.lit("change_order"))
+    terms = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["x"]), (4, ["a"]), (5, ["a"])], "doc_id long, terms array<string>")
+    found = disguised.split_rejections(docs, least=10_000, most=50_000, per_mille=10, parts=1, terms=terms)
+    assert [(r["parts"], r["shared"], round(r["confidence"], 6)) for r in found.collect()] == [([2], 1, 0.85)]
+    assert sorted(r["doc_id"] for r in written["terms"].collect()) == [1, 2]
