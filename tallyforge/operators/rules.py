@@ -17,11 +17,11 @@ def reappearing_amounts(items: DataFrame, tolerance_cents: int = 1) -> DataFrame
     """Rejected items (or items of rejected documents) whose amount occurs in a strictly later document of the project.
 
     rejected_amount_in_invoice (0.9) if one is an invoice, else reappearing_amount (0.75, less if descriptions agree, more if they don't).
-    The join is on project and a bin of tolerance_cents + 1 cents, with neighbouring bins on one side, then the exact test.
+    The join is on project and a bin much wider than the tolerance, so that a rejected item lies in one, at an edge in two; then the exact test.
     """
-    wide = tolerance_cents + 1
+    wide = 16 * (tolerance_cents + 1)
     r = items.filter("item_status = 'rejected' OR status = 'rejected'").select("project_id", "item_id", "doc_id", F.col("date_created").alias("rejected_on"), "description", cents(F.col("amount")).alias("rc"))
-    r = r.withColumn("bin", F.explode(F.array(*(F.floor(F.col("rc") / wide) + k for k in (-1, 0, 1)))))
+    r = r.withColumn("bin", F.explode(F.array_distinct(F.array(*(F.floor((F.col("rc") + k) / wide) for k in (-tolerance_cents, tolerance_cents))))))
     later = items.select("project_id", cents(F.col("amount")).alias("c"), F.col("item_id").alias("later_id"), F.col("date_created").alias("later_on"), F.col("doc_type").alias("later_type"), F.col("description").alias("later_text"))
     later = later.withColumn("bin", F.floor(F.col("c") / wide))
     j = r.join(later, ["project_id", "bin"]).filter((F.col("later_on") > F.col("rejected_on")) & (F.abs(F.col("c") - F.col("rc")) <= tolerance_cents))

@@ -50,19 +50,32 @@ class Model:
         return d.withColumn("file_name", F.concat("doc_type", F.lit("_"), F.col("number").cast("string"), F.when(F.col("doc_id") % 7 == 0, "_rev").otherwise("")))
 
     @cached_property
-    def line_items(self) -> DataFrame:
+    def _lines(self) -> DataFrame:
+        """Line items without their ids, and the keys that make them."""
         i = self.table("lineitem").join(self.table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
         amount = F.col("l_extendedprice").cast("decimal(15,2)")
-        key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), F.col("l_quantity").cast("long").cast("string"), (amount * 100).cast("long").cast("string"))
         return i.select(
-            F.md5(key.cast("binary")).alias("item_id"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("item_number"), F.col("p_name").alias("description"), amount.alias("amount"),
+            F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("item_number"), F.col("p_name").alias("description"), amount.alias("amount"),
             F.col("l_quantity").cast("long").alias("quantity"), F.col("p_retailprice").cast("decimal(15,2)").alias("unit_price"), F.col("p_brand").alias("cost_code"), F.col("p_type").alias("category"), _mapped("l_returnflag", ITEM_STATUS).alias("item_status"),
+            F.col("l_partkey").alias("_part"), F.col("l_suppkey").alias("_supplier"),
         )
 
+    @staticmethod
+    def _with_ids(lines: DataFrame) -> DataFrame:
+        """lines with item_id, a hash in hexadecimal, in place of its keys; made where no shuffle is left to carry it, as it doesn't compress."""
+        key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("doc_id", "_part", "_supplier", "item_number", "quantity")), (F.col("amount") * 100).cast("long").cast("string"))
+        return lines.withColumn("item_id", F.md5(key.cast("binary"))).drop("_part", "_supplier")
+
+    @cached_property
+    def line_items(self) -> DataFrame:
+        i = self._with_ids(self._lines)
+        return i.select("item_id", *(c for c in i.columns if c != "item_id"))
+
     @cached_property
     def items(self) -> DataFrame:
         """Line items with their documents' columns."""
-        return self.line_items.join(self.documents, "doc_id")
+        i = self._with_ids(self._lines.join(self.documents, "doc_id"))
+        return i.select("doc_id", "item_id", *(c for c in i.columns if c not in ("doc_id", "item_id")))
 
     @cached_property
     def payment_applications(self) -> DataFrame:

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import aggregates, disguised, lookups, matching, sequences, statements
+from tallyforge.operators import aggregates, disguised, engine, lookups, matching, rules, sequences, statements
 from tallyforge.sources import extract
 
 
@@ -105,3 +105,28 @@ def test_terms_are_those_of_documents_in_sets(spark, monkeypatch):
     found = disguised.split_rejections(docs, least=10_000, most=50_000, per_mille=10, parts=1, terms=terms)
     assert [(r["parts"], r["shared"], round(r["confidence"], 6)) for r in found.collect()] == [([2], 1, 0.85)]
     assert sorted(r["doc_id"] for r in written["terms"].collect()) == [1, 2]
+
+
+def test_detectors_read_items_that_were_written(spark):
+    from tallyforge.plans.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    found = engine.suspicious_patterns(m.documents, m.items)
+    assert "l_extendedprice" not in plan(found) and found.filter("kind = 'recurring_amount'").limit(1).count() == 1
+
+
+def test_item_ids_are_made_after_joins(spark):
+    from tallyforge.plans.model import Model
+
+    p = plan(Model(spark, "/root/testdata/sf0.001").items.select("item_id", "project_id"))
+    assert p.index("md5") < p.index("Join")
+
+
+def test_reappearing_amounts_meet_in_wide_bins(spark):
+    cents = [-33, -32, -31, -2, -1, 0, 1, 2, 30, 31, 32, 33, 63, 64, 65, 95, 96, 97, 200]
+    rows = [(1, f"{k}{c}", day, c / 100, status) for c in cents for k, day, status in (("r", dt.date(2020, 1, 1), "rejected"), ("l", dt.date(2020, 1, 2), "approved"))]
+    items = spark.createDataFrame(rows, "project_id long, item_id string, date_created date, amount double, status string").withColumns({"doc_id": F.lit(1), "doc_type": F.lit("x"), "item_status": F.col("status"), "description": F.lit("a b")})
+    for tolerance in (0, 1, 7):
+        found = rules.reappearing_amounts(items, tolerance)
+        assert {r["item_id"]: r["n"] for r in found.collect()} == {f"r{c}": sum(abs(c - d) <= tolerance for d in cents) for c in cents}
+    assert "array_distinct" in plan(found)
