@@ -141,18 +141,61 @@ def _greedy(first, size, rank, own, taken, share: float, longest: int):
     return state
 
 
-def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str, priority: list[Column], share: float = 0.5, longest: int = 9, block: int = 1 << 17) -> DataFrame:
+def _shortened(spans: DataFrame, by: tuple[str, ...], first: str, size: str, priority: list[Column], share: float, longest: int, cell: int) -> DataFrame:
+    """spans with _place, and with _gone where a span need not be looked at as it lies amid a run: spans at consecutive places, one at each, equally long, each before the next in priority.
+
+    `longest` or more places from both ends of a run a span meets spans of the run only, and is chosen if the last one chosen lies `_step`
+    places or more before it. So choices repeat every `_step` places, and a multiple of that many places may be taken out: the others are
+    decided as before, with their places moved up. Runs are those within cells of `cell` places. `_from` is the first place taken out of
+    a span's run, if any; the choice within `_step` places before it is repeated by _repeated().
+    """
+    steps = F.array(*(F.lit(next(d for d in range(1, n + 1) if d == n or n - d < share * n)) for n in range(1, longest + 1)))
+    f, inside = F.col(first), [*by, "_cell"]
+    d = spans.withColumn("_cell", F.floor(f / cell)).withColumn("_k", F.row_number().over(Window.partitionBy(*inside).orderBy(*priority, first, size)))
+    w = Window.partitionBy(*inside).orderBy(first, "_k")
+    on = (f == F.lag(first).over(w) + 1) & (F.col(size) == F.lag(size).over(w)) & (F.col("_k") > F.lag("_k").over(w))
+    d = d.withColumn("_new", F.when(on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*inside, "_run").orderBy(first, "_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumns({"_low": F.min(first).over(run), "_high": F.max(first).over(run), "_step": F.get(steps, F.col(size).cast("int") - 1)})
+    # `longest` places at either end, and as many again beside what is taken out.
+    out = F.greatest(F.floor((F.col("_high") - F.col("_low") + 1 - 4 * longest) / F.col("_step")), F.lit(0)) * F.col("_step")
+    d = d.withColumns({"_from": F.when(out > 0, F.col("_low") + 2 * longest), "_out": out})
+    d = d.withColumn("_gone", F.coalesce((f >= F.col("_from")) & (f < F.col("_from") + F.col("_out")), F.lit(False)))
+    # A run's number grows with its places, so this is the order of places.
+    passed = Window.partitionBy(*inside).orderBy("_run", first, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    d = stored(d.withColumn("_cut", F.sum(F.col("_gone").cast("long")).over(passed)).select(*spans.columns, "_cell", "_run", "_from", "_step", "_gone", "_cut"), "shortened")
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = d.groupBy(*inside).agg(F.sum(F.col("_gone").cast("long")).alias("_n"))
+    cells = cells.select(*(F.col(c).alias(f"_{c}_") for c in inside), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return d.join(cells, _alike(inside, [f"_{c}_" for c in inside])).withColumn("_place", f - F.col("_before") - F.col("_cut")).drop("_before", *(f"_{c}_" for c in inside))
+
+
+def _alike(a: list[str], b: list[str]) -> Column:
+    """Whether columns a are those of b, nulls too."""
+    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(a, b, strict=True)), F.lit(True))
+
+
+def _repeated(best: DataFrame, spans: DataFrame, by: tuple[str, ...], first: str) -> DataFrame:
+    """Of spans (of _shortened) that are gone, those that repeat the choice in best before them."""
+    keys = [*by, "_cell", "_run"]
+    last = best.filter((F.col(first) < F.col("_from")) & (F.col(first) >= F.col("_from") - F.col("_step"))).select(*(F.col(c).alias(f"_{c}_") for c in keys), F.col(first).alias("_last"))
+    return spans.filter("_gone").join(last, _alike(keys, [f"_{c}_" for c in keys])).filter(F.pmod(F.col(first) - F.col("_last"), F.col("_step")) == 0)
+
+
+def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str, priority: list[Column], share: float = 0.5, longest: int = 9, block: int = 1 << 17, cell: int = 1 << 13) -> DataFrame:
     """Greedy choice of spans (first, size, in places of a group) by priority: a span goes if a chosen one overlaps it by `share` of the smaller.
 
-    A task takes the spans of `block` places of a group in order of rank, and those within `longest` of its edges beside them, and decides
-    all that doesn't depend on open spans of other blocks; the next round does so with what is decided. That gives what the sequential
-    greedy gives, as ranks are distinct. A chain of spans, each decided by the one before, takes a round for each block that it crosses.
-    Rounds are written to the shared folder, ids and places only.
+    Long runs of like spans, whose choices repeat, are shortened first (in cells of `cell` places). Then a task takes the spans of `block`
+    places of a group in order of rank, and those within `longest` of its edges beside them, and decides all that doesn't depend on open
+    spans of other blocks; the next round does so with what is decided. That gives what the sequential greedy gives, as ranks are
+    distinct. A chain of spans, each decided by the one before, takes a round for each block that it crosses. Rounds are written to the
+    shared folder, ids and places only.
     """
-    ranks = stored(ranked(spans, by, *priority, first, size, out="_rank"), "spans")
+    short = _shortened(spans, by, first, size, priority, share, longest, cell)
+    ranks = stored(ranked(short.filter("NOT _gone"), by, *priority, first, size, out="_rank"), "spans")
     keys = [f"_k{i}" for i in range(len(by))]
     named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
-    left = ranks.select(*named, F.col("_rank").cast("long").alias("r"), F.col(first).cast("long").alias("f"), F.col(size).cast("long").alias("s"), F.lit(False).alias("taken"))
+    left = ranks.select(*named, F.col("_rank").cast("long").alias("r"), F.col("_place").cast("long").alias("f"), F.col(size).cast("long").alias("s"), F.lit(False).alias("taken"))
     schema = StructType([*(left.schema[k] for k in keys), *(StructField(c, LongType()) for c in ("r", "f", "s", "state"))])
 
     def run(t: pa.Table) -> pa.Table:
@@ -181,11 +224,9 @@ def drop_overlaps(spans: DataFrame, by: tuple[str, ...], first: str, size: str,
         if not left.limit(1).count():
             break
     drop(old)
-    best = reduce(DataFrame.unionByName, chosen).select(*keys, F.col("r").alias("_rank"))
-    on = F.lit(True)
-    for c, k in zip(by, keys, strict=True):
-        on &= F.col(c).eqNullSafe(F.col(k))
-    return ranks.withColumnRenamed("_rank", "_r").join(best, on & (F.col("_r") == F.col("_rank"))).drop("_rank", "_r", *keys)
+    best = reduce(DataFrame.unionByName, chosen).select(*keys, F.col("r").alias("_r"))
+    best = ranks.join(best, _alike(list(by), keys) & (F.col("_r") == F.col("_rank"))).drop("_rank", "_r", *keys)
+    return best.select(spans.columns).unionByName(_repeated(best, short, by, first).select(spans.columns))
 
 
 def coordination(relationships: DataFrame, top: int = 3, longest: int = 3, rounds: int | None = None, part: str | None = None) -> DataFrame:

@@ -128,15 +128,37 @@ def gaps(documents: DataFrame, by: tuple[str, ...] = ("project_id",), days: int
     return d.withColumn("confidence", 0.7 + F.least(F.col("z") / 5, F.lit(0.25)))
 
 
-def event_clusters(documents: DataFrame, by: tuple[str, ...] = ("party",), sizes: range = range(3, 10)) -> DataFrame:
-    """Runs of 3 to 9 consecutive documents of a group that span at most 2 (size - 1) days; density size / (span + 1); confidence 0.7 and up."""
+def _cluster_ends(documents: DataFrame, by: tuple[str, ...], sizes: range) -> DataFrame:
+    """by, doc_id, date_created and rank, the document's 0-based place in its group, with the dates of the documents that end a run of each size from it (_e3 to _e9)."""
     rows, parts = blocked(ranked(documents.select(*by, "doc_id", "date_created"), by, "date_created", "doc_id"), by, max(sizes) - 1)
     w = Window.partitionBy(*parts).orderBy("rank")
-    base = rows.withColumns({f"_e{n}": F.lead("date_created", n - 1).over(w) for n in sizes}).filter("_own")
+    return rows.withColumns({f"_e{n}": F.lead("date_created", n - 1).over(w) for n in sizes}).filter("_own")
+
+
+def _density(size: Column, span: Column) -> tuple[Column, Column]:
+    """A cluster's density and confidence."""
+    density = size / (span + 1)
+    return density, 0.7 + F.least(0.2 * (density - 1), F.lit(0.25))
+
+
+def event_clusters(documents: DataFrame, by: tuple[str, ...] = ("party",), sizes: range = range(3, 10)) -> DataFrame:
+    """Runs of 3 to 9 consecutive documents of a group that span at most 2 (size - 1) days; density size / (span + 1); confidence 0.7 and up."""
+    base = _cluster_ends(documents, by, sizes)
     d = base.select(*by, "doc_id", F.col("date_created").alias("start"), F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.col(f"_e{n}").alias("end")) for n in sizes))).alias("c")).select(*by, "doc_id", "start", "c.*")
     d = d.withColumn("span", F.datediff("end", "start")).filter(F.col("span") <= 2 * (F.col("size") - 1))
-    density = F.col("size") / (F.col("span") + 1)
-    return d.withColumn("density", density).withColumn("confidence", 0.7 + F.least(0.2 * (F.col("density") - 1), F.lit(0.25)))
+    density, confidence = _density(F.col("size"), F.col("span"))
+    return d.withColumns({"density": density, "confidence": confidence})
+
+
+def best_event_clusters(documents: DataFrame, by: tuple[str, ...] = ("party",), sizes: range = range(3, 10)) -> DataFrame:
+    """best_clusters() of event_clusters(), with first, the 0-based place of its document in the group; chosen in the document's row."""
+    d = _cluster_ends(documents, by, sizes).withColumns({f"_s{n}": F.datediff(f"_e{n}", "date_created") for n in sizes})
+    d = d.withColumns({f"_c{n}": F.when(F.col(f"_s{n}") <= 2 * (n - 1), _density(F.lit(n), F.col(f"_s{n}"))[1]) for n in sizes})
+    d = d.withColumn("_top", F.array_max(F.array(*(f"_c{n}" for n in sizes)))).filter("_top IS NOT NULL")
+    d = d.withColumn("size", F.coalesce(*(F.when(F.col(f"_c{n}") == F.col("_top"), n) for n in reversed(sizes))))
+    at = lambda c: F.coalesce(*(F.when(F.col("size") == n, F.col(f"{c}{n}")) for n in sizes))
+    d = d.select(*by, "doc_id", F.col("rank").alias("first"), F.col("date_created").alias("start"), "size", at("_e").alias("end"), at("_s").alias("span"), F.col("_top").alias("confidence"))
+    return d.select(*by, "doc_id", "first", "start", "size", "end", "span", _density(F.col("size"), F.col("span"))[0].alias("density"), "confidence")
 
 
 def best_clusters(clusters: DataFrame, by: tuple[str, ...] = ("party",)) -> DataFrame:

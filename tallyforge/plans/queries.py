@@ -14,7 +14,6 @@ from tallyforge.functions import amounts
 from tallyforge.functions.amounts import ROUNDNESS, cents
 from tallyforge.operators import aggregates as agg
 from tallyforge.operators import detectors, disguised, engine, graph, lookups, matching, network_rules, outliers, relationships, reports, rules, search, sequences, splits, statements, structure, upserts
-from tallyforge.operators.ordered import ranked
 from tallyforge.plans.model import SQL, Model
 from tallyforge.sources import extract
 
@@ -1068,8 +1067,7 @@ ranks AS MATERIALIZED (SELECT party, first, size, row_number() OVER (PARTITION B
 SELECT best.party, doc_id, CAST(size AS BIGINT) AS size, CAST(span AS BIGINT) AS span, round(confidence, 6) AS confidence FROM best JOIN pb ON best.party = pb.party AND c.f = pb.first AND c.s = pb.size""", model=False)
 def chosen_clusters(m):
     """A greedy choice; in SQL step by step."""
-    places = ranked(m.documents.select("party", "doc_id", "date_created"), ("party",), "date_created", "doc_id", out="first")
-    c = sequences.best_clusters(sequences.event_clusters(m.documents)).join(places.select("doc_id", "first"), "doc_id")
+    c = sequences.best_event_clusters(m.documents).select("party", "doc_id", "first", "size", "span", "confidence")
     best = detectors.drop_overlaps(c, ("party",), "first", "size", [F.desc("confidence"), F.desc("size")])
     return best.select("party", "doc_id", _l("size"), _l("span"), _r(F.col("confidence"), "confidence"))
 

@@ -130,3 +130,59 @@ def test_reappearing_amounts_meet_in_wide_bins(spark):
         found = rules.reappearing_amounts(items, tolerance)
         assert {r["item_id"]: r["n"] for r in found.collect()} == {f"r{c}": sum(abs(c - d) <= tolerance for d in cents) for c in cents}
     assert "array_distinct" in plan(found)
+
+
+def _greedy(rows, share):
+    taken = []
+    for row in sorted(rows, key=lambda x: (-x[3], x[1], x[2])):
+        near = [c for c in taken if c[0] == row[0] and abs(c[1] - row[1]) < 9]
+        common = [(min(row[1] + row[2], c[1] + c[2]) - max(row[1], c[1]), min(row[2], c[2])) for c in near]
+        if not any(k > 0 and k >= share * n for k, n in common):
+            taken.append(row)
+    return {x[:3] for x in taken}
+
+
+def test_long_runs_of_spans_are_shortened(spark, monkeypatch):
+    """A chain of equal priority over many blocks takes one round; runs that are broken in all ways are decided as one by one."""
+    import random
+
+    from tallyforge.operators import detectors
+
+    written, keep = [], detectors.stored
+    monkeypatch.setattr(detectors, "stored", lambda df, name, **o: written.append((name, out := keep(df, name, **o))) or out)
+    schema = "g string, first long, size long, p double"
+    chain = [("a", k, 9, 0.95) for k in range(3000)]
+    got = detectors.drop_overlaps(spark.createDataFrame(chain, schema), ("g",), "first", "size", [F.desc("p")], block=400, cell=1000)
+    assert sorted(x["first"] for x in got.collect()) == list(range(0, 3000, 5))
+    assert [name for name, _ in written].count("chosen") == 1 and next(df for name, df in written if name == "spans").count() < 150
+
+    r = random.Random(7)
+    rows = []
+    for g in ("a", None, "c", "d"):
+        at = 0
+        while at < 500:
+            n, s, p = r.choice([1, 3, 20, 60, 90, 150]), r.randrange(3, 10), r.choice([0.7, 0.8, 0.9])
+            rows += [(g, at + k, s, p + {"c": 1e-4 * k, "d": -1e-4 * k}.get(g, 0.0)) for k in range(n)]
+            rows += [(g, at + k, r.randrange(3, 10), r.choice([0.6, 0.8, 0.95])) for k in range(0, n, r.choice([7, 40, 200])) if r.random() < 0.4]
+            at += n + r.choice([0, 0, 0, 1, 12])
+    rows = [x for i, x in enumerate(rows) if x[:3] not in {y[:3] for y in rows[:i]}]
+    df = spark.createDataFrame(rows, schema)
+    for share, cell, block in ((0.5, 128, 70), (0.0, 1000, 1 << 17), (1.0, 200, 300)):
+        written.clear()
+        got = [(x["g"], x["first"], x["size"]) for x in detectors.drop_overlaps(df, ("g",), "first", "size", [F.desc("p")], share, block=block, cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == _greedy(rows, share)
+        assert next(df for name, df in written if name == "spans").count() < len(rows)
+
+
+def test_best_clusters_are_chosen_in_their_rows(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(g, 1000 * n + k, dt.date(2020, 1, 1) + dt.timedelta(r.randrange(n))) for g, n, m in (("a", 40, 60), (None, 9, 30), ("c", 300, 20)) for k in range(m)]
+    df = spark.createDataFrame([*rows, ("c", 1, None)], "party string, doc_id long, date_created date")
+    best = sequences.best_event_clusters(df)
+    assert "Expand" not in plan(best) and plan(best).count("Generate") == 1  # that of blocks alone
+    old = sequences.best_clusters(sequences.event_clusters(df))
+    assert sorted(map(str, best.select(old.columns).collect())) == sorted(map(str, old.collect()))
+    place = {x[1]: i for g in ("a", None, "c") for i, x in enumerate(sorted((x for x in [*rows, ("c", 1, None)] if x[0] == g), key=lambda x: (x[2] or dt.date.min, x[1])))}
+    assert all(x["first"] == place[x["doc_id"]] for x in best.collect())
