@@ -70,9 +70,10 @@ def percentage(part: Column, whole: Column) -> Column:
 def roundness(amount: Column) -> Column:
     """0 to 0.95: how round an amount looks. The ladder for whole amounts, 0.7 for four equal digits, 0.6 for prices like 999; a size factor up to 0.1; times 0.8 with cents."""
     c = cents(amount)
-    ladder = F.lit(0.0)
-    for step, score in reversed(ROUNDNESS):
-        ladder = F.when((c >= step * 100) & (c % (step * 100) == 0), score).otherwise(ladder)
+    # Steps are whole amounts, so few rows look at them. Written out one by one, they make code too long to be compiled.
+    steps = F.array(*(F.struct(F.lit(step * 100).cast("long").alias("step"), F.lit(score).alias("score")) for step, score in ROUNDNESS))
+    first = F.get(F.filter(steps, lambda x: (c >= x["step"]) & (c % x["step"] == 0)), F.lit(0))["score"]
+    ladder = F.when(c % 100 == 0, F.coalesce(first, F.lit(0.0))).otherwise(0.0)
     digits = F.floor(c / 100).cast("string")
     base = F.when(ladder > 0, ladder).when(digits.rlike(r"(\d)\1{3}"), 0.7).when(digits.rlike("9{3}$") | ((c % 100 >= 95) & (c > 1000)), 0.6).otherwise(0.0)
     size = F.least(F.lit(0.1), c / 100 / 1_000_000 * 0.1)

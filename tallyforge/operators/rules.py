@@ -59,12 +59,12 @@ def missing_change_orders(items: DataFrame, documents: DataFrame, least: float =
 
     Confidence 0.8, 0.1 more over 10,000, 0.05 more with a word of changed scope; at most 0.95.
     """
-    p = items.filter(F.col("doc_type").isin("payment_app", "invoice") & (F.col("amount") > least)).select("project_id", "item_id", "doc_id", "description", "amount", F.col("date_created").alias("billed"))
+    p = items.filter(F.col("doc_type").isin("payment_app", "invoice") & (F.col("amount") > least)).select("project_id", "item_id", "doc_id", "description", "amount", F.col("date_created").alias("billed"), near_bin(F.col("amount"), per_mille).alias("at"))
     o = documents.filter("doc_type = 'change_order'").select(F.col("project_id").alias("project"), cents(F.col("total")).alias("oc"), F.col("date_created").alias("ordered"), "status", F.explode(near_bins(F.col("total"), per_mille)).alias("bin"))
     c = cents(F.col("amount"))
-    # An equality join on project and bin of the amount.
-    j = p.join(o, (p["project_id"] == o["project"]) & (near_bin(F.col("amount"), per_mille) == F.col("bin")) & (F.col("ordered") <= F.col("billed")) & (F.abs(F.col("oc") - c) * 1000 <= per_mille * c), "left").drop("project", "bin")
-    g = j.groupBy("project_id", "doc_id", "item_id", "description", "amount").agg(F.count("status").alias("orders"), F.coalesce(F.sum(F.when(F.col("status") != "rejected", 1)), F.lit(0)).alias("valid"))
+    # An equality join on project and bin of the amount; with the bin among the groups' keys, rows stay where the join has them.
+    j = p.join(o, (p["project_id"] == o["project"]) & (F.col("at") == F.col("bin")) & (F.col("ordered") <= F.col("billed")) & (F.abs(F.col("oc") - c) * 1000 <= per_mille * c), "left").drop("project", "bin")
+    g = j.groupBy("project_id", "at", "doc_id", "item_id", "description", "amount").agg(F.count("status").alias("orders"), F.coalesce(F.sum(F.when(F.col("status") != "rejected", 1)), F.lit(0)).alias("valid")).drop("at")
     scope = any_word(F.col("description"), ("add", "extra", "additional", "new", "change", "modify"))
     conf = F.least(F.lit(0.95), 0.8 + F.when(F.col("amount") > 10_000, 0.1).otherwise(0.0) + F.when(scope, 0.05).otherwise(0.0))
     return g.filter("valid = 0").withColumns({"kind": F.when(F.col("orders") > 0, "rejected change order").otherwise("no change order"), "confidence": conf})

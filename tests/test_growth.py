@@ -186,3 +186,36 @@ def test_best_clusters_are_chosen_in_their_rows(spark):
     assert sorted(map(str, best.select(old.columns).collect())) == sorted(map(str, old.collect()))
     place = {x[1]: i for g in ("a", None, "c") for i, x in enumerate(sorted((x for x in [*rows, ("c", 1, None)] if x[0] == g), key=lambda x: (x[2] or dt.date.min, x[1])))}
     assert all(x["first"] == place[x["doc_id"]] for x in best.collect())
+
+
+def test_anomalies_read_items_that_were_written(spark):
+    from tallyforge.plans.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    found = engine.anomalies(m.items, m.documents)
+    assert "l_extendedprice" not in plan(found) and found.filter("kind = 'missing_change_order'").limit(1).count() == 1
+
+
+def test_items_without_change_orders_are_shuffled_once(spark):
+    day = lambda k: dt.date(2020, 1, k)
+    items = spark.createDataFrame([(1, "a", 10, "invoice", 6000.0, day(5)), (1, "a", 10, "invoice", 6000.0, day(5)), (1, "b", 10, "invoice", 6100.0, day(5)), (2, "c", 20, "payment_app", 6000.0, day(5)), (1, "d", 11, "invoice", 8000.0, day(5)), (1, "e", 11, "invoice", 8000.0, day(1))], "project_id long, item_id string, doc_id long, doc_type string, amount double, date_created date").withColumn("description", F.lit("x"))
+    documents = spark.createDataFrame([(1, "change_order", "approved", 6010.0, day(4)), (1, "change_order", "rejected", 8010.0, day(4)), (1, "change_order", "rejected", 8020.0, day(4)), (1, "change_order", "approved", 6100.0, day(6))], "project_id long, doc_type string, status string, total double, date_created date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rules.missing_change_orders(items, documents)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted((r["item_id"], r["orders"], r["kind"]) for r in found.collect()) == [("b", 0, "no change order"), ("c", 0, "no change order"), ("d", 2, "rejected change order"), ("e", 0, "no change order")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.columns == ["project_id", "doc_id", "item_id", "description", "amount", "orders", "valid", "kind", "confidence"]
+
+
+def test_roundness_is_one_short_expression(spark):
+    from tallyforge.functions.amounts import ROUNDNESS, roundness
+
+    amounts = [(x,) for x in (100_000, 250_000, 50_000, 7_000, 500, 5, 4, 0, -500, 11_111, 11_111.5, 999, 1_999.97, 1_234.56, 15, None)]
+    df = spark.createDataFrame([(None if x is None else float(x),) for (x,) in amounts], "a double").select(roundness(F.col("a")).alias("r"), "a")
+    want = {None: 0, 100_000: 0.95, 250_000: 0.925, 50_000: 0.905, 7_000: 0.7507, 500: 0.70005, 5: 0.4500005, 4: 0, 0: 0, -500: 0, 11_111: 0.7011111, 11_111.5: 0.56088892, 999: 0.6000999, 1_999.97: 0.48015999760, 1_234.56: 0, 15: 0.4500015}
+    assert {r["a"]: round(r["r"], 7) for r in df.collect()} == {k: round(v, 7) for k, v in want.items()}
+    assert df.select("r")._jdf.queryExecution().analyzed().toString().count("CASE WHEN") <= 12 < 2 * len(ROUNDNESS)
